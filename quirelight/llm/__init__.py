@@ -6,7 +6,12 @@ import importlib
 
 #: Module and query of each operator.
 MODULES = {
+    "op4_packing": "packing",
+    "op5_bpe": "bpe",
     "op6_quality_rules": "quality",
+    "op8_chat_format": "chat",
+    "op9_merkle": "merkle",
+    "op10_shuffled_shards": "sharding",
 }
 
 
