@@ -6,9 +6,13 @@ import importlib
 
 #: Module and query of each operator.
 MODULES = {
+    "op1_simhash": "simhash",
+    "op2_suffix": "suffix",
+    "op3_brown_lm": "lm",
     "op4_packing": "packing",
     "op5_bpe": "bpe",
     "op6_quality_rules": "quality",
+    "op7_line_templates": "templates",
     "op8_chat_format": "chat",
     "op9_merkle": "merkle",
     "op10_shuffled_shards": "sharding",

@@ -195,6 +195,7 @@ def _windows(suffix: bytes, rights: int | None = None) -> list[tuple[int, bytes]
 
 def _make_runs(targets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         held: list[tuple[bytes, int, int, int, int]] = []
         size = 0
 
@@ -221,6 +222,7 @@ def _make_runs(targets: int):
 
         for batch in batches:
             for key, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = unpack(text)
                 for x in found:
                     suffix = _suffix(text, x["at"], x["first"], x["last"])
                     place = xxh3_64_intdigest(suffix) if x["hot"] else x["h"] & 0xFFFFFFFFFFFFFFFF
@@ -304,7 +306,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     found = docs.mapInArrow(_find_anchors, "key long, h long, at int, first int, last int")
     often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
     lists = found.join(often, "h").groupBy("key").agg(F.collect_list(F.struct("h", "at", "first", "last", "hot")).alias("anchors"))
-    suffixes = docs.join(lists, "key").select("key", "data", "anchors")
+    suffixes = _packed(docs.select("key", "data")).join(lists, "key").select("key", "data", "anchors")
     runs = suffixes.mapInArrow(_make_runs(4 * shuffle_partitions(spark)), "target int, block binary, settled binary")
     merged = materialize(runs.groupBy("target").applyInArrow(_merge_target, _FOUND), "repeats")
     sure = merged.filter("n is null").select("key", "first", "last")
@@ -313,6 +315,20 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return sure.union(hot.filter("key is not null").join(twice, "hash").select("key", "first", "last"))
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compress the data column: texts are shuffled twice, and zstd halves what the shuffle's own compression leaves."""
+    compress = zstandard.ZstdCompressor(1).compress
+    for batch in batches:
+        at = batch.schema.get_field_index("data")
+        columns = list(batch.columns)
+        columns[at] = pa.array(map(compress, batch.column(at).to_pylist()), pa.binary())
+        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    return docs.mapInArrow(_pack, docs.schema)
+
+
 def cut(data: bytes, windows: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     """Bytes removed, maximal runs of them, and what remains, if the windows that start in these ranges go."""
     kept, at, removed, n, end = [], 0, 0, 0, -1
@@ -329,8 +345,10 @@ def cut(data: bytes, windows: list[tuple[int, int]]) -> tuple[int, int, bytes]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         data, spans = (batch.column(c).to_pylist() for c in ("_data", "_spans"))
+        data = list(map(unpack, data))
         found = [cut(d, [(x["first"], x["last"]) for x in s or ()]) for d, s in zip(data, spans, strict=True)]
         columns = [batch.column("_rest"), pa.array(map(len, data), pa.int64()), *(pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary())))]
         yield pa.RecordBatch.from_arrays([*columns, pa.array([f[2].decode("utf-8", "ignore") for f in found], pa.string())], names=["_rest", "n_bytes", "n_removed", "n_spans", "kept", "text"])
@@ -344,7 +362,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.xxhash64("doc_id", data).alias("key"), data.alias("data"), rest.alias("_rest"))
     spans = repeated_windows(rows.select("key", "data")).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
     kind = rows.schema["_rest"].dataType.simpleString()
-    found = rows.join(spans, "key", "left").select("_rest", F.col("data").alias("_data"), "_spans")
+    found = _packed(rows).join(spans, "key", "left").select("_rest", F.col("data").alias("_data"), "_spans")
     return found.mapInArrow(_cut, f"_rest {kind}, n_bytes long, n_removed long, n_spans long, kept binary, text string")
 
 
