@@ -4,15 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelight.llm import common, quality
+from quirelight.llm import common, packing, quality, simhash, suffix, templates
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without boilerplate lines."""
+    """Documents that pass the quality rules, without their host's boilerplate lines."""
     return quality.clean(docs)
 
 
-STAGES = [("quality_rules", keep_quality)]
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines whose template recurs across documents."""
+    return templates.without_templates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies."""
+    return simhash.keep_first(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the long byte strings that repeat."""
+    return suffix.remove_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of all documents in length buckets and batches."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", keep_quality),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("packing", pack),
+]
 
 #: Suffix sorting and length buckets are not SQL; tests/llm checks the stages against brute force.
 ORACLE_SQL = None
