@@ -6,7 +6,7 @@ import importlib
 
 FLAGSHIP = "k14_study_next"
 #: Modules with QUERIES (name to callable) and ORACLE (name to SQL).
-MODULES: list[str] = []
+MODULES = ["text", "tables"]
 
 
 def _all(attribute: str) -> dict:
