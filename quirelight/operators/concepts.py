@@ -87,7 +87,7 @@ def score_concepts(stats: DataFrame, cap: int = 500) -> DataFrame:
     i = lambda c: F.col(c).cast("int")
     score = 2 * i("defined") + i("glossary") + 1.5 * i("heading") + F.log2(1 + F.col("total")) + F.log2(1 + F.col("units")) + 0.3 * F.least(F.col("announced"), F.lit(3))
     keep = (F.col("defined") & ((F.col("total") >= 2) | F.col("glossary"))) | (F.col("heading") & (F.col("total") >= 2) & (F.col("key").contains(" ") | F.col("marked")))
-    rows = stats.filter(keep).withColumn("score", score)
+    rows = stats.filter(keep).withColumn("score", F.round(score, 9))
     w = Window.partitionBy("book_id").orderBy(F.desc("score"), "key")
     top = F.max("score").over(Window.partitionBy("book_id"))
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap).withColumn("importance", F.round(F.col("score") / top, 3))

@@ -18,7 +18,8 @@ def section_parents(sections: DataFrame, levels: int = 6) -> DataFrame:
     out = sections.withColumns({f"_l{k}": c for k, c in enumerate(last, 1)})
     found = F.lit(None)
     for k in range(levels, 1, -1):
-        found = F.when(F.col("level") == k, F.greatest(*[F.col(f"_l{j}") for j in range(1, k)], F.lit(None)) if k > 1 else F.lit(None)).otherwise(found)
+        above = [F.col(f"_l{j}") for j in range(1, k)]
+        found = F.when(F.col("level") == k, F.greatest(*above) if k > 2 else above[0]).otherwise(found)
     return out.withColumn("_parent", found).withColumn("parent_id", F.col("_parent.section_id")).drop("_parent", *[f"_l{k}" for k in range(1, levels + 1)])
 
 

@@ -109,6 +109,47 @@ TERMS = r"""SELECT key, CAST(row_number() OVER (ORDER BY n DESC, key) AS INTEGER
 TERM_W = r"SELECT unit_id, block_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM blocks WHERE lang = 'en'"
 
 
+def sections(spark: SparkSession, d: str) -> DataFrame:
+    """section_id, book_id, ord, level (1 to 4), kind, page: a tree over the documents of a source."""
+    w = Window.partitionBy("book_id").orderBy("ord")
+    level = (1 + (F.col("unit_id") * 7 % 5) % 4).cast("int")
+    return units(spark, d).select(F.col("unit_id").alias("section_id"), "book_id", "ord", level.alias("level"), "kind", ((F.row_number().over(w) - 1) * 3).alias("page"))
+
+
+SECTIONS = """SELECT unit_id AS section_id, book_id, ord, CAST(1 + (unit_id * 7 % 5) % 4 AS INTEGER) AS level, kind, CAST((row_number() OVER (PARTITION BY book_id ORDER BY ord) - 1) * 3 AS INTEGER) AS page FROM units"""
+
+
+def books(spark: SparkSession, d: str) -> DataFrame:
+    """book_id, page_count."""
+    return units(spark, d).groupBy("book_id").agg((3 * F.count(F.lit(1))).cast("int").alias("page_count"))
+
+
+BOOKS = "SELECT book_id, CAST(3 * count(*) AS INTEGER) AS page_count FROM units GROUP BY book_id"
+
+
+def cards(spark: SparkSession, d: str) -> DataFrame:
+    """card_id, learner_id, book_id, unit_id, status, due: a card for each learner and unit read from."""
+    pages = page_reads(spark, d).groupBy("learner_id", "unit_id").agg(F.min("seen").alias("due")).join(units(spark, d).select("unit_id", "book_id"), "unit_id")
+    status = F.when(F.col("unit_id") % 2 == 0, "pending").otherwise("active")
+    return pages.select((F.col("learner_id") * 1_000_000_000 + F.col("unit_id")).alias("card_id"), "learner_id", "book_id", "unit_id", status.alias("status"), "due")
+
+
+CARDS = """SELECT learner_id * 1000000000 + unit_id AS card_id, learner_id, book_id, unit_id, CASE WHEN unit_id % 2 = 0 THEN 'pending' ELSE 'active' END AS status, due
+ FROM (SELECT learner_id, unit_id, min(seen) AS due FROM page_reads GROUP BY ALL) JOIN units USING (unit_id)"""
+
+
+def marks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks with marks: bold over the words two to three of every fifth block; kind and book of its unit."""
+    rows = blocks(spark, d).join(units(spark, d).select("unit_id", "kind"), "unit_id").withColumn("ord", F.col("block_id"))
+    first = F.instr(F.col("text"), " ")
+    return rows.withColumn("second", F.length(F.substring_index("text", " ", 2))).withColumn(
+        "marks", F.when((F.col("block_id") % 5 == 0) & (first > 0) & (F.col("second") > first), F.array(F.struct(first.alias("s"), F.col("second").alias("e"), F.when(F.col("block_id") % 2 == 0, 1).otherwise(2).alias("f")))).otherwise(F.array().cast("array<struct<s:int,e:int,f:int>>"))
+    ).drop("second")
+
+
+MARKED = """SELECT *, CASE WHEN block_id % 2 = 0 THEN 1 ELSE 2 END AS f FROM (SELECT b.*, u.kind, instr(text, ' ') AS s, length(array_to_string(string_split(text, ' ')[1:2], ' ')) AS e FROM blocks b JOIN units u USING (unit_id)) WHERE block_id % 5 = 0 AND s > 0 AND e > s"""
+
+
 def card_concepts(spark: SparkSession, d: str) -> DataFrame:
     """card_id, concept: card c goes with the terms ranked c, c + 20, c + 40 and so on."""
     return terms(spark, d).select((F.col("rank") % 20).cast("long").alias("card_id"), F.col("key").alias("concept"))
@@ -122,6 +163,10 @@ SQL = {
     "blocks": ((), BLOCKS),
     "page_reads": ((), PAGE_READS),
     "reviews": ((), REVIEWS),
+    "sections": (("units",), SECTIONS),
+    "books": (("units",), BOOKS),
+    "cards": (("page_reads", "units"), CARDS),
+    "marked": (("blocks", "units"), MARKED),
     "reads": (("page_reads", "blocks"), READS),
     "term_w": (("blocks",), TERM_W),
     "terms": (("term_w",), TERMS),
@@ -142,4 +187,4 @@ def sql(body: str, *names: str, more: dict[str, str] | None = None) -> str:
     for name in names:
         add(name)
     parts = [f"{n} AS MATERIALIZED ({SQL[n][1]})" for n in order] + [f"{n} AS MATERIALIZED ({q})" for n, q in (more or {}).items()]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + body
