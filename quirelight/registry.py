@@ -6,7 +6,7 @@ import importlib
 
 FLAGSHIP = "k14_study_next"
 #: Modules with QUERIES (name to callable) and ORACLE (name to SQL).
-MODULES = ["text", "tables", "units", "concepts", "srs", "knowledge", "search", "context", "streams"]
+MODULES = ["text", "tables", "units", "concepts", "srs", "knowledge", "search", "context", "streams", "layout"]
 
 
 def _all(attribute: str) -> dict:
