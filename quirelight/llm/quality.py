@@ -6,8 +6,8 @@ first (smallest doc_id) that has it, so that one place keeps it. A document that
 is rejected. Exact copies count once, so a text is never called boilerplate for having been copied.
 
 Defined results: null text is the empty text (no words, so base_failed); null source is a host of its own; empty tables give empty
-results; repeated rows are documents like others (the smallest doc_id keeps a line; equal doc_ids are kept alike); other columns of
-the input are never read, except that `clean` passes them through.
+results; repeated rows are judged one by one (all rows with the smallest doc_id keep a line); a null doc_id is never a first document
+and loses no lines; other columns of the input are never read, except that `clean` passes them through, whatever their names.
 
 Everything is DataFrame expressions: no Python runs on the executors.
 """
@@ -49,8 +49,9 @@ def _n_repeat_words(words: Column) -> Column:
     return F.when(F.size(words) <= WINDOW, F.lit(0)).otherwise(let(grams, covered))
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id and the text measures n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+def measures(docs: DataFrame, *carry: Column) -> DataFrame:
+    """doc_id and the text measures n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed; carry: more columns to keep."""
+    names = [c for c in docs.select(*carry).columns] if carry else []
     text = text_of()
     letters = F.translate(text, SPACE, "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE, "") != "")
@@ -58,12 +59,13 @@ def measures(docs: DataFrame) -> DataFrame:
     return (
         docs.select(
             "doc_id",
+            *carry,
             let(words_of(text), by_word).alias("w"),
             F.length(letters).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         )
-        .select("doc_id", F.col("w.n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.n_repeat_words").cast("long").alias("n_repeat_words"))
+        .select("doc_id", *names, F.col("w.n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.n_repeat_words").cast("long").alias("n_repeat_words"))
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     )
 
@@ -95,18 +97,19 @@ def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: floa
     )
 
 
-def assess(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, lost_share: float = LOST_SHARE) -> DataFrame:
-    """The measures of every document with lost_words (in removed lines), lost_lines (their keys) and kept."""
+def assess(docs: DataFrame, *carry: Column, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, lost_share: float = LOST_SHARE) -> DataFrame:
+    """The measures of every document with lost_words (in removed lines), lost_lines (their keys) and kept; carry: more columns to keep."""
     lost = (
         document_lines(docs)
         .join(frequent_lines(docs, line_docs, line_share), ["host", "line_key"])
         .filter(F.col("doc_id") != F.col("first_doc"))
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").alias("_lost_id"))
         .agg(F.sum("line_words").alias("lost_words"), F.collect_set("line_key").alias("lost_lines"))
     )
+    found = measures(docs, *carry)
     return (
-        measures(docs)
-        .join(lost, "doc_id", "left")
+        found.join(lost, found["doc_id"] == lost["_lost_id"], "left")
+        .drop("_lost_id")
         .withColumn("lost_words", F.coalesce("lost_words", F.lit(0)).cast("long"))
         .withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") < lost_share * F.col("n_words")))
     )
@@ -114,12 +117,12 @@ def assess(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE
 
 def clean(docs: DataFrame, **limits) -> DataFrame:
     """The documents that are kept, all columns, without the removed lines. n_chars, where there is such a column, follows the text."""
-    found = assess(docs, **limits).filter("kept").select("doc_id", "lost_lines").dropDuplicates(["doc_id"])
-    rest = F.array_join(F.filter(F.split(text_of(), "\n"), lambda x: ~F.array_contains(F.col("lost_lines"), F.xxhash64(_normal(x)))), "\n")
-    out = docs.join(found, "doc_id").withColumn("text", F.when(F.col("lost_lines").isNull(), text_of()).otherwise(rest))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    text = F.coalesce(F.col("_row.text").cast("string"), F.lit(""))
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("lost_lines"), F.xxhash64(_normal(x)))), "\n")
+    out = assess(docs, row, **limits).filter("kept").select("_row", F.when(F.col("lost_lines").isNull(), text).otherwise(rest).alias("_text"))
+    own = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return out.select(*[own.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

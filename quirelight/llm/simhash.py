@@ -158,9 +158,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but the first document (smallest doc_id) of each component."""
+    """docs without all but the first document (smallest doc_id) of each component. Rows that repeat a doc_id go or stay together; rows
+    without a doc_id stay, since no decision can name them."""
     kept = near_duplicates(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return named.union(docs.filter("doc_id is null"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
