@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,14 +74,36 @@ def letters_and_digits(text: Column) -> Column:
 
 def singular(word: Column) -> Column:
     """The singular of an English word, by its ending."""
+    ends = lambda *endings: reduce(or_, [word.endswith(e) for e in endings])
+    but = lambda n: F.substring(word, F.lit(1), F.length(word) - n)
     return (
-        F.when((F.length(word) <= 3) | word.rlike(r"(ss|us|is|os|as|ics)$"), word)
-        .when(word.endswith("ies"), F.regexp_replace(word, "ies$", "y"))
-        .when(word.rlike(r"(sh|ch|x|z)es$"), F.regexp_replace(word, "es$", ""))
-        .otherwise(F.regexp_replace(word, "s$", ""))
+        F.when((F.length(word) <= 3) | ends("ss", "us", "is", "os", "as", "ics"), word)
+        .when(ends("ies"), F.concat(but(3), F.lit("y")))
+        .when(ends("shes", "ches", "xes", "zes"), but(2))
+        .when(ends("s"), but(1))
+        .otherwise(word)
     )
 
 
+def places_of(text: Column, words: Column) -> Column:
+    """Where words stand in text (places from 1), overlapping ones too. Each step looks on from the place before, so the cost is the
+    text's length for each occurrence."""
+
+    def find(x: Column) -> Column:
+        overlaps = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(x["w"]) - 1)), lambda k: (F.length(x["w"]) > k) & x["w"].startswith(F.substring(x["w"], k + 1, F.length(x["w"]))))
+        apart = ((F.length(x["t"]) - F.length(F.replace(x["t"], x["w"], F.lit("")))) / F.length(x["w"])).cast("int")
+        rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.when(overlaps, F.length(x["t"])).otherwise(apart)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+
+        def step(acc: Column, _: Column) -> Column:
+            then = F.when(acc["at"] < 0, F.lit(0)).otherwise(F.call_function("locate", x["w"], x["t"], acc["at"] + 1))
+            return bound(then, lambda at: F.when(at > 0, F.struct(at.alias("at"), F.array_append(acc["all"], at).alias("all"))).otherwise(F.struct(F.lit(-1).alias("at"), acc["all"].alias("all"))))
+
+        return F.aggregate(rounds, start, step, lambda acc: acc["all"])
+
+    return bound(F.struct(text.alias("t"), words.alias("w")), find)
+
+
 def tokens(text: Column) -> Column:
     """Words without accents and case."""
     return letters_and_digits(F.lower(strip_accents(text)))

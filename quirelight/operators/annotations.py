@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, fold_text
+from ..functions.text import clean_text, fold_text, places_of
 
 
 def _touched(ranges: DataFrame, page_lines: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def place_quotes(quotes: DataFrame, page_text: DataFrame) -> DataFrame:
     pages = page_text.withColumn("t", fold_text(F.col("text"))).select("book_id", "page", "t")
     rows = q.join(pages, ["book_id", "page"]).filter(F.col("t.folded").contains(F.col("f")))
     size = F.length("f")
-    starts = F.filter(F.sequence(F.lit(1), F.length("t.folded") - size + 1), lambda i: F.substring(F.col("t.folded"), i, size) == F.col("f"))
+    starts = places_of(F.col("t.folded"), F.col("f"))
     each = rows.select("quote_id", "page", "own", "hint", "t.map", size.alias("n"), F.explode(starts).alias("i"))
     start, end = F.get("map", F.col("i") - 1), F.get("map", F.col("i") + F.col("n") - 2) + 1
     found = each.select("quote_id", "page", start.alias("start"), end.alias("end"), F.struct((F.col("page") != F.col("own")).alias("a"), F.abs(start - F.col("hint")).alias("b"), start.alias("c")).alias("order"))
@@ -94,7 +94,7 @@ def find_all(queries: DataFrame, page_text: DataFrame, limit: int = 200) -> Data
     """Every place of words on the pages of a book, in order, at most limit a query. queries: query_id, book_id, words."""
     rows = queries.filter(F.length("words") >= 2).join(page_text, "book_id").filter(F.lower("text").contains(F.lower("words")))
     n = F.length("words")
-    starts = F.filter(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.lower(F.substring(F.col("text"), i, n)) == F.lower("words"))
+    starts = places_of(F.lower("text"), F.lower("words"))
     each = rows.select("query_id", "page", n.alias("n"), F.explode(starts).alias("i")).select("query_id", "page", (F.col("i") - 1).alias("start"), (F.col("i") - 1 + F.col("n")).alias("end"))
     w = Window.partitionBy("query_id").orderBy("page", "start")
     return each.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)

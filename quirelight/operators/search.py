@@ -29,11 +29,13 @@ def query_words(queries: DataFrame, n: int = 8) -> DataFrame:
 
 
 def _hits(words: DataFrame, postings: DataFrame) -> DataFrame:
-    """query_id, n, no, block_id, tf. Whole words and prefixes (by their first two letters) meet the postings in equi-joins."""
-    whole = words.filter("not prefix").join(postings.select(F.col("term").alias("word"), "block_id", "tf"), "word").select("query_id", "n", "no", "block_id", "tf")
-    head = postings.select(F.substring("term", 1, 2).alias("head"), "term", "block_id", "tf")
-    start = words.filter("prefix").withColumn("head", F.substring("word", 1, 2)).join(head, "head").filter(F.col("term").startswith(F.col("word")))
-    return whole.union(start.groupBy("query_id", "n", "no", "block_id").agg(F.sum("tf").alias("tf")))
+    """query_id, n, no, block_id, tf. A prefix first meets the vocabulary (by its first letter), far smaller than the postings; then whole
+    words and the terms of prefixes meet the postings in one equi-join."""
+    terms = postings.select("term").distinct().withColumn("head", F.substring("term", 1, 1))
+    asked = words.filter("prefix").select("word").distinct().withColumn("head", F.substring("word", 1, 1))
+    grown = asked.join(terms, "head").filter(F.col("term").startswith(F.col("word"))).select("word", "term")
+    want = words.filter("not prefix").select("query_id", "n", "no", F.col("word").alias("term")).union(words.filter("prefix").join(grown, "word").select("query_id", "n", "no", "term"))
+    return want.join(postings.select("term", "block_id", "tf"), "term").groupBy("query_id", "n", "no", "block_id").agg(F.sum("tf").alias("tf"))
 
 
 def rank(queries: DataFrame, postings: DataFrame) -> DataFrame:
