@@ -9,7 +9,11 @@ from ..sources import fixtures as X
 from ..sources.fixtures import sql
 
 AS_OF = "TIMESTAMP '2024-01-20 12:00:00'"
-_as_of = F.lit("2024-01-20 12:00:00").cast("timestamp")
+
+
+def _as_of():
+    return F.lit("2024-01-20 12:00:00").cast("timestamp")
+
 
 
 def states(spark, d):
@@ -25,7 +29,7 @@ def _round(df, *columns):
 
 
 def r1(spark, d):
-    recall = R.retrievability(F.col("stability"), F.col("state"), F.col("last_review"), _as_of)
+    recall = R.retrievability(F.col("stability"), F.col("state"), F.col("last_review"), _as_of())
     return R.replay(X.reviews(spark, d)).select("learner_id", "card_id", F.round(recall, 6).alias("recall"))
 
 
@@ -38,11 +42,11 @@ def r2(spark, d):
 
 
 def _due(spark, d):
-    return R.due_cards(states(spark, d), _as_of)
+    return R.due_cards(states(spark, d), _as_of())
 
 
 def _fresh(spark, d):
-    return R.fresh_cards(states(spark, d), X.reviews(spark, d), _as_of, per_day=5)
+    return R.fresh_cards(states(spark, d), X.reviews(spark, d), _as_of(), per_day=5)
 
 
 def r11(spark, d):
@@ -56,12 +60,12 @@ QUERIES = {
     "r2_fsrs_step": r2,
     "r3_replay": lambda spark, d: _round(R.replay(X.reviews(spark, d)), "stability", "difficulty"),
     "r4_undo_last": lambda spark, d: _round(R.replay(R.undo_last(X.reviews(spark, d))), "stability", "difficulty"),
-    "r5_preview": lambda spark, d: R.preview(R.replay(X.reviews(spark, d)), _as_of),
+    "r5_preview": lambda spark, d: R.preview(R.replay(X.reviews(spark, d)), _as_of()),
     "r6_due_cards": lambda spark, d: _due(spark, d).select("learner_id", "place", "card_id"),
     "r7_fresh_cards": lambda spark, d: _fresh(spark, d).select("learner_id", "place", "card_id"),
     "r8_review_queue": lambda spark, d: R.review_queue(_due(spark, d), _fresh(spark, d), limit=20),
-    "r9_card_stats": lambda spark, d: _round(R.card_stats(states(spark, d), X.reviews(spark, d), _as_of), "retention"),
-    "r10_due_forecast": lambda spark, d: R.due_forecast(states(spark, d), _as_of),
+    "r9_card_stats": lambda spark, d: _round(R.card_stats(states(spark, d), X.reviews(spark, d), _as_of()), "retention"),
+    "r10_due_forecast": lambda spark, d: R.due_forecast(states(spark, d), _as_of()),
     "r11_create_cards": r11,
     "r13_review_durations": lambda spark, d: _round(R.review_durations(X.reviews(spark, d)), "mean_ms"),
 }

@@ -9,15 +9,15 @@ from ..sources import fixtures
 from ..sources.fixtures import sql
 
 
-def _blocks(expression, columns=("block_id",)):
-    return lambda spark, d: fixtures.blocks(spark, d).select(*columns, expression.alias("value"))
+def _blocks(expression):
+    """A query of expression(text column) over all blocks; columns need a session, so they are made when it runs."""
+    return lambda spark, d: fixtures.blocks(spark, d).select("block_id", expression(F.col("text")).alias("value"))
 
 
 def _sql(expression: str, more: dict | None = None, source: str = "blocks") -> str:
     return sql(f"SELECT block_id, {expression} AS value FROM {source}", "blocks", more=more)
 
 
-_T = F.col("text")
 _WORDS = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}]+')"
 _SINGULAR = (
     "CASE WHEN length({0}) <= 3 OR regexp_matches({0}, '(ss|us|is|os|as|ics)$') THEN {0} WHEN {0} LIKE '%ies' THEN regexp_replace({0}, 'ies$', 'y') "
@@ -56,23 +56,23 @@ _NUM = X.NUMBERING
 
 
 def t5(spark, d):
-    marked = F.array_join(F.slice(F.split(_T, " "), 2, 3), " ")
+    marked = F.array_join(F.slice(F.split(F.col("text"), " "), 2, 3), " ")
     return fixtures.blocks(spark, d).select("block_id", marked.alias("raw")).select("block_id", X.clean_term(F.col("raw")).alias("term"))
 
 
 def t9(spark, d):
-    first = F.substring_index(_T, ".", 1)
-    return fixtures.blocks(spark, d).select("block_id", F.round(X.dice(X.tokens(_T), X.tokens(first)), 9).alias("value"))
+    first = F.substring_index(F.col("text"), ".", 1)
+    return fixtures.blocks(spark, d).select("block_id", F.round(X.dice(X.tokens(F.col("text")), X.tokens(first)), 9).alias("value"))
 
 
 def t12(spark, d):
-    folded = X.fold_text(F.substring(_T, 1, 300))
+    folded = X.fold_text(F.substring(F.col("text"), 1, 300))
     return fixtures.blocks(spark, d).select("block_id", folded.alias("x")).select("block_id", F.col("x.folded").alias("folded"), F.aggregate("x.map", F.lit(0), lambda a, x: a + x).cast("long").alias("map_sum"))
 
 
 def t15(spark, d):
-    quote = F.substring(_T, 12, 30)
-    return fixtures.blocks(spark, d).filter(F.length("text") > 60).select("block_id", X.cloze_from_quote(_T, quote).alias("c")).select("block_id", "c.kind", "c.front", "c.back")
+    quote = F.substring(F.col("text"), 12, 30)
+    return fixtures.blocks(spark, d).filter(F.length("text") > 60).select("block_id", X.cloze_from_quote(F.col("text"), quote).alias("c")).select("block_id", "c.kind", "c.front", "c.back")
 
 
 def t19(spark, d):
@@ -81,22 +81,22 @@ def t19(spark, d):
 
 
 QUERIES = {
-    "t1_term_words": _blocks(F.array_join(X.term_words(_T), "|")),
-    "t2_singular": _blocks(F.array_join(F.transform(X.tokens(_T), X.singular), "|")),
-    "t3_term_key": _blocks(X.term_key(_T)),
-    "t4_sentence_at": _blocks(X.sentence_at(_T, F.lit(40), F.lit(60))),
+    "t1_term_words": _blocks(lambda t: F.array_join(X.term_words(t), "|")),
+    "t2_singular": _blocks(lambda t: F.array_join(F.transform(X.tokens(t), X.singular), "|")),
+    "t3_term_key": _blocks(lambda t: X.term_key(t)),
+    "t4_sentence_at": _blocks(lambda t: X.sentence_at(t, F.lit(40), F.lit(60))),
     "t5_clean_term": t5,
-    "t6_patterns": lambda spark, d: fixtures.blocks(spark, d).select("block_id", X.is_defining(_T).alias("defining"), X.is_generic_heading(_T).alias("generic")),
-    "t7_section_kind": _blocks(X.section_kind(F.substring_index(_T, " ", 1))),
-    "t8_title_tokens": _blocks(F.array_join(X.title_tokens(_T), "|")),
+    "t6_patterns": lambda spark, d: fixtures.blocks(spark, d).select("block_id", X.is_defining(F.col("text")).alias("defining"), X.is_generic_heading(F.col("text")).alias("generic")),
+    "t7_section_kind": _blocks(lambda t: X.section_kind(F.substring_index(t, " ", 1))),
+    "t8_title_tokens": _blocks(lambda t: F.array_join(X.title_tokens(t), "|")),
     "t9_dice": t9,
-    "t10_norm_key": _blocks(X.norm_key(_T)),
-    "t11_clean_text": lambda spark, d: fixtures.table(spark, d, "documents").select("doc_id", X.clean_text(_T).alias("value")),
+    "t10_norm_key": _blocks(lambda t: X.norm_key(t)),
+    "t11_clean_text": lambda spark, d: fixtures.table(spark, d, "documents").select("doc_id", X.clean_text(F.col("text")).alias("value")),
     "t12_fold_text": t12,
-    "t13_squash": _blocks(X.squash(_T)),
+    "t13_squash": _blocks(lambda t: X.squash(t)),
     "t15_cloze_from_quote": t15,
-    "t17_clean_glyphs": _blocks(X.clean_glyphs(_T)),
-    "t18_search_terms": _blocks(F.array_join(X.search_terms(_T), "|")),
+    "t17_clean_glyphs": _blocks(lambda t: X.clean_glyphs(t)),
+    "t18_search_terms": _blocks(lambda t: F.array_join(X.search_terms(t), "|")),
     "t19_parse_reply": t19,
 }
 

@@ -9,7 +9,11 @@ from ..sources import fixtures as X
 from ..sources.fixtures import sql
 
 AS_OF = "TIMESTAMP '2024-01-15 00:00:00'"
-_as_of = F.lit("2024-01-15 00:00:00").cast("timestamp")
+
+
+def _as_of():
+    return F.lit("2024-01-15 00:00:00").cast("timestamp")
+
 
 
 def _tree(spark, d):
@@ -78,7 +82,7 @@ def _time(spark, d):
 
 
 def _library(spark, d):
-    return U.library(X.units(spark, d), X.blocks(spark, d), X.reads(spark, d), U.reading_time(_time(spark, d)), X.cards(spark, d), _as_of)
+    return U.library(X.units(spark, d), X.blocks(spark, d), X.reads(spark, d), U.reading_time(_time(spark, d)), X.cards(spark, d), _as_of())
 
 
 def u17(spark, d):
