@@ -304,7 +304,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """key, first, last: ranges of places where strings of LENGTH bytes start that start elsewhere too. docs: key (long), data (binary)."""
     spark = docs.sparkSession
     found = docs.mapInArrow(_find_anchors, "key long, h long, at int, first int, last int")
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
+    # written, so that both sides of the join below are shuffled for it alone and Spark can split an anchor that is everywhere
+    often = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", (F.col("n") > HOT).alias("hot")), "anchors")
     lists = found.join(often, "h").groupBy("key").agg(F.collect_list(F.struct("h", "at", "first", "last", "hot")).alias("anchors"))
     suffixes = _packed(docs.select("key", "data")).join(lists, "key").select("key", "data", "anchors")
     runs = suffixes.mapInArrow(_make_runs(4 * shuffle_partitions(spark)), "target int, block binary, settled binary")
