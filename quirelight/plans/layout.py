@@ -64,7 +64,7 @@ def _pieces(spark, d):
 
 
 def _outline(spark, d):
-    return lines(spark, d).filter("ord % 10 = 1").select("book_id", (F.col("page") * 100 + F.col("ord")).alias("entry"), F.concat(F.lit("1.2 "), F.upper(F.substring("text", 1, 60))).alias("title"), "page")
+    return lines(spark, d).filter("ord % 10 = 1").select("book_id", (F.col("page") * 100 + F.col("ord")).alias("entry"), F.concat(F.lit("1.2 "), F.substring("text", 1, 60)).alias("title"), "page")
 
 
 def l8(spark, d):
@@ -196,5 +196,5 @@ ORACLE = {
     ),
     "l25_guess_title": _sql("SELECT book_id, string_agg(text, ' ' ORDER BY ord) AS title FROM (SELECT *, rank() OVER (PARTITION BY book_id ORDER BY size DESC, page) AS r FROM ln JOIN bd USING (book_id) WHERE page < 4 AND size >= 1.4 * body_size) WHERE r = 1 GROUP BY 1"),
     "l26_ink_boxes": _sql("SELECT book_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM ln WHERE ord <> 0 GROUP BY ALL"),
-    "l29_clean_outline": _sql(r"SELECT book_id, page * 100 + ord AS entry, trim(regexp_replace('  1.2 ' || upper(substr(text, 1, 60)) || chr(10) || ' x', '\s+', ' ', 'g')) AS title, page FROM ln WHERE ord % 10 = 1 AND page % 2 = 0"),
+    "l29_clean_outline": _sql(r"SELECT book_id, page * 100 + ord AS entry, trim(regexp_replace('  1.2 ' || substr(text, 1, 60) || chr(10) || ' x', '\s+', ' ', 'g')) AS title, page FROM ln WHERE ord % 10 = 1 AND page % 2 = 0"),
 }
