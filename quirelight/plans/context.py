@@ -9,6 +9,7 @@ from ..operators import units as U
 from ..sources import fixtures as X
 from ..sources.fixtures import sql
 from .search import _PAGES, page_text
+from .text import sql_term_key
 from .units import _DONE
 
 
@@ -131,7 +132,15 @@ ORACLE = {
             "c": "SELECT unit_id, n, CASE WHEN n = 0 THEN 'cloze' ELSE 'basic' END AS kind, CASE WHEN n = 0 THEN '{{c1::' || w || '}}' ELSE w END AS front, CASE WHEN n = 1 THEN 'back' ELSE '' END AS back FROM b",
         },
     ),
-    "m8_merge_generated_concepts": None,
+    "m8_merge_generated_concepts": sql(
+        "SELECT book_id, key, round(importance, 6) AS importance, definition, w, label FROM m LEFT JOIN e USING (book_id, key)",
+        "terms",
+        more={
+            "c": f"SELECT CAST(rank % 3 AS BIGINT) AS book_id, {sql_term_key('key')} AS key, key AS name, rank FROM terms",
+            "m": "SELECT book_id, key, max(importance) AS importance, min(definition) AS definition FROM (SELECT book_id, key, CAST(0.5 AS DOUBLE) AS importance, NULL AS definition FROM c WHERE rank % 2 = 0 UNION ALL SELECT book_id, key, greatest(0.15, least(1.0, (rank % 7) / 5.0)), 'about ' || name FROM c WHERE key <> '') GROUP BY ALL",
+            "e": "SELECT book_id, key, round(max(greatest(0.1, least(1.0, rank / 100.0))), 6) AS w, max(CASE WHEN key < 'middle' THEN 'part-of' ELSE 'part-of←' END) AS label FROM c WHERE key NOT IN ('', 'middle') GROUP BY ALL",
+        },
+    ),
     "m9_match_quotes": sql(
         "SELECT quote_id, coalesce(i, m) AS block_id FROM q LEFT JOIN inn USING (quote_id) LEFT JOIN mo USING (quote_id) WHERE coalesce(i, m) IS NOT NULL",
         "blocks",
@@ -149,4 +158,3 @@ ORACLE = {
         "blocks",
     ),
 }
-ORACLE = {k: v for k, v in ORACLE.items() if v}

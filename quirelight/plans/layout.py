@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import layout as L
 from ..sources import fixtures as X
 from ..sources.fixtures import sql
+from .text import sql_title_tokens
 
 
 def lines(spark, d):
@@ -35,6 +36,31 @@ def _sql(body: str, **more: str) -> str:
     return sql(body, "blocks", more={**_MORE, **more})
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+#: Lines with what only some stages look at.
+_RICH = "SELECT *, y0 + 8.0 AS baseline, CASE WHEN block_id % 11 = 0 THEN n // 2 ELSE 0 END AS math FROM ln"
+#: RE2 has no look-ahead; these take the character that has to follow, too.
+_ENUMERATOR = L.ENUMERATOR.replace(r"(?=\S)", r"(\S)")
+
+
+def _captions(place: int, start: str) -> str:
+    """Captions of the regions where the line at `place` of each ten starts so."""
+    return _sql(
+        f"""SELECT rg.book_id, rg.page, rg.region, caption_ord FROM rg LEFT JOIN (SELECT book_id, page, region, min_by(ord, (gap, ord)) AS caption_ord FROM (
+ SELECT book_id, page, region, ord, CASE WHEN below >= -1 AND below <= CASE WHEN starts THEN 3.5 WHEN size < 0.95 * body_size THEN 1.6 ELSE -9.0 END * body_size THEN below WHEN above >= -1 AND above <= 3.0 * body_size AND starts THEN above + 1000 END AS gap
+ FROM (SELECT rg.book_id, rg.page, region, t.ord, size, body_size, t.y0 - rg.y1 AS below, rg.y0 - t.y1 AS above, regexp_matches(CASE WHEN t.ord % 10 = {place} THEN '{start} ' ELSE '' END || text, {_quoted(L.CAPTION)}) AS starts FROM rg JOIN ln t ON rg.book_id = t.book_id AND rg.page = t.page JOIN bd ON bd.book_id = rg.book_id))
+ WHERE gap IS NOT NULL GROUP BY ALL) c ON c.book_id = rg.book_id AND c.page = rg.page AND c.region = rg.region""",
+        rg="SELECT book_id, page, CAST(ord // 10 AS INTEGER) AS region, y0, y1 FROM ln WHERE ord % 10 = 4",
+    )
+
+
+def _trim_at(column: str, share: float) -> str:
+    return f"list({column} ORDER BY {column})[1 + CAST(floor(CAST({share} AS DOUBLE) * (count(*) - 1)) AS BIGINT)]"
+
+
 def pages(spark, d):
     return lines(spark, d).select("book_id", "page").distinct().withColumns({"width": F.lit(600.0), "height": F.lit(640.0)})
 
@@ -157,6 +183,51 @@ QUERIES = {
 }
 
 ORACLE = {
+    "l1_line_profile": _sql(
+        "SELECT book_id, page, line, string_agg(CASE WHEN gap > 0.2 * own AND gap < 6 * own THEN ' ' || c ELSE c END, '' ORDER BY i) AS text, sz.size, font, baseline, count(*) AS n, count(*) FILTER (WHERE bold > 0) AS bold FROM (SELECT *, x - lag(x + 5) OVER (PARTITION BY book_id, page, line ORDER BY i) AS gap FROM ch) JOIN sz USING (book_id, page, line) GROUP BY book_id, page, line, sz.size, font, baseline",
+        ch="SELECT * FROM (SELECT book_id, page, ord AS line, i, substr(text, CAST(i + 1 AS BIGINT), 1) AS c, x0 + 5 * i AS x, CASE WHEN i % 9 = 0 THEN 7.0 ELSE size END AS own, font, baseline, bold FROM (SELECT *, unnest(range(length(text))) AS i FROM (" + _RICH + ") WHERE ord < 3)) WHERE c <> ' '",
+        sz="SELECT book_id, page, line, max_by(q, (k, q)) AS size FROM (SELECT book_id, page, line, round(own * 4) / 4 AS q, count(*) AS k FROM ch GROUP BY ALL) GROUP BY ALL",
+    ),
+    "l9_captions": _captions(5, "Figure 3"),
+    "l10_equation_regions": _sql(
+        "SELECT book_id, page, CAST(region - 1 AS INTEGER) AS region, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM (SELECT *, sum(nw) OVER (PARTITION BY book_id, page ORDER BY y0, ord) AS region FROM (SELECT *, CASE WHEN y0 - lag(y1) OVER (PARTITION BY book_id, page ORDER BY y0, ord) < 0.7 * body_size THEN 0 ELSE 1 END AS nw FROM sd)) GROUP BY ALL",
+        mt="SELECT * REPLACE (x0 + CASE WHEN math > 0 THEN 40 ELSE 0 END AS x0, least(x1, x0 + 200) AS x1), math >= CAST(0.45 AS DOUBLE) * n OR (math >= CAST(0.22 AS DOUBLE) * n AND n <= 30 AND math > 0) AS mathy FROM (" + _RICH + ")",
+        sd='SELECT mt.*, body_size FROM mt JOIN co USING (book_id, page) JOIN bd USING (book_id) WHERE mathy AND x0 > "left" + body_size AND x1 - x0 < CAST(0.9 AS DOUBLE) * ("right" - "left") AND NOT EXISTS (SELECT 1 FROM mt p WHERE NOT p.mathy AND p.book_id = mt.book_id AND p.page = mt.page AND mt.y0 < p.y1 - 2 AND mt.y1 > p.y0 + 2)',
+    ),
+    "l11_table_regions": _sql(
+        "SELECT book_id, page, min(ord) AS first, max(ord) AS last, string_agg(text, chr(10) ORDER BY ord) AS text FROM (SELECT *, sum(nw) OVER w AS run FROM (SELECT *, CASE WHEN i AND NOT coalesce(lag(i) OVER w, false) THEN 1 ELSE 0 END AS nw FROM (SELECT *, t OR (coalesce(lag(t) OVER w, false) AND coalesce(lead(t) OVER w, false)) AS i FROM (SELECT book_id, page, ord, substr(text, 1, 12) AS text, block_id % 7 < 5 AND block_id % 31 <> 0 AS t FROM ln) WINDOW w AS (PARTITION BY book_id, page ORDER BY ord)) WINDOW w AS (PARTITION BY book_id, page ORDER BY ord)) WINDOW w AS (PARTITION BY book_id, page ORDER BY ord)) WHERE i GROUP BY book_id, page, run HAVING count(*) FILTER (WHERE t) >= 3"
+    ),
+    "l12_table_captions": _captions(3, "Table 2"),
+    "l13_footnotes": _sql(
+        "SELECT book_id, page, max(label) AS label, string_agg(text, ' ' ORDER BY y0, ord) AS text FROM (SELECT *, count(label) OVER (PARTITION BY book_id, page ORDER BY y0, ord) AS note FROM (SELECT *, nullif(CASE WHEN regexp_matches(text, '^[a-z]') THEN regexp_extract(text, '^([a-z])(?:[.)]| \\s*\\S)', 1) ELSE regexp_extract(text, '^(\\d{1,3}|[*†‡§¶‖]+)[.)]?\\s*\\S', 1) END, '') AS label FROM ft)) GROUP BY book_id, page, note",
+        ft="SELECT * FROM (SELECT *, count(*) FILTER (WHERE NOT small) OVER (PARTITION BY book_id, page ORDER BY y0 DESC, ord DESC ROWS UNBOUNDED PRECEDING) AS above FROM (SELECT book_id, page, ord, y0, CASE WHEN ord % 3 = 0 THEN '4 ' ELSE '' END || text AS text, CASE WHEN ord % 40 > 30 THEN 8.0 ELSE 10.0 END BETWEEN 0.5 * body_size AND 0.93 * body_size AS small FROM ln JOIN bd USING (book_id))) WHERE above = 0 AND y0 > 0.4 * 640",
+    ),
+    "l15_match_outline": _sql(
+        "SELECT book_id, entry, page, ord, score FROM oe JOIN (SELECT book_id, k, m FROM (SELECT book_id, count(*) AS k FROM ol GROUP BY 1) JOIN (SELECT book_id, count(*) AS m FROM oe GROUP BY 1) USING (book_id)) USING (book_id) WHERE k < 3 OR m >= CAST(0.3 AS DOUBLE) * k",
+        ol="SELECT book_id, page * 100 + ord AS entry, page, " + sql_title_tokens("'1.2 ' || substr(text, 1, 60)") + " AS a FROM ln WHERE ord % 10 = 1",
+        sp="SELECT book_id, page, ord, size > 1.1 * body_size OR bold > 0.6 * n AS strong, " + sql_title_tokens("t") + " AS b FROM (SELECT *, unnest([text, concat_ws(' ', text, t2), concat_ws(' ', text, t2, t3)]) AS t FROM (SELECT *, lead(text) OVER (PARTITION BY book_id, page ORDER BY ord) AS t2, lead(text, 2) OVER (PARTITION BY book_id, page ORDER BY ord) AS t3 FROM ln)) JOIN bd USING (book_id)",
+        hit="SELECT * FROM (SELECT ol.book_id, entry, sp.page, ord, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(2 AS DOUBLE) * list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w))))) / (len(a) + len(b)) END + CASE WHEN strong THEN CAST(0.08 AS DOUBLE) ELSE 0 END - CAST(0.05 AS DOUBLE) * (sp.page - ol.page), 6) AS score FROM ol JOIN sp ON sp.book_id = ol.book_id AND sp.page BETWEEN ol.page AND ol.page + 1) WHERE score >= CAST(0.72 AS DOUBLE)",
+        oe="SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY book_id, page, ord ORDER BY entry) AS r FROM (SELECT * EXCLUDE (q) FROM (SELECT *, row_number() OVER (PARTITION BY book_id, entry ORDER BY score DESC, page, ord) AS q FROM hit) WHERE q = 1)) WHERE r = 1",
+    ),
+    "l16_styled_headings": _sql(
+        "SELECT book_id, page, ord, CAST(CASE WHEN regexp_matches(text, '^\\d+(\\.\\d+)+\\.?\\s') THEN least(4, len(string_split(regexp_extract(text, '^(\\d+(?:\\.\\d+)+)\\.?\\s', 1), '.'))) ELSE least(4, rk) END AS INTEGER) AS level FROM hs JOIN (SELECT *, dense_rank() OVER (PARTITION BY book_id ORDER BY s DESC, heavy DESC) AS rk FROM (SELECT book_id, font, s, heavy, count(*) AS k, avg(CASE WHEN regexp_matches(text, " + _quoted(L.TERMINAL) + ") THEN 1.0 ELSE 0.0 END) AS ends FROM hs GROUP BY ALL) JOIN (SELECT book_id, count(DISTINCT page) AS pages FROM ln GROUP BY 1) USING (book_id) WHERE ends <= 0.5 AND k <= 6 * pages) USING (book_id, font, s, heavy)",
+        hs="SELECT * FROM (SELECT *, bold > 0.6 * n AS heavy, round(size * 2) / 2 AS s FROM ln JOIN bd USING (book_id)) WHERE (s > 1.05 * body_size OR (heavy AND s >= body_size)) AND n <= 120 AND regexp_matches(text, '\\p{L}{2}')",
+    ),
+    "l18_code_blocks": _sql(
+        "SELECT book_id, page, min(ord) AS first, string_agg(CASE WHEN gap > 0.8 * size AND ord > lo THEN chr(10) ELSE '' END || repeat(' ', CAST(round((x0 - edge) / 5) AS BIGINT)) || text, chr(10) ORDER BY ord) AS text FROM (SELECT *, min(x0) OVER (PARTITION BY book_id, page, run) AS edge, min(ord) OVER (PARTITION BY book_id, page, run) AS lo FROM (SELECT *, sum(nw) OVER (PARTITION BY book_id, page ORDER BY ord) AS run FROM (SELECT *, CASE WHEN code AND NOT coalesce(lag(code) OVER w, false) THEN 1 ELSE 0 END AS nw, y0 - lag(y1) OVER w AS gap FROM (SELECT *, n > 0 AND block_id % 5 < 3 AS code FROM ln) WINDOW w AS (PARTITION BY book_id, page ORDER BY ord))) WHERE code) GROUP BY book_id, page, run"
+    ),
+    "l21_list_items": _sql(
+        'SELECT book_id, page, ord, label, CAST(greatest(0, least(2, floor((x0 - "left") / (2.2 * body_size)))) AS INTEGER) AS level, regexp_replace(regexp_replace(text, ' + _quoted(L.BULLET) + ", ''), " + _quoted(_ENUMERATOR) + ", '\\2') AS text FROM (SELECT *, coalesce(nullif(regexp_extract(text, " + _quoted(L.BULLET) + ", 1), ''), regexp_extract(text, " + _quoted(_ENUMERATOR) + ", 1)) AS label FROM li) JOIN co USING (book_id, page) JOIN bd USING (book_id) WHERE label <> ''",
+        li="SELECT book_id, page, ord, x0, CASE block_id % 4 WHEN 0 THEN '• ' WHEN 1 THEN '(a) ' WHEN 2 THEN '12. ' ELSE '' END || text AS text FROM ln",
+    ),
+    "l23_heading_blocks": sql(
+        "SELECT unit_id, nullif(label, '') AS label, CASE WHEN label <> '' THEN label || ' · ' || rest ELSE text END AS title, CASE WHEN label <> '' THEN rest ELSE text END AS text FROM (SELECT unit_id, text, regexp_replace(regexp_extract(text, " + _quoted(L.HEADING_LABEL) + ", 1), '[.:]$', '') AS label, regexp_extract(text, " + _quoted(L.HEADING_LABEL) + ", 2) AS rest FROM (SELECT unit_id, CASE unit_id % 4 WHEN 0 THEN 'Chapter 3: ' WHEN 1 THEN '1.2.3 ' WHEN 2 THEN 'IV. ' ELSE '' END || substr(title, 1, 30) AS text FROM units))",
+        "units",
+    ),
+    "l27_book_trim": _sql(
+        "SELECT book_id, page % 2 AS side, greatest(0.0, " + _trim_at("x0", 0.06) + " - 14) AS x0, greatest(0.0, " + _trim_at("y0", 0.06) + " - 14) AS y0, least(600.0, " + _trim_at("x1", 0.94) + " + 14) AS x1, least(640.0, " + _trim_at("y1", 0.94) + " + 14) AS y1 FROM bx WHERE (x1 - x0) * (y1 - y0) >= CAST(0.15 AS DOUBLE) * 600 * 640 GROUP BY book_id, page % 2 HAVING count(*) >= 3",
+        bx="SELECT b % 50 AS book_id, page, x0, y0, x1, y1 FROM (SELECT book_id AS b, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM ln GROUP BY ALL)",
+    ),
     "l2_merge_rows": _sql(
         "SELECT book_id, page, min(o) AS ord, string_agg(t, ' ' ORDER BY o) AS text, 1 + count(*) FILTER (WHERE p = 1 AND (block_id % 2 = 0)) AS cells, min(x) AS x0, max(x + 5 * length(t)) AS x1 FROM pc GROUP BY book_id, page, ord",
         pc="SELECT * FROM (SELECT book_id, page, ord, block_id, p, 2 * ord + p AS o, CASE WHEN p = 0 THEN split_part(text, ' ', 1) ELSE ltrim(substr(text, length(split_part(text, ' ', 1)) + 1)) END AS t, CASE WHEN p = 0 THEN x0 ELSE x0 + 5 * length(split_part(text, ' ', 1)) + CASE WHEN block_id % 2 = 0 THEN 30 ELSE 5 END END AS x FROM ln, (SELECT unnest([0, 1]) AS p)) WHERE t <> ''",

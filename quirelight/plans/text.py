@@ -51,10 +51,16 @@ def sql_clean_term(source: str, raw: str, keys: str) -> str:
 
 _SENT = r"""string_split(translate(regexp_replace(regexp_replace(text, '\b(e\.g|i\.e|etc|vs|cf|Fig|Eq|resp|al|[A-Z])\. ', '\1' || chr(2) || ' ', 'g'), '([.!?]["”’)\]]*\s+)(["“(]?[A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(2), '.'), chr(1))"""
 _KIND = "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{k}'" for k, p in X.SECTION_KINDS) + " ELSE 'body' END"
-_TITLE = _WORDS.format(r"lower(strip_accents(translate(text, '^_{}$\', '')))")
 _NUM = X.NUMBERING
 
 
+def sql_title_tokens(column: str) -> str:
+    """The words of a title without up to three words of numbering."""
+    words = _WORDS.format(r"lower(strip_accents(translate(" + column + r", '^_{}$\', '')))")
+    plain = "".join(f"WHEN NOT coalesce(regexp_matches(w[{k}], '{_NUM}'), false) THEN {k} " for k in (1, 2, 3))
+    return f"list_transform([{words}], lambda w: w[CASE {plain}ELSE 4 END:])[1]"
+
+
 def t5(spark, d):
     marked = F.array_join(F.slice(F.split(F.col("text"), " "), 2, 3), " ")
     return fixtures.blocks(spark, d).select("block_id", marked.alias("raw")).select("block_id", X.clean_term(F.col("raw")).alias("term"))
@@ -115,10 +121,7 @@ ORACLE = {
     "t5_clean_term": sql("SELECT * FROM term_", "blocks", more={"raw_": "SELECT block_id, array_to_string(string_split(text, ' ')[2:4], ' ') AS raw FROM blocks", "term_": sql_clean_term("raw_", "raw", "block_id")}),
     "t6_patterns": sql(f"SELECT block_id, regexp_matches(text, '{X.DEFINES}') AS defining, regexp_matches(text, '{X.GENERIC_HEADINGS.replace(chr(39), chr(39) * 2)}') AS generic FROM blocks", "blocks"),
     "t7_section_kind": sql(f"SELECT block_id, {_KIND} AS value FROM (SELECT block_id, trim(regexp_replace(lower(split_part(text, ' ', 1)), '^[\\d.\\s]+', '')) AS t FROM blocks)", "blocks"),
-    "t8_title_tokens": sql(
-        f"SELECT block_id, array_to_string(w[CASE WHEN NOT coalesce(regexp_matches(w[1], '{_NUM}'), false) THEN 1 WHEN NOT coalesce(regexp_matches(w[2], '{_NUM}'), false) THEN 2 WHEN NOT coalesce(regexp_matches(w[3], '{_NUM}'), false) THEN 3 ELSE 4 END:], '|') AS value FROM (SELECT block_id, {_TITLE} AS w FROM blocks)",
-        "blocks",
-    ),
+    "t8_title_tokens": sql("SELECT block_id, array_to_string(" + sql_title_tokens("text") + ", '|') AS value FROM blocks", "blocks"),
     "t9_dice": sql(
         "SELECT b.block_id, round(CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE 2.0 * coalesce(c, 0) / (na + nb) END, 9) AS value FROM ab b LEFT JOIN common USING (block_id)",
         "blocks",
