@@ -9,7 +9,8 @@ pairs within the radius are therefore found; none is probed by chance.
 A unit of work returns a spanning forest of its links, so a group of n mutual near copies gives about n rows, not n squared, and
 the components are the same. Only the histogram of population counts (65 rows) comes to the driver.
 
-The number of comparisons grows with the square of the distinct fingerprints; tiles keep what each task holds bounded.
+The number of comparisons grows with the square of the distinct fingerprints. A tile has TILE of them or a 256th of all, whichever is
+more, so that fingerprints are not copied to ever more tiles; beyond 2 million, what a task holds grows with the corpus.
 
 Defined results: null and wordless texts have fingerprint zero and are linked like any other; texts of any length are read whole;
 repeated rows (of a doc_id too) get the same component; an empty table gives an empty result; other columns are not read.
