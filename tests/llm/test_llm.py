@@ -11,7 +11,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quirelight.llm import bpe, chat, components, lm, merkle, packing, quality, sharding, simhash, suffix, templates
+from quirelight.llm import bpe, chat, components, lm, merkle, near, packing, quality, sharding, simhash, suffix, templates
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, h long, lost_lines string, data string, line string"
 
@@ -157,6 +157,42 @@ def test_components_of_a_chain(spark):
     assert got == {k: 0 for k in range(n + 1)} | {100: 100, 101: 100}
 
 
+def slow_shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def near_texts():
+    """Copies with edits of many sizes, chains of them, and a dense group of mutual near copies."""
+    rng = random.Random(8)
+    say = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    texts = [" ".join(say(rng.randrange(5, 200))) for _ in range(20)]
+    for n in (30, 120, 400):
+        for edits in range(1, 9):
+            a = say(n)
+            b = list(a)
+            for _ in range(max(1, n * edits // 200)):
+                b[rng.randrange(n)] = "edit"
+            texts += [" ".join(a), " ".join(b), " ".join(b[: -n // 8])]
+    base = say(150)
+    texts += [" ".join([*base, *say(k % 12)]) for k in range(40)]
+    return texts + [None, "", "one two", "One  TWO", "one two three"]
+
+
+@pytest.mark.parametrize("small", [1 << 18, 0])
+def test_near_dedup_finds_all_pairs_from_four_fifths_on(spark, small, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near, "SMALL", small)
+    texts = near_texts()
+    sets = [slow_shingles(t) for t in texts]
+    like = lambda a, b: not (sets[a] | sets[b]) or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    want = slow_groups(range(len(texts)), like)
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(None, "one two", "x")], "doc_id long, text string, source string")
+    got = [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, None).collect()]
+    assert Counter(got) == Counter({k for k in want if want[k] == k} | {None})
+
+
 def slow_cut(docs):
     places = Counter()
     for d in docs:
