@@ -22,8 +22,9 @@ from .common import LOWER_LETTERS, SPACE, UPPER_LETTERS, let, text_of, words_of
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
-#: A line is boilerplate in a host if more distinct texts hold it than this many, and than this share of the host's texts.
-LINE_DOCS, LINE_SHARE = 200, 0.005
+#: A line is boilerplate in a host if more distinct texts hold it than this share of the host's texts, and than this many (a floor
+#: against chance in small hosts).
+LINE_DOCS, LINE_SHARE = 5, 0.005
 #: A document that loses at least this share of its words is depleted.
 LOST_SHARE = 0.7
 

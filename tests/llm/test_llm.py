@@ -77,6 +77,16 @@ def test_quality_drops_boilerplate_lines_but_keeps_the_first(spark):
     assert gone == 8
 
 
+def test_quality_judges_small_hosts_by_share(spark):
+    own = lambda k: " ".join(f"w{k}x{j}" for j in range(12))
+    rows = [(k, own(k) + ("\nSubscribe to our letter" if k < 8 else "") + ("\nrare line" if k < 5 else ""), "small") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    lost = {r["doc_id"]: r["lost_words"] for r in quality.assess(df).collect()}
+    assert lost == {k: 4 if 0 < k < 8 else 0 for k in range(40)}
+    depleted = spark.createDataFrame([(k, own(k) if k > 9 else f"id{k}\n" + own(99), "small") for k in range(40)], "doc_id long, text string, source string")
+    assert {r["doc_id"] for r in quality.assess(depleted).filter("not kept").collect()} == set(range(1, 10))
+
+
 def test_passing_columns_through(docs):
     for out in (quality.clean(docs), templates.without_templates(docs, limit=5), simhash.keep_first(docs), suffix.remove_repeats(docs)):
         assert out.columns == docs.columns
