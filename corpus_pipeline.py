@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirelight.llm import common, near, packing, quality, suffix, templates
+from quirelight.llm import common, packing, quality, simhash, suffix, templates
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,12 +19,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    return near.keep_first(docs)
+    return simhash.keep_first(docs)
+
+
+#: Bytes of the repeats that are cut: shorter than passages of 50 words (about 250 bytes), longer than a sentence.
+REPEAT_BYTES = 200
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the long byte strings that repeat."""
-    return suffix.remove_repeats(docs)
+    return suffix.remove_repeats(docs, REPEAT_BYTES)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,16 +1,19 @@
-"""Near copies by an exact join of five-word shingle sets: all pairs of Jaccard similarity ALIKE or more, none by chance.
+"""Near copies by SimHash with verification: all pairs of Jaccard similarity ALIKE or more over five-word shingles that lie in the radius.
 
-A text is the set of its hashed shingles. Shingles have one order for all texts (how often their bucket occurs, then the hash), and
-two sets of similarity 4/5 or more share a shingle among the first n - ceil(4n/5) + 1 of each (prefix filter; true for any order, the
-buckets only keep common shingles out of the prefixes). Texts that share such a shingle are candidates, and each link is verified
-on the whole sets.
+A text is the set of its hashed shingles. Each distinct set has a fingerprint of 128 bits (a bit is 1 if it is set in over half of
+the set's hashes). Tiles of fingerprints are compared by exclusive-or and bit counts (`tiles`); sets whose sizes rule the
+similarity out are skipped too. A bit of two sets of similarity 0.8 differs with probability 0.15 (0.19 for sets of five), so RADIUS
+of the 128 misses one of 25,000 such pairs (one of 290 for sets of five; none of equal sets), while of unrelated pairs one in 2.5
+million is looked at in vain.
 
-A group of n mutual near copies would give n squared candidates, so there are two rounds: the first verifies only neighbours by size
-inside each shingle's list; the second all candidates that the first has left in different components. The components are
-those of all pairs. Only the counts of BUCKETS buckets and, if there are no more than SMALL, candidates' keys come to the driver.
+Every pair that decides is verified on the whole sets. A group of n mutual near copies would have n squared pairs, so a round takes
+for each set its k nearest ones of another component from each pair of tiles; links that hold merge components, and the next round, with
+eight times the k, looks again only at sets that had more. Rounds end when no set had: then every pair in the radius was verified
+or lies inside one component. So the components are those of all pairs in the radius; there is no cap.
 
 Defined results: texts of fewer than five words are one shingle; null and wordless texts are copies of each other; texts of any
-length are read whole; an empty table gives an empty result; other columns are not read.
+length are read whole; rows without a doc_id take part (they may link others) and always stay; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,17 +24,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
+from . import tiles
 from .common import LOWER, materialize
 from .components import components
 
 SHINGLE = 5
 #: Similarity of a link, as a fraction (4 / 5).
 ALIKE = (4, 5)
-BUCKETS = 1 << 20
-SMALL = 1 << 18
+RADIUS = 36
+#: How k grows from round to round.
+MORE = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_TURN = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -50,13 +56,15 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
-def _key(found: np.ndarray) -> int:
-    key = xxh64_intdigest(found.tobytes())
-    return key - (1 << 64) if key >> 63 else key
-
-
-def _bucket(found: np.ndarray) -> np.ndarray:
-    return (found >> np.uint64(40)).astype(np.int64) % BUCKETS
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """Two words of 64 bits of a set; a bit is 1 if it is set in over half of the hashes."""
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(found), 1 << 15):
+        h = found[at : at + (1 << 15)]
+        other = (h ^ (h >> np.uint64(31))) * _TURN
+        both = np.stack([h, other ^ (other >> np.uint64(32))], axis=1)
+        ones += np.unpackbits(both.view(np.uint8).reshape(len(h), 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(found), bitorder="little").view("<i8")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -64,163 +72,130 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return ALIKE[1] * both >= ALIKE[0] * (len(a) + len(b) - both)
 
 
-def _keys(kind: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [_key(shingles(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.int64())], names=["doc_id", "key"])
-
-    return run, f"doc_id {kind}, key long"
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS, np.int64)
-    for batch in batches:
-        found = [_bucket(shingles(t)) for t in batch.column(0).to_pylist()]
-        if found:
-            total += np.bincount(np.concatenate(found), minlength=BUCKETS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
-
-
-def _prefixes(counts):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = counts.value
-        for batch in batches:
-            tokens, keys, sizes = [], [], []
-            for t in batch.column(0).to_pylist():
-                found = shingles(t)
-                n = len(found)
-                if not n:
-                    continue
-                m = n - -(-ALIKE[0] * n // ALIKE[1]) + 1
-                first = found[np.lexsort((found, often[_bucket(found)]))[:m]]
-                tokens.append(first.view(np.int64))
-                keys.append(np.full(m, _key(found), np.int64))
-                sizes.append(np.full(m, n, np.int64))
-            flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (tokens, keys, sizes)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=["token", "key", "n"])
-
-    return run
-
-
-def _members(row) -> tuple[np.ndarray, ...]:
-    columns = [row.field(k).to_numpy(zero_copy_only=False) for k in range(row.type.num_fields)]
-    order = np.lexsort((columns[1], columns[0]))
-    return tuple(c[order] for c in columns)
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each member of a list with the next one by size, if their sizes allow the similarity."""
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [np.empty((0, 2), np.int64)]
-        for row in batch.column(0):
-            n, key = _members(row.values)
-            near = ALIKE[1] * n[:-1] >= ALIKE[0] * n[1:]
-            out.append(np.column_stack([key[:-1][near], key[1:][near]]))
-        yield _pairs(np.concatenate(out))
-
-
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of members of different components whose sizes allow the similarity; the largest component is never paired with itself."""
+        keys, words, sizes = [], [], []
+        for text in batch.column(1):
+            found = shingles(text.as_py())
+            keys.append(xxh3_128_digest(found.tobytes()))
+            words.append(fingerprint(found))
+            sizes.append(len(found))
+        words = np.array(words, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(words[:, 0]), pa.array(words[:, 1]), pa.array(sizes, pa.int32())], names=["doc_id", "key", "f0", "f1", "n"])
+
+
+def _columns(row) -> list[np.ndarray]:
+    """The columns of an array of structs, ordered by set size."""
+    fields = [row.values.field(k).to_numpy(zero_copy_only=False) for k in range(row.values.type.num_fields)]
+    order = np.argsort(fields[3], kind="stable")
+    return [f[order] for f in fields]
+
+
+def nearest(a: list[np.ndarray], b: list[np.ndarray] | None, radius: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (id, id) of each row of a with its k nearest rows of another component within the radius, in b or (None) in a itself; and
+    the ids of rows that have pairs beyond these. Columns: id, two words, size, component; ordered by size."""
+    within = b is None
+    b = a if within else b
+    ids, f0, f1, size, group = a
+    jds, g0, g1, other_size, other_group = b
+    f0, f1, g0, g1 = (x.view(np.uint64) for x in (f0, f1, g0, g1))
+    least, most = -(-ALIKE[0] * size // ALIKE[1]), ALIKE[1] * size // ALIKE[0]
+    first, last = np.searchsorted(other_size, least), np.searchsorted(other_size, most, "right")
+    out, left = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
+    at = 0
+    while at < len(ids):
+        step = max(1, min(256, (1 << 18) // max(1, int(last[at] - first[at]))))
+        end = min(len(ids), at + step)
+        lo, hi = int(first[at]), int(last[end - 1])
+        differ = np.bitwise_count(f0[at:end, None] ^ g0[None, lo:hi]) + np.bitwise_count(f1[at:end, None] ^ g1[None, lo:hi])
+        found = np.flatnonzero(differ <= radius)
+        if len(found):
+            i, j = found // (hi - lo) + at, found % (hi - lo) + lo
+            good = (group[i] != other_group[j]) & (j >= first[i]) & (j < last[i])
+            i, j, d = i[good], j[good], differ.reshape(-1)[found[good]]
+            if within:  # each row of a pair has its own turn
+                good = i != j
+                i, j, d = i[good], j[good], d[good]
+            if len(i):
+                order = np.argsort(i * 256 + d, kind="stable")
+                i, j = i[order], j[order]
+                start = np.flatnonzero(np.diff(i, prepend=-1))
+                place = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+                take = place < k
+                out.append(np.stack([ids[i[take]], jds[j[take]]], axis=1))
+                if not take.all():
+                    more = np.isin(i, i[~take])
+                    left += [np.unique(ids[i[more]]), np.unique(jds[j[more]])]
+        at = end
+    pairs = np.sort(np.concatenate(out), axis=1)
+    return np.unique(pairs, axis=0), np.unique(np.concatenate(left))
+
+
+def _compare(radius: int, k: int):
+    def pair(table):
+        sides = [_columns(row) for row in table.column("rows").combine_chunks()]
+        found, left = nearest(sides[0], sides[1] if len(sides) > 1 else None, radius, k)
+        a, b = np.concatenate([found[:, 0], left]), np.concatenate([found[:, 1], np.full(len(left), -1)])
+        return pa.table({"a": a, "b": b})
+
+    return pair
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.column(0):
-            n, key, group = _members(row.values)
-            kinds, which, size = np.unique(group, return_inverse=True, return_counts=True)
-            if len(kinds) < 2:
-                continue
-            rank = np.empty(len(kinds), np.int64)
-            rank[np.argsort(size, kind="stable")] = np.arange(len(kinds))
-            rank = rank[which]
-            out, held = [], 0
-            for i in np.flatnonzero(rank < len(kinds) - 1).tolist():
-                lo, hi = np.searchsorted(n, [-(-ALIKE[0] * n[i] // ALIKE[1]), ALIKE[1] * n[i] // ALIKE[0] + 1])
-                other = key[lo:hi][rank[lo:hi] > rank[i]]
-                out.append(np.column_stack([np.full(len(other), key[i]), other]))
-                held += len(other)
-                if held > 1 << 18:
-                    yield _pairs(np.concatenate(out))
-                    out, held = [], 0
-            if held:
-                yield _pairs(np.concatenate(out))
-
-
-def _pairs(found: np.ndarray) -> pa.RecordBatch:
-    found = np.unique(np.sort(found, axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        found = [shingles(t.as_py()).tobytes() for t in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(map(xxh3_128_digest, found), pa.binary()), pa.array(found, pa.binary())], names=["key", "found"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [[np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3)]
-        yes = pa.array([alike(x, y) for x, y in zip(*sets, strict=True)], pa.bool_())
+        yes = pa.array([alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(yes), batch.column(1).filter(yes)], names=["a", "b"])
 
 
-def _sets(wanted):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = wanted and wanted.value
-        seen: set[int] = set()
-        for batch in batches:
-            rows = []
-            for t in batch.column(0).to_pylist():
-                found = shingles(t)
-                key = _key(found)
-                if (only is None or key in only) and key not in seen:
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(key)
-                    rows.append((key, found.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "found"])
-
-    return run
-
-
-def links(docs: DataFrame) -> DataFrame:
-    """Links (a, b) between keys of shingle sets of similarity ALIKE or more that connect all sets that such pairs connect."""
-    spark = docs.sparkSession
-    text = docs.select(F.col("text").cast("string"))
-    often = np.zeros(BUCKETS, np.int64)
-    found = text.mapInArrow(_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    often[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    often = spark.sparkContext.broadcast(often)
-
-    prefixes = text.mapInArrow(_prefixes(often), "token long, key long, n long")
-    shared = prefixes.groupBy("token").agg(F.collect_set(F.struct("n", "key")).alias("members")).filter("size(members) > 1")
-    shared = materialize(shared.select("token", "members"), "shared")
-    rows = shared.select("token", F.explode("members").alias("m")).select("token", "m.n", "m.key")
-
-    wanted = materialize(rows.select("key").distinct(), "candidates")
-    if wanted.count() <= SMALL:
-        only = spark.sparkContext.broadcast({r["key"] for r in wanted.collect()})
-        sets = text.mapInArrow(_sets(only), "key long, found binary")
-    else:
-        sets = text.mapInArrow(_sets(None), "key long, found binary").join(wanted, "key", "left_semi")
-    sets = materialize(sets.groupBy("key").agg(F.first("found").alias("found")), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs.distinct(), "pairs")
-        a, b = (sets.select(F.col("key").alias(x), F.col("found").alias(f"found_{x}")) for x in "ab")
-        return materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "found_a", "found_b").mapInArrow(_verify, "a long, b long"), "verified")
-
-    near = verified(shared.select("members").mapInArrow(_neighbours, "a long, b long"))
-    group = components(near).withColumnRenamed("node", "key")
-    member = F.struct("n", "key", F.coalesce("component", "key").alias("component"))
-    apart = rows.join(group, "key", "left").groupBy("token").agg(F.collect_list(member).alias("members")).select("members")
-    return near.union(verified(apart.mapInArrow(_apart, "a long, b long")))
-
-
-def first_docs(docs: DataFrame) -> DataFrame:
-    """doc_id of the first document (smallest doc_id) of each group of near copies."""
-    run, schema = _keys(docs.schema["doc_id"].dataType.simpleString())
-    classes = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema).groupBy("key").agg(F.min("doc_id").alias("first"))
-    group = components(links(docs))
-    labels = materialize(classes, "classes").join(group, F.col("key") == F.col("node"), "left")
-    return labels.groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("first").alias("doc_id")).select("doc_id").filter("doc_id is not null")
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without all but the first document of each group of near copies. Rows that repeat a doc_id go or stay together; rows
-    without a doc_id stay, since no decision can name them."""
-    named = docs.join(first_docs(docs).distinct(), "doc_id", "left_semi").select(*docs.columns)
+def near_copies(docs: DataFrame, radius: int = RADIUS, tile: int = tiles.TILE) -> DataFrame:
+    """id, first, component: every distinct set of shingles with its smallest doc_id (null if it has none) and its component (an id)."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    prints = text.mapInArrow(_prints, f"doc_id {kind}, key binary, f0 long, f1 long, n int")
+    classes = prints.groupBy("key").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("n").alias("n"), F.min("doc_id").alias("first"))
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "sets")
+    # sets of up to three shingles are alike only if they are equal
+    active = classes.filter(F.col("n") >= ALIKE[0]).select("id", "f0", "f1", "n", F.col("id").alias("component"))
+    links = tried = group = None
+    k = 1
+    while True:
+        ones = F.bit_count("f0") + F.bit_count("f1")
+        work = tiles.pairs_of_tiles(active, ones, F.xxhash64("id"), radius, tile, share=64)
+        found = materialize(work.groupBy("pair").applyInArrow(_compare(radius, k), "a long, b long"), "found")
+        pairs = found.filter("b >= 0").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "key", "first"), "id")
+        wanted = materialize(wanted, "wanted")
+        texts = text.join(wanted.select("first").distinct(), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("text")
+        sets = texts.mapInArrow(_sets, "key binary, found binary").join(wanted, "key").groupBy("id").agg(F.first("found").alias("found"))
+        sets = materialize(sets, "shingles")
+        a, b = (sets.select(F.col("id").alias(x), F.col("found").alias(f"found_{x}")) for x in "ab")
+        held = pairs.join(a, "a").join(b, "b").select("a", "b", "found_a", "found_b").mapInArrow(_verify, "a long, b long")
+        held = materialize(held, "links")
+        links = held if links is None else links.union(held)
+        tried = pairs if tried is None else tried.union(pairs)
+        group = materialize(components(links), "components")
+        left = materialize(found.filter("b < 0").select(F.col("a").alias("id")).distinct(), "left")
+        if left.isEmpty():
+            break
+        k *= MORE
+        rest = classes.join(left, "id", "left_semi").join(group, F.col("id") == F.col("node"), "left")
+        active = materialize(rest.select("id", "f0", "f1", "n", F.coalesce("component", "id").alias("component")), "active")
+    labels = classes.join(group, F.col("id") == F.col("node"), "left")
+    return labels.select("id", "first", F.coalesce("component", "id").alias("component"))
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """docs without all but the first document (smallest doc_id) of each group of near copies. Rows that repeat a doc_id go or stay
+    together; rows without a doc_id stay, since no decision can name them."""
+    first = near_copies(docs, **options).groupBy("component").agg(F.min("first").alias("doc_id")).select("doc_id").filter("doc_id is not null").distinct()
+    named = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
     return named.union(docs.filter("doc_id is null"))

@@ -1,19 +1,22 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Fingerprints come from 4-word shingles (see `fingerprint`). Equal fingerprints are one class. The distinct fingerprints are grouped
-by population count, each count is cut into tiles of bounded size, and every pair of tiles whose population counts differ by no
-more than the radius is one unit of work: numpy exclusive-or and bit counts over blocks of it. Inside a pair, rows are ordered by
-the population count of their upper half and blocks whose halves' counts already differ beyond the radius are skipped. All
-pairs within the radius are therefore found; none is probed by chance.
+Fingerprints come from 4-word shingles (see `fingerprint`). Equal fingerprints are one class. The distinct fingerprints are cut
+into tiles by population count (`tiles`), and every pair of tiles whose population counts differ by no more than the radius is one
+unit of work: numpy exclusive-or and bit counts over blocks of it. Inside a pair, rows are ordered by the population count of their
+upper half and blocks whose halves' counts already differ beyond the radius are skipped. All pairs within the radius are
+therefore found; none is probed by chance.
 
 A unit of work returns a spanning forest of its links, so a group of n mutual near copies gives about n rows, not n squared, and
 the components are the same. Only the histogram of population counts (65 rows) comes to the driver.
 
-The number of comparisons grows with the square of the distinct fingerprints. A tile has TILE of them or a 256th of all, whichever is
-more, so that fingerprints are not copied to ever more tiles; beyond 2 million, what a task holds grows with the corpus.
+The number of comparisons grows with the square of the distinct fingerprints; what a task holds is bounded (`tiles.MOST`).
+
+`keep_first`, the pipeline's form, takes five-word shingles and a similarity of 0.8 or more instead: fingerprints of 128 bits, a
+radius that holds such pairs, and an exact check of each deciding pair (`near`).
 
 Defined results: null and wordless texts have fingerprint zero and are linked like any other; texts of any length are read whole;
-repeated rows (of a doc_id too) get the same component; an empty table gives an empty result; other columns are not read.
+repeated rows (of a doc_id too) get the same component; rows without a doc_id take part, and component_id is null where no row of a
+component has one; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, materialize, shuffle_partitions
+from . import near, tiles
+from .common import LOWER, materialize
 from .components import components
 
 SHINGLE = 4
 RADIUS = 4
-TILE = 8192
 SEED = 42
 
 
@@ -74,13 +77,14 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int,
     a = a[np.argsort(_upper(a), kind="stable")]
     b = a if within else b[np.argsort(_upper(b), kind="stable")]
     ua, ub = _upper(a).astype(np.int64), _upper(b).astype(np.int64)
-    differ = int(np.bitwise_count(b[0])) - int(np.bitwise_count(a[0]))
+    ones, others = np.bitwise_count(a).astype(np.int64), np.bitwise_count(b).astype(np.int64)
+    least, most = max(-radius, int(others.min() - ones.max())), min(radius, int(others.max() - ones.min()))
     shift = 0 if within else len(a)
     group = np.arange(len(a) + (0 if within else len(b)))
     links = []
     for upper in np.unique(ua).tolist():
         rows = np.flatnonzero(ua == upper)
-        lo, hi = -((radius - differ) // 2), (differ + radius) // 2
+        lo, hi = -((radius - least) // 2), (most + radius) // 2
         first, last = np.searchsorted(ub, [upper + lo, upper + hi + 1])
         columns = b[first:last]
         if not len(columns):
@@ -121,7 +125,7 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int,
 
 def _compare(radius: int):
     def pair(table):
-        sides = [np.array(x, np.int64).view(np.uint64) for x in table.column("fps").to_pylist()]
+        sides = [row.values.field(0).to_numpy().view(np.uint64) for row in table.column("rows").combine_chunks()]
         found = forest(sides[0], sides[1] if len(sides) > 1 else None, radius)
         both = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
@@ -129,41 +133,25 @@ def _compare(radius: int):
     return pair
 
 
-def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, tile: int = tiles.TILE) -> DataFrame:
     """Links (a, b) between distinct fingerprints within radius that connect all of them that are connected. prints: column fp, distinct."""
-    spark = prints.sparkSession
-    counts = {r["ones"]: r["count"] for r in prints.groupBy(F.bit_count("fp").alias("ones")).count().collect()}
-    tile = max(tile, sum(counts.values()) // 256)
-    tiles = [-(-counts.get(k, 0) // tile) for k in range(65)]
-    base = np.concatenate([[0], np.cumsum(tiles)]).tolist()
-    low = F.array(*[F.lit(base[max(0, k - radius)]) for k in range(65)])
-    high = F.array(*[F.lit(base[min(65, k + radius + 1)] - 1) for k in range(65)])
-    ones = F.bit_count("fp")
-    number = F.get(F.array(*map(F.lit, base)), ones) + F.pmod(F.xxhash64("fp"), F.get(F.array(*[F.lit(max(1, t)) for t in tiles]), ones))
-    packed = prints.groupBy(number.cast("long").alias("tile"), ones.alias("ones")).agg(F.collect_list("fp").alias("fps"))
-    partner = F.explode(F.sequence(F.get(low, F.col("ones")), F.get(high, F.col("ones"))))
-    rows = packed.select("tile", "fps", partner.alias("partner")).select((F.least("tile", "partner") * base[-1] + F.greatest("tile", "partner")).alias("pair"), "fps")
-    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, shuffle_partitions(spark)), "pair").groupBy("pair").applyInArrow(_compare(radius), "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    work = tiles.pairs_of_tiles(prints, F.bit_count("fp"), F.xxhash64("fp"), radius, tile)
+    return work.groupBy("pair").applyInArrow(_compare(radius), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = tiles.TILE) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id among all documents linked to this one, directly or not."""
     prints = materialize(fingerprints(docs), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    found = links(classes.select("fp"), radius, tile)
-    a, b = (classes.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")) for x in "ab")
-    by_doc = found.join(a, "a").join(b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
-    group = components(by_doc)
-    labels = classes.join(group, classes["first"] == group["node"], "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    group = components(links(classes.select("fp"), radius, tile))
+    labels = classes.join(group, classes["fp"] == group["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    firsts = labels.groupBy("component").agg(F.min("first").alias("component_id"))
+    return prints.join(labels.join(firsts, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """docs without all but the first document (smallest doc_id) of each component. Rows that repeat a doc_id go or stay together; rows
-    without a doc_id stay, since no decision can name them."""
-    kept = near_duplicates(docs, **options).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return named.union(docs.filter("doc_id is null"))
+    """docs without all but the first document of each group of near copies (`near.keep_first`)."""
+    return near.keep_first(docs, **options)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,49 +189,61 @@ def near_texts():
     return texts + [None, "", "one two", "One  TWO", "one two three"]
 
 
-@pytest.mark.parametrize("small", [1 << 18, 0])
-def test_near_dedup_finds_all_pairs_from_four_fifths_on(spark, small, monkeypatch):
-    import corpus_pipeline
-
-    monkeypatch.setattr(near, "SMALL", small)
+@pytest.mark.parametrize("tile", [8192, 16])
+def test_near_dedup_finds_all_pairs_from_four_fifths_on(spark, tile):
     texts = near_texts()
     sets = [slow_shingles(t) for t in texts]
     like = lambda a, b: not (sets[a] | sets[b]) or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
     want = slow_groups(range(len(texts)), like)
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(None, "one two", "x")], "doc_id long, text string, source string")
-    got = [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, None).collect()]
+    got = [r["doc_id"] for r in simhash.keep_first(df, tile=tile).collect()]
     assert Counter(got) == Counter({k for k in want if want[k] == k} | {None})
 
 
-def slow_cut(docs):
+def slow_cut(docs, length=400):
     places = Counter()
     for d in docs:
-        for i in range(len(d) - 399):
-            places[d[i : i + 400]] += 1
+        for i in range(len(d) - length + 1):
+            places[d[i : i + length]] += 1
     out = []
     for d in docs:
         gone = bytearray(len(d))
-        for i in range(len(d) - 399):
-            if places[d[i : i + 400]] > 1:
-                gone[i : i + 400] = b"\1" * 400
+        for i in range(len(d) - length + 1):
+            if places[d[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
         runs = sum(1 for a, b in zip(b"\0" + bytes(gone), bytes(gone)) if b and not a)
         out.append((len(d), sum(gone), runs, bytes(x for x, y in zip(d, gone) if not y)))
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_suffix(spark, docs, rows, hot, monkeypatch):
+@pytest.mark.parametrize("hot, length, seen", [(4096, 400, 200_000), (2, 400, 0), (4096, 200, 0), (2, 50, 200_000)])
+def test_suffix(spark, docs, rows, hot, length, seen, monkeypatch):
     monkeypatch.setattr(suffix, "HOT", hot)
-    want = Counter((i, *x) for (i, _), x in zip(rows, slow_cut([t.encode() for _, t in rows])))
-    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix.cut_repeats(docs).select("_rest.doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect())
+    monkeypatch.setattr(suffix, "SEEN", seen)
+    want = Counter((i, *x) for (i, _), x in zip(rows, slow_cut([t.encode() for _, t in rows], length)))
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix.cut_repeats(docs, length).select("_rest.doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect())
     assert got == want
 
 
+def test_suffix_sorts_equal_texts_once(spark):
+    rng = random.Random(3)
+    text = " ".join(f"w{rng.randrange(999)}" for _ in range(200))
+    other = "head|" + text[100:600] + "|tail"
+    one = spark.createDataFrame([(1, text), (2, other)], "doc_id long, text string")
+    many = spark.createDataFrame([(1, text)] * 30 + [(2, other), (None, text)], "doc_id long, text string")
+    got = {(r["doc_id"], r["n_removed"], r["n_spans"]) for r in suffix.cut_repeats(many).select("_rest.doc_id", "n_removed", "n_spans").collect()}
+    assert got == {(1, len(text), 1), (None, len(text), 1), (2, 500, 1)}
+    assert {(r["doc_id"], r["n_removed"]) for r in suffix.cut_repeats(one).select("_rest.doc_id", "n_removed").collect()} == {(1, 500), (2, 500)}
+    texts = many.coalesce(1).select(F.unhex(F.md5("text")).alias("key"), F.col("text").cast("binary").alias("data"))
+    kind = "key binary, h long, at int, first int, last int"
+    assert texts.mapInArrow(suffix._find_anchors(400), kind).count() == texts.distinct().coalesce(1).mapInArrow(suffix._find_anchors(400), kind).count()
+
+
 def test_merge_knows_common_prefixes():
     rng = random.Random(2)
     items = sorted(bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 9))) for _ in range(300))
     runs = [sorted(items[k::5]) for k in range(5)]
-    got = list(suffix.merge([suffix.decode(suffix.front_code([(x, 0, 0) for x in run])) for run in runs]))
+    got = list(suffix.merge([suffix.decode(suffix.front_code([(x, bytes(16), 0) for x in run])) for run in runs]))
     assert [x[1] for x in got] == items
     assert all(n == suffix.common_prefix(a, b) for (n, b, *_), a in zip(got[1:], items))
 
