@@ -27,11 +27,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Chunks that a worker remembers between batches.
-REMEMBERED = 400_000
+#: Chunks that a worker remembers between batches, and the length from which one is not remembered.
+REMEMBERED, LONG = 400_000, 256
 #: From this many places on, the merges of a rank are applied as one array operation.
 MANY = 24
-#: A space before anything but white space: every piece boundary pattern in use breaks there, so a text can be cut into chunks.
+#: With a pattern that is `spaced`, a text can be cut into chunks before each space that stands before anything but white space, and
+#: a chunk of letters alone (with the space in front) is one piece. Other patterns are applied to whole texts.
 ODD_SPACE = re.compile(r" (?:\s|\Z)")
 CUT = re.compile(r"(?= \S)")
 
@@ -39,8 +40,9 @@ CUT = re.compile(r"(?= \S)")
 class Replay:
     """Encoder for one vocabulary: `tokens` holds each token's bytes at its rank (None: unused)."""
 
-    def __init__(self, tokens: list[bytes | None], pattern: str):
+    def __init__(self, tokens: list[bytes | None], pattern: str, spaced: bool = False):
         self.tokens = tokens
+        self.spaced = spaced
         self.ranks = ranks = {t: i for i, t in enumerate(tokens) if t is not None}
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.find = regex.compile(pattern).findall
@@ -58,6 +60,11 @@ class Replay:
         if len(self.first) + len(self.later) > REMEMBERED:
             self.first, self.later = {}, {}
         first, later = set(), set()
+        if not self.spaced:
+            found = [self.find(text) for text in texts]
+            fresh = {p for pieces in found for p in pieces} - self.first.keys()
+            self.first |= self._replay(list(fresh))
+            return [b"".join(map(self.first.__getitem__, pieces)) for pieces in found]
         for text in texts:
             if ODD_SPACE.search(text):
                 first.update(CUT.split(text))
@@ -67,6 +74,7 @@ class Replay:
                 later.update(rest)
         first.difference_update(self.first)
         later.difference_update(self.later)
+        long = [(known, c) for known, chunks in ((self.first, first), (self.later, later)) for c in chunks if len(c) > LONG]
         split = {True: [(c, [c] if c.isalpha() else self.find(c)) for c in first], False: [(c, [" " + c] if c.isalpha() else self.find(" " + c)) for c in later]}
         made = self._replay(list({p for chunks in split.values() for _, pieces in chunks for p in pieces}))
         for known, chunks in ((self.first, split[True]), (self.later, split[False])):
@@ -79,6 +87,8 @@ class Replay:
             else:
                 head, *rest = text.split(" ")
                 out.append(self.first[head] + b"".join(map(self.later.__getitem__, rest)))
+        for known, chunk in long:
+            del known[chunk]
         return out
 
     def decode(self, ids: bytes) -> bytes:
@@ -211,14 +221,15 @@ def read_ranks(path: str) -> list[bytes | None]:
 _encoders: dict[int, Replay] = {}
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit integers), decoded (binary: the bytes decoded from them)."""
+def encode(docs: DataFrame, path: str, pattern: str, spaced: bool = False) -> DataFrame:
+    """doc_id, ids (binary: little-endian unsigned 32-bit integers), decoded (binary: the bytes decoded from them). spaced: the pattern
+    breaks before every space that stands before anything but white space, and takes a space and letters as one piece."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash((path, pattern))
+        key = hash((path, pattern, spaced))
         if key not in _encoders:
-            _encoders[key] = Replay(vocabulary.value, pattern)
+            _encoders[key] = Replay(vocabulary.value, pattern, spaced)
         encoder = _encoders[key]
         for batch in batches:
             ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
@@ -232,7 +243,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    coded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, spaced=True)
     return coded.select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -137,12 +137,30 @@ def format_records(records: DataFrame, key: str = "conv_id", record: str = "reco
     return records.select(F.col(key).cast("long"), F.col(record).cast("string")).mapInArrow(_format, SCHEMA)
 
 
-def records_of_turns(rows: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as one JSON record of the messages layout per conversation."""
+#: How records_of_turns can write a conversation: (top field, role field, text field) of a list of turns.
+LISTS = (("messages", "role", "content"), ("conversations", "from", "value"), ("turns", "speaker", "text"), ("dialogue", "role", "text"))
+
+
+def records_of_turns(rows: DataFrame, mixed: bool = False) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as one JSON record per conversation: of the messages layout, or (mixed) of a layout that follows
+    from conv_id, as a corpus from several makers has them; a user and an assistant turn alone can be a prompt and a response."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    messages = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
-    return turns.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+
+    def as_list(top: str, role: str, text: str):
+        return F.to_json(F.struct(F.transform("turns", lambda t: F.struct(t["role"].alias(role), t["text"].alias(text))).alias(top)))
+
+    lists = [as_list(*names) for names in LISTS]
+    if not mixed:
+        return turns.select("conv_id", lists[0].alias("record"))
+    says = F.transform("turns", lambda t: t["text"])
+    pair = lambda ask, answer: F.to_json(F.struct(F.get(says, F.lit(0)).alias(ask), F.get(says, F.lit(1)).alias(answer)))
+    two = F.transform("turns", lambda t: t["role"]) == F.array(F.lit("user"), F.lit("assistant"))
+    kind = F.pmod(F.xxhash64("conv_id"), F.lit(len(LISTS)))
+    record = F.when(two & (kind == 0), pair("prompt", "response")).when(two & (kind == 1), pair("instruction", "output"))
+    for k, one in enumerate(lists):
+        record = record.when(kind == k, one)
+    return turns.select("conv_id", record.alias("record"))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,6 +181,6 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     planted = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
-    return format_records(records_of_turns(rows.unionByName(extra))).mapInArrow(
+    return format_records(records_of_turns(rows.unionByName(extra), mixed=True)).mapInArrow(
         _digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, layout string"
     )

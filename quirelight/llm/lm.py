@@ -1,24 +1,29 @@
 """Scoring by a Brown class-based bigram model.
 
-    P(word | word before) = P(class | class before) * P(word | class)
+    P(word | word before) = P(class | context of the word before) * P(word | class)
 
 Training texts are those whose crc32(doc_id) mod 10 is not 0; their words, and an end after each text, are all counted.
 
-* Words: one grouped count over all training words. The CLUSTERED most frequent words get their classes by exchange clustering; the
-  end is a class of its own; every other word, known or not, falls by its last two bytes into one of RARE classes. No word is left
-  out of any count.
-* Exchange clustering: the counts of neighbouring symbols (a symbol is a clustered word, the end or a rare class, so there are at
-  most SYMBOLS squared of them) stay distributed by symbol. In each round every symbol's task computes, from the table of class
-  bigrams, what the likelihood gains if the symbol moved to each class; the symbols of one half (by turns) make their best move. A
-  round that does not gain is not taken.
-* Smoothing: P(class | before) = (n + BETA * P(class)) / (n(before) + BETA); P(word | class) = (n(word) + 0.1) / (n(class) + 0.1 *
+* Words: one grouped count over all training words. The CLUSTERED most frequent words get their classes by exchange clustering among
+  each other, in rounds; the end is a class of its own. Every other word that was seen PLACED times or more, however many there are,
+  is placed by exchange too: into the class where the likelihood gains most, in PASSES passes over the distributed table of how often
+  each word follows each context. Only words seen more rarely, and unknown ones, fall by their last two bytes into one of RARE
+  classes. No word is left out of any count.
+* Contexts: a clustered word's context is its class, the end's the end; another word's context is its rare class, so the context
+  of a word is known without a join. (Contexts and classes are two partitions of the words, of which only the second is learnt in full.)
+* Exchange clustering of the first words: the counts of neighbouring symbols (a symbol is a clustered word, the end or a rare class, so
+  there are at most CLUSTERED + 1 + RARE squared of them) stay distributed by symbol. In each round every symbol's task computes, from the table of
+  class bigrams, what the likelihood gains if the symbol moved to each class; the symbols of one half (by turns) make their best move.
+  A round that does not gain is not taken.
+* Smoothing: P(class | context) = (n + BETA * P(class)) / (n(context) + BETA); P(word | class) = (n(word) + 0.1) / (n(class) + 0.1 *
   (words in class + 1)), where the one more is any unknown word, as in the base score. So both scores share a sample space.
-* Scoring: the most frequent words (LOOKUP at most) and all class tables (bounded by parameters) are sent to the tasks; the other words of a
-  document meet their counts in a join by hash, and sums come back by document.
+* Scoring: the most frequent words (LOOKUP at most, with their classes) and all class tables (bounded by parameters) are sent to the
+  tasks; the other words of a document meet their counts and classes in a join by the word, and sums come back by row.
 
 Defined results: null text is empty (one token, the end); repeated rows are counted and scored as often as they occur; null doc_id
 is in training; with no training text all counts are 0 and the formulas still hold; texts of any length are scored whole; other
-columns are not read. Words are told apart by 64-bit hashes in the join.
+columns are not read. Rows are told apart by their place in the input, so docs should be a table or something else that gives the
+same rows each time.
 """
 
 from __future__ import annotations
@@ -37,10 +42,12 @@ from .common import LOWER, materialize
 
 CLUSTERED = 2048
 CLASSES = 64
-RARE = 256
-SYMBOLS = CLUSTERED + 1 + RARE
+RARE = 64
+SIZE = CLASSES + 1 + RARE
 LOOKUP = 131_072
 ROUNDS = 8
+#: Occurrences from which a word is placed, and passes over all such words.
+PLACED, PASSES = 5, 2
 #: The counts of neighbouring symbols are bounded, and so are the tasks that hold them and the class tables that these send.
 PARTS = 8
 BETA = 5.0
@@ -85,11 +92,12 @@ class Symbols(dict):
 
     def __init__(self, clustered: list[bytes]):
         super().__init__({w: k for k, w in enumerate(clustered)})
-        self[END] = CLUSTERED
+        self.end = len(clustered)
+        self[END] = self.end
         self.fixed = len(self)
 
     def __missing__(self, word: bytes) -> int:
-        found = CLUSTERED + 1 + rare_class(word)
+        found = self.end + 1 + rare_class(word)
         if len(self) > 400_000:
             for w in [w for k, w in enumerate(self) if k >= self.fixed]:
                 del self[w]
@@ -100,15 +108,16 @@ class Symbols(dict):
 def _pairs(clustered: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = Symbols(clustered)
-        grid = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+        size = symbols.end + 1 + RARE
+        grid = np.zeros(size * size, np.int64)
         for batch in batches:
-            found = [np.array([CLUSTERED, *map(symbols.__getitem__, tokens(text))], np.int64) for text in batch.column(0).to_pylist()]
+            found = [np.array([symbols.end, *map(symbols.__getitem__, tokens(text.as_py()))], np.int64) for text in batch.column(0)]
             if found:
                 # texts start after an end, so one text's end and the next one's start is a pair that must not be counted twice
-                codes = np.concatenate([x[:-1] * SYMBOLS + x[1:] for x in found])
+                codes = np.concatenate([x[:-1] * size + x[1:] for x in found])
                 codes, n = np.unique(codes, return_counts=True)
                 grid[codes] += n
-        grid = grid.reshape(SYMBOLS, SYMBOLS)
+        grid = grid.reshape(size, size)
         rows = []
         for side, table in ((0, grid), (1, grid.T)):
             for symbol in np.flatnonzero(table.any(axis=1)).tolist():
@@ -119,12 +128,15 @@ def _pairs(clustered: list[bytes]):
     return run
 
 
-def _gather(key, table):
-    """All counts of one symbol: at most two rows from each task, of at most SYMBOLS entries."""
-    sides = np.zeros((2, SYMBOLS), np.int64)
-    for side, others, n in zip(table.column("side").to_pylist(), table.column("others").to_pylist(), table.column("n").to_pylist(), strict=True):
-        sides[side, np.frombuffer(others, np.int16)] += np.frombuffer(n, np.int64)
-    return pa.table({"symbol": pa.array([key[0].as_py()], pa.int32()), "after": pa.array([sides[0].tobytes()], pa.binary()), "before": pa.array([sides[1].tobytes()], pa.binary())})
+def _gather(size: int):
+    def gather(key, table):
+        """All counts of one symbol: at most two rows from each task, of at most `size` entries."""
+        sides = np.zeros((2, size), np.int64)
+        for side, others, n in zip(table.column("side").to_pylist(), table.column("others").to_pylist(), table.column("n").to_pylist(), strict=True):
+            sides[side, np.frombuffer(others, np.int16)] += np.frombuffer(n, np.int64)
+        return pa.table({"symbol": pa.array([key[0].as_py()], pa.int32()), "after": pa.array([sides[0].tobytes()], pa.binary()), "before": pa.array([sides[1].tobytes()], pa.binary())})
+
+    return gather
 
 
 def _class_table(classes: np.ndarray, size: int):
@@ -163,13 +175,13 @@ def gains(table: np.ndarray, own: int, right: np.ndarray, left: np.ndarray, itse
     return up - up[own]
 
 
-def _moves(classes: np.ndarray, table: np.ndarray, half: int):
+def _moves(classes: np.ndarray, table: np.ndarray, half: int, clustered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         size = len(table)
         for batch in batches:
             for symbol, after, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if symbol >= CLUSTERED or xxh64_intdigest(symbol.to_bytes(4), half) % 2:
+                if symbol >= clustered or xxh64_intdigest(symbol.to_bytes(4), half) % 2:
                     continue
                 after, before = np.frombuffer(after, np.int64).copy(), np.frombuffer(before, np.int64).copy()
                 itself = int(after[symbol])
@@ -183,10 +195,10 @@ def _moves(classes: np.ndarray, table: np.ndarray, half: int):
     return run
 
 
-def exchange(pairs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def exchange(pairs: DataFrame, clustered: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """The class of every symbol, and the table of class bigrams. pairs: symbol, after, before (see _gather)."""
-    size = CLASSES + 1 + RARE
-    classes = np.concatenate([np.arange(CLUSTERED) % CLASSES, np.arange(CLASSES, size)])
+    size = SIZE
+    classes = np.concatenate([np.arange(clustered) % CLASSES, np.arange(CLASSES, size)])
 
     def class_table(of: np.ndarray) -> np.ndarray:
         parts = pairs.select("symbol", "after").mapInArrow(_class_table(of, size), "part binary").collect()
@@ -196,7 +208,7 @@ def exchange(pairs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.nda
     score = likelihood(table)
     idle = 0
     for turn in range(rounds):
-        moved = pairs.mapInArrow(_moves(classes, table, turn), "symbol int, to int").collect()  # at most CLUSTERED rows
+        moved = pairs.mapInArrow(_moves(classes, table, turn, clustered), "symbol int, to int").collect()  # at most a row a clustered word
         new = classes.copy()
         for r in moved:
             new[r["symbol"]] = r["to"]
@@ -212,104 +224,211 @@ def exchange(pairs: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.nda
     return classes, table
 
 
+def _contexts(clustered: list[bytes], classes: np.ndarray):
+    """word, rare, context, n: how often each word that is not clustered follows each context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols = Symbols(clustered)
+        number: dict[bytes, int] = {}
+        codes: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(codes) if codes else np.empty(0, np.int64), return_counts=True)
+            of = pa.array(found // SIZE)
+            words = list(number)
+            columns = [pa.array(words, pa.binary()).take(of), pa.array(map(rare_class, words), pa.int32()).take(of), pa.array((found % SIZE).astype(np.int32)), pa.array(n)]
+            number.clear()
+            codes.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["word", "rare", "context", "n"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                words = tokens(text.as_py())
+                found = np.array([symbols.end, *map(symbols.__getitem__, words)], np.int64)
+                rest = np.flatnonzero(found[1:] > symbols.end)
+                own = [number.setdefault(words[k], len(number)) for k in rest.tolist()]
+                codes.append(np.array(own, np.int64) * SIZE + classes[found[rest]])
+                held += len(own)
+                if held > 2_000_000 or len(number) > 300_000:
+                    yield flush()
+                    held = 0
+        yield flush()
+
+    return run
+
+
+def placements(table: np.ndarray, starts: np.ndarray, contexts: np.ndarray, n: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """What the likelihood gains with each word in each exchange class. table: contexts by classes, with each word counted in its class
+    own (-1: in none of these). Word k has the counts n of contexts from starts[k] on."""
+    t = table[:, :CLASSES].astype(np.float64)
+    column, total = t.sum(0), np.add.reduceat(n, starts)
+    part = t[contexts]
+    up = np.add.reduceat(_xlogx(part + n[:, None]) - _xlogx(part), starts) - (_xlogx(column + total[:, None]) - _xlogx(column))
+    rows = np.flatnonzero(own >= 0)
+    if len(rows):  # of its own class a word is taken out first
+        of = own[np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(n))))]
+        with_it = t[contexts, np.maximum(of, 0)]
+        stay = np.add.reduceat(_xlogx(with_it) - _xlogx(with_it - np.where(of >= 0, n, 0)), starts)
+        mine = column[own[rows]]
+        up[rows, own[rows]] = stay[rows] - (_xlogx(mine) - _xlogx(mine - total[rows]))
+    return up
+
+
+_PLACED = "word binary, rare int, contexts array<int>, ns array<long>, to int"
+
+
+def _place(table: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                lists = some.column(2)
+                starts = lists.offsets.to_numpy()[:-1].astype(np.int64)
+                up = placements(table, starts - starts[0], lists.flatten().to_numpy(), some.column(3).flatten().to_numpy().astype(np.float64), some.column(4).to_numpy())
+                yield pa.RecordBatch.from_arrays([*some.columns[:4], pa.array(up.argmax(axis=1).astype(np.int32))], names=["word", "rare", "contexts", "ns", "to"])
+
+    return run
+
+
+def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """code (context, rare class, class), n: what placed words take from rare classes to exchange classes."""
+    sums: Counter[int] = Counter()
+    for batch in batches:
+        lists = batch.column(2)
+        sizes = np.diff(lists.offsets.to_numpy())
+        codes = lists.flatten().to_numpy().astype(np.int64) * (RARE * CLASSES) + np.repeat(batch.column(1).to_numpy().astype(np.int64) * CLASSES + batch.column(4).to_numpy(), sizes)
+        found, of = np.unique(codes, return_inverse=True)
+        for code, n in zip(found.tolist(), np.bincount(of, batch.column(3).flatten().to_numpy(), len(found)).astype(np.int64).tolist(), strict=True):
+            sums[code] += n
+    yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array(sums.values(), pa.int64())], names=["code", "n"])
+
+
+def place_words(text: DataFrame, clustered: list[bytes], classes: np.ndarray, table: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """word, rare, contexts, ns, to (its class) of all words seen PLACED times or more that are not clustered; and the table of contexts
+    by classes with these words in their classes."""
+    rows = text.mapInArrow(_contexts(clustered, classes), "word binary, rare int, context int, n long").groupBy("word", "rare", "context").agg(F.sum("n").alias("n"))
+    lists = rows.groupBy("word", "rare").agg(F.collect_list(F.struct("context", "n")).alias("x"), F.sum("n").alias("total")).filter(F.col("total") >= PLACED)
+    last = lists.select("word", "rare", F.col("x.context").alias("contexts"), F.col("x.n").alias("ns"), F.lit(-1).alias("to"))
+    best, now = None, table
+    for _ in range(PASSES):
+        placed = materialize(last.mapInArrow(_place(now), _PLACED), "placed")
+        new = table.copy()
+        moved = placed.mapInArrow(_moved, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most SIZE * RARE * CLASSES rows
+        code, n = moved.column(0).to_numpy(), moved.column(1).to_numpy()
+        context, rare, to = code // (RARE * CLASSES), code // CLASSES % RARE, code % CLASSES
+        np.add.at(new, (context, to), n)
+        np.subtract.at(new, (context, CLASSES + 1 + rare), n)
+        if best is not None and likelihood(new) <= likelihood(now):
+            break
+        best, now, last = placed, new, placed
+    return best.select("word", "rare", "to"), now
+
+
 class Model:
-    """What tasks need to score: bounded by CLUSTERED, LOOKUP, CLASSES and RARE."""
+    """What tasks need to score: bounded by LOOKUP, CLASSES and RARE. words: word, count, class, context of the words looked up."""
 
-    def __init__(self, counts: dict[bytes, int], clustered: list[bytes], classes: np.ndarray, table: np.ndarray, class_words: np.ndarray, total: int, words: int):
-        self.total, self.words = total, words
-        self.log_counts = {w: (math.log10(n + 0.1), n) for w, n in counts.items()}
-        self.class_of = {w: int(classes[k]) for k, w in enumerate(clustered)}
-        self.class_of[END] = CLASSES
+    def __init__(self, words: list[tuple[bytes, int, int, int]], table: np.ndarray, class_words: np.ndarray, total: int, kinds: int):
+        self.total, self.kinds = total, kinds
+        self.known = {w: (math.log10(n + 0.1), n, c, x) for w, n, c, x in words}
         n = table.sum(0).astype(np.float64)
         share = (n + 0.5) / (n.sum() + 0.5 * len(n))
         self.move = np.log10((table + BETA * share) / (table.sum(1, keepdims=True) + BETA))
         self.out_of = np.log10(n + 0.1 * (class_words + 1))
-        self.base = math.log10(total + 0.1 * (words + 1))
+        self.base = math.log10(total + 0.1 * (kinds + 1))
 
     def parts(self, text: str | None) -> tuple[int, int, float, float, Counter]:
-        """Tokens, known tokens, base and score without log10(n + 0.1) of the words that are not looked up here, and those words."""
+        """Tokens, known tokens, base and score without the words that are not looked up here, and those words with their contexts."""
         found = tokens(text)
-        class_of, log_counts = self.class_of, self.log_counts
-        classes = np.array([CLASSES, *[c if (c := class_of.get(w)) is not None else CLASSES + 1 + rare_class(w) for w in found]])
-        here = [log_counts.get(w) for w in found]
-        rest = Counter(w for w, h in zip(found, here, strict=True) if h is None)
+        here = list(map(self.known.get, found))
+        contexts = [CLASSES, *[h[3] if h else CLASSES + 1 + rare_class(w) for w, h in zip(found, here, strict=True)]]
+        rest = Counter((w, x) for w, h, x in zip(found, here, contexts) if h is None)
         emitted = math.fsum(h[0] for h in here if h)
-        score = emitted + float(self.move[classes[:-1], classes[1:]].sum() - self.out_of[classes[1:]].sum())
+        before = np.array([x for h, x in zip(here, contexts) if h], np.int64)
+        classes = np.array([h[2] for h in here if h], np.int64)
+        score = emitted + float(self.move[before, classes].sum() - self.out_of[classes].sum())
         return len(found), sum(1 for h in here if h and h[1]), emitted - len(found) * self.base, score, rest
 
 
 def _score(model):
     kind = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model_here = model.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                keys, hashes, times, docs = [], [], [], []
-                for key, doc_id, out, text in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True):
-                    n, known, base, score, rest = model_here.parts(text)
-                    keys.append(key)
-                    hashes.append(key)
-                    times.append(0)
-                    docs.append({"doc_id": doc_id, "held_out": out, "n_tokens": n, "n_known": known, "base": base, "score": score})
-                    keys += [key] * len(rest)
-                    hashes += [h - (1 << 64) if (h := xxh64_intdigest(w, 42)) >> 63 else h for w in rest]
-                    times += rest.values()
-                    docs += [None] * len(rest)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(times, pa.int64()), pa.array(docs, kind)], names=["key", "h", "times", "doc"])
+            rows: list[tuple] = []
+            for k in range(batch.num_rows):
+                key, doc_id, out, text = (c[k].as_py() for c in batch.columns)
+                n, known, base, score, rest = model_here.parts(text)
+                # a row's own part has a word that no text holds, so it meets nothing, and no two of them meet
+                rows.append((key, END + key.to_bytes(8), 0, 0, 0, {"doc_id": doc_id, "held_out": out, "n_tokens": n, "n_known": known, "base": base, "score": score}))
+                rows += [(key, w, x, CLASSES + 1 + rare_class(w), times, None) for (w, x), times in rest.items()]
+                if len(rows) > 20_000 or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "word", "context", "fall", "times", "doc"])
+                    rows = []
 
     return run
 
 
+def _lookup(counts: DataFrame) -> Column:
+    """A filter for the LOOKUP words of most occurrences: whole classes of like counts (a class is a 16th of a power of two), and of the class
+    that does not fit in whole the share that fits, chosen by hash; so no task sorts or sends more than it has of them."""
+    size = F.floor(16 * F.log2("n")).cast("int")
+    room = LOOKUP
+    chosen = F.lit(False)
+    for r in sorted(counts.groupBy(size.alias("size")).count().collect(), reverse=True):  # about a thousand rows at most
+        if r["count"] > room:
+            return chosen | (size == r["size"]) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < F.lit(int(0.95 * room / r["count"] * (1 << 20))))
+        room -= r["count"]
+        chosen = size >= r["size"]
+    return F.lit(True)
+
+
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the counts of all words (word, h, n)."""
+    """The model, and all words (word, n, class)."""
     text = docs.filter(~held_out()).select(F.col("text").cast("string"))
     counts = text.mapInArrow(_count, "word binary, rare int, n long").groupBy("word", "rare").agg(F.sum("n").alias("n"))
-    counts = materialize(counts.withColumn("h", F.xxhash64("word")), "words")
-    total, words = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # the LOOKUP words of most occurrences, or a few less: whole classes of like counts, so no task sorts or sends more than it has of them
-    size = F.floor(16 * F.log2("n")).cast("int")
-    floor, found = None, 0
-    for r in sorted(counts.groupBy(size.alias("size")).count().collect(), reverse=True):  # about a thousand rows at most
-        found += r["count"]
-        if found > LOOKUP:
-            break
-        floor = r["size"]
-    top = [] if floor is None else [(bytes(r["word"]), r["n"], r["rare"]) for r in counts.filter(size >= floor).select("word", "n", "rare").collect()]
-    top.sort(key=lambda x: (-x[1], x[0]))
-    clustered = [w for w, _, _ in top if w != END][:CLUSTERED]
-    pairs = text.mapInArrow(_pairs(clustered), "symbol int, side int, others binary, n binary").groupBy("symbol").applyInArrow(_gather, "symbol int, after binary, before binary")
-    classes, table = exchange(materialize(pairs.repartition(PARTS, "symbol"), "pairs").coalesce(PARTS))
-    class_words = np.zeros(len(table))
-    for r in counts.groupBy("rare").agg(F.count(F.lit(1)).alias("words")).collect():
-        class_words[CLASSES + 1 + r["rare"]] = r["words"]
-    rare = {w: r for w, _, r in top}
-    for k, w in enumerate(clustered):
-        class_words[classes[k]] += 1
-        class_words[CLASSES + 1 + rare[w]] -= 1
-    if END in rare:
-        class_words[CLASSES] = 1
-        class_words[CLASSES + 1 + rare[END]] -= 1
-    return Model({w: n for w, n, _ in top}, clustered, classes, table, class_words, total, words), counts
+    counts = materialize(counts, "words")
+    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    top = counts.filter(_lookup(counts))
+    first = [(-r["n"], bytes(r["word"])) for r in top.select("word", "n").collect() if bytes(r["word"]) != END]
+    clustered = [w for _, w in sorted(first)[:CLUSTERED]]
+    pairs = text.mapInArrow(_pairs(clustered), "symbol int, side int, others binary, n binary").groupBy("symbol").applyInArrow(_gather(len(clustered) + 1 + RARE), "symbol int, after binary, before binary")
+    classes, table = exchange(materialize(pairs.repartition(PARTS, "symbol"), "pairs").coalesce(PARTS), len(clustered))
+    placed, table = place_words(text, clustered, classes, table)
+    fixed = {w: int(classes[k]) for k, w in enumerate(clustered)} | {END: CLASSES}
+    words = counts.join(placed.select("word", "to"), "word", "left").select("word", "n", "rare", F.coalesce("to", F.lit(CLASSES + 1) + F.col("rare")).alias("class"))
+    spark = docs.sparkSession
+    own = spark.createDataFrame(list(fixed.items()), "word binary, own int")
+    words = words.join(F.broadcast(own), "word", "left").select("word", "n", "rare", F.coalesce("own", "class").alias("class"))  # CLUSTERED + 1 rows
+    words = materialize(words, "classes")
+    class_words = np.zeros(SIZE)
+    for r in words.groupBy("class").count().collect():
+        class_words[r["class"]] = r["count"]
+    found = [(bytes(r["word"]), r["n"], r["class"], r["rare"]) for r in words.filter(_lookup(counts)).select("word", "n", "class", "rare").collect()]
+    known = [(w, n, c, fixed.get(w, CLASSES + 1 + rare)) for w, n, c, rare in found]
+    return Model(known, table, class_words, total, kinds), words.select("word", "n", "class")
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text."""
-    model, counts = train(docs)
+    model, words = train(docs)
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.xxhash64("doc_id", text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text.alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text.alias("text"))
     kind = "struct<doc_id:long,held_out:boolean,n_tokens:long,n_known:long,base:double,score:double>"
-    # a document's own row has h = key and times = 0, so whatever it may meet adds nothing
-    parts = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"key long, h long, times long, doc {kind}")
-    met = parts.join(counts.select("h", "n"), "h", "left")
-    by_doc = met.groupBy("key").agg(
-        F.count("doc").alias("rows"),
+    parts = rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), f"key long, word binary, context int, fall int, times long, doc {kind}")
+    move = [(x, c, float(model.move[x, c] - model.out_of[c])) for x in range(SIZE) for c in range(SIZE)]
+    moves = F.broadcast(spark.createDataFrame(move, "context int, class int, move double"))  # SIZE squared rows
+    met = parts.join(words, "word", "left").withColumn("class", F.coalesce("class", "fall")).join(moves, ["context", "class"], "left")
+    emitted = F.log10(F.coalesce("n", F.lit(0)) + 0.1)
+    each = met.groupBy("key").agg(
         F.first("doc", ignorenulls=True).alias("doc"),
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rest"),
+        F.sum(F.col("times") * emitted).alias("rest"),
+        F.sum(F.when(F.col("times") > 0, F.col("times") * (emitted + F.col("move"))).otherwise(0.0)).alias("rest_score"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"),
     )
-    each = by_doc.withColumn("rest", F.col("rest") / F.col("rows")).withColumn("known", (F.col("known") / F.col("rows")).cast("long"))
-    each = each.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
     return each.select(
         "doc.doc_id",
         "doc.held_out",
@@ -317,7 +436,7 @@ def score(docs: DataFrame) -> DataFrame:
         (F.col("doc.n_known") + F.col("known")).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("doc.base") + F.col("rest")).alias("base_score"),
-        (F.col("doc.score") + F.col("rest")).alias("score"),
+        (F.col("doc.score") + F.col("rest_score")).alias("score"),
     )
 
 

@@ -6,10 +6,11 @@ similarity out are skipped too. A bit of two sets of similarity 0.8 differs with
 of the 128 misses one of 25,000 such pairs (one of 290 for sets of five; none of equal sets), while of unrelated pairs one in 2.5
 million is looked at in vain.
 
-Every pair that decides is verified on the whole sets. A group of n mutual near copies would have n squared pairs, so a round takes
-for each set its k nearest ones of another component from each pair of tiles; links that hold merge components, and the next round, with
-eight times the k, looks again only at sets that had more. Rounds end when no set had: then every pair in the radius was verified
-or lies inside one component. So the components are those of all pairs in the radius; there is no cap.
+Every pair that decides is verified on the whole sets. A group of n mutual near copies would have n squared pairs, so there are two
+rounds. The first takes for each set its K nearest ones from each pair of tiles, verifies these and merges what holds to components. Sets
+that had more than K, and those that they had, are compared once more, in small tiles that carry the whole sets: there every pair of
+different components is verified on the spot, nearest ones first, and pairs that merged components make needless are left out. So the
+components are those of all pairs in the radius; there is no cap.
 
 Defined results: texts of fewer than five words are one shingle; null and wordless texts are copies of each other; texts of any
 length are read whole; rows without a doc_id take part (they may link others) and always stay; an empty table gives an empty
@@ -34,8 +35,10 @@ SHINGLE = 5
 #: Similarity of a link, as a fraction (4 / 5).
 ALIKE = (4, 5)
 RADIUS = 36
-#: How k grows from round to round.
-MORE = 8
+#: Nearest ones that the first round takes.
+K = 2
+#: Bytes of sets in a tile of the second round, and its fewest rows.
+TILE_BYTES, LEAST = 8 << 20, 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xD6E8FEB86659FD93)
 
@@ -68,7 +71,11 @@ def fingerprint(found: np.ndarray) -> np.ndarray:
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(b):
+        return True
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
     return ALIKE[1] * both >= ALIKE[0] * (len(a) + len(b) - both)
 
 
@@ -85,52 +92,96 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _columns(row) -> list[np.ndarray]:
-    """The columns of an array of structs, ordered by set size."""
-    fields = [row.values.field(k).to_numpy(zero_copy_only=False) for k in range(row.values.type.num_fields)]
+    """The columns of an array of structs (id, two words, size, component), ordered by set size, and the sets if there are."""
+    fields = [row.values.field(k).to_numpy(zero_copy_only=False) for k in range(5)]
     order = np.argsort(fields[3], kind="stable")
-    return [f[order] for f in fields]
+    out = [f[order] for f in fields]
+    if row.values.type.num_fields > 5:
+        sets = row.values.field(5)
+        out.append([np.frombuffer(sets[k].as_buffer(), np.uint64) for k in order.tolist()])
+    return out
 
 
-def nearest(a: list[np.ndarray], b: list[np.ndarray] | None, radius: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (id, id) of each row of a with its k nearest rows of another component within the radius, in b or (None) in a itself; and
-    the ids of rows that have pairs beyond these. Columns: id, two words, size, component; ordered by size."""
+def _hits(a: list[np.ndarray], b: list[np.ndarray] | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of the pairs of rows of a with rows of b, or (None) with other rows of a, of another component, within the radius and
+    of sizes that allow the similarity; all pairs of some rows i at once."""
     within = b is None
     b = a if within else b
-    ids, f0, f1, size, group = a
-    jds, g0, g1, other_size, other_group = b
+    _, f0, f1, size, group = a[:5]
+    _, g0, g1, other_size, other_group = b[:5]
     f0, f1, g0, g1 = (x.view(np.uint64) for x in (f0, f1, g0, g1))
     least, most = -(-ALIKE[0] * size // ALIKE[1]), ALIKE[1] * size // ALIKE[0]
     first, last = np.searchsorted(other_size, least), np.searchsorted(other_size, most, "right")
-    out, left = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
     at = 0
-    while at < len(ids):
+    while at < len(size):
         step = max(1, min(256, (1 << 18) // max(1, int(last[at] - first[at]))))
-        end = min(len(ids), at + step)
+        end = min(len(size), at + step)
         lo, hi = int(first[at]), int(last[end - 1])
         differ = np.bitwise_count(f0[at:end, None] ^ g0[None, lo:hi]) + np.bitwise_count(f1[at:end, None] ^ g1[None, lo:hi])
         found = np.flatnonzero(differ <= radius)
         if len(found):
             i, j = found // (hi - lo) + at, found % (hi - lo) + lo
             good = (group[i] != other_group[j]) & (j >= first[i]) & (j < last[i])
-            i, j, d = i[good], j[good], differ.reshape(-1)[found[good]]
-            if within:  # each row of a pair has its own turn
-                good = i != j
-                i, j, d = i[good], j[good], d[good]
-            if len(i):
-                order = np.argsort(i * 256 + d, kind="stable")
-                i, j = i[order], j[order]
-                start = np.flatnonzero(np.diff(i, prepend=-1))
-                place = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
-                take = place < k
-                out.append(np.stack([ids[i[take]], jds[j[take]]], axis=1))
-                if not take.all():
-                    more = np.isin(i, i[~take])
-                    left += [np.unique(ids[i[more]]), np.unique(jds[j[more]])]
+            if within:
+                good &= i != j
+            if good.any():
+                yield i[good], j[good], differ.reshape(-1)[found[good]]
         at = end
+
+
+def nearest(a: list[np.ndarray], b: list[np.ndarray] | None, radius: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (id, id) of each row of a with its k nearest rows of b, or (None) of a (see _hits); and the ids of rows that have pairs
+    beyond these, with those of the other rows of all their pairs."""
+    ids, jds = a[0], (a if b is None else b)[0]
+    out, left = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
+    for i, j, d in _hits(a, b, radius):
+        order = np.argsort(i * 256 + d, kind="stable")
+        i, j = i[order], j[order]
+        start = np.flatnonzero(np.diff(i, prepend=-1))
+        place = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+        take = place < k
+        out.append(np.stack([ids[i[take]], jds[j[take]]], axis=1))
+        if not take.all():
+            more = np.isin(i, i[~take])
+            left += [np.unique(ids[i[more]]), np.unique(jds[j[more]])]
     pairs = np.sort(np.concatenate(out), axis=1)
     return np.unique(pairs, axis=0), np.unique(np.concatenate(left))
 
 
+def joined(a: list, b: list | None, radius: int) -> list[tuple[int, int]]:
+    """Links (id, id) of sets of similarity ALIKE or more that merge all components which such pairs of rows of a and b (see _hits) merge."""
+    other = a if b is None else b
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := top.get(x, x)) != x:
+            top[x] = top.get(y, y)
+            x = y
+        return x
+
+    links = []
+    for i, j, d in _hits(a, b, radius):
+        order = np.argsort(d, kind="stable")
+        i, j = i[order], j[order]
+        for x, y, g, h in zip(i.tolist(), j.tolist(), a[4][i].tolist(), other[4][j].tolist(), strict=True):
+            if b is None and x > y:
+                continue
+            p, q = find(g), find(h)
+            if p != q and alike(a[5][x], other[5][y]):
+                top[max(p, q)] = min(p, q)
+                links.append((int(a[0][x]), int(other[0][y])))
+    return links
+
+
+def _join(radius: int):
+    def pair(table):
+        sides = [_columns(row) for row in table.column("rows").combine_chunks()]
+        found = np.array(joined(sides[0], sides[1] if len(sides) > 1 else None, radius), np.int64).reshape(-1, 2)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return pair
+
+
 def _compare(radius: int, k: int):
     def pair(table):
         sides = [_columns(row) for row in table.column("rows").combine_chunks()]
@@ -160,35 +211,35 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, tile: int = tiles.TILE) -
     prints = text.mapInArrow(_prints, f"doc_id {kind}, key binary, f0 long, f1 long, n int")
     classes = prints.groupBy("key").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("n").alias("n"), F.min("doc_id").alias("first"))
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "sets")
-    # sets of up to three shingles are alike only if they are equal
-    active = classes.filter(F.col("n") >= ALIKE[0]).select("id", "f0", "f1", "n", F.col("id").alias("component"))
-    links = tried = group = None
-    k = 1
-    while True:
-        ones = F.bit_count("f0") + F.bit_count("f1")
-        work = tiles.pairs_of_tiles(active, ones, F.xxhash64("id"), radius, tile, share=64)
-        found = materialize(work.groupBy("pair").applyInArrow(_compare(radius, k), "a long, b long"), "found")
-        pairs = found.filter("b >= 0").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(classes.select("id", "key", "first"), "id")
-        wanted = materialize(wanted, "wanted")
+    ones, spread = F.bit_count("f0") + F.bit_count("f1"), F.xxhash64("id")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """id, found: the sets of some ids, made again from the texts of their first documents."""
+        wanted = ids.join(classes.select("id", "key", "first"), "id")
         texts = text.join(wanted.select("first").distinct(), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("text")
-        sets = texts.mapInArrow(_sets, "key binary, found binary").join(wanted, "key").groupBy("id").agg(F.first("found").alias("found"))
-        sets = materialize(sets, "shingles")
-        a, b = (sets.select(F.col("id").alias(x), F.col("found").alias(f"found_{x}")) for x in "ab")
-        held = pairs.join(a, "a").join(b, "b").select("a", "b", "found_a", "found_b").mapInArrow(_verify, "a long, b long")
-        held = materialize(held, "links")
-        links = held if links is None else links.union(held)
-        tried = pairs if tried is None else tried.union(pairs)
-        group = materialize(components(links), "components")
-        left = materialize(found.filter("b < 0").select(F.col("a").alias("id")).distinct(), "left")
-        if left.isEmpty():
-            break
-        k *= MORE
-        rest = classes.join(left, "id", "left_semi").join(group, F.col("id") == F.col("node"), "left")
-        active = materialize(rest.select("id", "f0", "f1", "n", F.coalesce("component", "id").alias("component")), "active")
+        found = texts.mapInArrow(_sets, "key binary, found binary").join(wanted.select("id", "key"), "key")
+        return materialize(found.groupBy("id").agg(F.first("found").alias("found")), "shingles")
+
+    # sets of up to three shingles are alike only if they are equal
+    rows = classes.filter(F.col("n") >= ALIKE[0]).select("id", "f0", "f1", "n", F.col("id").alias("component"))
+    work = tiles.pairs_of_tiles(rows, ones, spread, radius, tile, share=64)
+    found = materialize(work.groupBy("pair").applyInArrow(_compare(radius, K), "a long, b long"), "found")
+    pairs = materialize(found.filter("b >= 0").distinct(), "pairs")
+    sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    a, b = (sets.select(F.col("id").alias(x), F.col("found").alias(f"found_{x}")) for x in "ab")
+    held = pairs.join(a, "a").join(b, "b").select("a", "b", "found_a", "found_b").mapInArrow(_verify, "a long, b long")
+    links = materialize(held, "links")
+    group = components(links)
+
+    left = materialize(found.filter("b < 0").select(F.col("a").alias("id")).distinct(), "left")
+    n, size = left.join(classes, "id").agg(F.count(F.lit(1)), F.sum("n")).first()
+    if n:
+        rest = left.join(classes, "id").join(group, F.col("id") == F.col("node"), "left").select("id", "f0", "f1", "n", F.coalesce("component", "id").alias("component"))
+        rest = rest.join(sets_of(left), "id")
+        small = min(tile, max(LEAST, n // 16))
+        work = tiles.pairs_of_tiles(rest, ones, spread, radius, small, share=n, most=max(1, TILE_BYTES * n // (8 * size)))
+        more = materialize(work.groupBy("pair").applyInArrow(_join(radius), "a long, b long"), "links")
+        group = components(links.union(more))
     labels = classes.join(group, F.col("id") == F.col("node"), "left")
     return labels.select("id", "first", F.coalesce("component", "id").alias("component"))
 

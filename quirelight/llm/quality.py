@@ -6,8 +6,8 @@ first (smallest doc_id) that has it, so that one place keeps it. A document that
 is rejected. Exact copies count once, so a text is never called boilerplate for having been copied.
 
 Defined results: null text is the empty text (no words, so base_failed); null source is a host of its own; empty tables give empty
-results; repeated rows are judged one by one (all rows with the smallest doc_id keep a line); a null doc_id is never a first document
-and loses no lines; other columns of the input are never read, except that `clean` passes them through, whatever their names.
+results; repeated rows are judged one by one, each like a single one (all rows with the smallest doc_id keep a line); a null doc_id is
+never a first document and loses no lines; other columns of the input are never read, except that `clean` passes them through, whatever their names.
 
 Everything is DataFrame expressions: no Python runs on the executors.
 """
@@ -75,18 +75,23 @@ def _normal(line: Column) -> Column:
     return F.translate(F.btrim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")), UPPER_LETTERS, LOWER_LETTERS)
 
 
+def _host() -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit(""))
+
+
 def document_lines(docs: DataFrame) -> DataFrame:
-    """One row for each distinct normalised line with a word: host, doc_id, text_key, line_key, times, line_words."""
-    lines = F.filter(F.transform(F.split(text_of(), "\n"), _normal), lambda x: x != "")
-    keyed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line_key"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("line_words")))
-    return docs.select(
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), "doc_id", F.xxhash64(text_of()).alias("text_key"), F.explode(keyed).alias("x")
-    ).select("host", "doc_id", "text_key", "x.line_key", "x.line_words")
+    """One row for each line with a word of each row of docs: host, doc_id, text_key, at (its place), line_key, line_words."""
+    lines = F.transform(F.split(text_of(), "\n"), lambda x, i: F.struct(_normal(x).alias("line"), i.alias("at")))
+    keyed = F.transform(
+        F.filter(lines, lambda x: x["line"] != ""),
+        lambda x: F.struct(F.xxhash64(x["line"]).alias("line_key"), (F.length(x["line"]) - F.length(F.translate(x["line"], " ", "")) + 1).alias("line_words"), x["at"].alias("at")),
+    )
+    return docs.select(_host().alias("host"), "doc_id", F.xxhash64(text_of()).alias("text_key"), F.explode(keyed).alias("x")).select("host", "doc_id", "text_key", "x.at", "x.line_key", "x.line_words")
 
 
 def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
     """host, line_key, first_doc of the lines above the limit."""
-    texts = docs.select(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64(text_of()).alias("text_key")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_texts"))
+    texts = docs.select(_host().alias("host"), F.xxhash64(text_of()).alias("text_key")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_texts"))
     once = document_lines(docs).groupBy("host", "line_key", "text_key").agg(F.min("doc_id").alias("first_doc"))
     return (
         once.groupBy("host", "line_key")
@@ -100,17 +105,21 @@ def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: floa
 
 def assess(docs: DataFrame, *carry: Column, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, lost_share: float = LOST_SHARE) -> DataFrame:
     """The measures of every document with lost_words (in removed lines), lost_lines (their keys) and kept; carry: more columns to keep."""
+    # a row is known by host, doc_id and text; rows that are equal in all three lose the same lines, counted once
+    row = ["host", "doc_id", "text_key"]
     lost = (
         document_lines(docs)
         .join(frequent_lines(docs, line_docs, line_share), ["host", "line_key"])
         .filter(F.col("doc_id") != F.col("first_doc"))
-        .groupBy(F.col("doc_id").alias("_lost_id"))
+        .dropDuplicates([*row, "at"])
+        .groupBy(*[F.col(c).alias(f"_lost_{c}") for c in row])
         .agg(F.sum("line_words").alias("lost_words"), F.collect_set("line_key").alias("lost_lines"))
     )
-    found = measures(docs, *carry)
+    found = measures(docs, *carry, _host().alias("_host"), F.xxhash64(text_of()).alias("_text_key"))
+    same = (found["_host"] == lost["_lost_host"]) & (found["doc_id"] == lost["_lost_doc_id"]) & (found["_text_key"] == lost["_lost_text_key"])
     return (
-        found.join(lost, found["doc_id"] == lost["_lost_id"], "left")
-        .drop("_lost_id")
+        found.join(lost, same, "left")
+        .drop("_host", "_text_key", *[f"_lost_{c}" for c in row])
         .withColumn("lost_words", F.coalesce("lost_words", F.lit(0)).cast("long"))
         .withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") < lost_share * F.col("n_words")))
     )
@@ -132,26 +141,26 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 OP6_SQL = rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host, {_WORDS} AS w FROM documents),
-g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS gram
-      FROM (SELECT doc_id, w, unnest(range(1, CAST(len(w) - 3 AS BIGINT))) AS i FROM d WHERE len(w) >= 5)),
-twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n >= 2),
-rep AS (SELECT doc_id, count(*) AS n_repeat_words
-        FROM (SELECT DISTINCT doc_id, i + k AS p FROM twice, (SELECT unnest(range(0, 5)) AS k)) GROUP BY doc_id),
-l0 AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS host, {_WORDS} AS w FROM documents),
+g AS (SELECT rid, i, array_to_string(w[i:i + 4], ' ') AS gram
+      FROM (SELECT rid, w, unnest(range(1, CAST(len(w) - 3 AS BIGINT))) AS i FROM d WHERE len(w) >= 5)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g) WHERE n >= 2),
+rep AS (SELECT rid, count(*) AS n_repeat_words
+        FROM (SELECT DISTINCT rid, i + k AS p FROM twice, (SELECT unnest(range(0, 5)) AS k)) GROUP BY rid),
+l0 AS (SELECT rid, doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
 l AS (SELECT *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM l0),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE norm <> '' GROUP BY doc_id),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE norm <> '' GROUP BY rid),
 texts AS (SELECT host, count(DISTINCT text) AS host_texts FROM d GROUP BY host),
 freq AS (SELECT host, norm, count(DISTINCT text) AS n_texts, min(doc_id) AS first_doc FROM l WHERE norm <> '' GROUP BY host, norm),
 over AS (SELECT freq.* FROM freq JOIN texts USING (host) WHERE n_texts > {LINE_DOCS} AND n_texts > {LINE_SHARE} * host_texts),
-lost AS (SELECT l.doc_id, sum(length(l.norm) - length(replace(l.norm, ' ', '')) + 1) AS lost_words
-         FROM l JOIN over USING (host, norm) WHERE l.doc_id <> over.first_doc GROUP BY l.doc_id),
+lost AS (SELECT l.rid, sum(length(l.norm) - length(replace(l.norm, ' ', '')) + 1) AS lost_words
+         FROM l JOIN over USING (host, norm) WHERE l.doc_id <> over.first_doc GROUP BY l.rid),
 m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words,
              CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
              CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
              coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
              CAST(coalesce(lost_words, 0) AS BIGINT) AS lost_words
-      FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN lost USING (doc_id))
+      FROM d LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN lost USING (rid))
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND lost_words < {LOST_SHARE} * n_words AS kept
 FROM m

@@ -11,7 +11,7 @@ Lines are told apart by 64-bit hashes. Leaves that cannot reach the limit are ne
 dropped lines are sent to all tasks if they have no more than SMALL rows (counted first), and are joined by a shuffle beyond that.
 
 Defined results: null text is empty; lines without words are kept and never counted; repeated rows are documents like others (all
-rows with the first doc_id keep the line); texts and lines of any length are read whole; empty tables give empty results; other
+rows with the first doc_id keep the line); a row without a doc_id is never the first, and loses its recurring lines; texts and lines of any length are read whole; empty tables give empty results; other
 columns pass through `drop_templates`.
 """
 
@@ -20,7 +20,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,20 +58,31 @@ def _key(line: bytes) -> int:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text_key, text) to one row for each distinct masked line."""
     for batch in batches:
-        rows: list[tuple[int, int, int, int]] = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            text = (text or "").encode()
-            own = {line for line in map(masked, text.split(b"\n")) if line}
-            text_key = _key(text)
-            rows += [(leaf(line), _key(line), text_key, doc_id) for line in own]
-        table = np.array(rows, np.int64).reshape(-1, 4) if None not in (r[3] for r in rows) else None
-        columns = [pa.array(table[:, k]) for k in range(4)] if table is not None else [pa.array([r[k] for r in rows], pa.int64()) for k in range(4)]
-        yield pa.RecordBatch.from_arrays(columns, names=["leaf", "line", "text_key", "doc_id"])
-
-
-def _some_lines(leaves: set[int] | None):
+        leaves, lines, rows = [], [], []
+        for row, text in enumerate(batch.column(2)):
+            own = {line for line in map(masked, (text.as_py() or "").encode().split(b"\n")) if line}
+            leaves += map(leaf, own)
+            lines += map(_key, own)
+            rows += [row] * len(own)
+        rows = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(lines, pa.int64()), batch.column(1).take(rows), batch.column(0).take(rows)], names=["leaf", "line", "text_key", "doc_id"])
+
+
+_LINE = "leaf long, line long, text_key long, doc_id long"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+
+def _some_lines(wanted):
+    """The masked lines of the wanted leaves (a broadcast set; None: of all)."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaves = wanted and wanted.value
         seen: set[int] = set()
         for batch in batches:
             rows = []
@@ -93,11 +103,11 @@ def _some_lines(leaves: set[int] | None):
 def templates(docs: DataFrame, limit: int = LIMIT, branches: int = BRANCHES) -> DataFrame:
     """line, first_doc: the masked lines (by hash) whose template recurs in more than limit texts."""
     text = F.col("text").cast("string")
-    once = docs.select(F.col("doc_id").cast("long"), text).mapInArrow(_lines, "leaf long, line long, text_key long, doc_id long").groupBy("leaf", "line", "text_key").agg(F.min("doc_id").alias("doc_id"))
+    once = _keyed(docs).mapInArrow(_lines, _LINE).groupBy("leaf", "line", "text_key").agg(F.min("doc_id").alias("doc_id"))
     once = materialize(once, "lines")
     busy = materialize(once.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select("leaf"), "leaves")
     if busy.count() <= SMALL:
-        leaves = {r["leaf"] for r in busy.collect()}
+        leaves = docs.sparkSession.sparkContext.broadcast({r["leaf"] for r in busy.collect()})
         found = docs.select(text).mapInArrow(_some_lines(leaves), "leaf long, line long, masked string")
     else:
         found = docs.select(text).mapInArrow(_some_lines(None), "leaf long, line long, masked string").join(busy, "leaf")
@@ -112,38 +122,42 @@ def templates(docs: DataFrame, limit: int = LIMIT, branches: int = BRANCHES) ->
     return materialize(named.join(often, "template").select("line", "first_doc"), "dropped")
 
 
-def _drop(text: str, doc_id: int, dropped) -> tuple[str, int, int]:
-    """The text without the lines that are dropped in this document, its lines and how many went."""
+def _drop(text: str, goes) -> tuple[str, int, int]:
+    """The text without the lines whose key goes, its lines and how many went."""
     lines = text.split("\n")
-    keys = [_key(m) if (m := masked(x.encode())) else None for x in lines]
-    kept = [x for x, k in zip(lines, keys, strict=True) if k is None or k not in dropped or dropped[k] == doc_id]
+    kept = [x for x in lines if not (m := masked(x.encode())) or not goes(_key(m))]
     return "\n".join(kept), len(lines), len(lines) - len(kept)
 
 
 def drop_templates(docs: DataFrame, limit: int = LIMIT, branches: int = BRANCHES) -> DataFrame:
     """_rest (the columns of docs but text), text without the dropped lines, n_lines, n_dropped."""
-    spark = docs.sparkSession
     gone = templates(docs, limit, branches)
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    rows = docs.select(rest.alias("_rest"), F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    kind = rows.schema["_rest"].dataType.simpleString()
-    out = f"_rest {kind}, text string, n_lines long, n_dropped long"
+    rest = F.struct(F.lit(None).cast("boolean").alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    text = F.col("text").cast("string")
+    rows = docs.select(rest.alias("_rest"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_text_key"), F.coalesce(text, F.lit("")).alias("_text"))
+    table = None
     if gone.count() <= SMALL:
-        table = spark.sparkContext.broadcast({r["line"]: r["first_doc"] for r in gone.collect()})
-        of = lambda _: table.value
+        table = docs.sparkSession.sparkContext.broadcast({r["line"]: r["first_doc"] for r in gone.collect()})
     else:
-        hits = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_lines, "leaf long, line long, text_key long, doc_id long").join(gone, "line")
-        hits = hits.filter("doc_id <> first_doc").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_gone"))
-        rows = rows.join(hits, "_id", "left").select("_rest", "_id", "_text", "_gone")
-        of = lambda keys: dict.fromkeys(keys or ())
+        hits = _keyed(docs).mapInArrow(_lines, _LINE).join(gone, "line").filter(~F.col("doc_id").eqNullSafe(F.col("first_doc")) | F.col("doc_id").isNull())
+        hits = hits.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("_gone"))
+        same = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_text_key") == F.col("text_key"))
+        rows = rows.join(hits, same, "left").select("_rest", "_id", "_text_key", "_text", "_gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = table and table.value
         for batch in batches:
-            own = [None] * batch.num_rows if batch.num_columns < 4 else batch.column(3).to_pylist()
-            found = [_drop(t, i, of(g)) for i, t, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), own, strict=True)]
+            found = []
+            for k in range(batch.num_rows):
+                own = batch.column(1)[k].as_py()
+                if first is not None:
+                    goes = lambda key, own=own: key in first and (own is None or first[key] != own)
+                else:
+                    goes = set(batch.column(4)[k].as_py() or ()).__contains__
+                found.append(_drop(batch.column(3)[k].as_py(), goes))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64())))], names=["_rest", "text", "n_lines", "n_dropped"])
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(run, f"_rest {rows.schema['_rest'].dataType.simpleString()}, text string, n_lines long, n_dropped long")
 
 
 def without_templates(docs: DataFrame, **options) -> DataFrame:

@@ -33,12 +33,12 @@ def layout(counts: dict[int, int], radius: int, tile: int) -> tuple[list[int], l
     return tuple([x[g] for g in of] for x in (base, parts, low, high))
 
 
-def pairs_of_tiles(prints: DataFrame, ones: Column, spread: Column, radius: int, tile: int, share: int = 256) -> DataFrame:
+def pairs_of_tiles(prints: DataFrame, ones: Column, spread: Column, radius: int, tile: int, share: int = 256, most: int = MOST) -> DataFrame:
     """pair, rows: two rows for each pair of tiles (one for a tile with itself), with all of a tile's rows of prints as an array.
     Only the histogram of population counts comes to the driver."""
     spark = prints.sparkSession
     counts = {r["ones"]: r["count"] for r in prints.groupBy(ones.alias("ones")).count().collect()}
-    tile = min(MOST, max(tile, sum(counts.values()) // share))
+    tile = min(most, max(tile, sum(counts.values()) // share))
     base, parts, low, high = (F.array(*map(F.lit, x)) for x in layout(counts, radius, tile))
     number = F.get(base, ones) + F.pmod(spread, F.get(parts, ones))
     row = F.struct(*prints.columns)

@@ -49,6 +49,7 @@ def test_empty_tables(none):
     assert templates.drop_templates(none).count() == simhash.near_duplicates(none).count() == 0
     assert suffix.cut_repeats(none).count() == packing.pack(none).count() == merkle.with_next(none).count() == 0
     assert sharding.shuffle_into_shards(none).count() == merkle.fingerprints(none).count() == 0
+    assert lm.score(none).count() == simhash.keep_first(none).count() == 0
 
 
 def slow_quality(text):
@@ -87,6 +88,42 @@ def test_quality_judges_small_hosts_by_share(spark):
     assert {r["doc_id"] for r in quality.assess(depleted).filter("not kept").collect()} == set(range(1, 10))
 
 
+def slow_verdict(rows, floor=5, share=0.005, lost=0.7):
+    """(lost words, kept) of each row (doc_id, text, source), row by row."""
+    normal = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    lines = [[n for x in (t or "").split("\n") if (n := normal(x))] for _, t, _ in rows]
+    texts, holders, first = {}, {}, {}
+    for (i, t, host), own in zip(rows, lines, strict=True):
+        texts.setdefault(host or "", set()).add(t or "")
+        for x in set(own):
+            holders.setdefault((host or "", x), set()).add(t or "")
+            if i is not None:
+                first[host or "", x] = min(i, first.get((host or "", x), i))
+    out = []
+    for (i, t, host), own in zip(rows, lines, strict=True):
+        host = host or ""
+        gone = [x for x in own if len(holders[host, x]) > max(floor, share * len(texts[host])) and i is not None and i != first[host, x]]
+        n = sum(len(x.split(" ")) for x in gone)
+        m = slow_quality(t or "")
+        out.append((i, n, not (m[0] < 10 or 100 * m[4] > 20 * m[0]) and n < lost * m[0]))
+    return out
+
+
+def test_quality_verdict_of_each_row(spark):
+    rng = random.Random(11)
+    lines = [" ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    rows = []
+    for k in range(120):
+        own = rng.sample(lines[:12], rng.randrange(4)) + rng.sample(lines, rng.randrange(1, 6)) + [f"own{k} " * 3] * rng.randrange(2)
+        rng.shuffle(own)
+        rows.append((None if k % 17 == 0 else k // 2 if k % 5 == 0 else k, "\n".join(own), None if k % 7 == 0 else f"h{k % 3}"))
+    rows += rows[:9] * 3 + [(500, None, "h1"), (501, "", "h1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r["doc_id"], r["lost_words"], r["kept"]) for r in quality.assess(df).collect())
+    want = slow_verdict(rows)
+    assert got == Counter(want) and sum(n > 0 for _, n, _ in want) > 20 and {k for *_, k in want} == {True, False}
+
+
 def test_passing_columns_through(docs):
     for out in (quality.clean(docs), templates.without_templates(docs, limit=5), simhash.keep_first(docs), suffix.remove_repeats(docs)):
         assert out.columns == docs.columns
@@ -100,6 +137,45 @@ def test_templates(docs, rows):
     assert out == want
 
 
+def slow_templates(rows, limit, branches):
+    """The texts of rows (doc_id, text) without the lines whose template recurs: the tree as a plain dictionary."""
+    mask = lambda x: tuple("<*>" if re.search("[0-9]", t) else t for t in re.findall(r"[^\x20\x09-\x0D]+", x))
+    at = lambda m: (len(m), m[:3])
+    leaves, texts_of = {}, {}
+    for _, t in rows:
+        for m in {mask(x) for x in (t or "").split("\n")} - {()}:
+            leaves.setdefault(at(m), set()).add(m)
+            texts_of.setdefault(m, set()).add(t)
+    name = {}
+    for leaf, own in leaves.items():
+        fields = [k for k in range(leaf[0]) if len({m[k] for m in own}) > branches]
+        busy = sum(len(texts_of[m]) for m in own) > limit and 2 * len(fields) <= leaf[0]
+        for m in own:
+            name[m] = leaf, tuple("<*>" if busy and k in fields else t for k, t in enumerate(m))
+    holders, first = {}, {}
+    for i, t in rows:
+        for m in {mask(x) for x in (t or "").split("\n")} - {()}:
+            holders.setdefault(name[m], set()).add(t)
+            if i is not None:
+                first[name[m]] = min(i, first.get(name[m], i))
+    goes = lambda i, m: m and len(holders[name[m]]) > limit and (i is None or first.get(name[m]) != i)
+    return [(i, "\n".join(x for x in (t or "").split("\n") if not goes(i, mask(x)))) for i, t in rows]
+
+
+@pytest.mark.parametrize("small", [1 << 18, 0])
+def test_templates_against_a_plain_tree(spark, small, monkeypatch):
+    monkeypatch.setattr(templates, "SMALL", small)
+    rng = random.Random(12)
+    heads = [" ".join(rng.choice("abc") for _ in range(3)) for _ in range(6)]
+    line = lambda: rng.choice(heads) + "".join(" " + rng.choice(["x", "y", "z", "q7", "12", "v", "u", "t"]) for _ in range(rng.randrange(4)))
+    rows = [(None if k % 13 == 0 else k // 2 if k % 6 == 0 else k, "\n".join([line() for _ in range(rng.randrange(6))] + [f"own{chr(97 + k % 26)}"])) for k in range(150)]
+    rows += rows[:5] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in templates.drop_templates(df, limit=8, branches=3).select("_rest.doc_id", "text").collect())
+    want = slow_templates(rows, 8, 3)
+    assert got == Counter(want) and want != [(i, t or "") for i, t in rows]
+
+
 def test_template_fields(spark):
     texts = [(k, f"user u{k} came from host {'abcdefghij'[k % 10] * 3} today at noon\nmy own line {'x' * k} {'y' * k}") for k in range(12)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
@@ -200,6 +276,31 @@ def test_near_dedup_finds_all_pairs_from_four_fifths_on(spark, tile):
     assert Counter(got) == Counter({k for k in want if want[k] == k} | {None})
 
 
+def test_near_dedup_looks_at_all_pairs(spark, monkeypatch):
+    """Every pair lies in this radius, so only verification can tell, and sets have far more than K candidates."""
+    from quirelight.llm import near
+
+    monkeypatch.setattr(near, "LEAST", 8)
+    texts = near_texts()[:70]
+    sets = [slow_shingles(t) for t in texts]
+    want = slow_groups(range(len(texts)), lambda a, b: not (sets[a] | sets[b]) or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in near.keep_first(df, radius=128, tile=32).collect()} == {k for k in want if want[k] == k}
+
+
+def test_rows_without_id_link_others(spark):
+    rng = random.Random(9)
+    a = [f"w{rng.randrange(900)}" for _ in range(60)]
+    texts = [(1, " ".join(a)), (None, " ".join([*a, *"pqrs"])), (2, " ".join([*a, *"pqrs", *"tuvwxyz"]))]
+    s1, s2, s3 = (slow_shingles(t) for _, t in texts)
+    assert len(s1 & s3) < 0.85 * len(s1 | s3) and min(len(s1 & s2) / len(s1 | s2), len(s2 & s3) / len(s2 | s3)) >= 0.8
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = [r["doc_id"] for r in simhash.keep_first(df).collect()]
+    assert Counter(got) == Counter([1, None])
+    prints = spark.createDataFrame([(1, "a b c d"), (None, "a b c d"), (None, "q"), (3, "A B c d")], "doc_id long, text string")
+    assert Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(prints).collect()) == Counter([(1, 1), (None, 1), (3, 1), (None, None)])
+
+
 def slow_cut(docs, length=400):
     places = Counter()
     for d in docs:
@@ -248,36 +349,71 @@ def test_merge_knows_common_prefixes():
     assert all(n == suffix.common_prefix(a, b) for (n, b, *_), a in zip(got[1:], items))
 
 
-def test_lm(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(lm, "LOOKUP", 5)
+@pytest.mark.parametrize("lookup, placed", [(5, 5), (1 << 17, 2)])
+def test_lm(spark, docs, rows, lookup, placed, monkeypatch):
+    monkeypatch.setattr(lm, "LOOKUP", lookup)
+    monkeypatch.setattr(lm, "PLACED", placed)
+    monkeypatch.setattr(lm, "CLUSTERED", 6)
     count = Counter()
     for i, t in rows:
         if zlib.crc32(str(i).encode()) % 10:
             count.update(lm.tokens(t))
     total, kinds = sum(count.values()), len(count)
+    model, words = lm.train(docs)
+    of = {bytes(r["word"]): r["class"] for r in words.collect()}
+    first = sorted((-n, w) for w, n in count.items() if w != lm.END)[: lm.CLUSTERED] if lookup > 5 else None
+    rare = lambda w: lm.CLASSES + 1 + lm.rare_class(w)
+    if first:
+        clustered = {w for _, w in first}
+        assert set(of) == set(count) and all((c < lm.CLASSES) == (w in clustered or count[w] >= placed) for w, c in of.items() if w != lm.END)
+        context = lambda w: lm.CLASSES if w == lm.END else of[w] if w in clustered else rare(w)
     got = lm.score(docs).collect()
     assert len(got) == len(rows)
     texts = dict(rows)
     for r in got:
-        words = lm.tokens(texts[r["doc_id"]])
-        assert r["n_tokens"] == len(words) and r["n_known"] == sum(count[w] > 0 for w in words) and r["train_tokens"] == total
-        assert math.isclose(r["base_score"], sum(math.log10((count[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in words), rel_tol=1e-9)
+        said = lm.tokens(texts[r["doc_id"]])
+        assert r["n_tokens"] == len(said) and r["n_known"] == sum(count[w] > 0 for w in said) and r["train_tokens"] == total
+        assert math.isclose(r["base_score"], sum(math.log10((count[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in said), rel_tol=1e-9)
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0) and r["score"] < 0
+        if first:
+            want = sum(model.move[context(a), c := of.get(b, rare(b))] + math.log10(count[b] + 0.1) - model.out_of[c] for a, b in zip([lm.END, *said], said))
+            assert math.isclose(r["score"], want, rel_tol=1e-9)
 
 
 def test_lm_is_a_distribution(spark, docs):
-    model, counts = lm.train(docs)
+    model, words = lm.train(docs)
     for before in (lm.CLASSES, 0, 70):
         assert math.isclose(sum(10.0 ** model.move[before]), 1, rel_tol=1e-9)
     emitted = Counter()
-    for r in counts.collect():
-        w = bytes(r["word"])
-        c = model.class_of.get(w, lm.CLASSES + 1 + lm.rare_class(w))
-        emitted[c] += 10 ** (math.log10(r["n"] + 0.1) - model.out_of[c])
+    for r in words.collect():
+        emitted[r["class"]] += 10 ** (math.log10(r["n"] + 0.1) - model.out_of[r["class"]])
     for c, p in emitted.items():
         assert math.isclose(p + 10 ** (math.log10(0.1) - model.out_of[c]), 1, rel_tol=1e-9)
 
 
+def test_placement_gains_are_exact():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    table = rng.integers(0, 9, (lm.SIZE, lm.SIZE))
+    n = [rng.integers(1, 5, k) for k in (3, 1, 7)]
+    contexts = [rng.choice(lm.SIZE, len(x), replace=False) for x in n]
+    own = np.array([-1, 5, 7])
+    for k in (1, 2):
+        table[contexts[k], own[k]] += n[k]
+    starts = np.cumsum([0, *[len(x) for x in n[:-1]]])
+    got = lm.placements(table, starts, np.concatenate(contexts), np.concatenate(n).astype(float), own)
+    rows = lambda t: lm.likelihood(t) + lm._xlogx(t.sum(1)).sum()  # noqa: E731  contexts keep their totals
+    for k in range(3):
+        without = table.copy()
+        if own[k] >= 0:
+            without[contexts[k], own[k]] -= n[k]
+        for c in range(lm.CLASSES):
+            moved = without.copy()
+            moved[contexts[k], c] += n[k]
+            assert math.isclose(got[k, c], rows(moved) - rows(without), abs_tol=1e-6)
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark, sf):
     out = lm.op3_brown_lm(spark, sf).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]
@@ -307,6 +443,13 @@ def test_packing(docs, rows):
     want = Counter((i, k, n) for i, t in rows for k, n in enumerate([min(50, len(t.split()) - a) for a in range(0, len(re.findall(r"[^\x20\x09-\x0D]+", t)), 50)] or [0]))
     assert Counter((r["doc_id"], r["part"], r["n_tokens"]) for r in got) == want
     assert all(r["n_tokens"] <= r["padded_tokens"] and r["padded_tokens"] * (r["slot"] + 1) <= 200 for r in got)
+    whole = Counter()
+    for i in {r["doc_id"] for r in got}:
+        parts = sorted((r["part"], r["text"]) for r in got if r["doc_id"] == i)
+        whole[i, "".join(t for _, t in parts)] += 1
+    once = Counter(set(rows))
+    twice = {i for i, n in Counter(i for i, _ in rows).items() if n > 1}
+    assert {k for k in whole if k[0] not in twice} == {k for k in once if k[0] not in twice}
     for b in {r["bucket"] for r in got}:
         own = [r for r in got if r["bucket"] == b]
         per = max(1, 200 // own[0]["padded_tokens"])
@@ -339,7 +482,8 @@ def test_bpe(docs, rows, encoder):
     import numpy as np
 
     path, pattern, other = encoder
-    got = Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in bpe.encode(docs, path, pattern).collect())
+    got = Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in bpe.encode(docs, path, pattern, spaced=True).collect())
+    assert bpe.encode(docs.filter("false"), path, pattern).count() == 0
     assert got == Counter((i, np.array(other.encode_ordinary(t), "<u4").tobytes(), t.encode()) for i, t in rows)
 
 
@@ -347,9 +491,11 @@ def test_bpe_on_odd_texts(encoder):
     import numpy as np
 
     path, pattern, other = encoder
-    own, rng = bpe.Replay(bpe.read_ranks(path), pattern), random.Random(6)
+    own, plain, rng = bpe.Replay(bpe.read_ranks(path), pattern, spaced=True), bpe.Replay(bpe.read_ranks(path), pattern), random.Random(6)
     odd = ["".join(rng.choice("aab bcé \x1c\x85​\n\t 1２'st're漢字😀́_=.ß") for _ in range(rng.randrange(60))) for _ in range(1500)] + ["a" * 3000, " " * 99]
-    assert own.encode(odd) == [np.array(other.encode_ordinary(x), "<u4").tobytes() for x in odd]
+    want = [np.array(other.encode_ordinary(x), "<u4").tobytes() for x in odd]
+    assert own.encode(odd) == plain.encode(odd) == want
+    assert own.encode(odd) == want and max(map(len, own.first), default=0) <= bpe.LONG
 
 
 def test_chat_reads_back(spark):
@@ -362,6 +508,16 @@ def test_chat_reads_back(spark):
     assert "".join(chat.unescape(out[1]["formatted"][m["start"] : m["end"]]) for m in out[1]["mask"]) == "".join(nasty[1::2])
 
 
+def test_chat_mixes_layouts_and_reads_the_same_turns(spark, none):
+    rows = [(c, k, "user" if k % 2 == 0 else "assistant", f"</s> {c} [END] {k}" if k else None) for c in range(60) for k in range(2 + c % 3)] + [(99, 0, None, None), (100, 0, "system", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_records(chat.records_of_turns(df, mixed=True)).collect()
+    assert len({r["layout"] for r in out}) == 6
+    got = {r["conv_id"]: chat.read_back(r["formatted"]) for r in out}
+    assert got == {c: [(r[2] or "", r[3] or "") for r in rows if r[0] == c] for c in {r[0] for r in rows}}
+    assert chat.format_records(chat.records_of_turns(df.filter("false"), mixed=True)).count() == 0
+
+
 def test_chat_layouts(spark):
     import json
 
@@ -393,6 +549,37 @@ def test_merkle(spark):
         assert 0 <= r["near_edited"] <= 1 and (r["near_next"] == 1) == (t == texts[after[r["doc_id"]]])
 
 
+def slow_likeness(a, b):
+    x, y = (Counter() for _ in range(2))
+    for out, text in ((x, a), (y, b)):
+        for line in text.split("\n"):
+            for p in merkle.pieces(line):
+                out[p] += len(p)
+    total = sum(x.values()) + sum(y.values())
+    return 1.0 if a == b else 2 * sum((x & y).values()) / total if total else 0.0
+
+
+def test_merkle_likeness_walks_trees(rows):
+    rng = random.Random(13)
+    texts = [t for _, t in rows if t and len(t) < 20_000]
+    for _ in range(150):
+        a, b = rng.choice(texts), rng.choice(texts)
+        n = len(a) // rng.randrange(2, 9)
+        b = rng.choice([b, a[:n] + "|" + a[n:], a[n:] + b[:n], a + "\n" + b])
+        assert merkle.fingerprint(a) != merkle.fingerprint(b) or a == b
+        assert math.isclose(merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)), slow_likeness(a, b))
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 40, 150])
+def test_merkle_next_does_not_depend_on_ranges(spark, ranges):
+    rows = [(k, f"text {k} " * 3) for k in range(80)] + [(7, f"seven {k}") for k in range(60)] + [(None, f"none {k}") for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ties = {(r["doc_id"], r["text"]): r["h"] for r in df.withColumn("h", F.xxhash64("text")).collect()}
+    order = sorted(rows, key=lambda x: (-1 if x[0] is None else x[0], ties[x]), reverse=True)
+    want = Counter((a[0], hashlib.sha256((a[1][: len(a[1]) - len(a[1]) // 3] + b[1][: len(a[1]) // 3]).encode()).hexdigest()) for a, b in zip(order, [*order[1:], order[0]]))
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in merkle.with_next(df, ranges).collect()) == want
+
+
 def test_merkle_locates_edits():
     rng = random.Random(7)
     lines = [" ".join(f"w{rng.randrange(500)}" for _ in range(30)) for _ in range(30)]
@@ -416,6 +603,20 @@ def test_sharding(docs, rows):
     assert again == {(r["doc_id"], r["shard"], r["slot"]) for r in got if r["doc_id"] not in (20, 6)}
 
 
+def test_sharding_keeps_clashing_columns_and_splits_equal_rows(spark, tmp_path):
+    rows = [(k % 7, "same" if k < 3000 else f"t{k}", k, "s") for k in range(3000)] + [(1, "hot", k, "s") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, Shard int, row string").withColumn("slot", F.lit(5)).withColumn("_slot", F.lit(6))
+    out = sharding.shuffle_into_shards(df, shards=3, bucket_bytes=1000)
+    assert out.columns == ["doc_id", "text", "_Shard", "row", "__slot", "_slot", "shard", "slot"]
+    got = out.collect()
+    assert Counter((r["doc_id"], r["text"], r["_Shard"], r["row"]) for r in got) == Counter(rows) and {(r["__slot"], r["_slot"]) for r in got} == {(5, 6)}
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(3) for k in range(2000)]
+    sharding.write_shards(df.select("doc_id", "text"), str(tmp_path / "out"), shards=3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter(x[:2] for x in rows)
+    assert sorted((r["shard"], r["slot"]) for r in back.collect()) == [(s, k) for s in range(3) for k in range(2000)]
+
+
 def test_pipeline(spark, docs, rows):
     import corpus_pipeline
 
