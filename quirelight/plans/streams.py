@@ -2,37 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..sources import fixtures as X
 from ..sources.fixtures import sql
+from ..sources.shared import new_folder
 from ..streaming import streams as S
 from .units import _TIME, _need
 
 
-def _shared(spark) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{found.rstrip('/') if found else 'file://' + tempfile.mkdtemp(prefix='quirelight-')}/{uuid.uuid4().hex}"
-
+SLICES = 4
 
-def _source(spark, df, at: str):
-    """df as a stream: written once to the shared folder, read in several micro-batches, in file order."""
-    df.write.parquet(f"{at}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(f"{at}/in")
 
+def _source(spark, df, at: str, time: str):
+    """df as a stream: written once to the shared folder in SLICES slices of time, one after the other, each of them by learner in as many
+    files as there are partitions; read in several micro-batches, oldest files first."""
+    us = F.unix_micros(F.col(time).cast("timestamp")).cast("double")
+    cuts = df.select(us.alias("us")).stat.approxQuantile("us", [k / SLICES for k in range(1, SLICES)], 0.01) or [0.0] * (SLICES - 1)
+    edges = [float("-inf"), *cuts, float("inf")]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for low, high in zip(edges, edges[1:], strict=False):
+        df.filter((us >= low) & (us < high)).repartition(parts, "learner_id").write.mode("append").parquet(f"{at}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", parts).parquet(f"{at}/in")
 
-def _drain(spark, out, at: str, mode: str = "append"):
-    """Run a stream to its end and read what it wrote. Micro-batches of one source drain in order; a last watermark move closes windows."""
-    if mode == "complete":
-        def write(batch, batch_id):
-            batch.write.mode("overwrite").parquet(f"{at}/out")
 
-        query = out.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
-    else:
-        query = out.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
+def _drain(spark, out, at: str):
+    """Run a stream to its end and read what it wrote; a last watermark move closes windows up to it."""
+    query = out.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
@@ -43,55 +39,62 @@ def _views(spark, d):
 
 
 def x1(spark, d):
-    at = _shared(spark)
-    views = _source(spark, _views(spark, d).repartitionByRange(1, "ts").sortWithinPartitions("ts"), at)
-    return _drain(spark, S.stream_page_reads(views, _need(spark, d).withColumn("chars", F.col("chars") * 10), 3600.0), at).select("learner_id", "page")
+    at = new_folder(spark)
+    return _drain(spark, S.stream_page_reads(_source(spark, _views(spark, d), at, "ts"), _need(spark, d).withColumn("chars", F.col("chars") * 10), 3600.0), at).select("learner_id", "page")
 
 
 def x2(spark, d):
-    at = _shared(spark)
-    return _drain(spark, S.stream_sessions(_source(spark, _views(spark, d), at), "2 hours", "400 days"), at, "complete")
+    at = new_folder(spark)
+    return _drain(spark, S.stream_sessions(_source(spark, _views(spark, d), at, "ts"), "2 hours"), at)
 
 
 def x3(spark, d):
-    at = _shared(spark)
+    at = new_folder(spark)
     rows = X.page_reads(spark, d).join(X.units(spark, d).select("unit_id", "book_id"), "unit_id").select("learner_id", "book_id", "seen", F.col("dwell_ms").alias("ms"))
-    return _drain(spark, S.stream_reading_time(_source(spark, rows, at), "400 days"), at, "complete")
+    return _drain(spark, S.stream_reading_time(_source(spark, rows, at, "seen")), at)
 
 
 def x4(spark, d):
-    at = _shared(spark)
+    """Reviews, one in ten of them sent twice."""
+    at = new_folder(spark)
     rows = X.reviews(spark, d)
-    log = S.stream_card_reviews(_source(spark, rows.union(rows.filter("review_id % 10 = 0")), at), "400 days")
-    query = log.writeStream.foreachBatch(S.upsert_card_states(f"{at}/log", f"{at}/states")).option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
+    twice = rows.select("*", F.explode(F.when(F.col("review_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy")).drop("_copy")
+    log = S.stream_card_reviews(_source(spark, twice, at, "review"))
+    query = log.writeStream.foreachBatch(S.upsert_card_states(f"{at}/log", f"{at}/states", 32)).option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
     query.awaitTermination()
     return S.latest_states(spark.read.parquet(f"{at}/states")).withColumns({c: F.round(c, 6) for c in ("stability", "difficulty")})
 
 
 def x5(spark, d):
-    at = _shared(spark)
-    reads = X.reads(spark, d).select("learner_id", "block_id", "seen").repartitionByRange(1, "seen").sortWithinPartitions("seen")
-    return _drain(spark, S.stream_units_finished(_source(spark, reads, at), X.blocks(spark, d)), at).select("learner_id", "unit_id")
+    at = new_folder(spark)
+    reads = X.reads(spark, d).select("learner_id", "block_id", "seen")
+    return _drain(spark, S.stream_units_finished(_source(spark, reads, at, "seen"), X.blocks(spark, d)), at).select("learner_id", "unit_id")
 
 
 def x6(spark, d):
-    at = _shared(spark)
-    return _drain(spark, S.stream_review_load(_source(spark, X.reviews(spark, d), at), "400 days"), at, "complete").withColumn("kept", F.round("kept", 6))
+    at = new_folder(spark)
+    return _drain(spark, S.stream_review_load(_source(spark, X.reviews(spark, d), at, "review")), at).withColumn("kept", F.round("kept", 6))
 
 
 QUERIES = {"x1_page_reads": x1, "x2_sessions": x2, "x3_reading_time": x3, "x4_card_state": x4, "x5_units_finished": x5, "x6_review_load": x6}
 
 from .srs import _STATES, fold  # noqa: E402
-from .units import _DONE, ORACLE as _UNITS  # noqa: E402
+from .units import _DONE, _NEED  # noqa: E402
 
 ORACLE = {
     "x1_page_reads": None,
-    "x2_sessions": "SELECT learner_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS \"end\", count(*) AS views FROM (SELECT learner_id, ts, sum(g) OVER (PARTITION BY learner_id ORDER BY ts, event_id) AS s FROM (SELECT user_id AS learner_id, ts, event_id, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS g FROM events)) GROUP BY learner_id, s",
-    "x3_reading_time": sql("SELECT * FROM rt", "page_reads", "units", more=_TIME),
+    "x2_sessions": "SELECT learner_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS \"end\", count(*) AS views FROM (SELECT learner_id, ts, sum(g) OVER (PARTITION BY learner_id ORDER BY ts, event_id) AS s FROM (SELECT user_id AS learner_id, ts, event_id, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS g FROM events)) GROUP BY learner_id, s HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
+    "x3_reading_time": sql("SELECT * FROM rt WHERE day + INTERVAL 1 DAY <= (SELECT max(seen) - INTERVAL 1 DAY FROM page_reads WHERE dwell_ms > 0 AND dwell_ms <= 3600000)", "page_reads", "units", more=_TIME),
     "x4_card_state": sql(_STATES, "reviews", more=fold()),
     "x5_units_finished": sql("SELECT learner_id, unit_id FROM done", "reads", more=_DONE),
-    "x6_review_load": sql("SELECT learner_id, CAST(day AS DATE) AS day, count(*) AS n, round(avg(CAST(rating > 1 AS INTEGER)), 6) AS kept FROM (SELECT *, unnest(range(date_trunc('day', review) - INTERVAL 6 DAY, date_trunc('day', review) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day FROM reviews) GROUP BY ALL", "reviews"),
+    "x6_review_load": sql("SELECT learner_id, CAST(day AS DATE) AS day, count(*) AS n, round(avg(CAST(rating > 1 AS INTEGER)), 6) AS kept FROM (SELECT *, unnest(range(date_trunc('day', review) - INTERVAL 6 DAY, date_trunc('day', review) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day FROM reviews) WHERE day + INTERVAL 7 DAY <= (SELECT max(review) - INTERVAL 1 DAY FROM reviews) GROUP BY ALL", "reviews"),
 }
-# a learner's last view counts only once the watermark, an hour behind the last event, has passed its idle time
-_PAGE = _UNITS["u21_page_dwell"].replace("chars * 0.008", "chars * 0.08").replace("epoch_us(ts), 3600000000), 3600000000)", "epoch_us(ts), CASE WHEN epoch_us(ts) + 7200000000 <= (SELECT max(epoch_us(ts)) FROM events) THEN 3600000000 ELSE 0 END), 3600000000)")
-ORACLE["x1_page_reads"] = f"SELECT learner_id, page FROM ({_PAGE}) WHERE read"
+# views behind the last watermark, an hour before the last event, count; the last of them only if its idle time has passed too
+_END = "(SELECT epoch_us(max(ts)) - 3600000000 FROM events)"
+_NEXT = "epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))"
+_SPENT = f"SELECT user_id AS learner_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS page, epoch_us(ts) AS us, {_NEXT} AS nx FROM events"
+ORACLE["x1_page_reads"] = sql(
+    f"SELECT learner_id, page FROM (SELECT learner_id, page, sum(CASE WHEN nx < {_END} THEN least(nx - us, 3600000000) WHEN us + 3600000000 <= {_END} THEN 3600000000 ELSE 0 END) AS spent FROM spent WHERE us < {_END} GROUP BY ALL) JOIN need USING (page) WHERE spent / 1000000.0 >= greatest(2.5, least(30.0, 10 * chars * 0.008))",
+    "blocks",
+    more={"spent": _SPENT, "need": _NEED},
+)

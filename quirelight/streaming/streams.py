@@ -3,6 +3,7 @@ the same results over the same rows."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,42 +18,46 @@ def stream_page_reads(views: DataFrame, need: DataFrame, idle_s: float, watermar
     """learner_id, page, dwell_s: emitted once, when a page's dwell (time to the learner's next view, at most idle_s each) reaches what
     it needs. views: learner_id, page, ts, view_id; need: page, chars (static).
 
-    State per learner: the last view and the open dwell of pages not yet read; views of a micro-batch are taken in time order. When no
-    view comes for idle_s of event time, the last view counts idle_s."""
-    rows = views.join(need, "page").withColumn("least", F.greatest(F.lit(2.5), F.least(F.lit(30.0), F.col("chars") * 0.008))).withWatermark("ts", watermark)
+    Views may come in any order and from any partition within the watermark: a learner's state holds the views that are not yet behind
+    it, and they are taken in time order once they are. The rest of the state is the last view and the open dwell of pages not yet read.
+    When no view comes for idle_s of event time, the last view counts idle_s."""
+    rows = views.join(need, "page").withColumn("least", F.greatest(F.lit(2.5), F.least(F.lit(30.0), F.col("chars") * 0.008))).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withWatermark("ts", watermark)
+    cap = int(idle_s * 1e6)
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_page, last_us, last_least, dwell = state.get if state.exists else (-1, 0, 0.0, "{}")
-        import json
-
-        open_ms = {int(k): v for k, v in json.loads(dwell).items()}
+        last_page, last_us, last_least, dwell, waiting = state.get if state.exists else (-1, 0, 0.0, "{}", "[]")
+        open_us = {int(k): v for k, v in json.loads(dwell).items()}
+        pending = [tuple(x) for x in json.loads(waiting)]
+        if not state.hasTimedOut:
+            for new in frames:
+                pending += zip(new["us"].tolist(), new["view_id"].tolist(), new["page"].tolist(), new["least"].tolist(), strict=True)
+        now = state.getCurrentWatermarkMs() * 1000
         out = []
-        cap = int(idle_s * 1e6)
-
-        def spend(page: int, us: int, least: float) -> None:
-            if open_ms.get(page) != -1:
-                open_ms[page] = open_ms.get(page, 0) + us
-                if open_ms[page] / 1e6 >= least:
-                    out.append((key[0], page, open_ms[page] / 1e6))
-                    open_ms[page] = -1  # told
-
-        if state.hasTimedOut:
-            if last_page >= 0:
-                spend(last_page, cap, last_least)
+
+        def spend(us: int) -> None:
+            if last_page >= 0 and open_us.get(last_page) != -1:
+                open_us[last_page] = open_us.get(last_page, 0) + us
+                if open_us[last_page] / 1e6 >= last_least:
+                    out.append((key[0], last_page, open_us[last_page] / 1e6))
+                    open_us[last_page] = -1  # told
+
+        for us, _, page, least in sorted(x for x in pending if x[0] < now):
+            spend(max(0, min(us - last_us, cap)))
+            last_page, last_us, last_least = page, us, least
+        pending = [x for x in pending if x[0] >= now]
+        if last_page >= 0 and last_us + cap <= now:
+            spend(cap)
             last_page = -1
-        else:
-            new = pd.concat(list(frames)).sort_values(["ts", "view_id"])
-            for page, ts, least in zip(new["page"], new["ts"].astype("int64") // (1000 if str(new["ts"].dtype).startswith("datetime64[ns") else 1), new["least"], strict=True):
-                if last_page >= 0:
-                    spend(last_page, max(0, min(int(ts) - last_us, cap)), last_least)
-                last_page, last_us, last_least = int(page), int(ts), float(least)
-        state.update((last_page, last_us, last_least, json.dumps(open_ms)))
-        if last_page >= 0:
-            state.setTimeoutTimestamp(max(last_us // 1000 + int(idle_s * 1000), state.getCurrentWatermarkMs() + 1))
+        state.update((last_page, last_us, last_least, json.dumps(open_us), json.dumps(pending)))
+        wake = [min(pending)[0]] if pending else []
+        wake += [last_us + cap] if last_page >= 0 else []
+        if wake:
+            state.setTimeoutTimestamp(max(min(wake) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["learner_id", "page", "dwell_s"])
 
-    return rows.groupBy("learner_id").applyInPandasWithState(run, "learner_id long, page int, dwell_s double", "page int, us long, least double, dwell string", "append", GroupStateTimeout.EventTimeTimeout)
+    kept = "page int, us long, least double, dwell string, waiting string"
+    return rows.groupBy("learner_id").applyInPandasWithState(run, "learner_id long, page int, dwell_s double", kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_sessions(views: DataFrame, gap: str = "90 seconds", watermark: str = "1 hour") -> DataFrame:
@@ -73,15 +78,22 @@ def stream_card_reviews(reviews: DataFrame, watermark: str = "1 hour") -> DataFr
     return reviews.withWatermark("review", watermark).dropDuplicatesWithinWatermark(["review_id"])
 
 
-def upsert_card_states(log_path: str, states_path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: adds the batch to the log and writes the new state of the cards in it, a folder for each batch (a
-    batch that runs again replaces its own)."""
+#: Parts of the review log by card; a batch reads those again that hold its cards.
+LOG_PARTS = 256
+
+
+def upsert_card_states(log_path: str, states_path: str, parts: int = LOG_PARTS) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: adds the batch to the log, which is partitioned by card, and writes the new state of the batch's cards,
+    a folder for each batch (a batch that runs again replaces its own). Of the log it reads only the parts with cards of the batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
-        log = spark.read.parquet(log_path).dropDuplicates(["review_id"])
-        changed = spark.read.parquet(f"{log_path}/batch={batch_id}").select(*srs.KEY).distinct()
+        part = F.pmod(F.xxhash64(*srs.KEY), F.lit(parts)).cast("int")
+        batch.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{log_path}/batch={batch_id}")
+        own = spark.read.schema(batch.schema).parquet(f"{log_path}/batch={batch_id}")
+        changed = own.select(*srs.KEY).distinct()
+        touched = [r["part"] for r in changed.select(part.alias("part")).distinct().collect()]  # at most `parts` rows
+        log = spark.read.option("basePath", log_path).parquet(log_path).filter(F.col("part").isin(touched)).select(*batch.columns).dropDuplicates(["review_id"])
         states = srs.replay(log.join(changed, srs.KEY, "left_semi"))
         states.write.mode("overwrite").parquet(f"{states_path}/batch={batch_id}")
 
