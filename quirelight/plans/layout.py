@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import layout as L
@@ -74,7 +75,7 @@ def _columns(spark, d):
 
 
 def l1(spark, d):
-    chars = lines(spark, d).filter("ord < 3").select("book_id", "page", F.col("ord").alias("line"), "x0", "size", "font", "baseline", "bold", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("i", "c"))
+    chars = lines(spark, d).select("book_id", "page", F.col("ord").alias("line"), "x0", "size", "font", "baseline", "bold", F.posexplode(F.filter(F.split("text", ""), lambda c: c != "")).alias("i", "c"))
     x = F.col("x0") + 5 * F.col("i")
     return L.line_profile(chars.filter("c <> ' '").select("book_id", "page", "line", "i", "c", x.alias("x0"), (x + 5).alias("x1"), "baseline", F.when(F.col("i") % 9 == 0, 7.0).otherwise(F.col("size")).alias("size"), "font", F.when(F.col("bold") > 0, 1).otherwise(0).alias("flags"))).select("book_id", "page", "line", "text", "size", "font", "baseline", "n", "bold")
 
@@ -90,13 +91,28 @@ def _pieces(spark, d):
 
 
 def _outline(spark, d):
-    return lines(spark, d).filter("ord % 10 = 1").select("book_id", (F.col("page") * 100 + F.col("ord")).alias("entry"), F.concat(F.lit("1.2 "), F.substring("text", 1, 60)).alias("title"), "page")
+    """An outline has the first line of each page's text."""
+    return lines(spark, d).filter("ord = 1").select("book_id", (F.col("page") * 100 + F.col("ord")).alias("entry"), F.concat(F.lit("1.2 "), "text").alias("title"), "page")
 
 
 def l8(spark, d):
-    shapes = lines(spark, d).filter("ord % 9 in (2, 3) or block_id % 8 = 0").select("book_id", "page", "x0", "y0", F.least(F.lit(580.0), "x1").alias("x1"), "y1")
-    regions = L.figure_regions(shapes, pages(spark, d))
-    return regions.select("book_id", "page", "region", "x0", "y0", "x1", "y1")
+    """Lines in twos and threes are drawn as shapes, every tenth an image; the others stand around them."""
+    n = F.col("ord") % 9
+    shapes = lines(spark, d).filter(n.isin(2, 3, 4)).select(
+        "book_id", "page", "x0", "y0", F.least(F.lit(580.0), "x1").alias("x1"), "y1", F.when(n == 4, "image").otherwise("vector").alias("kind"), (F.col("block_id") % 2 == 0).alias("rect"), F.lit(50_000).alias("pixels")
+    )
+    regions = L.figure_regions(shapes, pages(spark, d), lines(spark, d).filter(~n.isin(2, 3, 4)), _body(spark, d))
+    return regions.select("book_id", "page", "kind", "region", "x0", "y0", "x1", "y1", "photo", F.length("text").alias("n"))
+
+
+def l13(spark, d):
+    """The last lines of a page are small; a rule stands over them on even pages, and every page cites note 4."""
+    text = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("4 "), "text")).when(F.col("ord") % 7 == 2, F.concat(F.lit("† "), "text")).otherwise(F.col("text"))
+    rows = lines(spark, d).withColumns({"size": F.when(F.col("ord") > 30, 8.0).otherwise(10.0), "text": text, "y0": F.col("y0") + F.when(F.col("ord") > 30, 12.0).otherwise(0.0)}).withColumn("y1", F.col("y0") + 10)
+    even = pages(spark, d).filter("page % 2 = 0")
+    rules = even.select("book_id", "page", F.lit(50.0).alias("x0"), F.lit(483.0).alias("y0"), F.lit(150.0).alias("x1"), F.lit(484.0).alias("y1"))
+    refs = pages(spark, d).filter("book_id % 2 = 0").select("book_id", "page", F.lit("4").alias("label"))
+    return L.footnotes(rows, pages(spark, d), _body(spark, d), rules, refs)
 
 
 def _regions(spark, d):
@@ -104,18 +120,20 @@ def _regions(spark, d):
 
 
 def l11(spark, d):
-    rows = lines(spark, d).select("book_id", "page", "ord", F.when(F.col("block_id") % 7 < 5, 3).otherwise(1).alias("cells"), F.substring("text", 1, 12).alias("text"), (F.col("block_id") % 31 == 0).alias("mathy"))
+    rows = lines(spark, d).select("book_id", "page", "ord", F.when(F.col("block_id") % 7 < 5, 3).otherwise(1).alias("cells"), "text", (F.col("block_id") % 31 == 0).alias("mathy"))
     return L.table_regions(rows)
 
 
 def l14(spark, d):
-    refs = lines(spark, d).filter("ord % 5 = 0").select("block_id", "book_id", "page", (F.col("ord") % 4).cast("string").alias("label")).withColumnRenamed("block_id", "ref_id")
-    notes = lines(spark, d).filter("ord % 7 = 3").select(F.col("block_id").alias("note_id"), "book_id", "page", (F.col("ord") % 4).cast("string").alias("label"))
+    """Every line refers to a note; notes are the footnotes."""
+    label = (F.col("ord") % 4).cast("string").alias("label")
+    refs = lines(spark, d).filter("type <> 'footnote'").select(F.col("block_id").alias("ref_id"), "book_id", "page", label)
+    notes = lines(spark, d).filter("type = 'footnote'").select(F.col("block_id").alias("note_id"), "book_id", "page", label)
     return L.link_footnotes(refs, notes).select("ref_id", "note_id")
 
 
 def l17(spark, d):
-    h = lines(spark, d).filter("ord < 6").select("book_id", "page", "ord", F.lit(1).alias("level"), F.when(F.col("ord") % 3 == 1, F.concat(F.lit("Chapter "), "ord")).otherwise(F.substring("text", 1, 20)).alias("text"))
+    h = lines(spark, d).select("book_id", "page", "ord", F.lit(1).alias("level"), F.when(F.col("ord") % 3 == 1, F.concat(F.lit("Chapter "), "ord")).otherwise(F.col("text")).alias("text"))
     return L.join_chapter_labels(h)
 
 
@@ -125,8 +143,14 @@ def l19(spark, d):
 
 
 def l20(spark, d):
-    rows = lines(spark, d).join(L.dehyphenate(lines(spark, d)), ["book_id", "page", "ord"])
-    return L.assemble_paragraphs(rows, _columns(spark, d)).select("book_id", "para", "page", "first_ord", "last_ord", "kind", F.length("text").alias("n"))
+    """Lines with list marks, indents and boxes here and there, figures and headings between them."""
+    b = F.col("block_id")
+    mark = F.when(b % 17 == 0, "• ").when(b % 19 == 0, "2. ").otherwise("")
+    role = F.when((F.col("type") == "heading"), "heading").when(F.col("ord") == 0, "head").when(b % 23 == 0, "figure").when(b % 29 == 0, "code").otherwise("body")
+    rows = lines(spark, d).withColumns({"text": F.concat(mark, F.when(b % 2 == 0, F.lower("text")).otherwise(F.regexp_replace("text", r"\W+$", ""))), "role": role, "boxed": (b % 31 == 0).cast("int")})
+    joiner = F.when(b % 5 == 0, "").when(b % 7 == 0, "-").otherwise(" ")
+    out = L.assemble_paragraphs(rows.withColumn("joiner", joiner))
+    return out.select("book_id", "para", "page", "first_ord", "last_ord", "kind", F.sha2("text", 256).alias("sha"))
 
 
 def _listed(spark, d):
@@ -135,22 +159,31 @@ def _listed(spark, d):
 
 
 def l22(spark, d):
-    spans = X.blocks(spark, d).select("block_id", F.posexplode(F.slice(F.split("text", " "), 1, 12)).alias("i", "text")).withColumns({"flags": F.when(F.col("i") % 5 < 2, 1).when(F.col("i") % 5 == 3, 6).otherwise(4), "body_flags": F.lit(4)})
+    spans = X.blocks(spark, d).select("block_id", F.posexplode(F.split("text", " ")).alias("i", "text")).withColumns({"flags": F.when(F.col("i") % 5 < 2, 1).when(F.col("i") % 5 == 3, 6).otherwise(4), "body_flags": F.lit(4)})
     return L.block_marks(spans).select("block_id", F.array_join(F.transform("marks", lambda m: F.concat_ws(":", m["s"], m["e"], m["f"])), " ").alias("marks"))
 
 
 def l23(spark, d):
     n = F.col("unit_id") % 4
-    h = X.units(spark, d).select("unit_id", F.concat(F.when(n == 0, "Chapter 3: ").when(n == 1, "1.2.3 ").when(n == 2, "IV. ").otherwise(""), F.substring("title", 1, 30)).alias("text"))
+    h = X.units(spark, d).select("unit_id", F.concat(F.when(n == 0, "Chapter 3: ").when(n == 1, "1.2.3 ").when(n == 2, "IV. ").otherwise(""), "title").alias("text"))
     return L.heading_blocks(h)
 
 
 def l24(spark, d):
-    notes = lines(spark, d).filter("type = 'footnote'").select("book_id", "page", F.substring("text", 1, 20).alias("text"))
-    kept = lines(spark, d).filter("type <> 'footnote'").withColumn("text", F.substring("text", 1, 20))
+    notes = lines(spark, d).filter("type = 'footnote'").select("book_id", "page", "text")
+    kept = lines(spark, d).filter("type <> 'footnote'")
     return L.reading_order(kept, _regions(spark, d), notes)
 
 
+def l27(spark, d):
+    """Books of all pages of the documents of a source, in order."""
+    place = (F.row_number().over(Window.partitionBy("source").orderBy("book_id", "page")) - 1).alias("number")
+    at = pages(spark, d).join(X.units(spark, d).select(F.col("unit_id").alias("book_id"), F.col("book_id").alias("source")), "book_id").select("*", place)
+    boxes = L.ink_boxes(lines(spark, d)).join(at.select("book_id", "page", "source", "number"), ["book_id", "page"])
+    named = lambda rows, *more: rows.select(F.col("source").alias("book_id"), F.col("number").alias("page"), *more)
+    return L.book_trim(named(boxes, "x0", "y0", "x1", "y1"), named(at, "width", "height"))
+
+
 QUERIES = {
     "l1_line_profile": l1,
     "l2_merge_rows": lambda spark, d: L.merge_rows(_pieces(spark, d)).select("book_id", "page", "ord", "text", "cells", "x0", "x1"),
@@ -164,7 +197,7 @@ QUERIES = {
     "l10_equation_regions": lambda spark, d: L.equation_regions(lines(spark, d).withColumn("x1", F.least("x1", F.col("x0") + 200)).withColumn("x0", F.col("x0") + F.when(F.col("math") > 0, 40).otherwise(0)), _columns(spark, d), _body(spark, d)),
     "l11_table_regions": l11,
     "l12_table_captions": lambda spark, d: L.attach_captions(_regions(spark, d), lines(spark, d).withColumn("text", F.when(F.col("ord") % 10 == 3, F.concat(F.lit("Table 2 "), "text")).otherwise(F.col("text"))), _body(spark, d)).select("book_id", "page", "region", "caption_ord"),
-    "l13_footnotes": lambda spark, d: L.footnotes(lines(spark, d).withColumn("size", F.when(F.col("ord") % 40 > 30, 8.0).otherwise(10.0)).withColumn("text", F.when(F.col("ord") % 3 == 0, F.concat(F.lit("4 "), "text")).otherwise(F.col("text"))), pages(spark, d), _body(spark, d)),
+    "l13_footnotes": l13,
     "l14_link_footnotes": l14,
     "l15_match_outline": lambda spark, d: L.match_outline(_outline(spark, d), lines(spark, d), _body(spark, d)),
     "l16_styled_headings": lambda spark, d: L.styled_headings(lines(spark, d), pages(spark, d), _body(spark, d)).select("book_id", "page", "ord", "level"),
@@ -178,14 +211,14 @@ QUERIES = {
     "l24_reading_order": l24,
     "l25_guess_title": lambda spark, d: L.guess_title(lines(spark, d), _body(spark, d)),
     "l26_ink_boxes": lambda spark, d: L.ink_boxes(lines(spark, d).withColumn("role", F.when(F.col("ord") == 0, "head").otherwise("body"))),
-    "l27_book_trim": lambda spark, d: L.book_trim(L.ink_boxes(lines(spark, d)).withColumn("book_id", F.col("book_id") % 50), pages(spark, d).withColumn("book_id", F.col("book_id") % 50).distinct()),
+    "l27_book_trim": l27,
     "l29_clean_outline": lambda spark, d: L.clean_outline(_outline(spark, d).withColumn("title", F.concat(F.lit("  "), "title", F.lit("\n x"))).withColumn("page", F.when(F.col("page") % 2 == 0, F.col("page")))),
 }
 
 ORACLE = {
     "l1_line_profile": _sql(
         "SELECT book_id, page, line, string_agg(CASE WHEN gap > 0.2 * own AND gap < 6 * own THEN ' ' || c ELSE c END, '' ORDER BY i) AS text, sz.size, font, baseline, count(*) AS n, count(*) FILTER (WHERE bold > 0) AS bold FROM (SELECT *, x - lag(x + 5) OVER (PARTITION BY book_id, page, line ORDER BY i) AS gap FROM ch) JOIN sz USING (book_id, page, line) GROUP BY book_id, page, line, sz.size, font, baseline",
-        ch="SELECT * FROM (SELECT book_id, page, ord AS line, i, substr(text, CAST(i + 1 AS BIGINT), 1) AS c, x0 + 5 * i AS x, CASE WHEN i % 9 = 0 THEN 7.0 ELSE size END AS own, font, baseline, bold FROM (SELECT *, unnest(range(length(text))) AS i FROM (" + _RICH + ") WHERE ord < 3)) WHERE c <> ' '",
+        ch="SELECT * FROM (SELECT book_id, page, ord AS line, i, substr(text, CAST(i + 1 AS BIGINT), 1) AS c, x0 + 5 * i AS x, CASE WHEN i % 9 = 0 THEN 7.0 ELSE size END AS own, font, baseline, bold FROM (SELECT *, unnest(range(length(text))) AS i FROM (" + _RICH + "))) WHERE c <> ' '",
         sz="SELECT book_id, page, line, max_by(q, (k, q)) AS size FROM (SELECT book_id, page, line, round(own * 4) / 4 AS q, count(*) AS k FROM ch GROUP BY ALL) GROUP BY ALL",
     ),
     "l9_captions": _captions(5, "Figure 3"),
@@ -195,16 +228,24 @@ ORACLE = {
         sd='SELECT mt.*, body_size FROM mt JOIN co USING (book_id, page) JOIN bd USING (book_id) WHERE mathy AND x0 > "left" + body_size AND x1 - x0 < CAST(0.9 AS DOUBLE) * ("right" - "left") AND NOT EXISTS (SELECT 1 FROM mt p WHERE NOT p.mathy AND p.book_id = mt.book_id AND p.page = mt.page AND mt.y0 < p.y1 - 2 AND mt.y1 > p.y0 + 2)',
     ),
     "l11_table_regions": _sql(
-        "SELECT book_id, page, min(ord) AS first, max(ord) AS last, string_agg(text, chr(10) ORDER BY ord) AS text FROM (SELECT *, sum(nw) OVER w AS run FROM (SELECT *, CASE WHEN i AND NOT coalesce(lag(i) OVER w, false) THEN 1 ELSE 0 END AS nw FROM (SELECT *, t OR (coalesce(lag(t) OVER w, false) AND coalesce(lead(t) OVER w, false)) AS i FROM (SELECT book_id, page, ord, substr(text, 1, 12) AS text, block_id % 7 < 5 AND block_id % 31 <> 0 AS t FROM ln) WINDOW w AS (PARTITION BY book_id, page ORDER BY ord)) WINDOW w AS (PARTITION BY book_id, page ORDER BY ord)) WINDOW w AS (PARTITION BY book_id, page ORDER BY ord)) WHERE i GROUP BY book_id, page, run HAVING count(*) FILTER (WHERE t) >= 3"
+        "SELECT book_id, page, min(ord) AS first, max(ord) AS last, string_agg(text, chr(10) ORDER BY ord) AS text FROM (SELECT *, sum(nw) OVER w AS run FROM (SELECT *, CASE WHEN i AND NOT coalesce(lag(i) OVER w, false) THEN 1 ELSE 0 END AS nw FROM (SELECT *, t OR (coalesce(lag(t) OVER w, false) AND coalesce(lead(t) OVER w, false)) AS i FROM (SELECT book_id, page, ord, text, block_id % 7 < 5 AND block_id % 31 <> 0 AS t FROM ln) WINDOW w AS (PARTITION BY book_id, page ORDER BY ord)) WINDOW w AS (PARTITION BY book_id, page ORDER BY ord)) WINDOW w AS (PARTITION BY book_id, page ORDER BY ord)) WHERE i GROUP BY book_id, page, run HAVING count(*) FILTER (WHERE t) >= 3"
     ),
     "l12_table_captions": _captions(3, "Table 2"),
     "l13_footnotes": _sql(
-        "SELECT book_id, page, max(label) AS label, string_agg(text, ' ' ORDER BY y0, ord) AS text FROM (SELECT *, count(label) OVER (PARTITION BY book_id, page ORDER BY y0, ord) AS note FROM (SELECT *, nullif(CASE WHEN regexp_matches(text, '^[a-z]') THEN regexp_extract(text, '^([a-z])(?:[.)]| \\s*\\S)', 1) ELSE regexp_extract(text, '^(\\d{1,3}|[*†‡§¶‖]+)[.)]?\\s*\\S', 1) END, '') AS label FROM ft)) GROUP BY book_id, page, note",
-        ft="SELECT * FROM (SELECT *, count(*) FILTER (WHERE NOT small) OVER (PARTITION BY book_id, page ORDER BY y0 DESC, ord DESC ROWS UNBOUNDED PRECEDING) AS above FROM (SELECT book_id, page, ord, y0, CASE WHEN ord % 3 = 0 THEN '4 ' ELSE '' END || text AS text, CASE WHEN ord % 40 > 30 THEN 8.0 ELSE 10.0 END BETWEEN 0.5 * body_size AND 0.93 * body_size AS small FROM ln JOIN bd USING (book_id))) WHERE above = 0 AND y0 > 0.4 * 640",
+        """SELECT * FROM (SELECT book_id, page, CAST(note AS INTEGER) AS note, CASE WHEN note > 0 THEN min_by(mark, place) END AS label, string_agg(text, ' ' ORDER BY place) AS text FROM g2 GROUP BY book_id, page, note)
+ WHERE note > 0 OR ( (book_id, page) IN (SELECT book_id, page + 1 FROM g2 WHERE note > 0) AND (book_id, page) IN (SELECT book_id, page FROM rl))""",
+        f0="SELECT ln.* REPLACE (CASE WHEN ord % 3 = 0 THEN '4 ' || text WHEN ord % 7 = 2 THEN '† ' || text ELSE text END AS text, CASE WHEN ord > 30 THEN 8.0 ELSE 10.0 END AS size, y0 + CASE WHEN ord > 30 THEN 12 ELSE 0 END AS y0, y0 + CASE WHEN ord > 30 THEN 22 ELSE 10 END AS y1), body_size FROM ln JOIN bd USING (book_id) WHERE n > 0",
+        f1="SELECT *, size BETWEEN 0.5 * body_size AND CAST(0.93 AS DOUBLE) * body_size AS small FROM f0",
+        rl="SELECT book_id, page, 483.0 AS rule FROM f1 WHERE page % 2 = 0 GROUP BY ALL HAVING max(y0) FILTER (WHERE small) >= 482 AND coalesce(max(y0) FILTER (WHERE NOT small), 0) < 482",
+        f2="SELECT *, CASE WHEN rule IS NOT NULL THEN y0 >= rule - 1 ELSE stop = 0 END AS run FROM (SELECT f1.*, rule, max(CASE WHEN small AND y0 > CAST(0.4 AS DOUBLE) * 640 AND mono < 0.5 * n THEN 0 ELSE 1 END) OVER (PARTITION BY f1.book_id, f1.page ORDER BY y0 DESC, ord DESC ROWS UNBOUNDED PRECEDING) AS stop FROM f1 LEFT JOIN rl ON f1.book_id = rl.book_id AND f1.page = rl.page)",
+        f3="SELECT *, max(CASE WHEN NOT run AND y1 <= top + 1 THEN y1 END) OVER (PARTITION BY book_id, page) AS above FROM (SELECT *, min(CASE WHEN run THEN y0 END) OVER (PARTITION BY book_id, page) AS top FROM f2)",
+        f4="SELECT *, CASE WHEN x0 <= min(x0) OVER (PARTITION BY book_id, page) + 2.5 * body_size THEN nullif(regexp_extract(trim(text), '^(\\d{1,3}|[*†‡§¶‖]+)[\\s.)]\\s*\\S', 1), '') END AS mark, row_number() OVER (PARTITION BY book_id, page ORDER BY y0, ord) AS place FROM f3 WHERE run AND NOT (rule IS NULL AND coalesce(top - above < CAST(0.3 AS DOUBLE) * body_size, false))",
+        f5="SELECT *, min_by(mark, place) FILTER (WHERE mark IS NOT NULL AND place <= 2) OVER (PARTITION BY book_id, page) AS lead_, last_value(mark IGNORE NULLS) OVER (PARTITION BY book_id, page ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM f4",
+        g2="SELECT *, sum(CASE WHEN mark IS NOT NULL AND mark IS DISTINCT FROM known THEN 1 ELSE 0 END) OVER (PARTITION BY book_id, page ORDER BY place) AS note FROM f5 WHERE rule IS NOT NULL OR (lead_ = '4' AND book_id % 2 = 0)",
     ),
     "l15_match_outline": _sql(
         "SELECT book_id, entry, page, ord, score FROM oe JOIN (SELECT book_id, k, m FROM (SELECT book_id, count(*) AS k FROM ol GROUP BY 1) JOIN (SELECT book_id, count(*) AS m FROM oe GROUP BY 1) USING (book_id)) USING (book_id) WHERE k < 3 OR m >= CAST(0.3 AS DOUBLE) * k",
-        ol="SELECT book_id, page * 100 + ord AS entry, page, " + sql_title_tokens("'1.2 ' || substr(text, 1, 60)") + " AS a FROM ln WHERE ord % 10 = 1",
+        ol="SELECT book_id, page * 100 + ord AS entry, page, " + sql_title_tokens("'1.2 ' || text") + " AS a FROM ln WHERE ord = 1",
         sp="SELECT book_id, page, ord, size > 1.1 * body_size OR bold > 0.6 * n AS strong, " + sql_title_tokens("t") + " AS b FROM (SELECT *, unnest([text, concat_ws(' ', text, t2), concat_ws(' ', text, t2, t3)]) AS t FROM (SELECT *, lead(text) OVER (PARTITION BY book_id, page ORDER BY ord) AS t2, lead(text, 2) OVER (PARTITION BY book_id, page ORDER BY ord) AS t3 FROM ln)) JOIN bd USING (book_id)",
         hit="SELECT * FROM (SELECT ol.book_id, entry, sp.page, ord, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(2 AS DOUBLE) * list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w))))) / (len(a) + len(b)) END + CASE WHEN strong THEN CAST(0.08 AS DOUBLE) ELSE 0 END - CAST(0.05 AS DOUBLE) * (sp.page - ol.page), 6) AS score FROM ol JOIN sp ON sp.book_id = ol.book_id AND sp.page BETWEEN ol.page AND ol.page + 1) WHERE score >= CAST(0.72 AS DOUBLE)",
         oe="SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY book_id, page, ord ORDER BY entry) AS r FROM (SELECT * EXCLUDE (q) FROM (SELECT *, row_number() OVER (PARTITION BY book_id, entry ORDER BY score DESC, page, ord) AS q FROM hit) WHERE q = 1)) WHERE r = 1",
@@ -216,17 +257,29 @@ ORACLE = {
     "l18_code_blocks": _sql(
         "SELECT book_id, page, min(ord) AS first, string_agg(CASE WHEN gap > 0.8 * size AND ord > lo THEN chr(10) ELSE '' END || repeat(' ', CAST(round((x0 - edge) / 5) AS BIGINT)) || text, chr(10) ORDER BY ord) AS text FROM (SELECT *, min(x0) OVER (PARTITION BY book_id, page, run) AS edge, min(ord) OVER (PARTITION BY book_id, page, run) AS lo FROM (SELECT *, sum(nw) OVER (PARTITION BY book_id, page ORDER BY ord) AS run FROM (SELECT *, CASE WHEN code AND NOT coalesce(lag(code) OVER w, false) THEN 1 ELSE 0 END AS nw, y0 - lag(y1) OVER w AS gap FROM (SELECT *, n > 0 AND block_id % 5 < 3 AS code FROM ln) WINDOW w AS (PARTITION BY book_id, page ORDER BY ord))) WHERE code) GROUP BY book_id, page, run"
     ),
+    "l20_paragraphs": _sql(
+        "SELECT book_id, CAST(para AS INTEGER) AS para, CAST(min_by(page, (page, ord)) AS INTEGER) AS page, min_by(ord, (page, ord)) AS first_ord, max_by(ord, (page, ord)) AS last_ord, CASE WHEN min_by(ls, (page, ord)) THEN 'list' ELSE 'paragraph' END AS kind, sha256(string_agg(CASE WHEN NOT more OR j = '-' THEN text WHEN j = ' ' THEN text || ' ' ELSE regexp_replace(text, '-$', '') END, '' ORDER BY page, ord)) AS sha FROM p6 GROUP BY book_id, para",
+        p0="SELECT * REPLACE (CASE WHEN block_id % 17 = 0 THEN '• ' WHEN block_id % 19 = 0 THEN '2. ' ELSE '' END || CASE WHEN block_id % 2 = 0 THEN lower(text) ELSE regexp_replace(text, '[^A-Za-z0-9_]+$', '') END AS text), CASE WHEN type = 'heading' THEN 'heading' WHEN ord = 0 THEN 'head' WHEN block_id % 23 = 0 THEN 'figure' WHEN block_id % 29 = 0 THEN 'code' ELSE 'body' END AS role, CASE WHEN block_id % 31 = 0 THEN 1 ELSE 0 END AS boxed, CASE WHEN block_id % 5 = 0 THEN '' WHEN block_id % 7 = 0 THEN '-' ELSE ' ' END AS j FROM ln",
+        p1='SELECT p.*, trim(text) AS t, "left", "right", regexp_matches(trim(text), ' + _quoted(L.BULLET) + ") OR regexp_matches(trim(text), " + _quoted(_ENUMERATOR) + ') AS ls FROM (SELECT *, sum(CASE WHEN role IN (\'heading\', \'code\') THEN 1 ELSE 0 END) OVER w AS closed, sum(CASE WHEN role = \'figure\' THEN 1 ELSE 0 END) OVER w AS floated FROM p0 WHERE role <> \'head\' WINDOW w AS (PARTITION BY book_id ORDER BY page, ord)) p JOIN (SELECT book_id, page, block, min(x0) AS "left", max(x1) AS "right" FROM p0 GROUP BY ALL) b ON p.book_id = b.book_id AND p.page = b.page AND p.block = b.block WHERE role = \'body\'',
+        p2='SELECT *, lag(t) OVER w AS pt, lag(size) OVER w AS ps, lag(boxed) OVER w AS pb, lag(page) OVER w AS pp, lag(block) OVER w AS pk, lag(x0) OVER w AS px0, lag(y0) OVER w AS py0, lag(x1) OVER w AS px1, lag(y1) OVER w AS py1, lag("right") OVER w AS pr, lag(closed) OVER w AS pc, lag(floated) OVER w AS pf FROM p1 WINDOW w AS (PARTITION BY book_id ORDER BY page, ord)',
+        p3="SELECT *, abs(size - ps) > CAST(0.12 AS DOUBLE) * greatest(size, ps) OR boxed <> pb AS breaks, floated = pf AND page = pp AND block = pk AS next_to, y0 - py1 > CAST(0.9 AS DOUBLE) * size AS gap, x0 > \"left\" + CAST(0.8 AS DOUBLE) * size AND x0 - px0 > CAST(0.8 AS DOUBLE) * size AND (px1 < pr - 1.5 * size OR regexp_matches(pt, " + _quoted(L.TERMINAL) + ")) AS ind, CASE WHEN regexp_matches(pt, " + _quoted(L.TERMINAL) + ") THEN true WHEN page <> pp OR floated <> pf OR (y0 < py0 - 2 * size AND x0 > px0 + 40) THEN NOT (regexp_matches(t, '^[\\p{Ll},;:)\\]]') OR regexp_matches(pt, '[,;—–-]$') OR regexp_matches(pt, '[\\p{L}\\p{N}]$')) ELSE NOT (regexp_matches(t, '^[\\p{Ll},;:)\\]]') AND abs(y0 - py1) < 2 * size) END AS apart FROM p2",
+        p4="SELECT *, pt IS NULL OR ls OR closed <> pc AS bound, CASE WHEN breaks THEN true WHEN next_to THEN gap OR ind ELSE apart END AS nw, CASE WHEN breaks THEN true WHEN next_to THEN gap ELSE apart END AS ni FROM p3",
+        p5="SELECT *, bound OR CASE WHEN item AND NOT coalesce(lft, false) THEN ni ELSE nw END AS st FROM (SELECT *, first_value(ls) OVER w AS item, bool_or(ni AND NOT bound) OVER (PARTITION BY book_id, run ORDER BY page, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lft FROM (SELECT *, sum(CAST(bound AS INTEGER)) OVER (PARTITION BY book_id ORDER BY page, ord) AS run FROM p4) WINDOW w AS (PARTITION BY book_id, run ORDER BY page, ord))",
+        p6="SELECT *, sum(CAST(st AS INTEGER)) OVER w - 1 AS para, coalesce(NOT lead(st) OVER w, false) AS more FROM p5 WINDOW w AS (PARTITION BY book_id ORDER BY page, ord)",
+    ),
     "l21_list_items": _sql(
-        'SELECT book_id, page, ord, label, CAST(greatest(0, least(2, floor((x0 - "left") / (2.2 * body_size)))) AS INTEGER) AS level, regexp_replace(regexp_replace(text, ' + _quoted(L.BULLET) + ", ''), " + _quoted(_ENUMERATOR) + ", '\\2') AS text FROM (SELECT *, coalesce(nullif(regexp_extract(text, " + _quoted(L.BULLET) + ", 1), ''), regexp_extract(text, " + _quoted(_ENUMERATOR) + ", 1)) AS label FROM li) JOIN co USING (book_id, page) JOIN bd USING (book_id) WHERE label <> ''",
+        'SELECT book_id, page, ord, label, CAST(greatest(0, least(2, floor((x0 - "left") / (2.2 * body_size) + 0.5))) AS INTEGER) AS level, regexp_replace(regexp_replace(text, ' + _quoted(L.BULLET) + ", ''), " + _quoted(_ENUMERATOR) + ", '\\2') AS text FROM (SELECT *, coalesce(nullif(regexp_extract(text, " + _quoted(L.BULLET) + ", 1), ''), regexp_extract(text, " + _quoted(_ENUMERATOR) + ", 1)) AS label FROM li) JOIN co USING (book_id, page) JOIN bd USING (book_id) WHERE label <> ''",
         li="SELECT book_id, page, ord, x0, CASE block_id % 4 WHEN 0 THEN '• ' WHEN 1 THEN '(a) ' WHEN 2 THEN '12. ' ELSE '' END || text AS text FROM ln",
     ),
     "l23_heading_blocks": sql(
-        "SELECT unit_id, nullif(label, '') AS label, CASE WHEN label <> '' THEN label || ' · ' || rest ELSE text END AS title, CASE WHEN label <> '' THEN rest ELSE text END AS text FROM (SELECT unit_id, text, regexp_replace(regexp_extract(text, " + _quoted(L.HEADING_LABEL) + ", 1), '[.:]$', '') AS label, regexp_extract(text, " + _quoted(L.HEADING_LABEL) + ", 2) AS rest FROM (SELECT unit_id, CASE unit_id % 4 WHEN 0 THEN 'Chapter 3: ' WHEN 1 THEN '1.2.3 ' WHEN 2 THEN 'IV. ' ELSE '' END || substr(title, 1, 30) AS text FROM units))",
+        "SELECT unit_id, nullif(label, '') AS label, CASE WHEN label <> '' THEN label || ' · ' || rest ELSE text END AS title, CASE WHEN label <> '' THEN rest ELSE text END AS text FROM (SELECT unit_id, text, regexp_replace(regexp_extract(text, " + _quoted(L.HEADING_LABEL) + ", 1), '[.:]$', '') AS label, regexp_extract(text, " + _quoted(L.HEADING_LABEL) + ", 2) AS rest FROM (SELECT unit_id, CASE unit_id % 4 WHEN 0 THEN 'Chapter 3: ' WHEN 1 THEN '1.2.3 ' WHEN 2 THEN 'IV. ' ELSE '' END || title AS text FROM units))",
         "units",
     ),
     "l27_book_trim": _sql(
-        "SELECT book_id, page % 2 AS side, greatest(0.0, " + _trim_at("x0", 0.06) + " - 14) AS x0, greatest(0.0, " + _trim_at("y0", 0.06) + " - 14) AS y0, least(600.0, " + _trim_at("x1", 0.94) + " + 14) AS x1, least(640.0, " + _trim_at("y1", 0.94) + " + 14) AS y1 FROM bx WHERE (x1 - x0) * (y1 - y0) >= CAST(0.15 AS DOUBLE) * 600 * 640 GROUP BY book_id, page % 2 HAVING count(*) >= 3",
-        bx="SELECT b % 50 AS book_id, page, x0, y0, x1, y1 FROM (SELECT book_id AS b, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM ln GROUP BY ALL)",
+        "SELECT book_id, CAST(side AS INTEGER) AS side, unnest(max_by({'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}, own = side)) FROM sd, (SELECT unnest([0, 1]) AS side) GROUP BY book_id, side",
+        ink="SELECT source AS book_id, row_number() OVER (PARTITION BY source ORDER BY book_id, page) - 1 AS page, x0, y0, x1, y1 FROM (SELECT book_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM ln GROUP BY ALL) JOIN (SELECT doc_id AS book_id, source FROM documents) USING (book_id)",
+        sm="SELECT DISTINCT book_id, f + (t - f) * i // n AS page FROM (SELECT *, least(48, t - f) AS n, unnest(range(least(48, t - f))) AS i FROM (SELECT book_id, CAST(floor(count(*) * CAST(0.08 AS DOUBLE)) AS BIGINT) AS f, CAST(ceil(count(*) * CAST(0.92 AS DOUBLE)) AS BIGINT) AS t FROM ink GROUP BY book_id))",
+        sd="SELECT book_id, page % 2 AS own, greatest(0.0, " + _trim_at("x0", 0.06) + " - 14) AS x0, greatest(0.0, " + _trim_at("y0", 0.06) + " - 14) AS y0, least(600.0, " + _trim_at("x1", 0.94) + " + 14) AS x1, least(640.0, " + _trim_at("y1", 0.94) + " + 14) AS y1 FROM ink JOIN sm USING (book_id, page) WHERE (x1 - x0) * (y1 - y0) > CAST(0.15 AS DOUBLE) * 600 * 640 GROUP BY book_id, page % 2 HAVING count(*) >= 3",
     ),
     "l2_merge_rows": _sql(
         "SELECT book_id, page, min(o) AS ord, string_agg(t, ' ' ORDER BY o) AS text, 1 + count(*) FILTER (WHERE p = 1 AND (block_id % 2 = 0)) AS cells, min(x) AS x0, max(x + 5 * length(t)) AS x1 FROM pc GROUP BY book_id, page, ord",
@@ -244,10 +297,10 @@ ORACLE = {
         o=r"SELECT *, CASE WHEN isn THEN TRY_CAST(regexp_extract(trim(text), '(\d{1,4})', 1) AS INTEGER) - page END AS off FROM (SELECT *, edge AND regexp_matches(trim(text), '(?i)^(page\s+)?(\d{1,4}|[ivxlcdm]{1,7})(\s+of\s+\d+)?$') AS isn FROM eg)",
     ),
     "l14_link_footnotes": _sql(
-        "SELECT r.block_id AS ref_id, n.note_id FROM (SELECT * FROM ln WHERE ord % 5 = 0) r LEFT JOIN (SELECT r.block_id, min_by(n.block_id, (CASE n.page - r.page WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, n.block_id)) AS note_id FROM ln r JOIN ln n ON r.book_id = n.book_id AND r.ord % 4 = n.ord % 4 AND n.page BETWEEN r.page - 1 AND r.page + 1 WHERE r.ord % 5 = 0 AND n.ord % 7 = 3 GROUP BY 1) n USING (block_id)"
+        "SELECT r.block_id AS ref_id, n.note_id FROM (SELECT * FROM ln WHERE type <> 'footnote') r LEFT JOIN (SELECT r.block_id, min_by(n.block_id, (CASE n.page - r.page WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, n.block_id)) AS note_id FROM ln r JOIN ln n ON r.book_id = n.book_id AND r.ord % 4 = n.ord % 4 AND n.page BETWEEN r.page - 1 AND r.page + 1 WHERE r.type <> 'footnote' AND n.type = 'footnote' GROUP BY 1) n USING (block_id)"
     ),
     "l17_chapter_labels": _sql(
-        "SELECT book_id, page, ord, 1 AS level, CASE WHEN lab AND nx IS NOT NULL THEN text || ' ' || nx ELSE text END AS text FROM (SELECT *, lead(text) OVER w AS nx, lag(lab) OVER w AS was FROM (SELECT book_id, page, ord, ord % 3 = 1 AS lab, CASE WHEN ord % 3 = 1 THEN 'Chapter ' || ord ELSE substr(text, 1, 20) END AS text FROM ln WHERE ord < 6) WINDOW w AS (PARTITION BY book_id, page ORDER BY ord)) WHERE NOT coalesce(was, false) OR lab"
+        "SELECT book_id, page, ord, 1 AS level, CASE WHEN lab AND nx IS NOT NULL THEN text || ' ' || nx ELSE text END AS text FROM (SELECT *, lead(text) OVER w AS nx, lag(lab) OVER w AS was FROM (SELECT book_id, page, ord, ord % 3 = 1 AS lab, CASE WHEN ord % 3 = 1 THEN 'Chapter ' || ord ELSE text END AS text FROM ln) WINDOW w AS (PARTITION BY book_id, page ORDER BY ord)) WHERE NOT coalesce(was, false) OR lab"
     ),
     "l19_dehyphenate": _sql(
         "SELECT book_id, page, ord, CASE WHEN l = '' OR r = '' THEN ' ' WHEN EXISTS (SELECT 1 FROM wd WHERE wd.book_id = j.book_id AND w = l || '-' || r) AND NOT EXISTS (SELECT 1 FROM wd WHERE wd.book_id = j.book_id AND w = l || r) THEN '-' ELSE '' END AS joiner FROM j",
@@ -259,13 +312,13 @@ ORACLE = {
         "SELECT block_id, string_agg(s || ':' || e || ':' || f, ' ' ORDER BY s) AS marks FROM (SELECT block_id, run, f, min(s) AS s, max(e) AS e FROM (SELECT *, sum(nw) OVER (PARTITION BY block_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN lag(f) OVER (PARTITION BY block_id ORDER BY i) = f THEN 0 ELSE 1 END AS nw FROM sp)) GROUP BY ALL) WHERE f <> 0 GROUP BY 1",
         "blocks",
         more={
-            "sp": "SELECT *, e - length(t) AS s FROM (SELECT block_id, i, t, CASE WHEN i % 5 < 2 THEN 1 WHEN i % 5 = 3 THEN 2 ELSE 0 END AS f, sum(length(t)) OVER (PARTITION BY block_id ORDER BY i) AS e FROM (SELECT block_id, i, w[i + 1] AS t FROM (SELECT block_id, w, unnest(range(len(w))) AS i FROM (SELECT block_id, string_split(text, ' ')[1:12] AS w FROM blocks))))"
+            "sp": "SELECT *, e - length(t) AS s FROM (SELECT block_id, i, t, CASE WHEN i % 5 < 2 THEN 1 WHEN i % 5 = 3 THEN 2 ELSE 0 END AS f, sum(length(t)) OVER (PARTITION BY block_id ORDER BY i) AS e FROM (SELECT block_id, i, w[i + 1] AS t FROM (SELECT block_id, w, unnest(range(len(w))) AS i FROM (SELECT block_id, string_split(text, ' ') AS w FROM blocks))))"
         },
     ),
     "l24_reading_order": _sql(
-        "SELECT book_id, page, CAST(row_number() OVER (PARTITION BY book_id, page ORDER BY late, y0, x0, kind, text NULLS FIRST) AS INTEGER) AS place, kind, text FROM (SELECT book_id, page, 0 AS late, y0, x0, 'line' AS kind, substr(text, 1, 20) AS text FROM ln WHERE type <> 'footnote' UNION ALL SELECT book_id, page, 0, y0, x0, 'region', NULL FROM ln WHERE ord % 10 = 4 UNION ALL SELECT book_id, page, 1, 0, 0, 'footnote', substr(text, 1, 20) FROM ln WHERE type = 'footnote')"
+        "SELECT book_id, page, CAST(row_number() OVER (PARTITION BY book_id, page ORDER BY late, y0, x0, kind, text NULLS FIRST) AS INTEGER) AS place, kind, text FROM (SELECT book_id, page, 0 AS late, y0, x0, 'line' AS kind, text FROM ln WHERE type <> 'footnote' UNION ALL SELECT book_id, page, 0, y0, x0, 'region', NULL FROM ln WHERE ord % 10 = 4 UNION ALL SELECT book_id, page, 1, 0, 0, 'footnote', text FROM ln WHERE type = 'footnote')"
     ),
     "l25_guess_title": _sql("SELECT book_id, string_agg(text, ' ' ORDER BY ord) AS title FROM (SELECT *, rank() OVER (PARTITION BY book_id ORDER BY size DESC, page) AS r FROM ln JOIN bd USING (book_id) WHERE page < 4 AND size >= 1.4 * body_size) WHERE r = 1 GROUP BY 1"),
     "l26_ink_boxes": _sql("SELECT book_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM ln WHERE ord <> 0 GROUP BY ALL"),
-    "l29_clean_outline": _sql(r"SELECT book_id, page * 100 + ord AS entry, trim(regexp_replace('  1.2 ' || substr(text, 1, 60) || chr(10) || ' x', '\s+', ' ', 'g')) AS title, page FROM ln WHERE ord % 10 = 1 AND page % 2 = 0"),
+    "l29_clean_outline": _sql(r"SELECT book_id, page * 100 + ord AS entry, trim(regexp_replace('  1.2 ' || text || chr(10) || ' x', '\s+', ' ', 'g')) AS title, page FROM ln WHERE ord = 1 AND page % 2 = 0"),
 }
