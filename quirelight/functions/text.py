@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
-from functools import reduce
+from functools import cache, reduce
 from operator import or_
 
 from pyspark.sql import Column
@@ -11,17 +12,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _accents() -> tuple[str, str]:
-    """Latin letters whose compatibility decomposition is one ASCII letter and combining marks, with that letter."""
-    pairs = []
-    for cp in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        plain = [c for c in unicodedata.normalize("NFKD", chr(cp)) if not unicodedata.combining(c)]
-        if len(plain) == 1 and plain[0] != chr(cp) and plain[0].isascii():
-            pairs.append((chr(cp), plain[0]))
-    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+@cache
+def _decomposed(form: str) -> tuple[str, str, str, str]:
+    """What a Unicode normal form does to single code points: those that become one other (as two strings for translate), and those that
+    become several or none (a guard pattern, and pairs for str_to_map). NFKD here goes without the combining marks U+0300 to U+036F.
+    Hangul syllables, which only fall into their letters, stay."""
+    one, other, many = [], [], {}
+    for cp in range(0x80, sys.maxunicode + 1):
+        if 0xAC00 <= cp < 0xD7B0 or 0xD800 <= cp < 0xE000:
+            continue
+        c = chr(cp)
+        d = unicodedata.normalize(form, c)
+        if form == "NFKD":
+            d = "".join(x for x in d if not 0x300 <= ord(x) < 0x370)
+        if d == c:
+            continue
+        if len(d) == 1:
+            one.append(c)
+            other.append(d)
+        elif d:
+            many[c] = d
+    guard, last = [], -2
+    for cp in map(ord, many):
+        if cp == last + 1:
+            guard[-1][1] = cp
+        else:
+            guard.append([cp, cp])
+        last = cp
+    pattern = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in guard) + "]"
+    return "".join(one), "".join(other), pattern, "\x01".join(f"{c}\x02{d}" for c, d in many.items())
 
 
-ACCENTED, PLAIN = _accents()
 MARKS = "".join(map(chr, range(0x300, 0x370)))
 
 # Words that label a passage, words that carry no meaning alone, and patterns, as the semantics define them.
@@ -55,6 +76,7 @@ SECTION_KINDS = [
     ("exercises", r"^(exercises?|problems?|review questions|practice problems|homework)\b"),
 ]
 NUMBERING = r"^(\d+[a-z]?|m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})|chapter|part|appendix|section|lecture|unit|lesson)$"
+TERM_EDGES = "^[\\s\"“‘'(\\[.,;:!?—–-]+|[\\s\"”’'):;,.\\]!?—–-]+$"
 GLYPHS = {0xE039: "ft", 0xE03A: "ck", 0xE03B: "ch", 0xE03C: "tt", 0xE048: "Qu", 0xE049: "Th", 0xE050: "&", 0xE06D: "-", 0xE0E0: "f"}
 # End of fixed values.
 
@@ -64,8 +86,18 @@ def bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def normalized(text: Column, form: str) -> Column:
+    """text in a Unicode compatibility form (NFKC or NFKD), code point by code point. Most are mapped one to one; texts that hold one that
+    becomes several (ligatures, fractions) are taken apart."""
+    one, other, guard, many = _decomposed(form)
+    table = F.str_to_map(F.lit(many), F.lit("\x01"), F.lit("\x02"))
+    apart = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.translate(F.when(text.rlike(guard), apart).otherwise(text), one, other)
+
+
 def strip_accents(text: Column) -> Column:
-    return F.translate(F.translate(text, ACCENTED, PLAIN), MARKS, "")
+    """Compatibility letters as plain ones (ligatures, full width, superscripts), without combining marks."""
+    return F.translate(normalized(text, "NFKD"), MARKS, "")
 
 
 def letters_and_digits(text: Column) -> Column:
@@ -148,7 +180,7 @@ def _words(values: list[str]) -> Column:
 
 def clean_term(raw: Column) -> Column:
     """T5: a marked run as a term's name, or null if it is not one."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(raw, "^[\\s\"“‘'(\\[.,;:!?—–-]+|[\\s\"”’'):;,.\\]!?—–-]+$", ""), r"\s+", " "))
+    t = F.trim(F.regexp_replace(F.regexp_replace(raw, TERM_EDGES, ""), r"\s+", " "))
     words = term_words(t)
     stop = F.filter(words, lambda w: F.array_contains(_words(STOP), w))
     first, last = F.get(words, F.lit(0)), F.get(words, F.size(words) - 1)
@@ -219,15 +251,20 @@ def clean_text(text: Column) -> Column:
 
 
 def fold_text(text: Column) -> Column:
-    """The text for locating phrases: no white space, no hyphens at line ends, lower case; map[k] is the place (0-based code
-    point) of folded character k."""
+    """The text for locating phrases: no white space, no hyphens at line ends, compatibility letters plain (NFKC), lower case; map[k]
+    is the place (0-based code point) of folded character k."""
+
+    one, other, guard, many = _decomposed("NFKC")
+    table = F.str_to_map(F.lit(many), F.lit("\x01"), F.lit("\x02"))
 
-    def fold(chars: Column) -> Column:
-        plain = F.transform(chars, lambda c, i: F.struct(F.lower(c).alias("c"), i.alias("i"), F.get(chars, i + 1).alias("next")))
-        return F.filter(plain, lambda x: ~x["c"].rlike(r"^\s$") & ~(x["c"].isin("-", "‐", "\xad") & F.coalesce(x["next"] == "\n", F.lit(False))))
+    def fold(x: Column) -> Column:
+        letters = lambda c: F.lower(F.when(c.rlike(guard), F.coalesce(F.try_element_at(table, c), c)).otherwise(F.translate(c, one, other)))
+        plain = F.transform(x["c"], lambda c, i: F.struct(letters(c).alias("c"), i.alias("i"), c.alias("own"), F.get(x["c"], i + 1).alias("next")))
+        return F.filter(plain, lambda y: ~y["own"].rlike(r"^[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]$") & ~(y["own"].isin("-", "‐", "\xad") & F.coalesce(y["next"] == "\n", F.lit(False))))
 
-    kept = bound(F.filter(F.split(text, ""), lambda c: c != ""), fold)
-    return bound(kept, lambda k: F.struct(F.array_join(F.transform(k, lambda x: x["c"]), "").alias("folded"), F.transform(k, lambda x: x["i"]).alias("map")))
+    kept = bound(F.struct(F.filter(F.split(text, ""), lambda c: c != "").alias("c")), fold)
+    places = lambda k: F.flatten(F.transform(k, lambda x: F.when(F.length(x["c"]) == 1, F.array(x["i"])).otherwise(F.array_repeat(x["i"], F.length(x["c"])))))
+    return bound(kept, lambda k: F.struct(F.array_join(F.transform(k, lambda x: x["c"]), "").alias("folded"), places(k).alias("map")))
 
 
 def squash(text: Column) -> Column:
@@ -277,8 +314,8 @@ def clean_glyphs(text: Column, font: Column | None = None) -> Column:
 
 
 def search_terms(query: Column, n: int = 8) -> Column:
-    """The first n words of a query."""
-    return F.slice(letters_and_digits(query), 1, n)
+    """The first n words of a query, compatibility letters plain (NFKC)."""
+    return F.slice(letters_and_digits(normalized(query, "NFKC")), 1, n)
 
 
 def parse_reply(reply: Column, schema: str | T.StructType) -> Column:

@@ -13,16 +13,16 @@ NOT_PROSE = ("code", "equation", "table", "figure")
 
 def glossary_flag(blocks: DataFrame) -> DataFrame:
     """in_glossary: a heading such as Glossary opens it until the next heading. blocks: book_id, ord, type, text."""
-    opens = F.col("text").rlike(r"(?i)^\W*(glossary|key terms|vocabulary|definitions)\b")
+    opens = F.col("text").rlike(r"(?i)^(glossary|key terms|vocabulary|definitions)\b")
     w = Window.partitionBy("book_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     flag = F.last(F.when(F.col("type") == "heading", opens), ignorenulls=True).over(w)
     return blocks.withColumn("in_glossary", F.coalesce(flag, F.lit(False)) & (F.col("type") != "heading"))
 
 
 def marked_candidates(blocks: DataFrame) -> DataFrame:
-    """Bold or italic runs that are names. blocks: book_id, unit_id, block_id, type, kind, text, marks (s, e, f), in_glossary.
+    """Bold or italic runs of body text that are names (exercises set their labels in bold, not their terms). blocks: book_id, unit_id, block_id, type, kind, text, marks (s, e, f), in_glossary.
     Rows: book_id, unit_id, block_id, mark, surface, key, bold, glossary, defines, sentence."""
-    body = blocks.filter(F.col("type").isin("paragraph", "list") & F.col("kind").isin("body", "exercises"))
+    body = blocks.filter(F.col("type").isin("paragraph", "list") & (F.col("kind") == "body"))
     rows = body.select("*", F.posexplode("marks").alias("mark", "m")).filter(
         (F.col("m.f").bitwiseAND(BOLD | ITALIC) != 0) & (F.col("m.f").bitwiseAND(MONO | MATH) == 0) & (F.col("m.e") - F.col("m.s") < 0.8 * F.length("text"))
     )
@@ -82,29 +82,32 @@ def term_stats(candidates: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 def score_concepts(stats: DataFrame, cap: int = 500) -> DataFrame:
-    """Score, rank and importance of the terms that stay. stats: book_id, key, total, units, announced, defined, glossary, heading,
+    """Score, rank and importance of the terms that stay; a term that is never mentioned goes. stats: book_id, key, total, units, announced, defined, glossary, heading,
     marked (booleans)."""
     i = lambda c: F.col(c).cast("int")
     score = 2 * i("defined") + i("glossary") + 1.5 * i("heading") + F.log2(1 + F.col("total")) + F.log2(1 + F.col("units")) + 0.3 * F.least(F.col("announced"), F.lit(3))
     keep = (F.col("defined") & ((F.col("total") >= 2) | F.col("glossary"))) | (F.col("heading") & (F.col("total") >= 2) & (F.col("key").contains(" ") | F.col("marked")))
-    rows = stats.filter(keep).withColumn("score", F.round(score, 9))
+    rows = stats.filter(keep & (F.col("total") >= 1)).withColumn("score", F.round(score, 9))
     w = Window.partitionBy("book_id").orderBy(F.desc("score"), "key")
     top = F.max("score").over(Window.partitionBy("book_id"))
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap).withColumn("importance", F.round(F.col("score") / top, 3))
 
 
 def display_names(candidates: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Name of each term: its most frequent form (the defining one on ties); a name only headings give is written small; a
-    capitalised one is written small if that form occurs or no heading has it. candidates: book_id, key, surface, heading (boolean)."""
+    """Name of each term: the form that defines it, else its most frequent one; in a name of several words that only headings give,
+    capitalised words are written small; a form with a capital at its start alone is written small if that form occurs, or if no heading
+    has the term or it has several forms. candidates: book_id, key, surface, heading (boolean); definitions: book_id, key, surface."""
     forms = candidates.groupBy("book_id", "key", "surface").agg(F.count(F.lit(1)).alias("n"))
-    defining = definitions.select("book_id", "key", F.col("surface").alias("_defining"))
-    rows = forms.join(defining, ["book_id", "key"], "left")
-    order = F.struct("n", F.coalesce(F.col("surface") == F.col("_defining"), F.lit(False)), "surface")
     kinds = candidates.groupBy("book_id", "key").agg(F.max("heading").alias("heading"), F.min("heading").alias("only"))
-    named = rows.groupBy("book_id", "key").agg(F.max_by("surface", order).alias("form"), F.collect_set("surface").alias("forms")).join(kinds, ["book_id", "key"])
-    small = F.concat(F.lower(F.substring("form", 1, 1)), F.substring("form", F.lit(2), F.length("form")))
-    capital = F.col("form").rlike(r"^\p{Lu}\p{Ll}")
-    name = F.when(F.col("only"), F.when(F.col("form").rlike(r"^(\p{Lu}\p{Ll}+)( |$)"), F.lower("form")).otherwise(F.col("form"))).when(capital & (F.array_contains("forms", small) | ~F.col("heading")), small).otherwise(F.col("form"))
+    said = forms.groupBy("book_id", "key").agg(F.max_by("surface", F.struct("n", "surface")).alias("form"), F.collect_set("surface").alias("forms")).join(kinds, ["book_id", "key"])
+    defining = definitions.filter(X.term_key(F.col("surface")) == F.col("key")).select("book_id", "key", F.col("surface").alias("_defining"))
+    named = said.join(defining, ["book_id", "key"], "left").withColumn("form", F.coalesce("_defining", "form"))
+    words = F.array_join(F.transform(F.split("form", " "), lambda w: F.when(w.rlike(r"^\p{Lu}\p{Ll}+$"), F.lower(w)).otherwise(w)), " ")
+    named = named.withColumn("form", F.when(F.col("only") & F.col("form").contains(" "), words).otherwise(F.col("form")))
+    rest = F.substring("form", F.lit(2), F.length("form"))
+    small = F.concat(F.lower(F.substring("form", 1, 1)), rest)
+    start = F.col("form").rlike(r"^\p{Lu}\p{Ll}") & (rest == F.lower(rest))
+    name = F.when(start & (F.array_contains("forms", F.lower("form")) | ~F.col("heading") | (F.size("forms") > 1)), small).otherwise(F.col("form"))
     return named.select("book_id", "key", name.alias("name"))
 
 

@@ -10,6 +10,11 @@ from ..functions.text import tokens
 K1, B = 1.2, 0.75
 
 
+def term_counts(blocks: DataFrame) -> DataFrame:
+    """Q1 without positions, which ranking does not need: term, block_id, tf."""
+    return blocks.select("block_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term", "block_id").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def build_postings(blocks: DataFrame) -> DataFrame:
     """Q1: term, block_id, tf, positions (from 0, in order). blocks: block_id, text."""
     each = blocks.select("block_id", F.posexplode(tokens(F.col("text"))).alias("at", "term"))
@@ -49,10 +54,16 @@ def rank(queries: DataFrame, postings: DataFrame) -> DataFrame:
     return scored.groupBy("query_id", "block_id").agg(F.count(F.lit(1)).alias("found"), F.max("n").alias("n"), F.sum("score").alias("score")).filter("found = n").select("query_id", "block_id", "score")
 
 
-def search(queries: DataFrame, postings: DataFrame, blocks: DataFrame, units: DataFrame, k: int = 60) -> DataFrame:
-    """Q2: the k best blocks of each query; equations and units of contents or index are left out. blocks: block_id, unit_id, type."""
-    good = blocks.filter("type <> 'equation'").select("block_id", "unit_id").join(units.filter(~F.col("kind").isin("contents", "index")).select("unit_id"), "unit_id", "left_semi")
+def search(queries: DataFrame, postings: DataFrame, blocks: DataFrame, units: DataFrame, sections: DataFrame, k: int = 60) -> DataFrame:
+    """Q2: the k best blocks of each query; equations and what is in units or sections of contents or index are left out. queries:
+    query_id, query and, if there is such a column, book_id (null: all books); blocks: block_id, book_id, unit_id, section_id, type;
+    units: unit_id, kind; sections: section_id, kind. postings are read several times, so they should be a table."""
+    telling = ~F.col("kind").isin("contents", "index")
+    good = blocks.filter("type <> 'equation'").select("block_id", "book_id", "unit_id", "section_id")
+    good = good.join(units.filter(telling).select("unit_id"), "unit_id", "left_semi").join(sections.filter(telling).select("section_id"), "section_id", "left_semi")
     rows = rank(queries, postings).withColumn("score", F.round("score", 6)).join(good, "block_id")
+    if "book_id" in queries.columns:
+        rows = rows.join(queries.select("query_id", F.col("book_id").alias("_book")), "query_id").filter(F.col("_book").isNull() | (F.col("_book") == F.col("book_id")))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "block_id")
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "block_id", "unit_id", "score")
 

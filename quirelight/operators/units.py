@@ -11,35 +11,37 @@ READABLE = ("body", "exercises")
 DONE = 0.85
 
 
-def section_parents(sections: DataFrame, levels: int = 6) -> DataFrame:
-    """parent_id, the nearest section before of a smaller level. sections: book_id, section_id, ord, level."""
+def _levels(sections: DataFrame) -> int:
+    """The deepest level; one row comes to the driver."""
+    return max(1, sections.agg(F.max("level")).first()[0] or 1)
+
+
+def _ancestors(sections: DataFrame, row: Column, levels: int) -> Column:
+    """The sections above each one, from its root down, as an array of row: of every level the last section before, unless one of a smaller
+    level stands between. One window, however deep the tree is."""
     w = Window.partitionBy("book_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("level") == k, F.struct("ord", "section_id")), ignorenulls=True).over(w) for k in range(1, levels + 1)]
-    out = sections.withColumns({f"_l{k}": c for k, c in enumerate(last, 1)})
-    found = F.lit(None)
-    for k in range(levels, 1, -1):
-        above = [F.col(f"_l{j}") for j in range(1, k)]
-        found = F.when(F.col("level") == k, F.greatest(*above) if k > 2 else above[0]).otherwise(found)
-    return out.withColumn("_parent", found).withColumn("parent_id", F.col("_parent.section_id")).drop("_parent", *[f"_l{k}" for k in range(1, levels + 1)])
+    last = [F.last(F.when(F.col("level") == k, F.struct(F.col("ord").alias("at"), F.lit(k).alias("level"), row.alias("row"))), ignorenulls=True).over(w) for k in range(1, levels + 1)]
+    above = F.filter(F.array(*last), lambda x: x["level"] < F.col("level"))  # null if there is none
+    open_ = F.filter(above, lambda x: ~F.exists(above, lambda y: (y["level"] < x["level"]) & (y["at"] > x["at"])))
+    return F.transform(open_, lambda x: x["row"])
 
 
-def _up(sections: DataFrame, parents: DataFrame, columns: dict[str, str]) -> DataFrame:
-    above = parents.select(F.col("section_id").alias("parent_id"), *[F.col(a).alias(b) for a, b in columns.items()])
-    return sections.join(above, "parent_id", "left")
+def section_parents(sections: DataFrame) -> DataFrame:
+    """parent_id, the nearest section before of a smaller level. sections: book_id, section_id, ord, level."""
+    above = _ancestors(sections, F.col("section_id"), _levels(sections))
+    return sections.withColumn("_above", above).withColumn("parent_id", F.try_element_at("_above", F.lit(-1))).drop("_above")
 
 
-def inherit_kind(sections: DataFrame, levels: int = 6) -> DataFrame:
-    """A section under one that is not body or exercises takes its kind; the highest such one wins. One join for each level."""
-    out = sections
-    for level in range(2, levels + 1):
-        rows = _up(out, out, {"kind": "_above"})
-        taken = F.when((F.col("level") == level) & ~F.col("_above").isin(*READABLE), F.col("_above")).otherwise(F.col("kind"))
-        out = rows.withColumn("kind", taken).select(*sections.columns)
-    return out
+def inherit_kind(sections: DataFrame) -> DataFrame:
+    """A section under one that is not body or exercises takes its kind; the highest such one wins. sections: book_id, ord, level, kind."""
+    above = _ancestors(sections, F.col("kind"), _levels(sections))
+    taken = F.get(F.filter("_above", lambda k: ~k.isin(*READABLE)), F.lit(0))
+    return sections.withColumn("_above", above).withColumn("kind", F.coalesce(taken, "kind")).drop("_above")
 
 
-def section_end_page(sections: DataFrame, books: DataFrame, levels: int = 6) -> DataFrame:
+def section_end_page(sections: DataFrame, books: DataFrame) -> DataFrame:
     """U4: end_page, the page of the next section of the same or a smaller level, else the book's page count."""
+    levels = _levels(sections)
     w = Window.partitionBy("book_id").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
     following = F.lit(None).cast("struct<ord:bigint,page:int>")
     for k in range(1, levels + 1):
@@ -48,19 +50,21 @@ def section_end_page(sections: DataFrame, books: DataFrame, levels: int = 6) ->
     return sections.withColumn("_next", following).join(books.select("book_id", "page_count"), "book_id").withColumn("end_page", F.coalesce("_next.page", "page_count")).drop("_next", "page_count")
 
 
-def plan_units(sections: DataFrame, split_pages: int = 36, levels: int = 6) -> DataFrame:
+def plan_units(sections: DataFrame, split_pages: int = 36) -> DataFrame:
     """is_unit and unit_id. Roots are units; a unit of more than split_pages pages with two children or more makes its children
-    units too; other sections belong to the nearest unit above. sections: section_id, parent_id, level, page, end_page."""
+    units too; other sections belong to the nearest unit above. sections: book_id, section_id, parent_id, ord, level, page, end_page."""
     children = sections.filter("parent_id is not null").groupBy(F.col("parent_id").alias("section_id")).agg(F.count(F.lit(1)).alias("_children"))
-    out = sections.join(children, "section_id", "left").withColumn("is_unit", F.col("parent_id").isNull()).withColumn("unit_id", F.when(F.col("is_unit"), F.col("section_id")))
-    for level in range(2, levels + 1):
-        splits = F.col("is_unit") & (F.col("end_page") - F.col("page") > split_pages) & (F.coalesce("_children", F.lit(0)) >= 2)
-        above = out.select(F.col("section_id").alias("parent_id"), F.col("unit_id").alias("_unit"), splits.alias("_splits"))
-        rows = out.join(above, "parent_id", "left")
-        here = (F.col("level") == level) & F.col("parent_id").isNotNull()
-        out = rows.withColumn("is_unit", F.when(here, F.col("_splits")).otherwise(F.col("is_unit"))).withColumn(
-            "unit_id", F.when(here, F.when(F.col("_splits"), F.col("section_id")).otherwise(F.col("_unit"))).otherwise(F.col("unit_id"))
-        ).drop("_unit", "_splits")
+    splits = (F.col("end_page") - F.col("page") > split_pages) & (F.coalesce("_children", F.lit(0)) >= 2)
+    rows = sections.join(children, "section_id", "left").withColumn("_own", F.struct(F.col("section_id").alias("id"), splits.alias("splits")))
+    rows = rows.withColumn("_path", F.concat(_ancestors(rows, F.col("_own"), _levels(sections)), F.array("_own")))
+    start = F.struct(F.lit(True).alias("unit"), F.lit(None).cast(sections.schema["section_id"].dataType).alias("id"), F.lit(True).alias("splits"))
+
+    def step(acc: Column, x: Column) -> Column:
+        unit = acc["unit"] & acc["splits"]
+        return F.struct(unit.alias("unit"), F.when(unit, x["id"]).otherwise(acc["id"]).alias("id"), x["splits"].alias("splits"))
+
+    rows = rows.withColumn("_found", F.aggregate("_path", start, step))
+    out = rows.withColumn("is_unit", F.col("_found.unit")).withColumn("unit_id", F.col("_found.id")).drop("_own", "_path", "_found")
     return out.drop("_children")
 
 

@@ -1,4 +1,4 @@
-"""Queries of concept mining, over the lines of all documents and, for pairs at scale, over orders and their parts."""
+"""Queries of concept mining, over the lines of all documents."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import concepts as C
 from ..sources import fixtures as X
 from ..sources.fixtures import sql
+from ..sources.shared import written
 from .text import _SENT, sql_clean_term, sql_term_key, sql_term_words
 
 
@@ -34,50 +35,50 @@ def _definitions(spark, d):
 
 
 def _mentions(spark, d):
-    en = X.blocks(spark, d).filter("lang = 'en'")
-    return C.find_mentions(en, X.terms(spark, d).select(T.term_key(F.col("key")).alias("key")), longest=2)
+    """Of all terms in all blocks, written once: most queries read them several times."""
+    return written(C.find_mentions(X.blocks(spark, d), X.terms(spark, d).select(T.term_key(F.col("key")).alias("key")), longest=2))
 
 
 def c6(spark, d):
-    cand = _mentions(spark, d).select("book_id", "key", F.when(F.col("count") > 1, F.upper("key")).otherwise(F.col("key")).alias("surface"))
-    return C.term_stats(cand, _mentions(spark, d))
+    m = _mentions(spark, d)
+    return C.term_stats(m.select("book_id", "key", F.when(F.col("count") > 1, F.concat(F.lit("the "), "key")).otherwise(F.col("key")).alias("surface")), m)
 
 
 def _stats(spark, d):
-    stats = C.term_stats(_mentions(spark, d).select("book_id", "key", F.col("key").alias("surface")), _mentions(spark, d))
+    m = _mentions(spark, d)
+    stats = C.term_stats(m.select("book_id", "key", F.col("key").alias("surface")), m)
     n = F.length("key")
     return stats.withColumns({"defined": n % 2 == 0, "glossary": n % 5 == 0, "heading": n % 3 == 0, "marked": n % 2 == 1})
 
 
 def c7(spark, d):
-    return C.score_concepts(_stats(spark, d), cap=100).select("book_id", "key", "rank", "importance")
+    return C.score_concepts(_stats(spark, d), cap=500).select("book_id", "key", "rank", "importance")
 
 
 def c8(spark, d):
     m = _mentions(spark, d)
-    surface = F.when(F.col("block_id") % 3 == 0, F.initcap("key")).otherwise(F.col("key"))
+    surface = F.when((F.col("block_id") % 3 == 0) & F.col("key").rlike("^[a-z ]+$"), F.initcap("key")).otherwise(F.col("key"))
     cand = m.select("book_id", "key", surface.alias("surface"), (F.col("block_id") % 2 == 0).alias("heading"))
-    return C.display_names(cand, m.groupBy("book_id", "key").agg(F.min("key").alias("surface")))
-
-
-def _pairs(spark, d):
-    return C.cooccurrence(_order_parts(spark, d), per_block=5)
-
-
-def _order_parts(spark, d):
-    return X.table(spark, d, "lineitem").filter("l_partkey % 10 = 0").select(F.col("l_orderkey").alias("block_id"), F.col("l_partkey").alias("key")).distinct()
+    return C.display_names(cand, m.filter(F.length("key") % 2 == 0).groupBy("book_id", "key").agg(F.min("key").alias("surface")))
 
 
 def c9(spark, d):
-    used = X.table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("used"))
-    return C.cooccurrence(_order_parts(spark, d), used, per_block=5)
+    """What a term's definition uses is what stands in the block that mentions it first."""
+    m = _mentions(spark, d)
+    home = m.groupBy("key").agg(F.min("block_id").alias("block_id"))
+    used = home.join(m.select("block_id", F.col("key").alias("used")), "block_id").select("key", "used")
+    return C.cooccurrence(m.select("block_id", "key"), used)
 
 
-def _edges(spark, d):
-    m = _mentions(spark, d)
+def _edges(spark, d, m=None):
+    m = m or _mentions(spark, d)
     return C.relatedness(C.cooccurrence(m.select("block_id", "key")), m)
 
 
+def c10(spark, d):
+    return _edges(spark, d).withColumn("w", F.round("w", 9))
+
+
 def c11(spark, d):
     return C.prune_edges(_edges(spark, d).withColumn("w", F.round("w", 9)))
 
@@ -90,7 +91,7 @@ def c12(spark, d):
         rows = part(k)
         edges = C.cooccurrence(rows.select("block_id", "key")).select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n").alias("w"))
         return {
-            "concepts": rows.groupBy("key").agg(F.min("block_id").alias("ord")).select("key", F.upper("key").alias("name"), "ord"),
+            "concepts": rows.groupBy("key").agg(F.min("block_id").alias("ord")).select("key", F.concat(F.lit("the "), "key").alias("name"), "ord"),
             "concept_books": rows.groupBy("key", "book_id").agg(F.sum("count").alias("importance")),
             "mentions": rows.select("key", "block_id", "count"),
             "edges": edges,
@@ -118,7 +119,7 @@ QUERIES = {
     "c7_score_concepts": c7,
     "c8_display_names": c8,
     "c9_cooccurrence": c9,
-    "c10_relatedness": lambda spark, d: C.relatedness(_pairs(spark, d), _order_parts(spark, d), least=1).withColumn("w", F.round("w", 9)),
+    "c10_relatedness": c10,
     "c11_prune_edges": c11,
     "c12_merge_concepts": c12,
     "c13_first_cards": c13,
@@ -129,24 +130,23 @@ _SENT_AT = {
     "at_": "SELECT *, coalesce(sum(length(x)) OVER (PARTITION BY block_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM s_",
 }
 _CAND = {
-    "prose": "SELECT *, substr(text, s + 1, e - s) AS raw FROM marked WHERE type = 'paragraph' AND kind IN ('body', 'exercises') AND e - s < 0.8 * length(text)",
+    "prose": "SELECT *, substr(text, s + 1, e - s) AS raw FROM marked WHERE type = 'paragraph' AND kind = 'body' AND e - s < 0.8 * length(text)",
     "named": sql_clean_term("prose", "raw", "block_id"),
     **_SENT_AT,
     "sent": "SELECT p.block_id, trim(string_agg(x, '' ORDER BY i) FILTER (WHERE pos + length(x) > p.s AND pos < p.e)) AS sentence FROM prose p JOIN at_ USING (block_id) GROUP BY p.block_id",
     "cand": f"SELECT *, f = 1 AS bold, {sql_term_key('term')} AS key, regexp_matches(sentence, '{T.DEFINES}') AS defines FROM prose JOIN named USING (block_id) JOIN sent USING (block_id) WHERE term IS NOT NULL",
     "best": "SELECT book_id, key, unnest(max_by({'block_id': block_id, 'unit_id': unit_id, 'sentence': sentence, 'surface': term, 'rank': r}, (r, -block_id))) FROM (SELECT *, 2 * CAST(defines AS INTEGER) + CAST(bold AS INTEGER) + CAST(length(sentence) BETWEEN 30 AND 320 AS INTEGER) AS r FROM cand WHERE bold OR defines) GROUP BY book_id, key",
 }
-#: Leftmost longest matching of one or two words, one step a word: hits in order, each taken if it starts after the last one's end.
+#: Leftmost longest matching of one or two words: hits in order, each taken if it starts after the last one's end.
 _MENT = {
     "keys": f"SELECT DISTINCT {sql_term_key('key')} AS key FROM terms",
-    "tw": f"SELECT block_id, unit_id, book_id, {sql_term_words('text')} AS w FROM blocks WHERE lang = 'en' AND type <> 'code'",
+    "tw": f"SELECT block_id, unit_id, book_id, {sql_term_words('text')} AS w FROM blocks WHERE type <> 'code'",
     "runs": "SELECT block_id, i, 2 AS n, w[i] || ' ' || w[i + 1] AS key FROM (SELECT block_id, w, unnest(range(1, len(w))) AS i FROM tw) UNION ALL SELECT block_id, i, 1, w[i] FROM (SELECT block_id, w, unnest(range(1, len(w) + 1)) AS i FROM tw)",
     "hits": "SELECT block_id, i, max(n) AS n, max_by(key, n) AS key FROM runs JOIN keys USING (key) GROUP BY block_id, i",
     "hl": "SELECT block_id, list({'i': i, 'n': n, 'key': key} ORDER BY i) AS h FROM hits GROUP BY block_id",
-    "walk": "SELECT block_id, h, 1 AS k, CAST(0 AS BIGINT) AS stop, CAST(NULL AS VARCHAR) AS key FROM hl UNION ALL SELECT block_id, h, k + 1, CASE WHEN h[k].i >= stop THEN h[k].i + h[k].n ELSE stop END, CASE WHEN h[k].i >= stop THEN h[k].key END FROM walk WHERE k <= len(h)",
-    "ment": "SELECT key, block_id, unit_id, book_id, count(*) AS count FROM walk JOIN tw USING (block_id) WHERE key IS NOT NULL GROUP BY ALL",
+    "took": "SELECT block_id, unnest(list_reduce(h, lambda a, x: CASE WHEN x.i >= a.stop THEN {'stop': x.i + x.n, 'keys': list_append(a.keys, x.key)} ELSE a END, {'stop': CAST(0 AS BIGINT), 'keys': CAST([] AS VARCHAR[])}).keys) AS key FROM hl",
+    "ment": "SELECT key, block_id, unit_id, book_id, count(*) AS count FROM took JOIN tw USING (block_id) GROUP BY ALL",
 }
-_OP = {"op": "SELECT DISTINCT l_orderkey AS block_id, l_partkey AS key FROM lineitem WHERE l_partkey % 10 = 0", "okb": "SELECT block_id FROM op GROUP BY block_id HAVING count(*) <= 5", "pr": "SELECT x.key AS a, y.key AS b FROM op x JOIN op y ON x.block_id = y.block_id AND x.key < y.key WHERE x.block_id IN (SELECT block_id FROM okb)"}
 _REL = {
     **_MENT,
     "mb": "SELECT block_id FROM ment GROUP BY block_id HAVING count(*) <= 25",
@@ -167,11 +167,11 @@ ORACLE = {
             "n": sql_clean_term("h", "raw", "block_id"),
         },
     ),
-    "c3_glossary_flag": sql("SELECT block_id, type <> 'heading' AND (unit_id % 4 = 0 OR regexp_matches(first, '(?i)^\\W*(glossary|key terms|vocabulary|definitions)\\b')) AS in_glossary FROM blocks JOIN (SELECT unit_id, title AS first FROM units) USING (unit_id)", "blocks", "units"),
+    "c3_glossary_flag": sql("SELECT block_id, type <> 'heading' AND (unit_id % 4 = 0 OR regexp_matches(first, '(?i)^(glossary|key terms|vocabulary|definitions)\\b')) AS in_glossary FROM blocks JOIN (SELECT unit_id, title AS first FROM units) USING (unit_id)", "blocks", "units"),
     "c4_best_definitions": sql("SELECT book_id, key, block_id, sentence, surface, rank FROM best", "marked", more=_CAND),
     "c5_find_mentions": sql("SELECT * FROM ment", "blocks", "terms", more=_MENT),
     "c6_term_stats": sql(
-        "SELECT book_id, key, CAST(sum(n) AS BIGINT) AS announced, max_by(surface, (n, surface)) AS form, any_value(total) AS total, any_value(units) AS units FROM (SELECT book_id, key, CASE WHEN count > 1 THEN upper(key) ELSE key END AS surface, count(*) AS n FROM ment GROUP BY ALL) JOIN (SELECT book_id, key, total, units FROM st) USING (book_id, key) GROUP BY book_id, key",
+        "SELECT book_id, key, CAST(sum(n) AS BIGINT) AS announced, max_by(surface, (n, surface)) AS form, any_value(total) AS total, any_value(units) AS units FROM (SELECT book_id, key, CASE WHEN count > 1 THEN 'the ' || key ELSE key END AS surface, count(*) AS n FROM ment GROUP BY ALL) JOIN (SELECT book_id, key, total, units FROM st) USING (book_id, key) GROUP BY book_id, key",
         "blocks",
         "terms",
         more=_STAT,
@@ -179,20 +179,28 @@ ORACLE = {
     "c7_score_concepts": sql(
         """SELECT book_id, key, CAST(rank AS INTEGER) AS rank, round(score / top, 3) AS importance FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY score DESC, key) AS rank, max(score) OVER (PARTITION BY book_id) AS top
  FROM (SELECT *, round(2 * CAST(len % 2 = 0 AS INTEGER) + CAST(len % 5 = 0 AS INTEGER) + 1.5 * CAST(len % 3 = 0 AS INTEGER) + log2(1 + total) + log2(1 + units) + CAST(0.3 AS DOUBLE) * least(announced, 3), 9) AS score FROM (SELECT *, length(key) AS len FROM st))
- WHERE (len % 2 = 0 AND (total >= 2 OR len % 5 = 0)) OR (len % 3 = 0 AND total >= 2 AND (contains(key, ' ') OR len % 2 = 1))) WHERE rank <= 100""",
+ WHERE total >= 1 AND ((len % 2 = 0 AND (total >= 2 OR len % 5 = 0)) OR (len % 3 = 0 AND total >= 2 AND (contains(key, ' ') OR len % 2 = 1)))) WHERE rank <= 500""",
         "blocks",
         "terms",
         more=_STAT,
     ),
     "c8_display_names": sql(
-        """SELECT book_id, key, CASE WHEN only_ THEN CASE WHEN regexp_matches(form, '^(\\p{Lu}\\p{Ll}+)( |$)') THEN lower(form) ELSE form END WHEN regexp_matches(form, '^\\p{Lu}\\p{Ll}') AND (list_contains(forms, small) OR NOT heading) THEN small ELSE form END AS name
- FROM (SELECT *, lower(substr(form, 1, 1)) || substr(form, 2) AS small FROM (SELECT book_id, key, max_by(surface, (n, surface = key, surface)) AS form, list(surface) AS forms FROM (SELECT book_id, key, surface, count(*) AS n FROM sf GROUP BY ALL) GROUP BY ALL)) JOIN (SELECT book_id, key, bool_or(h) AS heading, bool_and(h) AS only_ FROM sf GROUP BY ALL) USING (book_id, key)""",
+        """SELECT book_id, key, CASE WHEN regexp_matches(name, '^\\p{Lu}\\p{Ll}') AND substr(name, 2) = lower(substr(name, 2)) AND (list_contains(forms, lower(name)) OR NOT heading OR len(forms) > 1) THEN lower(substr(name, 1, 1)) || substr(name, 2) ELSE name END AS name
+ FROM (SELECT *, CASE WHEN only_ AND contains(form, ' ') THEN array_to_string(list_transform(string_split(form, ' '), lambda w: CASE WHEN regexp_matches(w, '^\\p{Lu}\\p{Ll}+$') THEN lower(w) ELSE w END), ' ') ELSE form END AS name
+  FROM (SELECT book_id, key, CASE WHEN defining THEN key ELSE form END AS form, forms, heading, only_ FROM
+   (SELECT book_id, key, max_by(surface, (n, surface)) AS form, list(surface) AS forms FROM (SELECT book_id, key, surface, count(*) AS n FROM sf GROUP BY ALL) GROUP BY ALL)
+   JOIN (SELECT book_id, key, bool_or(h) AS heading, bool_and(h) AS only_, max(length(key)) % 2 = 0 AS defining FROM sf GROUP BY ALL) USING (book_id, key)))""",
+        "blocks",
+        "terms",
+        more={**_MENT, "sf": "SELECT book_id, key, block_id % 2 = 0 AS h, CASE WHEN block_id % 3 = 0 AND regexp_matches(key, '^[a-z ]+$') THEN array_to_string(list_transform(string_split(key, ' '), lambda x: upper(substr(x, 1, 1)) || substr(x, 2)), ' ') ELSE key END AS surface FROM ment"},
+    ),
+    "c9_cooccurrence": sql(
+        "SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM (SELECT a, b, n FROM cp UNION ALL SELECT least(h.key, m.key), greatest(h.key, m.key), 2 FROM (SELECT key, min(block_id) AS block_id FROM ment GROUP BY key) h JOIN ment m USING (block_id) WHERE h.key <> m.key) GROUP BY ALL",
         "blocks",
         "terms",
-        more={**_MENT, "sf": "SELECT book_id, key, block_id % 2 = 0 AS h, CASE WHEN block_id % 3 = 0 THEN array_to_string(list_transform(string_split(key, ' '), lambda x: upper(substr(x, 1, 1)) || substr(x, 2)), ' ') ELSE key END AS surface FROM ment"},
+        more={k: v for k, v in _REL.items() if k not in ("ff", "ed")},
     ),
-    "c9_cooccurrence": sql("SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM (SELECT a, b, 1 AS n FROM pr UNION ALL SELECT least(l_partkey, l_suppkey), greatest(l_partkey, l_suppkey), 2 FROM lineitem WHERE l_linenumber = 1 AND l_partkey <> l_suppkey) GROUP BY ALL", more=_OP),
-    "c10_relatedness": sql("SELECT a, b, round(n / sqrt(x.f * y.f) * least(1.0, log2(1 + n) / 3), 9) AS w FROM (SELECT a, b, count(*) AS n FROM pr GROUP BY ALL) JOIN f x ON a = x.key JOIN f y ON b = y.key", more={**_OP, "f": "SELECT key, count(DISTINCT block_id) AS f FROM op GROUP BY key"}),
+    "c10_relatedness": sql("SELECT a, b, w FROM ed", "blocks", "terms", more=_REL),
     "c11_prune_edges": sql(
         "SELECT DISTINCT a, b, round(w / (SELECT max(w) FROM ed), 3) AS w FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY w DESC, a, b) AS r FROM (SELECT a AS e, * FROM ed UNION ALL SELECT b, * FROM ed)) WHERE r <= 8 AND w >= 0.05 * (SELECT max(w) FROM ed)",
         "blocks",
@@ -200,7 +208,7 @@ ORACLE = {
         more=_REL,
     ),
     "c12_merge_concepts": sql(
-        "SELECT key, upper(key) AS name, ord, importance, w FROM (SELECT key, min(block_id) AS ord FROM ment GROUP BY key) JOIN (SELECT key, CAST(sum(m) AS BIGINT) AS importance FROM (SELECT key, book_id, max(s) AS m FROM (SELECT key, book_id, block_id % 2, sum(count) AS s FROM ment GROUP BY ALL) GROUP BY ALL) GROUP BY ALL) USING (key) LEFT JOIN (SELECT a AS key, CAST(sum(m) AS BIGINT) AS w FROM (SELECT a, b, max(n) AS m FROM (SELECT x.key AS a, y.key AS b, x.block_id % 2, count(*) AS n FROM ment x JOIN ment y ON x.block_id = y.block_id AND x.key < y.key WHERE x.block_id IN (SELECT block_id FROM mb) GROUP BY ALL) GROUP BY ALL) GROUP BY ALL) USING (key)",
+        "SELECT key, 'the ' || key AS name, ord, importance, w FROM (SELECT key, min(block_id) AS ord FROM ment GROUP BY key) JOIN (SELECT key, CAST(sum(m) AS BIGINT) AS importance FROM (SELECT key, book_id, max(s) AS m FROM (SELECT key, book_id, block_id % 2, sum(count) AS s FROM ment GROUP BY ALL) GROUP BY ALL) GROUP BY ALL) USING (key) LEFT JOIN (SELECT a AS key, CAST(sum(m) AS BIGINT) AS w FROM (SELECT a, b, max(n) AS m FROM (SELECT x.key AS a, y.key AS b, x.block_id % 2, count(*) AS n FROM ment x JOIN ment y ON x.block_id = y.block_id AND x.key < y.key WHERE x.block_id IN (SELECT block_id FROM mb) GROUP BY ALL) GROUP BY ALL) GROUP BY ALL) USING (key)",
         "blocks",
         "terms",
         more={**_MENT, "mb": _REL["mb"]},

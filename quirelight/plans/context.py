@@ -28,44 +28,45 @@ def _messages(spark, d):
 
 
 def m3(spark, d):
-    h = X.reads(spark, d).join(X.blocks(spark, d).select("block_id", F.col("text").alias("quote")), "block_id").filter("block_id % 3 = 0").select("learner_id", F.col("block_id").alias("id"), F.col("seen").alias("created"), "quote", F.when(F.col("block_id") % 2 == 0, "why so").otherwise("").alias("note"))
+    h = X.reads(spark, d).join(X.blocks(spark, d).select("block_id", F.col("text").alias("quote")), "block_id").select("learner_id", F.col("block_id").alias("id"), F.col("seen").alias("created"), "quote", F.when(F.col("block_id") % 2 == 0, "why so").otherwise("").alias("note"))
     n = X.page_reads(spark, d).select("learner_id", F.col("unit_id").cast("string").alias("key"), (F.col("dwell_ms") % 50).alias("importance"), F.when(F.col("page") == 0, "seen").otherwise("known").alias("state")).groupBy("learner_id", "key").agg(F.max("importance").alias("importance"), F.max("state").alias("state"))
     return M.reader_context(h, n, n_quotes=3, n_concepts=4)
 
 
 def m6(spark, d):
     p = page_text(spark, d).filter("length(text) > 400").select((F.col("book_id") * 1000 + F.col("page")).alias("passage_id"), "book_id", "page", F.lit(200).alias("start"), F.lit(260).alias("end"), (F.col("book_id") % 100).alias("conv_id"))
-    v = p.filter("passage_id % 2 = 0").select("passage_id", F.concat(F.lit("v"), "passage_id").alias("version"))
+    v = p.join(page_text(spark, d).filter("length(text) > 600"), ["book_id", "page"], "left_semi").select("passage_id", F.concat(F.lit("v"), "passage_id").alias("version"))
     return M.rewrite_context(p, page_text(spark, d), v, X.table(spark, d, "conversations"))
 
 
 def m7(spark, d):
-    """Replies made of blocks: each unit's reply has three cards, one of them not usable."""
-    b = X.blocks(spark, d).filter("n < 3").withColumn("w", F.substring_index("text", " ", 2))
-    card = F.struct(F.when(F.col("n") == 0, "cloze").otherwise("basic").alias("kind"), F.when(F.col("n") == 0, F.concat(F.lit("{{c1::"), "w", F.lit("}}"))).otherwise(F.col("w")).alias("front"), F.when(F.col("n") == 1, "back").otherwise("").alias("back"), F.col("w").alias("quote"))
+    """Replies made of blocks: each unit's reply has a card for every block, a third of them not usable; code lines are cards already."""
+    b = X.blocks(spark, d).withColumn("w", F.substring_index("text", " ", 2))
+    n = F.col("n") % 3
+    card = F.struct(F.when(n == 0, "cloze").otherwise("basic").alias("kind"), F.when(n == 0, F.concat(F.lit("{{c1::"), "w", F.lit("}}"))).otherwise(F.col("w")).alias("front"), F.when(n == 1, "back").otherwise("").alias("back"), F.col("w").alias("quote"))
     r = b.groupBy("unit_id").agg(F.sort_array(F.collect_list(F.struct("n", card.alias("c")))).alias("x")).select("unit_id", F.concat(F.lit("Sure: "), F.to_json(F.struct(F.transform("x", lambda x: x["c"]).alias("cards")))).alias("reply"))
-    old = b.filter("n = 1 and unit_id % 10 = 0").select(F.upper("w").alias("front"))
-    return M.merge_generated_cards(r, old, X.units(spark, d).filter("unit_id % 2 = 0")).select("unit_id", "kind", "front", "back", "status")
+    old = b.filter("type = 'code'").select(F.concat(F.lit("  "), "w", F.lit(" ")).alias("front"))
+    return M.merge_generated_cards(r, old, X.units(spark, d).filter("kind = 'body'")).select("unit_id", "kind", "front", "back", "status")
 
 
 def m8(spark, d):
     t = X.terms(spark, d)
-    name = F.struct(F.col("key").alias("name"), (F.col("rank") % 7).cast("double").alias("importance"), F.concat(F.lit("about "), "key").alias("definition"))
-    relation = F.struct(F.col("key").alias("a"), F.lit("middle").alias("b"), F.lit("part-of").alias("kind"), (F.col("rank") / 100.0).alias("strength"))
-    replies = t.select((F.col("rank") % 3).cast("long").alias("book_id"), F.to_json(F.struct(F.array(name).alias("concepts"), F.array(relation).alias("relations"))).alias("reply"))
-    base = t.filter("rank % 2 = 0").select(M.term_key(F.col("key")).alias("key"), (F.col("rank") % 3).cast("long").alias("book_id"), F.lit(0.5).alias("importance"), F.lit(None).cast("string").alias("definition"))
+    name = F.struct(F.col("key").alias("name"), (F.col("no") % 7).cast("double").alias("importance"), F.concat(F.lit("about "), "key").alias("definition"))
+    relation = F.struct(F.col("key").alias("a"), F.lit("middle").alias("b"), F.lit("part-of").alias("kind"), (F.col("no") % 300 / 100.0).alias("strength"))
+    replies = t.select((F.col("no") % 3).cast("long").alias("book_id"), F.to_json(F.struct(F.array(name).alias("concepts"), F.array(relation).alias("relations"))).alias("reply"))
+    base = t.filter("no % 2 = 0").select(M.term_key(F.col("key")).alias("key"), (F.col("no") % 3).cast("long").alias("book_id"), F.lit(0.5).alias("importance"), F.lit(None).cast("string").alias("definition"))
     merged, edges = M.merge_generated_concepts(replies, base)
     return merged.join(edges.select("book_id", F.when(F.col("a") == "middle", F.col("b")).otherwise(F.col("a")).alias("key"), F.round("w", 6).alias("w"), "label"), ["book_id", "key"], "left").withColumn("importance", F.round("importance", 6))
 
 
 def m9(spark, d):
-    q = X.blocks(spark, d).filter("block_id % 4 = 0 and length(text) > 40").select("block_id", "unit_id", F.when(F.col("block_id") % 8 == 0, F.translate(F.substring("text", 5, 30), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(F.concat(F.reverse(F.substring("text", 1, 5)), F.lit(" "), F.substring_index("text", " ", 9))).alias("quote"))
+    q = X.blocks(spark, d).filter("length(text) > 40").select("block_id", "unit_id", F.when(F.col("block_id") % 2 == 0, F.translate(F.substring("text", 5, 30), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(F.concat(F.reverse(F.substring("text", 1, 5)), F.lit(" "), F.substring_index("text", " ", 9))).alias("quote"))
     return M.match_quotes(q.withColumnRenamed("block_id", "quote_id"), X.blocks(spark, d))
 
 
 def m10(spark, d):
     done = U.units_finished(X.reads(spark, d), X.blocks(spark, d))
-    jobs = X.units(spark, d).filter("unit_id % 4 = 0").select("unit_id", F.lit("cards").alias("job"))
+    jobs = X.units(spark, d).filter("kind = 'exercises'").select("unit_id", F.lit("cards").alias("job"))
     return M.pending_jobs(done, jobs, X.units(spark, d))
 
 
@@ -109,7 +110,7 @@ ORACLE = {
         "SELECT learner_id, quotes, concepts FROM q FULL JOIN c USING (learner_id)",
         "reads",
         more={
-            "q": "SELECT learner_id, string_agg(substr(text, 1, 220) || CASE WHEN block_id % 2 = 0 THEN ' — why so' ELSE '' END, chr(10) ORDER BY r) AS quotes FROM (SELECT learner_id, block_id, text, row_number() OVER (PARTITION BY learner_id ORDER BY seen DESC, block_id DESC) AS r FROM reads JOIN (SELECT block_id, text FROM blocks) USING (block_id) WHERE block_id % 3 = 0) WHERE r <= 3 GROUP BY 1",
+            "q": "SELECT learner_id, string_agg(substr(text, 1, 220) || CASE WHEN block_id % 2 = 0 THEN ' — why so' ELSE '' END, chr(10) ORDER BY r) AS quotes FROM (SELECT learner_id, block_id, text, row_number() OVER (PARTITION BY learner_id ORDER BY seen DESC, block_id DESC) AS r FROM reads JOIN (SELECT block_id, text FROM blocks) USING (block_id)) WHERE r <= 3 GROUP BY 1",
             "n": "SELECT learner_id, CAST(unit_id AS VARCHAR) AS key, max(dwell_ms % 50) AS importance, max(CASE WHEN page = 0 THEN 'seen' ELSE 'known' END) AS state FROM page_reads GROUP BY ALL",
             "c": "SELECT learner_id, string_agg(state || ': ' || keys, chr(10) ORDER BY state) AS concepts FROM (SELECT learner_id, state, string_agg(key, ', ' ORDER BY r) AS keys FROM (SELECT *, row_number() OVER (PARTITION BY learner_id, state ORDER BY importance DESC, key) AS r FROM n) WHERE r <= 4 GROUP BY ALL) GROUP BY 1",
         },
@@ -120,39 +121,40 @@ ORACLE = {
     ),
     "m5_threads": sql("SELECT conv_id, count(*) AS messages, substr(min_by(coalesce(quote, text), turn), 1, 80) AS title, max(turn) AS last FROM msg GROUP BY 1", more=_MSG),
     "m6_rewrite_context": sql(
-        "SELECT book_id * 1000 + page AS passage_id, substr(text, 1, 200) AS before, substr(text, 201, 60) AS passage, substr(text, 261, 900) AS after, CASE WHEN (book_id * 1000 + page) % 2 = 0 THEN 'v' || (book_id * 1000 + page) END AS version, answer FROM (SELECT * FROM pt WHERE length(text) > 400) LEFT JOIN (SELECT conv_id, max_by(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY 1) ON conv_id = book_id % 100",
+        "SELECT book_id * 1000 + page AS passage_id, substr(text, 1, 200) AS before, substr(text, 201, 60) AS passage, substr(text, 261, 900) AS after, CASE WHEN length(text) > 600 THEN 'v' || (book_id * 1000 + page) END AS version, answer FROM (SELECT * FROM pt WHERE length(text) > 400) LEFT JOIN (SELECT conv_id, max_by(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY 1) ON conv_id = book_id % 100",
         "blocks",
         more=_PAGES,
     ),
     "m7_merge_generated_cards": sql(
-        f"""SELECT unit_id, kind, front, back, CASE WHEN unit_id % 2 = 0 THEN 'active' ELSE 'pending' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY {_SQ.format('front')} ORDER BY unit_id, n) AS r FROM c WHERE trim(front) <> '' AND (kind = 'cloze' OR back <> '')) WHERE r = 1 AND {_SQ.format('front')} NOT IN (SELECT {_SQ.format('w')} FROM b WHERE n = 1 AND unit_id % 10 = 0)""",
+        f"""SELECT unit_id, kind, front, back, CASE WHEN unit_id IN (SELECT unit_id FROM units WHERE kind = 'body') THEN 'active' ELSE 'pending' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY {_SQ.format('front')} ORDER BY unit_id, n) AS r FROM c WHERE trim(front) <> '' AND (kind = 'cloze' OR back <> '')) WHERE r = 1 AND {_SQ.format('front')} NOT IN (SELECT {_SQ.format('w')} FROM b WHERE type = 'code')""",
         "blocks",
+        "units",
         more={
-            "b": "SELECT unit_id, n, array_to_string(string_split(text, ' ')[1:2], ' ') AS w FROM blocks WHERE n < 3",
-            "c": "SELECT unit_id, n, CASE WHEN n = 0 THEN 'cloze' ELSE 'basic' END AS kind, CASE WHEN n = 0 THEN '{{c1::' || w || '}}' ELSE w END AS front, CASE WHEN n = 1 THEN 'back' ELSE '' END AS back FROM b",
+            "b": "SELECT unit_id, n, type, array_to_string(string_split(text, ' ')[1:2], ' ') AS w FROM blocks",
+            "c": "SELECT unit_id, n, CASE WHEN n % 3 = 0 THEN 'cloze' ELSE 'basic' END AS kind, CASE WHEN n % 3 = 0 THEN '{{c1::' || w || '}}' ELSE w END AS front, CASE WHEN n % 3 = 1 THEN 'back' ELSE '' END AS back FROM b",
         },
     ),
     "m8_merge_generated_concepts": sql(
         "SELECT book_id, key, round(importance, 6) AS importance, definition, w, label FROM m LEFT JOIN e USING (book_id, key)",
         "terms",
         more={
-            "c": f"SELECT CAST(rank % 3 AS BIGINT) AS book_id, {sql_term_key('key')} AS key, key AS name, rank FROM terms",
-            "m": "SELECT book_id, key, max(importance) AS importance, min(definition) AS definition FROM (SELECT book_id, key, CAST(0.5 AS DOUBLE) AS importance, NULL AS definition FROM c WHERE rank % 2 = 0 UNION ALL SELECT book_id, key, greatest(0.15, least(1.0, (rank % 7) / 5.0)), 'about ' || name FROM c WHERE key <> '') GROUP BY ALL",
-            "e": "SELECT book_id, key, round(max(greatest(0.1, least(1.0, rank / 100.0))), 6) AS w, max(CASE WHEN key < 'middle' THEN 'part-of' ELSE 'part-of←' END) AS label FROM c WHERE key NOT IN ('', 'middle') GROUP BY ALL",
+            "c": f"SELECT no % 3 AS book_id, {sql_term_key('key')} AS key, key AS name, no FROM terms",
+            "m": "SELECT book_id, key, max(importance) AS importance, min(definition) AS definition FROM (SELECT book_id, key, CAST(0.5 AS DOUBLE) AS importance, NULL AS definition FROM c WHERE no % 2 = 0 UNION ALL SELECT book_id, key, greatest(0.15, least(1.0, (no % 7) / 5.0)), 'about ' || name FROM c WHERE key <> '') GROUP BY ALL",
+            "e": "SELECT book_id, key, round(max(greatest(0.1, least(1.0, (no % 300) / 100.0))), 6) AS w, max(CASE WHEN key < 'middle' THEN 'part-of' ELSE 'part-of←' END) AS label FROM c WHERE key NOT IN ('', 'middle') GROUP BY ALL",
         },
     ),
     "m9_match_quotes": sql(
         "SELECT quote_id, coalesce(i, m) AS block_id FROM q LEFT JOIN inn USING (quote_id) LEFT JOIN mo USING (quote_id) WHERE coalesce(i, m) IS NOT NULL",
         "blocks",
         more={
-            "q": "SELECT block_id AS quote_id, unit_id, CASE WHEN block_id % 8 = 0 THEN translate(substr(text, 5, 30), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE reverse(substr(text, 1, 5)) || ' ' || array_to_string(string_split(text, ' ')[1:9], ' ') END AS quote FROM blocks WHERE block_id % 4 = 0 AND length(text) > 40",
+            "q": "SELECT block_id AS quote_id, unit_id, CASE WHEN block_id % 2 = 0 THEN translate(substr(text, 5, 30), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE reverse(substr(text, 1, 5)) || ' ' || array_to_string(string_split(text, ' ')[1:9], ' ') END AS quote FROM blocks WHERE length(text) > 40",
             "inn": f"SELECT quote_id, min(block_id) AS i FROM q JOIN blocks USING (unit_id) WHERE {_SQ.format('quote')} <> '' AND contains({_SQ.format('text')}, {_SQ.format('quote')}) GROUP BY 1",
             "qw": f"SELECT quote_id, unit_id, len(w) AS n, unnest(w) AS word FROM (SELECT quote_id, unit_id, {_LONG.format('quote')} AS w FROM q)",
             "bw": f"SELECT unit_id, block_id, unnest({_LONG.format('text')}) AS word FROM blocks",
             "mo": "SELECT quote_id, max_by(block_id, (k, -block_id)) AS m FROM (SELECT quote_id, block_id, n, count(*) AS k FROM qw JOIN bw USING (unit_id, word) GROUP BY ALL HAVING k >= least(3, n)) GROUP BY 1",
         },
     ),
-    "m10_pending_jobs": sql("SELECT unit_id, job FROM (SELECT DISTINCT unit_id FROM done JOIN units USING (unit_id) WHERE kind IN ('body', 'exercises')), (SELECT unnest(['cards', 'concepts']) AS job) WHERE NOT (job = 'cards' AND unit_id % 4 = 0)", "reads", "units", more=_DONE),
+    "m10_pending_jobs": sql("SELECT unit_id, job FROM (SELECT DISTINCT unit_id, kind FROM done JOIN units USING (unit_id) WHERE kind IN ('body', 'exercises')), (SELECT unnest(['cards', 'concepts']) AS job) WHERE NOT (job = 'cards' AND kind = 'exercises')", "reads", "units", more=_DONE),
     "m11_generation_units": sql(
         "SELECT unit_id, known FROM (SELECT book_id, unit_id FROM blocks GROUP BY ALL HAVING sum(length(text)) >= 400) LEFT JOIN (SELECT book_id, string_agg(key, ', ' ORDER BY r) AS known FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY importance DESC, key) AS r FROM (SELECT book_id, split_part(text, ' ', 1) AS key, max(length(text)) AS importance FROM blocks WHERE n = 0 GROUP BY ALL)) WHERE r <= 5 GROUP BY 1) USING (book_id)",
         "blocks",

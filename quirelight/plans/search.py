@@ -10,6 +10,7 @@ from ..operators import annotations as N
 from ..operators import search as Q
 from ..sources import fixtures as X
 from ..sources.fixtures import sql
+from ..sources.shared import written
 
 
 def _queries(spark, d):
@@ -20,15 +21,21 @@ def _queries(spark, d):
 
 
 def _postings(spark, d):
-    return Q.build_postings(X.blocks(spark, d))
+    return written(Q.term_counts(X.blocks(spark, d)))
 
 
 def q1(spark, d):
-    return _postings(spark, d).select("term", "block_id", "tf", F.array_join("positions", ",").alias("positions"))
+    return Q.build_postings(X.blocks(spark, d)).select("term", "block_id", "tf", F.array_join("positions", ",").alias("positions"))
 
 
 def q2(spark, d):
-    return Q.search(_queries(spark, d), _postings(spark, d), X.blocks(spark, d), X.units(spark, d))
+    """Every third query asks one book; each document is a unit of as many sections as it has pages of forty lines, every seventh of them an
+    index."""
+    book = F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("src"), F.lpad((F.col("query_id") % 20).cast("string"), 2, "0")))
+    section = F.col("unit_id") * 1000 + F.floor(F.col("n") / 40)
+    blocks = X.blocks(spark, d).withColumn("section_id", section)
+    sections = blocks.select("section_id").distinct().withColumn("kind", F.when(F.col("section_id") % 7 == 3, "index").otherwise("body"))
+    return Q.search(_queries(spark, d).withColumn("book_id", book), _postings(spark, d), blocks, X.units(spark, d), sections)
 
 
 def q4(spark, d):
@@ -67,7 +74,7 @@ def n2(spark, d):
 def _highlights(spark, d):
     note = F.when(F.col("block_id") % 3 == 0, "look up").otherwise(" ")
     color = F.when(F.col("block_id") % 2 == 0, "yellow").otherwise("blue")
-    return X.blocks(spark, d).filter("block_id % 5 = 0").select("book_id", "unit_id", F.col("page"), F.col("n").alias("start"), F.col("block_id").alias("id"), F.substring("text", 1, 60).alias("quote"), note.alias("note"), color.alias("color"))
+    return X.blocks(spark, d).filter("type = 'paragraph'").select("book_id", "unit_id", F.col("page"), F.col("n").alias("start"), F.col("block_id").alias("id"), F.col("text").alias("quote"), note.alias("note"), color.alias("color"))
 
 
 def _changes(spark, d):
@@ -93,7 +100,7 @@ def n5(spark, d):
 
 def n6(spark, d):
     q = X.units(spark, d).select(F.col("unit_id").alias("query_id"), F.col("unit_id").alias("book_id"), F.substring("title", 1, 3).alias("words"))
-    return N.find_all(q, page_text(spark, d), limit=20).select("query_id", "page", "start", "end", "place")
+    return N.find_all(q, page_text(spark, d), limit=200).select("query_id", "page", "start", "end", "place")
 
 
 def n8(spark, d):
@@ -135,7 +142,7 @@ _SEARCH = {
     "al": "SELECT count(*) AS n, avg(len) AS mean FROM le",
     "df": "SELECT query_id, no, count(*) AS df FROM hi GROUP BY ALL",
     "rk": "SELECT query_id, block_id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + CAST(1.2 AS DOUBLE) * (0.25 + 0.75 * len / mean))), 6) AS score FROM hi JOIN df USING (query_id, no) JOIN le USING (block_id), al GROUP BY ALL HAVING count(*) = 3",
-    "se": "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, block_id) AS INTEGER) AS rank, block_id, unit_id, score FROM rk JOIN blocks USING (block_id) JOIN units USING (unit_id) WHERE kind NOT IN ('contents', 'index') QUALIFY rank <= 60",
+    "se": "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, block_id) AS INTEGER) AS rank, block_id, unit_id, score FROM rk JOIN blocks USING (block_id) JOIN units USING (unit_id) WHERE kind NOT IN ('contents', 'index') AND (unit_id * 1000 + n // 40) % 7 <> 3 AND (query_id % 3 <> 0 OR blocks.book_id = 'src' || lpad(CAST(query_id % 20 AS VARCHAR), 2, '0')) QUALIFY rank <= 60",
 }
 _PAGES = {
     "pl": "SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY book_id, page ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start, 50.0 AS x0, 100.0 + 12 * line AS y0, 50.0 + 5 * length(text) AS x1, 110.0 + 12 * line AS y1 FROM (SELECT unit_id AS book_id, CAST(n // 40 AS INTEGER) AS page, CAST(n % 40 AS INTEGER) AS line, text FROM blocks)",
@@ -161,13 +168,13 @@ ORACLE = {
         "blocks",
         more={**_PAGES, "bb": "SELECT book_id, page, book_id * 1000 + page * 100 + line // 3 AS block_id, min(x0) AS bx0, min(y0) AS by0, max(x1) AS bx1, max(y1) AS by1 FROM pl GROUP BY ALL"},
     ),
-    "n2_list_highlights": sql("SELECT block_id AS id, u.title AS unit, CAST(row_number() OVER (PARTITION BY b.book_id ORDER BY page, n, block_id) AS INTEGER) AS place FROM blocks b JOIN units u USING (unit_id) WHERE block_id % 5 = 0 AND block_id % 2 = 0 AND block_id % 3 = 0", "blocks", "units"),
+    "n2_list_highlights": sql("SELECT block_id AS id, u.title AS unit, CAST(row_number() OVER (PARTITION BY b.book_id ORDER BY page, n, block_id) AS INTEGER) AS place FROM blocks b JOIN units u USING (unit_id) WHERE type = 'paragraph' AND block_id % 2 = 0 AND block_id % 3 = 0", "blocks", "units"),
     "n3_latest_versions": sql(
         "SELECT learner_id % 10 AS book_id, card_id AS page, rating AS start, rating + 1 AS \"end\", 'v' || max_by(review_id, (review, review_id)) || chr(10) || 'end' AS text, min(review) AS created, max(review) AS updated FROM reviews WHERE review_id % 5 <> 0 GROUP BY 1, 2, 3, 4",
         "reviews",
     ),
     "n4_annotations": sql(
-        """SELECT book_id, kind, count(*) AS n, CAST(sum(start) AS BIGINT) AS start FROM (SELECT unit_id AS book_id, 'highlight' AS kind, n AS start FROM blocks WHERE block_id % 5 = 0
+        """SELECT book_id, kind, count(*) AS n, CAST(sum(start) AS BIGINT) AS start FROM (SELECT unit_id AS book_id, 'highlight' AS kind, n AS start FROM blocks WHERE type = 'paragraph'
  UNION ALL SELECT DISTINCT ON (b, p, r) b, 'version', r FROM (SELECT learner_id % 10 AS b, card_id AS p, rating AS r FROM reviews WHERE review_id % 5 <> 0)
  UNION ALL SELECT conv_id % 50, 'chat', min(length(text)) FROM conversations GROUP BY conv_id UNION ALL SELECT unit_id, 'read', NULL FROM (SELECT DISTINCT unit_id, page FROM page_reads)) GROUP BY ALL""",
         "blocks",
@@ -186,7 +193,7 @@ ORACLE = {
         },
     ),
     "n6_find_all": sql(
-        "SELECT query_id, page, CAST(i - 1 AS INTEGER) AS start, CAST(i - 1 + length(w) AS INTEGER) AS \"end\", CAST(row_number() OVER (PARTITION BY query_id ORDER BY page, i) AS INTEGER) AS place FROM (SELECT *, unnest(range(1, length(text) - length(w) + 2)) AS i FROM (SELECT u.unit_id AS query_id, page, text, substr(title, 1, 3) AS w FROM units u JOIN pt ON pt.book_id = u.unit_id WHERE length(substr(title, 1, 3)) >= 2 AND contains(lower(text), lower(substr(title, 1, 3))))) WHERE lower(substr(text, i, length(w))) = lower(w) QUALIFY place <= 20",
+        "SELECT query_id, page, CAST(i - 1 AS INTEGER) AS start, CAST(i - 1 + length(w) AS INTEGER) AS \"end\", CAST(row_number() OVER (PARTITION BY query_id ORDER BY page, i) AS INTEGER) AS place FROM (SELECT *, unnest(range(1, length(text) - length(w) + 2)) AS i FROM (SELECT u.unit_id AS query_id, page, text, substr(title, 1, 3) AS w FROM units u JOIN pt ON pt.book_id = u.unit_id WHERE length(substr(title, 1, 3)) >= 2 AND contains(lower(text), lower(substr(title, 1, 3))))) WHERE lower(substr(text, i, length(w))) = lower(w) QUALIFY place <= 200",
         "blocks",
         "units",
         more=_PAGES,

@@ -50,7 +50,7 @@ def _fresh(spark, d):
 
 
 def r11(spark, d):
-    new = X.blocks(spark, d).filter("block_id % 9 = 0").select(F.col("block_id").alias("card_id"), "book_id", F.when(F.col("block_id") % 2 == 0, F.col("block_id")).alias("block_id"), (F.col("page") + 1).alias("page"))
+    new = X.blocks(spark, d).select(F.col("block_id").alias("card_id"), "book_id", F.when(F.col("block_id") % 2 == 0, F.col("block_id")).alias("block_id"), (F.col("page") + 1).alias("page"))
     by_page = X.blocks(spark, d).groupBy("book_id", "page").agg(F.min("unit_id").alias("unit_id"))
     return R.create_cards(new, X.blocks(spark, d), by_page)
 
@@ -158,7 +158,7 @@ ORACLE = {
         more=_ALL,
     ),
     "r11_create_cards": sql(
-        "SELECT n.card_id, n.book_id, n.block_id, coalesce(b.page, n.page) AS page, coalesce(b.unit_id, p.unit_id) AS unit_id FROM (SELECT block_id AS card_id, book_id, CASE WHEN block_id % 2 = 0 THEN block_id END AS block_id, page + 1 AS page FROM blocks WHERE block_id % 9 = 0) n LEFT JOIN blocks b ON n.block_id = b.block_id LEFT JOIN (SELECT book_id, page, min(unit_id) AS unit_id FROM blocks GROUP BY ALL) p ON n.book_id = p.book_id AND n.page = p.page",
+        "SELECT n.card_id, n.book_id, n.block_id, coalesce(b.page, n.page) AS page, coalesce(b.unit_id, p.unit_id) AS unit_id FROM (SELECT block_id AS card_id, book_id, CASE WHEN block_id % 2 = 0 THEN block_id END AS block_id, page + 1 AS page FROM blocks) n LEFT JOIN blocks b ON n.block_id = b.block_id LEFT JOIN (SELECT book_id, page, min(unit_id) AS unit_id FROM blocks GROUP BY ALL) p ON n.book_id = p.book_id AND n.page = p.page",
         "blocks",
     ),
     "r13_review_durations": sql("SELECT learner_id, card_id, count(*) AS n, round(avg(duration_ms), 6) AS mean_ms, max(duration_ms) AS max_ms FROM reviews GROUP BY ALL", "reviews"),

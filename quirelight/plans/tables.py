@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..sources import fixtures
 from ..sources import tables as S
 from ..sources.fixtures import sql
+from ..sources.shared import new_folder
 
 TYPES = ["heading", "paragraph", "code", "footnote"]
 
@@ -30,27 +31,56 @@ def s4(spark, d):
 
 
 def _highlights(spark, d):
-    rows = fixtures.blocks(spark, d).filter("block_id % 7 = 0 and type = 'paragraph'").join(fixtures.units(spark, d).select("unit_id", F.col("title").alias("unit"), "ord"), "unit_id")
+    rows = fixtures.blocks(spark, d).filter("type = 'paragraph'").join(fixtures.units(spark, d).select("unit_id", F.col("title").alias("unit"), "ord"), "unit_id")
     note = F.when(F.col("block_id") % 2 == 0, "see again").otherwise("")
-    return rows.select("book_id", F.col("book_id").alias("title"), "unit", F.col("unit_id").cast("long").alias("page"), F.col("n").alias("start"), F.col("block_id").alias("id"), F.substring("text", 1, 40).alias("quote"), note.alias("note"))
+    return rows.select("book_id", F.col("book_id").alias("title"), "unit", F.col("unit_id").cast("long").alias("page"), F.col("n").alias("start"), F.col("block_id").alias("id"), F.col("text").alias("quote"), note.alias("note"))
+
+
+def s3(spark, d):
+    """The books of one source in four are imported again, with each of their lines longer by a word and a page later."""
+    blocks = fixtures.blocks(spark, d).select(F.col("block_id").alias("id"), "book_id", "unit_id", "text", "page")
+    reads = fixtures.reads(spark, d).select("learner_id", "block_id", "unit_id")
+    books = fixtures.books(spark, d).select(F.col("book_id").alias("id"), "page_count")
+    cards = fixtures.cards(spark, d).select("card_id", "book_id", "unit_id")
+    again = books.filter(F.pmod(F.length("id") + F.ascii(F.substring("id", -1, 1)), F.lit(4)) == 0)
+    new = blocks.join(again.select(F.col("id").alias("book_id")), "book_id", "left_semi").select("id", "book_id", "unit_id", F.concat("text", F.lit(" again")).alias("text"), (F.col("page") + 1).alias("page"))
+    tables = {"books": books, "blocks": blocks, "reads": reads, "cards": cards}
+    out = S.replace_books(tables, {"blocks": new, "books": again.withColumn("page_count", F.col("page_count") + 1)}, again.select(F.col("id").alias("book_id")))
+    root = new_folder(spark)
+    S.publish(out, root)
+    out = S.current(spark, root, list(out))
+    n = F.count(F.lit(1)).alias("n")
+    rows = [
+        out["blocks"].groupBy("book_id").agg(n, F.sum(F.length("text") + F.col("page")).alias("total"), F.min("text").alias("least")).withColumn("name", F.lit("blocks")),
+        out["reads"].join(out["blocks"].select(F.col("id").alias("block_id"), "book_id"), "block_id").groupBy("book_id").agg(n, F.sum("learner_id").alias("total"), F.lit("").alias("least")).withColumn("name", F.lit("reads")),
+        out["cards"].groupBy("book_id").agg(n, F.sum("unit_id").alias("total"), F.lit("").alias("least")).withColumn("name", F.lit("cards")),
+        out["books"].groupBy(F.col("id").alias("book_id")).agg(n, F.sum("page_count").alias("total"), F.lit("").alias("least")).withColumn("name", F.lit("books")),
+    ]
+    first, *rest = rows
+    for r in rest:
+        first = first.unionByName(r)
+    return first
 
 
 def s6(spark, d):
-    rows = fixtures.blocks(spark, d).select("book_id", F.col("block_id").alias("ord"), "type", F.lit(2).alias("level"), F.lit("").alias("label"), "text", "page")
-    return S.dump_markdown(rows).select("book_id", F.sha2("markdown", 256).alias("sha"), F.length("markdown").cast("long").alias("n"))
+    rows = fixtures.blocks(spark, d).select("book_id", F.col("block_id").alias("ord"), "type", F.lit(2).alias("level"), F.lit("").alias("label"), "text", F.col("unit_id").cast("int").alias("page"))
+    return S.dump_markdown(rows, 100).select("book_id", "part", F.sha2("markdown", 256).alias("sha"), F.length("markdown").cast("long").alias("n"))
 
 
 def s8(spark, d):
+    """Page reads before AS_OF, and those from then on as they come."""
     pages = fixtures.page_reads(spark, d).select("learner_id", "unit_id", "page", "seen", "dwell_ms")
-    old = pages.filter("unit_id % 2 = 0").groupBy("learner_id", "unit_id", "page").agg(F.min("seen").alias("seen"), F.sum("dwell_ms").alias("dwell_ms"))
-    return S.merge_rows(old, pages.filter("unit_id % 3 = 0"), ["learner_id", "unit_id", "page"], {"seen": "min", "dwell_ms": "sum"})
+    at = F.lit("2024-01-15 00:00:00").cast("timestamp")
+    old = pages.filter(F.col("seen") < at).groupBy("learner_id", "unit_id", "page").agg(F.min("seen").alias("seen"), F.sum("dwell_ms").alias("dwell_ms"))
+    return S.merge_rows(old, pages.filter(F.col("seen") >= at), ["learner_id", "unit_id", "page"], {"seen": "min", "dwell_ms": "sum"})
 
 
 QUERIES = {
     "s1_load_reviews": s1,
     "s2_dedup_imports": s2,
+    "s3_replace_books": s3,
     "s4_remove_books": s4,
-    "s5_export_notes": lambda spark, d: S.export_notes(_highlights(spark, d)),
+    "s5_export_notes": lambda spark, d: S.export_notes(_highlights(spark, d), 100),
     "s6_dump_markdown": s6,
     "s7_profile_books": lambda spark, d: S.profile_books(fixtures.blocks(spark, d), TYPES),
     "s8_merge_rows": s8,
@@ -60,23 +90,33 @@ ORACLE = {
     "s1_load_reviews": sql("SELECT review_id AS id, learner_id, card_id, rating, review, duration_ms FROM reviews", "reviews"),
     "s2_dedup_imports": "SELECT sha256(text) AS file_hash, 'in/my_' || min(doc_id) || '.pdf' AS path, 'my ' || min(doc_id) AS title, 'importing' AS status FROM documents GROUP BY text",
     "s4_remove_books": sql("SELECT DISTINCT lower(split_part(text, ' ', 1)) AS key FROM blocks WHERE book_id >= 'src2'", "blocks"),
+    "s3_replace_books": sql(
+        """SELECT book_id, count(*) AS n, CAST(sum(length(text) + page + 7 * CAST(again AS INTEGER)) AS BIGINT) AS total, min(CASE WHEN again THEN text || ' again' ELSE text END) AS least, 'blocks' AS name FROM ab GROUP BY book_id
+ UNION ALL SELECT book_id, count(*), CAST(sum(learner_id) AS BIGINT), '', 'reads' FROM reads JOIN (SELECT block_id, book_id, again FROM ab) USING (block_id) WHERE NOT again GROUP BY book_id
+ UNION ALL SELECT book_id, count(*), CAST(sum(unit_id) AS BIGINT), '', 'cards' FROM cards JOIN bk USING (book_id) WHERE NOT again GROUP BY book_id
+ UNION ALL SELECT book_id, 1, page_count + CAST(again AS INTEGER), '', 'books' FROM bk""",
+        "reads",
+        "cards",
+        "books",
+        more={"bk": "SELECT *, (length(book_id) + ascii(right(book_id, 1))) % 4 = 0 AS again FROM books", "ab": "SELECT * FROM blocks JOIN bk USING (book_id)"},
+    ),
     "s5_export_notes": sql(
-        "SELECT book_id, '# ' || book_id || chr(10) || chr(10) || string_agg(md, chr(10) ORDER BY unit_id, n, block_id) AS markdown FROM m GROUP BY book_id",
+        "SELECT book_id, part, string_agg(md, chr(10) ORDER BY place) AS markdown FROM m GROUP BY book_id, part",
         "blocks",
         "units",
         more={
-            "h": "SELECT b.*, CASE WHEN u.title <> '' THEN u.title ELSE 'Notes' END AS unit FROM blocks b JOIN units u USING (unit_id) WHERE block_id % 7 = 0 AND type = 'paragraph'",
-            "g": "SELECT *, coalesce(lag(unit) OVER (PARTITION BY book_id ORDER BY unit_id, n, block_id) <> unit, true) AS fresh FROM h",
-            "m": "SELECT *, CASE WHEN fresh THEN '## ' || unit || chr(10) || chr(10) ELSE '' END || '> ' || substr(text, 1, 40) || chr(10) || CASE WHEN block_id % 2 = 0 THEN chr(10) || 'see again' || chr(10) ELSE '' END AS md FROM g",
+            "h": "SELECT b.*, CASE WHEN u.title <> '' THEN u.title ELSE 'Notes' END AS unit FROM blocks b JOIN units u USING (unit_id) WHERE type = 'paragraph'",
+            "g": "SELECT *, coalesce(lag(unit) OVER w <> unit, true) AS fresh, row_number() OVER w - 1 AS place FROM h WINDOW w AS (PARTITION BY book_id ORDER BY unit_id, n, block_id)",
+            "m": "SELECT *, place // 100 AS part, CASE WHEN place = 0 THEN '# ' || book_id || chr(10) || chr(10) ELSE '' END || CASE WHEN fresh THEN '## ' || unit || chr(10) || chr(10) ELSE '' END || '> ' || text || chr(10) || CASE WHEN block_id % 2 = 0 THEN chr(10) || 'see again' || chr(10) ELSE '' END AS md FROM g",
         },
     ),
     "s6_dump_markdown": sql(
-        "SELECT book_id, sha256(md) AS sha, length(md) AS n FROM (SELECT book_id, string_agg(md, chr(10) || chr(10) ORDER BY block_id) AS md FROM m GROUP BY book_id)",
+        "SELECT book_id, part, sha256(md) AS sha, length(md) AS n FROM (SELECT book_id, part, string_agg(md, chr(10) || chr(10) ORDER BY block_id) AS md FROM m GROUP BY book_id, part)",
         "blocks",
         more={
-            "m": "SELECT book_id, block_id, CASE type WHEN 'heading' THEN '## ' || text || ' ' || w WHEN 'code' THEN '``` ' || w || chr(10) || text || chr(10) || '```' WHEN 'footnote' THEN '> [^] ' || text || ' ' || w ELSE text || ' ' || w END AS md FROM (SELECT *, '<!-- p' || (page + 1) || ' -->' AS w FROM blocks)"
+            "m": "SELECT book_id, block_id, part, CASE type WHEN 'heading' THEN '## ' || text || ' ' || w WHEN 'code' THEN '``` ' || w || chr(10) || text || chr(10) || '```' WHEN 'footnote' THEN '> [^] ' || text || ' ' || w ELSE text || ' ' || w END AS md FROM (SELECT *, '<!-- p' || (unit_id + 1) || ' -->' AS w, (row_number() OVER (PARTITION BY book_id ORDER BY block_id) - 1) // 100 AS part FROM blocks)"
         },
     ),
     "s7_profile_books": sql("SELECT book_id, " + ", ".join(f"count(*) FILTER (WHERE type = '{t}') AS n_{t}" for t in TYPES) + ", count(DISTINCT unit_id) AS n_units, CAST(sum(weight) AS BIGINT) AS weight FROM blocks GROUP BY book_id", "blocks"),
-    "s8_merge_rows": sql("SELECT learner_id, unit_id, page, min(seen) AS seen, CAST(sum(dwell_ms) AS BIGINT) AS dwell_ms FROM (SELECT * FROM page_reads WHERE unit_id % 2 = 0 UNION ALL SELECT * FROM page_reads WHERE unit_id % 3 = 0) GROUP BY 1, 2, 3", "page_reads"),
+    "s8_merge_rows": sql("SELECT learner_id, unit_id, page, min(seen) AS seen, CAST(sum(dwell_ms) AS BIGINT) AS dwell_ms FROM page_reads GROUP BY 1, 2, 3", "page_reads"),
 }

@@ -62,8 +62,10 @@ def sql_title_tokens(column: str) -> str:
 
 
 def t5(spark, d):
-    marked = F.array_join(F.slice(F.split(F.col("text"), " "), 2, 3), " ")
-    return fixtures.blocks(spark, d).select("block_id", marked.alias("raw")).select("block_id", X.clean_term(F.col("raw")).alias("term"))
+    """Every run of three words (all words, if there are fewer) as if it were marked."""
+    w = F.split(F.col("text"), " ")
+    runs = F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 2)), lambda i: F.array_join(F.slice(w, i, 3), " "))).alias("place", "raw")
+    return fixtures.blocks(spark, d).select("block_id", runs).select("block_id", "place", X.clean_term(F.col("raw")).alias("term"))
 
 
 def t9(spark, d):
@@ -72,13 +74,15 @@ def t9(spark, d):
 
 
 def t12(spark, d):
-    folded = X.fold_text(F.substring(F.col("text"), 1, 300))
+    folded = X.fold_text(F.col("text"))
     return fixtures.blocks(spark, d).select("block_id", folded.alias("x")).select("block_id", F.col("x.folded").alias("folded"), F.aggregate("x.map", F.lit(0), lambda a, x: a + x).cast("long").alias("map_sum"))
 
 
 def t15(spark, d):
-    quote = F.substring(F.col("text"), 12, 30)
-    return fixtures.blocks(spark, d).filter(F.length("text") > 60).select("block_id", X.cloze_from_quote(F.col("text"), quote).alias("c")).select("block_id", "c.kind", "c.front", "c.back")
+    """The middle third of each line as its quote."""
+    n = F.floor(F.length("text") / 3).cast("int")
+    quote = F.substring(F.col("text"), n + 1, n)
+    return fixtures.blocks(spark, d).filter(F.length("text") >= 3).select("block_id", X.cloze_from_quote(F.col("text"), quote).alias("c")).select("block_id", "c.kind", "c.front", "c.back")
 
 
 def t19(spark, d):
@@ -93,7 +97,7 @@ QUERIES = {
     "t4_sentence_at": _blocks(lambda t: X.sentence_at(t, F.lit(40), F.lit(60))),
     "t5_clean_term": t5,
     "t6_patterns": lambda spark, d: fixtures.blocks(spark, d).select("block_id", X.is_defining(F.col("text")).alias("defining"), X.is_generic_heading(F.col("text")).alias("generic")),
-    "t7_section_kind": _blocks(lambda t: X.section_kind(F.substring_index(t, " ", 1))),
+    "t7_section_kind": _blocks(lambda t: X.section_kind(t)),
     "t8_title_tokens": _blocks(lambda t: F.array_join(X.title_tokens(t), "|")),
     "t9_dice": t9,
     "t10_norm_key": _blocks(lambda t: X.norm_key(t)),
@@ -118,9 +122,9 @@ ORACLE = {
             "at_": "SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY block_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM s_",
         },
     ),
-    "t5_clean_term": sql("SELECT * FROM term_", "blocks", more={"raw_": "SELECT block_id, array_to_string(string_split(text, ' ')[2:4], ' ') AS raw FROM blocks", "term_": sql_clean_term("raw_", "raw", "block_id")}),
+    "t5_clean_term": sql("SELECT * FROM term_", "blocks", more={"raw_": "SELECT block_id, CAST(i - 1 AS INTEGER) AS place, array_to_string(w[i:i + 2], ' ') AS raw FROM (SELECT block_id, w, unnest(range(1, greatest(2, CAST(len(w) AS BIGINT)))) AS i FROM (SELECT block_id, string_split(text, ' ') AS w FROM blocks)) WHERE i <= greatest(1, len(w) - 2)", "term_": sql_clean_term("raw_", "raw", "block_id, place")}),
     "t6_patterns": sql(f"SELECT block_id, regexp_matches(text, '{X.DEFINES}') AS defining, regexp_matches(text, '{X.GENERIC_HEADINGS.replace(chr(39), chr(39) * 2)}') AS generic FROM blocks", "blocks"),
-    "t7_section_kind": sql(f"SELECT block_id, {_KIND} AS value FROM (SELECT block_id, trim(regexp_replace(lower(split_part(text, ' ', 1)), '^[\\d.\\s]+', '')) AS t FROM blocks)", "blocks"),
+    "t7_section_kind": sql(f"SELECT block_id, {_KIND} AS value FROM (SELECT block_id, trim(regexp_replace(lower(text), '^[\\d.\\s]+', '')) AS t FROM blocks)", "blocks"),
     "t8_title_tokens": sql("SELECT block_id, array_to_string(" + sql_title_tokens("text") + ", '|') AS value FROM blocks", "blocks"),
     "t9_dice": sql(
         "SELECT b.block_id, round(CASE WHEN na = 0 OR nb = 0 THEN 0.0 ELSE 2.0 * coalesce(c, 0) / (na + nb) END, 9) AS value FROM ab b LEFT JOIN common USING (block_id)",
@@ -137,7 +141,7 @@ ORACLE = {
         "SELECT b.block_id, coalesce(string_agg(c, '' ORDER BY i) FILTER (WHERE keep), '') AS folded, CAST(coalesce(sum(i) FILTER (WHERE keep), 0) AS BIGINT) AS map_sum FROM blocks b LEFT JOIN kept USING (block_id) GROUP BY b.block_id",
         "blocks",
         more={
-            "chars": "SELECT block_id, unnest(range(length(t))) AS i, t FROM (SELECT block_id, substr(text, 1, 300) AS t FROM blocks)",
+            "chars": "SELECT block_id, unnest(range(length(t))) AS i, t FROM (SELECT block_id, text AS t FROM blocks)",
             "kept": r"SELECT block_id, i, lower(substr(t, i + 1, 1)) AS c, NOT regexp_matches(substr(t, i + 1, 1), '^\s$') AND NOT (substr(t, i + 1, 1) IN ('-', '‐', chr(173)) AND substr(t, i + 2, 1) = chr(10)) AS keep FROM chars",
         },
     ),
@@ -145,7 +149,7 @@ ORACLE = {
     "t15_cloze_from_quote": sql(
         r"""SELECT block_id, CASE WHEN good THEN 'cloze' ELSE 'basic' END AS kind, CASE WHEN good THEN trim(regexp_replace(before, '(?s)^.*[.?!] ', '') || '{{c1::' || q || '}}' ||
  CASE WHEN regexp_matches(after, '[.?!] ') THEN regexp_extract(after, '(?s)^(.*?[.?!]) ', 1) ELSE after END) ELSE '' END AS front, CASE WHEN good THEN '' ELSE q END AS back
- FROM (SELECT *, length(q) < 160 AND pos > 0 AS good, substr(text, 1, pos - 1) AS before, substr(text, pos + length(q)) AS after FROM (SELECT *, instr(text, q) AS pos FROM (SELECT *, substr(text, 12, 30) AS q FROM blocks WHERE length(text) > 60)))""",
+ FROM (SELECT *, length(q) < 160 AND pos > 0 AS good, substr(text, 1, pos - 1) AS before, substr(text, pos + length(q)) AS after FROM (SELECT *, instr(text, q) AS pos FROM (SELECT *, substr(text, length(text) // 3 + 1, length(text) // 3) AS q FROM blocks WHERE length(text) >= 3)))""",
         "blocks",
     ),
     "t17_clean_glyphs": _sql("replace(replace(text, chr(160), ' '), chr(173), '')"),

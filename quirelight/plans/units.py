@@ -25,8 +25,9 @@ def u5(spark, d):
     return U.plan_units(ends, split_pages=6).select("section_id", "is_unit", "unit_id")
 
 
-def _some_sections(spark, d):
-    return X.sections(spark, d).filter("section_id % 3 = 0").select("book_id", "section_id", "ord", (F.col("section_id") * X.LINES).alias("block_ord"))
+def _some_sections(spark, d, which="level = 1"):
+    """The sections that start blocks: those of the first level, or of another kind."""
+    return X.sections(spark, d).filter(which).select("book_id", "section_id", "ord", (F.col("section_id") * X.LINES).alias("block_ord"))
 
 
 def u6(spark, d):
@@ -36,7 +37,7 @@ def u6(spark, d):
 
 def u7(spark, d):
     blocks = X.blocks(spark, d).select("book_id", F.col("block_id").alias("ord"), F.floor(F.col("unit_id") / 7).cast("int").alias("page"))
-    return U.default_sections(blocks, _some_sections(spark, d).filter("book_id > 'src15'"))
+    return U.default_sections(blocks, _some_sections(spark, d, "level = 4 and kind = 'front'"))
 
 
 def _flat(spark, d):
@@ -47,7 +48,7 @@ def _flat(spark, d):
 def u9(spark, d):
     starts = X.units(spark, d).select("book_id", F.floor(F.col("unit_id") / 60).cast("int").alias("page"), "unit_id")
     pages = X.books(spark, d).select("book_id", F.explode(F.sequence(F.lit(0), F.col("page_count") - 1)).alias("page"))
-    return U.unit_at_page(pages, _flat(spark, d).filter("page % 2 = 0"), starts)
+    return U.unit_at_page(pages, _flat(spark, d), starts)
 
 
 def u10(spark, d):
@@ -56,8 +57,9 @@ def u10(spark, d):
 
 
 def _halves(spark, d):
+    """Page reads before and from AS_OF on."""
     new = X.page_reads(spark, d)
-    return new.filter("unit_id % 2 = 0"), new.filter("unit_id % 3 = 0")
+    return new.filter(F.col("seen") < _as_of()), new.filter(F.col("seen") >= _as_of())
 
 
 def u11(spark, d):
@@ -68,7 +70,7 @@ def u11(spark, d):
 
 
 def u12(spark, d):
-    marks = X.page_reads(spark, d).groupBy("learner_id", "unit_id").agg(F.min("seen").alias("seen")).filter("unit_id % 5 < 2").withColumn("read", F.col("unit_id") % 5 == 0)
+    marks = X.page_reads(spark, d).groupBy("learner_id", "unit_id").agg(F.min("seen").alias("seen")).withColumn("read", F.col("unit_id") % 2 == 0)
     return U.mark_units(X.reads(spark, d), X.blocks(spark, d), marks).groupBy("learner_id", "unit_id").agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("seen"))
 
 
@@ -95,7 +97,7 @@ def _views(spark, d):
 
 
 def _need(spark, d):
-    return X.blocks(spark, d).filter("unit_id < 100").groupBy(F.col("unit_id").cast("int").alias("page")).agg(F.sum(F.length("text")).alias("chars"))
+    return X.blocks(spark, d).groupBy(F.col("unit_id").cast("int").alias("page")).agg(F.sum(F.length("text")).alias("chars"))
 
 
 def u21(spark, d):
@@ -103,7 +105,7 @@ def u21(spark, d):
 
 
 def u24(spark, d):
-    positions = _time(spark, d).join(X.units(spark, d).select("book_id", "unit_id", "kind"), "book_id", "left_semi").withColumn("page", (F.col("ms") % 700).cast("int")).filter("ms % 3 <> 0")
+    positions = _time(spark, d).join(X.units(spark, d).select("book_id", "unit_id", "kind"), "book_id", "left_semi").withColumn("page", (F.col("ms") % 700).cast("int"))
     starts = X.sections(spark, d).select("book_id", "kind", "page")
     return U.resume_page(positions, starts, X.books(spark, d))
 
@@ -128,7 +130,7 @@ QUERIES = {
     "u16_unlock_cards": u16,
     "u17_library": u17,
     "u18_library_totals": lambda spark, d: U.library_totals(_library(spark, d)).join(U.continue_reading(_library(spark, d)), "learner_id"),
-    "u19_pages_read": lambda spark, d: U.pages_read(X.page_reads(spark, d).filter("learner_id % 2 = 0"), X.reads(spark, d), X.blocks(spark, d)),
+    "u19_pages_read": lambda spark, d: U.pages_read(X.page_reads(spark, d), X.reads(spark, d), X.blocks(spark, d)),
     "u20_reading_time": lambda spark, d: U.reading_time(_time(spark, d)),
     "u21_page_dwell": u21,
     "u24_resume_page": u24,
@@ -142,7 +144,10 @@ _UNITS = {
     "kids": "SELECT parent_id AS section_id, count(*) AS kids FROM tree WHERE parent_id IS NOT NULL GROUP BY parent_id",
     "e": "SELECT ends.*, coalesce(kids, 0) AS kids FROM ends LEFT JOIN kids USING (section_id)",
 }
-_SOME = {"few": f"SELECT book_id, section_id, ord, section_id * {X.LINES} AS block_ord FROM sections WHERE section_id % 3 = 0"}
+_SOME = {
+    "few": f"SELECT book_id, section_id, ord, section_id * {X.LINES} AS block_ord FROM sections WHERE level = 1",
+    "fronts": f"SELECT book_id, section_id * {X.LINES} AS block_ord FROM sections WHERE level = 4 AND kind = 'front'",
+}
 _W = "unit_w AS (SELECT unit_id, CAST(sum(weight) AS BIGINT) AS weight FROM blocks GROUP BY unit_id)"
 _READ_W = {
     "unit_w": "SELECT unit_id, CAST(sum(weight) AS BIGINT) AS weight FROM blocks GROUP BY unit_id",
@@ -153,6 +158,7 @@ _DONE = {
     "steps": "SELECT learner_id, unit_id, seen, sum(w) OVER (PARTITION BY learner_id, unit_id ORDER BY seen) AS so_far FROM (SELECT learner_id, unit_id, seen, sum(weight) AS w FROM reads JOIN blocks USING (block_id, unit_id) GROUP BY ALL)",
     "done": "SELECT learner_id, unit_id, min(seen) AS finished_at FROM steps JOIN unit_w USING (unit_id) WHERE weight > 0 AND so_far / weight >= 0.85 GROUP BY ALL",
 }
+_NEED = "SELECT CAST(unit_id AS INTEGER) AS page, sum(length(text)) AS chars FROM blocks GROUP BY ALL"
 _TIME = {"times": "SELECT learner_id, book_id, seen, dwell_ms AS ms FROM page_reads JOIN units USING (unit_id)", "rt": "SELECT learner_id, book_id, CAST(seen AS DATE) AS day, CAST(sum(ms) AS BIGINT) AS ms FROM times WHERE ms > 0 AND ms <= 3600000 GROUP BY ALL"}
 _SHELF = {
     **_TIME,
@@ -190,7 +196,7 @@ ORACLE = {
         "sections",
         more={
             **_SOME,
-            "b": "SELECT book_id, block_id, CAST(unit_id // 7 AS INTEGER) AS page, (SELECT min(block_ord) FROM few WHERE few.book_id = blocks.book_id AND few.book_id > 'src15') AS first, min(CAST(unit_id // 7 AS INTEGER)) OVER (PARTITION BY book_id) AS low FROM blocks",
+            "b": "SELECT book_id, block_id, CAST(unit_id // 7 AS INTEGER) AS page, (SELECT min(block_ord) FROM fronts WHERE fronts.book_id = blocks.book_id) AS first, min(CAST(unit_id // 7 AS INTEGER)) OVER (PARTITION BY book_id) AS low FROM blocks",
         },
     ),
     "u8_unit_weights": sql("SELECT unit_id, CAST(sum(weight) AS BIGINT) AS weight FROM blocks GROUP BY unit_id", "blocks"),
@@ -202,7 +208,7 @@ ORACLE = {
         more={
             "p": "SELECT book_id, CAST(unnest(range(page_count)) AS INTEGER) AS page FROM books",
             "s": "SELECT book_id, CAST(unit_id // 60 AS INTEGER) AS page, max(unit_id) AS unit_id FROM units GROUP BY ALL",
-            "m": "SELECT book_id, page, max_by(unit_id, (w, -unit_id)) AS unit_id FROM (SELECT book_id, CAST(unit_id // 60 AS INTEGER) AS page, unit_id, sum(weight) AS w FROM blocks WHERE (unit_id // 60) % 2 = 0 GROUP BY ALL) GROUP BY ALL",
+            "m": "SELECT book_id, page, max_by(unit_id, (w, -unit_id)) AS unit_id FROM (SELECT book_id, CAST(unit_id // 60 AS INTEGER) AS page, unit_id, sum(weight) AS w FROM blocks GROUP BY ALL) GROUP BY ALL",
         },
     ),
     "u10_unit_pages": sql(
@@ -211,9 +217,9 @@ ORACLE = {
         "books",
         more={"s": "SELECT book_id, section_id AS unit_id, CAST(page // 9 AS INTEGER) AS page FROM sections", "n": "SELECT book_id, page, lead(page) OVER (PARTITION BY book_id ORDER BY page) AS nxt FROM (SELECT DISTINCT book_id, page FROM s)"},
     ),
-    "u11_apply_page_reads": sql("SELECT learner_id, unit_id, page, min(seen) AS seen, CAST(sum(dwell_ms) AS BIGINT) AS dwell_ms FROM (SELECT * FROM page_reads WHERE unit_id % 2 = 0 UNION ALL SELECT * FROM page_reads WHERE unit_id % 3 = 0) GROUP BY 1, 2, 3", "page_reads"),
+    "u11_apply_page_reads": sql("SELECT learner_id, unit_id, page, min(seen) AS seen, CAST(sum(dwell_ms) AS BIGINT) AS dwell_ms FROM page_reads GROUP BY 1, 2, 3", "page_reads"),
     "u12_mark_units": sql(
-        "SELECT learner_id, unit_id, count(*) AS n, min(seen) AS seen FROM (SELECT learner_id, block_id, unit_id, min(seen) AS seen FROM (SELECT * FROM reads WHERE unit_id % 5 <> 1 UNION ALL SELECT m.learner_id, b.block_id, b.unit_id, m.seen FROM m JOIN blocks b USING (unit_id) WHERE unit_id % 5 = 0) GROUP BY ALL) GROUP BY ALL",
+        "SELECT learner_id, unit_id, count(*) AS n, min(seen) AS seen FROM (SELECT learner_id, block_id, unit_id, min(seen) AS seen FROM (SELECT * FROM reads WHERE unit_id % 2 = 0 UNION ALL SELECT m.learner_id, b.block_id, b.unit_id, m.seen FROM m JOIN blocks b USING (unit_id) WHERE unit_id % 2 = 0) GROUP BY ALL) GROUP BY ALL",
         "reads",
         more={"m": "SELECT learner_id, unit_id, min(seen) AS seen FROM page_reads GROUP BY ALL"},
     ),
@@ -229,7 +235,7 @@ ORACLE = {
     "u17_library": sql("SELECT * FROM shelf", "reads", "cards", more=_SHELF),
     "u18_library_totals": sql("SELECT learner_id, CAST(sum(due) AS BIGINT) AS due, CAST(sum(ms) AS BIGINT) AS ms, max_by(book_id, (opened, book_id)) AS book_id FROM shelf GROUP BY learner_id", "reads", "cards", more=_SHELF),
     "u19_pages_read": sql(
-        "SELECT DISTINCT learner_id, unit_id, page FROM page_reads WHERE learner_id % 2 = 0 UNION SELECT learner_id, unit_id, page FROM (SELECT learner_id, b.unit_id, page, count(*) AS got FROM (SELECT DISTINCT learner_id, block_id FROM reads) JOIN blocks b USING (block_id) GROUP BY ALL) JOIN (SELECT unit_id, page, count(*) AS n FROM blocks GROUP BY ALL) USING (unit_id, page) WHERE got = n",
+        "SELECT DISTINCT learner_id, unit_id, page FROM page_reads UNION SELECT learner_id, unit_id, page FROM (SELECT learner_id, b.unit_id, page, count(*) AS got FROM (SELECT DISTINCT learner_id, block_id FROM reads) JOIN blocks b USING (block_id) GROUP BY ALL) JOIN (SELECT unit_id, page, count(*) AS n FROM blocks GROUP BY ALL) USING (unit_id, page) WHERE got = n",
         "reads",
     ),
     "u20_reading_time": sql("SELECT * FROM rt", "page_reads", "units", more=_TIME),
@@ -238,12 +244,12 @@ ORACLE = {
         "blocks",
         more={
             "v": f"SELECT user_id AS learner_id, CAST({X._K} AS INTEGER) AS page, least(coalesce(epoch_us(lead(ts) OVER w) - epoch_us(ts), 3600000000), 3600000000) AS us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
-            "n": "SELECT CAST(unit_id AS INTEGER) AS page, sum(length(text)) AS chars FROM blocks WHERE unit_id < 100 GROUP BY ALL",
+            "n": _NEED,
         },
     ),
     "u24_resume_page": sql(
         """SELECT learner_id, book_id, CAST(greatest(0, least(coalesce(saved, body, anyp, 0), page_count - 1)) AS INTEGER) AS page
- FROM (SELECT learner_id, book_id, max_by(ms % 700, (seen, ms % 700)) AS saved FROM times WHERE ms % 3 <> 0 GROUP BY ALL) JOIN books USING (book_id)
+ FROM (SELECT learner_id, book_id, max_by(ms % 700, (seen, ms % 700)) AS saved FROM times GROUP BY ALL) JOIN books USING (book_id)
  LEFT JOIN (SELECT book_id, min(page) FILTER (WHERE kind = 'body') AS body, min(page) AS anyp FROM sections GROUP BY book_id) USING (book_id)""",
         "page_reads",
         "sections",

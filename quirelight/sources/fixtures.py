@@ -87,26 +87,25 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
 READS = """SELECT p.learner_id, b.block_id, b.unit_id, p.seen FROM (SELECT learner_id, unit_id, page, min(seen) AS seen FROM page_reads GROUP BY ALL) p JOIN blocks b USING (unit_id, page)"""
 
 
-def terms(spark: SparkSession, d: str, singles: int = 200, pairs: int = 100) -> DataFrame:
-    """key, rank: words of English blocks in 3 to 50 documents per thousand, and frequent pairs of words."""
-    words = blocks(spark, d).filter("lang = 'en'").select("unit_id", "block_id", tokens(F.col("text")).alias("w"))
+def terms(spark: SparkSession, d: str) -> DataFrame:
+    """key, n, no: words of six letters or more in three documents or more, and pairs of words (nine characters or more) found three times
+    or more; n is how often, no a number that follows from the key."""
+    words = blocks(spark, d).select("unit_id", "block_id", tokens(F.col("text")).alias("w"))
     each = words.select("unit_id", F.explode("w").alias("key")).filter("length(key) >= 6")
-    by_word = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("unit_id").alias("df")).filter("df >= 3")
-    top = Window.orderBy(F.desc("n"), "key")
-    one = by_word.orderBy(F.desc("n"), "key").limit(singles)
+    one = each.groupBy("key", "unit_id").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df")).filter("df >= 3")
     two = (
         words.filter("size(w) > 1")
         .select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))).alias("key"))
-        .filter("length(key) >= 9").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").orderBy(F.desc("n"), "key").limit(pairs)
+        .filter("length(key) >= 9").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
     )
-    return one.select("key", "n").union(two).withColumn("rank", F.row_number().over(top)).select("key", "rank")  # a few hundred rows
+    return one.select("key", "n").union(two).withColumn("no", F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("long"))
 
 
-TERMS = r"""SELECT key, CAST(row_number() OVER (ORDER BY n DESC, key) AS INTEGER) AS rank FROM (
- (SELECT key, n FROM (SELECT key, count(*) AS n, count(DISTINCT unit_id) AS df FROM (SELECT unit_id, unnest(w) AS key FROM term_w) WHERE length(key) >= 6 GROUP BY key) WHERE df >= 3 ORDER BY n DESC, key LIMIT 200)
+TERMS = r"""SELECT key, n, CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) AS no FROM (
+ (SELECT key, n FROM (SELECT key, count(*) AS n, count(DISTINCT unit_id) AS df FROM (SELECT unit_id, unnest(w) AS key FROM term_w) WHERE length(key) >= 6 GROUP BY key) WHERE df >= 3)
  UNION ALL
- (SELECT key, n FROM (SELECT key, count(*) AS n FROM (SELECT w[i] || ' ' || w[i + 1] AS key FROM (SELECT w, unnest(range(1, len(w))) AS i FROM term_w)) WHERE length(key) >= 9 GROUP BY key) WHERE n >= 3 ORDER BY n DESC, key LIMIT 100))"""
-TERM_W = r"SELECT unit_id, block_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM blocks WHERE lang = 'en'"
+ (SELECT key, n FROM (SELECT key, count(*) AS n FROM (SELECT w[i] || ' ' || w[i + 1] AS key FROM (SELECT w, unnest(range(1, len(w))) AS i FROM term_w)) WHERE length(key) >= 9 GROUP BY key) WHERE n >= 3))"""
+TERM_W = r"SELECT unit_id, block_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM blocks"
 
 
 def sections(spark: SparkSession, d: str) -> DataFrame:
@@ -151,11 +150,11 @@ MARKED = """SELECT *, CASE WHEN block_id % 2 = 0 THEN 1 ELSE 2 END AS f FROM (SE
 
 
 def card_concepts(spark: SparkSession, d: str) -> DataFrame:
-    """card_id, concept: card c goes with the terms ranked c, c + 20, c + 40 and so on."""
-    return terms(spark, d).select((F.col("rank") % 20).cast("long").alias("card_id"), F.col("key").alias("concept"))
+    """card_id, concept: each term is on one card of 2000 (most are reviewed by nobody)."""
+    return terms(spark, d).select((F.col("no") % 2000).alias("card_id"), F.col("key").alias("concept"))
 
 
-CARD_CONCEPTS = "SELECT CAST(rank % 20 AS BIGINT) AS card_id, key AS concept FROM terms"
+CARD_CONCEPTS = "SELECT no % 2000 AS card_id, key AS concept FROM terms"
 
 #: Name to (what it needs, SQL).
 SQL = {

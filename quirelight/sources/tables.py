@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,9 +61,48 @@ def dedup_imports(files: DataFrame, books: DataFrame | None = None) -> DataFrame
     return out.join(known, "file_hash", "left").withColumn("status", F.when(F.col("was").isNull() | (F.col("was") == "error"), "importing").otherwise(F.col("was"))).drop("was")
 
 
-def replace_book(df: DataFrame, path: str) -> None:
-    """S3: put the rows of df in place of all rows of the books in it; other books' partitions stay as they are."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id").parquet(path)
+#: What belongs to a book's content and goes with it; what readers did on its pages (highlights, versions, page_reads) stays.
+CONTENT = ("blocks", "sections", "mentions", "edges", "concept_books", "cards", "reads")
+
+
+def replace_books(tables: dict[str, DataFrame], new: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+    """S3: all tables with the content of the books in ids (book_id) taken out of every table of CONTENT and the rows of new put in; new
+    concepts are added if their key is new. Tables that have no book_id of their own go by their block."""
+    out = dict(tables)
+    gone_blocks = tables["blocks"].join(ids, "book_id", "left_semi").select(F.col("id").alias("block_id")) if "blocks" in tables else None
+    for name in CONTENT:
+        if name not in tables:
+            continue
+        df = tables[name]
+        rest = df.join(ids, "book_id", "left_anti") if "book_id" in df.columns else df.join(gone_blocks, "block_id", "left_anti")
+        out[name] = rest.select(df.columns).unionByName(new[name]) if name in new else rest.select(df.columns)
+    if "books" in new:
+        key = ids.select(F.col("book_id").alias("id"))
+        out["books"] = tables["books"].join(key, "id", "left_anti").select(tables["books"].columns).unionByName(new["books"])
+    if "concepts" in new:
+        out["concepts"] = tables["concepts"].unionByName(new["concepts"].join(tables["concepts"].select("key"), "key", "left_anti").select(tables["concepts"].columns))
+    return out
+
+
+def publish(tables: dict[str, DataFrame], root: str) -> str:
+    """S3: write all tables as one new version under root and then, in one step, make it the current one. A reader sees the old version or
+    the new one whole; a job that fails leaves only a folder that nobody names."""
+    spark = next(iter(tables.values())).sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{root}/{version}/{name}")
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/current/{time.time_ns():020d}-{version}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, False).close()
+    return version
+
+
+def current(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
+    """S3: the tables of the version published last under root."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/current")
+    found = [x.getPath().getName() for x in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    version = max(found).partition("-")[2]
+    return {n: spark.read.parquet(f"{root}/{version}/{n}") for n in names}
 
 
 def remove_books(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
@@ -92,24 +134,45 @@ def merge_rows(base: DataFrame, delta: DataFrame, keys: list[str], rules: dict[s
     return rows.groupBy(*keys).agg(*[merged(c, rules.get(c, "keep")).alias(c) for c in base.columns if c not in keys]).select(*base.columns)
 
 
-def export_notes(highlights: DataFrame) -> DataFrame:
-    """One Markdown text per book: rows in (page, start) order, a heading where the unit changes. highlights: book_id, title, unit,
-    page, start, id, quote, note."""
-    w = Window.partitionBy("book_id").orderBy("page", "start", "id")
+#: Rows of a book that make one part of an export.
+PART_ROWS = 1000
+
+
+def _parts(rows: DataFrame, order: list[str], size: int) -> DataFrame:
+    """rows with part: runs of `size` rows of a book in this order, as a reader may put them together one by one; no row of the result
+    holds a whole book, however long it is. Runs are numbered over (book_id, page), so a long book is not sorted in one task."""
+    w = Window.partitionBy("book_id", "page").orderBy(*order)
+    pages = rows.groupBy("book_id", "page").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("book_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("_at", F.row_number().over(w) - 1).join(pages.select("book_id", "page", before.alias("_before")), ["book_id", "page"])
+    at = F.col("_at") + F.col("_before")
+    return placed.withColumns({"place": at, "part": F.floor(at / size).cast("long")}).drop("_at", "_before")
+
+
+def export_notes(highlights: DataFrame, size: int = PART_ROWS) -> DataFrame:
+    """book_id, part, markdown: rows in (page, start) order, a heading where the unit changes; parts in order are the book's notes.
+    highlights: book_id, title, unit, page, start, id, quote, note."""
+    order = ["start", "id"]
     unit = F.coalesce(F.when(F.col("unit") != "", F.col("unit")), F.lit("Notes"))
-    rows = highlights.withColumn("unit", unit).withColumn("_new", F.coalesce(F.lag("unit").over(w) != F.col("unit"), F.lit(True)))
+    rows = _parts(highlights.withColumn("unit", unit), order, size)
+    # what stands before a page's first row is the last row of the page before that has any
+    inside = Window.partitionBy("book_id", "page").orderBy(*order)
+    ends = rows.groupBy("book_id", "page").agg(F.max_by("unit", "place").alias("_end"))
+    ends = ends.select("book_id", "page", F.lag("_end").over(Window.partitionBy("book_id").orderBy("page")).alias("_end"))
+    rows = rows.withColumns({"_last": F.lag("unit").over(inside), "_first": F.row_number().over(inside) == 1}).join(ends, ["book_id", "page"])
+    new = F.coalesce(F.when(F.col("_first"), F.col("_end")).otherwise(F.col("_last")) != F.col("unit"), F.lit(True))
     note = F.trim(F.coalesce("note", F.lit("")))
-    part = F.concat(
-        F.when(F.col("_new"), F.concat(F.lit("## "), "unit", F.lit("\n\n"))).otherwise(""),
+    piece = F.concat(
+        F.when(F.col("place") == 0, F.concat(F.lit("# "), "title", F.lit("\n\n"))).otherwise(""), F.when(new, F.concat(F.lit("## "), "unit", F.lit("\n\n"))).otherwise(""),
         F.lit("> "), F.translate("quote", "\n", " "), F.lit("\n"), F.when(note != "", F.concat(F.lit("\n"), note, F.lit("\n"))).otherwise(""),
     )
-    listed = rows.select("book_id", "title", F.struct("page", "start", "id", part.alias("md")).alias("x"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["md"]), "\n")
-    return listed.groupBy("book_id").agg(F.concat(F.lit("# "), F.min("title"), F.lit("\n\n"), text).alias("markdown"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", piece.alias("md")))), lambda x: x["md"]), "\n")
+    return rows.groupBy("book_id", "part").agg(text.alias("markdown"))
 
 
-def dump_markdown(blocks: DataFrame) -> DataFrame:
-    """Blocks of a book as Markdown, one rendering for each type. blocks: book_id, ord, type, level, label, text, page."""
+def dump_markdown(blocks: DataFrame, size: int = PART_ROWS) -> DataFrame:
+    """book_id, part, markdown: blocks of a book as Markdown, one rendering for each type; parts in order are the book. blocks:
+    book_id, ord, type, level, label, text, page (pages do not fall along ord)."""
     where = F.concat(F.lit("<!-- p"), F.col("page") + 1, F.lit(" -->"))
     label = F.coalesce("label", F.lit(""))
     kind = F.col("type")
@@ -122,8 +185,8 @@ def dump_markdown(blocks: DataFrame) -> DataFrame:
         .when(kind == "list", F.concat(F.repeat(F.lit("  "), F.col("level")), label, F.lit(" "), "text", F.lit(" "), where))
         .otherwise(F.concat("text", F.lit(" "), where))
     )
-    rows = blocks.groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("ord", md.alias("md")))).alias("x"))
-    return rows.select("book_id", F.array_join(F.transform("x", lambda x: x["md"]), "\n\n").alias("markdown"))
+    rows = _parts(blocks.withColumn("_md", md), ["ord"], size).groupBy("book_id", "part").agg(F.sort_array(F.collect_list(F.struct("place", F.col("_md").alias("md")))).alias("x"))
+    return rows.select("book_id", "part", F.array_join(F.transform("x", lambda x: x["md"]), "\n\n").alias("markdown"))
 
 
 def profile_books(blocks: DataFrame, types: list[str]) -> DataFrame:
