@@ -1,16 +1,17 @@
 """Near copies by SimHash with verification: all pairs of Jaccard similarity ALIKE or more over five-word shingles that lie in the radius.
 
-A text is the set of its hashed shingles. Each distinct set has a fingerprint of 128 bits (a bit is 1 if it is set in over half of
+A text is the set of its hashed shingles. Each distinct set has a fingerprint of 192 bits (a bit is 1 if it is set in over half of
 the set's hashes). Tiles of fingerprints are compared by exclusive-or and bit counts (`tiles`); sets whose sizes rule the
 similarity out are skipped too. A bit of two sets of similarity 0.8 differs with probability 0.15 (0.19 for sets of five), so RADIUS
-of the 128 misses one of 25,000 such pairs (one of 290 for sets of five; none of equal sets), while of unrelated pairs one in 2.5
-million is looked at in vain.
+of the 192 misses one of 40,000 such pairs (one of 200 for sets of five; none of equal sets), while of unrelated pairs one in 10^11 is
+looked at in vain.
 
 Every pair that decides is verified on the whole sets. A group of n mutual near copies would have n squared pairs, so there are two
-rounds. The first takes for each set its K nearest ones from each pair of tiles, verifies these and merges what holds to components. Sets
-that had more than K, and those that they had, are compared once more, in small tiles that carry the whole sets: there every pair of
-different components is verified on the spot, nearest ones first, and pairs that merged components make needless are left out. So the
-components are those of all pairs in the radius; there is no cap.
+rounds. The first takes for each set its K nearest ones from each pair of tiles, verifies these and merges what holds to components. Of
+sets that had more than K it also returns a spanning forest of all their pairs, so that the components of these forests (`crowds`) hold all
+pairs not looked at yet. A crowd's whole sets then come together, a large crowd's in parts that meet two by two, and every pair of
+different components is verified on the spot, nearest ones first; pairs that merged components make needless are left out. So the
+components are those of all pairs in the radius; there is no cap, and sets travel with their crowd, not with their tile.
 
 Defined results: texts of fewer than five words are one shingle; null and wordless texts are copies of each other; texts of any
 length are read whole; rows without a doc_id take part (they may link others) and always stay; an empty table gives an empty
@@ -20,6 +21,8 @@ result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +37,12 @@ from .components import components
 SHINGLE = 5
 #: Similarity of a link, as a fraction (4 / 5).
 ALIKE = (4, 5)
-RADIUS = 36
+RADIUS = 50
+WORDS = 3
 #: Nearest ones that the first round takes.
 K = 2
-#: Bytes of sets in a tile of the second round, and its fewest rows.
-TILE_BYTES, LEAST = 8 << 20, 256
+#: Sets, and bytes of them, in a part of a crowd.
+PART, PART_BYTES = 1024, 8 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xD6E8FEB86659FD93)
 
@@ -60,13 +64,14 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def fingerprint(found: np.ndarray) -> np.ndarray:
-    """Two words of 64 bits of a set; a bit is 1 if it is set in over half of the hashes."""
-    ones = np.zeros(128, np.int64)
-    for at in range(0, len(found), 1 << 15):
-        h = found[at : at + (1 << 15)]
-        other = (h ^ (h >> np.uint64(31))) * _TURN
-        both = np.stack([h, other ^ (other >> np.uint64(32))], axis=1)
-        ones += np.unpackbits(both.view(np.uint8).reshape(len(h), 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    """WORDS words of 64 bits of a set; a bit is 1 if it is set in over half of the hashes."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(found), 1 << 14):
+        words = [found[at : at + (1 << 14)]]
+        for _ in range(WORDS - 1):
+            h = (words[-1] ^ (words[-1] >> np.uint64(31))) * _TURN
+            words.append(h ^ (h >> np.uint64(32)))
+        ones += np.unpackbits(np.stack(words, axis=1).view(np.uint8).reshape(-1, 8 * WORDS), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > len(found), bitorder="little").view("<i8")
 
 
@@ -79,6 +84,9 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return ALIKE[1] * both >= ALIKE[0] * (len(a) + len(b) - both)
 
 
+PRINT = [f"f{k}" for k in range(WORDS)]
+
+
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, words, sizes = [], [], []
@@ -87,29 +95,24 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(xxh3_128_digest(found.tobytes()))
             words.append(fingerprint(found))
             sizes.append(len(found))
-        words = np.array(words, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(words[:, 0]), pa.array(words[:, 1]), pa.array(sizes, pa.int32())], names=["doc_id", "key", "f0", "f1", "n"])
+        words = np.array(words, np.int64).reshape(-1, WORDS)
+        columns = [batch.column(0), pa.array(keys, pa.binary()), *(pa.array(words[:, k]) for k in range(WORDS)), pa.array(sizes, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", *PRINT, "n"])
 
 
-def _columns(row) -> list[np.ndarray]:
-    """The columns of an array of structs (id, two words, size, component), ordered by set size, and the sets if there are."""
-    fields = [row.values.field(k).to_numpy(zero_copy_only=False) for k in range(5)]
-    order = np.argsort(fields[3], kind="stable")
-    out = [f[order] for f in fields]
-    if row.values.type.num_fields > 5:
-        sets = row.values.field(5)
-        out.append([np.frombuffer(sets[k].as_buffer(), np.uint64) for k in order.tolist()])
-    return out
+def _ordered(fields: list[np.ndarray], sets: pa.Array | None = None) -> list:
+    """The columns (id, size, component, words...) of some rows ordered by set size, and the sets at the end if there are."""
+    order = np.argsort(fields[1], kind="stable")
+    out = [f[order] for f in fields[:3]] + [f[order].view(np.uint64) for f in fields[3:]]
+    return out if sets is None else [*out, [np.frombuffer(sets[k].as_buffer(), np.uint64) for k in order.tolist()]]
 
 
-def _hits(a: list[np.ndarray], b: list[np.ndarray] | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _hits(a: list, b: list | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, distance) of the pairs of rows of a with rows of b, or (None) with other rows of a, of another component, within the radius and
     of sizes that allow the similarity; all pairs of some rows i at once."""
     within = b is None
     b = a if within else b
-    _, f0, f1, size, group = a[:5]
-    _, g0, g1, other_size, other_group = b[:5]
-    f0, f1, g0, g1 = (x.view(np.uint64) for x in (f0, f1, g0, g1))
+    size, group, other_size, other_group = a[1], a[2], b[1], b[2]
     least, most = -(-ALIKE[0] * size // ALIKE[1]), ALIKE[1] * size // ALIKE[0]
     first, last = np.searchsorted(other_size, least), np.searchsorted(other_size, most, "right")
     at = 0
@@ -117,7 +120,9 @@ def _hits(a: list[np.ndarray], b: list[np.ndarray] | None, radius: int) -> Itera
         step = max(1, min(256, (1 << 18) // max(1, int(last[at] - first[at]))))
         end = min(len(size), at + step)
         lo, hi = int(first[at]), int(last[end - 1])
-        differ = np.bitwise_count(f0[at:end, None] ^ g0[None, lo:hi]) + np.bitwise_count(f1[at:end, None] ^ g1[None, lo:hi])
+        differ = np.zeros((end - at, hi - lo), np.uint8)
+        for f, g in zip(a[3 : 3 + WORDS], b[3 : 3 + WORDS], strict=True):
+            differ += np.bitwise_count(f[at:end, None] ^ g[None, lo:hi])
         found = np.flatnonzero(differ <= radius)
         if len(found):
             i, j = found // (hi - lo) + at, found % (hi - lo) + lo
@@ -129,11 +134,32 @@ def _hits(a: list[np.ndarray], b: list[np.ndarray] | None, radius: int) -> Itera
         at = end
 
 
-def nearest(a: list[np.ndarray], b: list[np.ndarray] | None, radius: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (id, id) of each row of a with its k nearest rows of b, or (None) of a (see _hits); and the ids of rows that have pairs
-    beyond these, with those of the other rows of all their pairs."""
+class _Groups:
+    """Disjoint sets of numbers."""
+
+    def __init__(self):
+        self.top: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        top = self.top
+        while (y := top.get(x, x)) != x:
+            top[x] = top.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        p, q = self.find(x), self.find(y)
+        if p != q:
+            self.top[max(p, q)] = min(p, q)
+        return p != q
+
+
+def nearest(a: list, b: list | None, radius: int, k: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The pairs (id, id) of each row of a with its k nearest rows of b, or (None) of a (see _hits); and a spanning forest of all pairs of the
+    rows that have more."""
     ids, jds = a[0], (a if b is None else b)[0]
-    out, left = [np.empty((0, 2), np.int64)], [np.empty(0, np.int64)]
+    out = [np.empty((0, 2), np.int64)]
+    crowd, forest = _Groups(), []
     for i, j, d in _hits(a, b, radius):
         order = np.argsort(i * 256 + d, kind="stable")
         i, j = i[order], j[order]
@@ -143,51 +169,48 @@ def nearest(a: list[np.ndarray], b: list[np.ndarray] | None, radius: int, k: int
         out.append(np.stack([ids[i[take]], jds[j[take]]], axis=1))
         if not take.all():
             more = np.isin(i, i[~take])
-            left += [np.unique(ids[i[more]]), np.unique(jds[j[more]])]
-    pairs = np.sort(np.concatenate(out), axis=1)
-    return np.unique(pairs, axis=0), np.unique(np.concatenate(left))
+            forest += [x for x in zip(ids[i[more]].tolist(), jds[j[more]].tolist(), strict=True) if crowd.join(*x)]
+    return np.unique(np.sort(np.concatenate(out), axis=1), axis=0), forest
 
 
 def joined(a: list, b: list | None, radius: int) -> list[tuple[int, int]]:
     """Links (id, id) of sets of similarity ALIKE or more that merge all components which such pairs of rows of a and b (see _hits) merge."""
     other = a if b is None else b
-    top: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (y := top.get(x, x)) != x:
-            top[x] = top.get(y, y)
-            x = y
-        return x
-
-    links = []
+    groups, links = _Groups(), []
     for i, j, d in _hits(a, b, radius):
         order = np.argsort(d, kind="stable")
         i, j = i[order], j[order]
-        for x, y, g, h in zip(i.tolist(), j.tolist(), a[4][i].tolist(), other[4][j].tolist(), strict=True):
+        for x, y, g, h in zip(i.tolist(), j.tolist(), a[2][i].tolist(), other[2][j].tolist(), strict=True):
             if b is None and x > y:
                 continue
-            p, q = find(g), find(h)
-            if p != q and alike(a[5][x], other[5][y]):
-                top[max(p, q)] = min(p, q)
+            if groups.find(g) != groups.find(h) and alike(a[-1][x], other[-1][y]):
+                groups.join(g, h)
                 links.append((int(a[0][x]), int(other[0][y])))
     return links
 
 
-def _join(radius: int):
+def _compare(radius: int, k: int):
     def pair(table):
-        sides = [_columns(row) for row in table.column("rows").combine_chunks()]
-        found = np.array(joined(sides[0], sides[1] if len(sides) > 1 else None, radius), np.int64).reshape(-1, 2)
-        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+        sides = [_ordered([row.values.field(c).to_numpy(zero_copy_only=False) for c in range(3 + WORDS)]) for row in table.column("rows").combine_chunks()]
+        found, forest = nearest(sides[0], sides[1] if len(sides) > 1 else None, radius, k)
+        forest = np.array(forest, np.int64).reshape(-1, 2)
+        return pa.table({"a": np.concatenate([found[:, 0], forest[:, 0]]), "b": np.concatenate([found[:, 1], forest[:, 1]]), "crowd": np.arange(len(found) + len(forest)) >= len(found)})
 
     return pair
 
 
-def _compare(radius: int, k: int):
-    def pair(table):
-        sides = [_columns(row) for row in table.column("rows").combine_chunks()]
-        found, left = nearest(sides[0], sides[1] if len(sides) > 1 else None, radius, k)
-        a, b = np.concatenate([found[:, 0], left]), np.concatenate([found[:, 1], np.full(len(left), -1)])
-        return pa.table({"a": a, "b": b})
+def _join(radius: int):
+    def pair(key, table):
+        part, sides = table.column("part").to_numpy(), []
+        for p in sorted({key[1].as_py(), key[2].as_py()}):
+            own = table.filter(pa.array(part == p)).combine_chunks()
+            if own.num_rows:
+                fields = [own.column(c).to_numpy() for c in ("id", "n", "component", *PRINT)]
+                sides.append(_ordered(fields, own.column("found").combine_chunks()))
+        if not sides or len(sides) < 2 and key[1] != key[2]:
+            return pa.table({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        found = np.array(joined(sides[0], sides[1] if len(sides) > 1 else None, radius), np.int64).reshape(-1, 2)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     return pair
 
@@ -208,10 +231,10 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, tile: int = tiles.TILE) -
     """id, first, component: every distinct set of shingles with its smallest doc_id (null if it has none) and its component (an id)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    prints = text.mapInArrow(_prints, f"doc_id {kind}, key binary, f0 long, f1 long, n int")
-    classes = prints.groupBy("key").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("n").alias("n"), F.min("doc_id").alias("first"))
+    prints = text.mapInArrow(_prints, f"doc_id {kind}, key binary, {', '.join(f'{c} long' for c in PRINT)}, n int")
+    classes = prints.groupBy("key").agg(*[F.first(c).alias(c) for c in (*PRINT, "n")], F.min("doc_id").alias("first"))
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "sets")
-    ones, spread = F.bit_count("f0") + F.bit_count("f1"), F.xxhash64("id")
+    ones = reduce(add, [F.bit_count(c) for c in PRINT])
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """id, found: the sets of some ids, made again from the texts of their first documents."""
@@ -221,24 +244,25 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, tile: int = tiles.TILE) -
         return materialize(found.groupBy("id").agg(F.first("found").alias("found")), "shingles")
 
     # sets of up to three shingles are alike only if they are equal
-    rows = classes.filter(F.col("n") >= ALIKE[0]).select("id", "f0", "f1", "n", F.col("id").alias("component"))
-    work = tiles.pairs_of_tiles(rows, ones, spread, radius, tile, share=64)
-    found = materialize(work.groupBy("pair").applyInArrow(_compare(radius, K), "a long, b long"), "found")
-    pairs = materialize(found.filter("b >= 0").distinct(), "pairs")
+    rows = classes.filter(F.col("n") >= ALIKE[0]).select("id", "n", F.col("id").alias("component"), *PRINT)
+    work = tiles.pairs_of_tiles(rows, ones, F.xxhash64("id"), radius, tile, share=64)
+    found = materialize(work.groupBy("pair").applyInArrow(_compare(radius, K), "a long, b long, crowd boolean"), "found")
+    pairs = materialize(found.filter("not crowd").select("a", "b").distinct(), "pairs")
     sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     a, b = (sets.select(F.col("id").alias(x), F.col("found").alias(f"found_{x}")) for x in "ab")
     held = pairs.join(a, "a").join(b, "b").select("a", "b", "found_a", "found_b").mapInArrow(_verify, "a long, b long")
     links = materialize(held, "links")
     group = components(links)
 
-    left = materialize(found.filter("b < 0").select(F.col("a").alias("id")).distinct(), "left")
-    n, size = left.join(classes, "id").agg(F.count(F.lit(1)), F.sum("n")).first()
-    if n:
-        rest = left.join(classes, "id").join(group, F.col("id") == F.col("node"), "left").select("id", "f0", "f1", "n", F.coalesce("component", "id").alias("component"))
-        rest = rest.join(sets_of(left), "id")
-        small = min(tile, max(LEAST, n // 16))
-        work = tiles.pairs_of_tiles(rest, ones, spread, radius, small, share=n, most=max(1, TILE_BYTES * n // (8 * size)))
-        more = materialize(work.groupBy("pair").applyInArrow(_join(radius), "a long, b long"), "links")
+    forest = found.filter("crowd").select("a", "b")
+    if not forest.isEmpty():
+        crowds = materialize(components(forest).select(F.col("node").alias("id"), F.col("component").alias("crowd")), "crowds")
+        size = crowds.join(classes.select("id", "n"), "id").groupBy("crowd").agg(F.greatest(F.ceil(F.count(F.lit(1)) / PART), F.ceil(8 * F.sum("n") / PART_BYTES)).cast("int").alias("parts"))
+        rest = crowds.join(size, "crowd").join(classes.select("id", "n", *PRINT), "id").join(group, F.col("id") == F.col("node"), "left")
+        rest = rest.select("id", "n", F.coalesce("component", "id").alias("component"), *PRINT, "crowd", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "parts").join(sets_of(crowds.select("id")), "id")
+        met = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        met = met.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("parts", "other")
+        more = materialize(met.groupBy("crowd", "low", "high").applyInArrow(_join(radius), "a long, b long"), "links")
         group = components(links.union(more))
     labels = classes.join(group, F.col("id") == F.col("node"), "left")
     return labels.select("id", "first", F.coalesce("component", "id").alias("component"))

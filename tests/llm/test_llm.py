@@ -280,12 +280,12 @@ def test_near_dedup_looks_at_all_pairs(spark, monkeypatch):
     """Every pair lies in this radius, so only verification can tell, and sets have far more than K candidates."""
     from quirelight.llm import near
 
-    monkeypatch.setattr(near, "LEAST", 8)
+    monkeypatch.setattr(near, "PART", 8)
     texts = near_texts()[:70]
     sets = [slow_shingles(t) for t in texts]
     want = slow_groups(range(len(texts)), lambda a, b: not (sets[a] | sets[b]) or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"] for r in near.keep_first(df, radius=128, tile=32).collect()} == {k for k in want if want[k] == k}
+    assert {r["doc_id"] for r in near.keep_first(df, radius=192, tile=32).collect()} == {k for k in want if want[k] == k}
 
 
 def test_rows_without_id_link_others(spark):
