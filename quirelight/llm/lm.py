@@ -67,8 +67,19 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
+class _Endings(dict):
+    """Rare classes of words by their last two bytes, of which there are few."""
+
+    def __missing__(self, end: bytes) -> int:
+        self[end] = found = xxh64_intdigest(end, 7) % RARE
+        return found
+
+
+_endings = _Endings()
+
+
 def rare_class(word: bytes) -> int:
-    return xxh64_intdigest(word[-2:], 7) % RARE
+    return _endings[word[-2:]]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,13 +352,27 @@ class Model:
         """Tokens, known tokens, base and score without the words that are not looked up here, and those words with their contexts."""
         found = tokens(text)
         here = list(map(self.known.get, found))
-        contexts = [CLASSES, *[h[3] if h else CLASSES + 1 + rare_class(w) for w, h in zip(found, here, strict=True)]]
-        rest = Counter((w, x) for w, h, x in zip(found, here, contexts) if h is None)
-        emitted = math.fsum(h[0] for h in here if h)
-        before = np.array([x for h, x in zip(here, contexts) if h], np.int64)
-        classes = np.array([h[2] for h in here if h], np.int64)
+        contexts = [CLASSES]
+        rest: Counter = Counter()
+        if None in here:
+            missed = []
+            for w, h, before in zip(found, here, contexts, strict=False):  # contexts grows on the way
+                if h is None:
+                    missed.append((w, before))
+                    contexts.append(CLASSES + 1 + _endings[w[-2:]])
+                else:
+                    contexts.append(h[3])
+            rest.update(missed)
+            contexts = [x for x, h in zip(contexts, here, strict=False) if h is not None]
+            here = [h for h in here if h is not None]
+        else:
+            contexts += [h[3] for h in here]
+            contexts.pop()
+        logs, n, classes, _ = zip(*here, strict=True) if here else ((), (), (), ())
+        before, classes = np.array(contexts, np.int64), np.array(classes, np.int64)
+        emitted = math.fsum(logs)
         score = emitted + float(self.move[before, classes].sum() - self.out_of[classes].sum())
-        return len(found), sum(1 for h in here if h and h[1]), emitted - len(found) * self.base, score, rest
+        return len(found), len(n) - n.count(0), emitted - len(found) * self.base, score, rest
 
 
 def _score(model):
@@ -357,16 +382,27 @@ def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model_here = model.value
         for batch in batches:
-            rows: list[tuple] = []
+            columns: list[list] = [[] for _ in kinds]
+            keys, words, contexts, fall, times, docs = columns
             for k in range(batch.num_rows):
                 key, doc_id, out, text = (c[k].as_py() for c in batch.columns)
                 n, known, base, score, rest = model_here.parts(text)
                 # a row's own part has a word that no text holds, so it meets nothing, and no two of them meet
-                rows.append((key, END + key.to_bytes(8), 0, 0, 0, {"doc_id": doc_id, "held_out": out, "n_tokens": n, "n_known": known, "base": base, "score": score}))
-                rows += [(key, w, x, CLASSES + 1 + rare_class(w), times, None) for (w, x), times in rest.items()]
-                if len(rows) > 20_000 or k == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "word", "context", "fall", "times", "doc"])
-                    rows = []
+                keys += [key] * (1 + len(rest))
+                words.append(END + key.to_bytes(8))
+                words += [w for w, _ in rest]
+                contexts.append(0)
+                contexts += [x for _, x in rest]
+                fall.append(0)
+                fall += [CLASSES + 1 + _endings[w[-2:]] for w, _ in rest]
+                times.append(0)
+                times += rest.values()
+                docs.append({"doc_id": doc_id, "held_out": out, "n_tokens": n, "n_known": known, "base": base, "score": score})
+                docs += [None] * len(rest)
+                if len(keys) > 20_000 or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "word", "context", "fall", "times", "doc"])
+                    for c in columns:
+                        c.clear()
 
     return run
 
