@@ -43,6 +43,8 @@ WORDS = 3
 K = 2
 #: Sets, and bytes of them, in a part of a crowd.
 PART, PART_BYTES = 1024, 8 << 20
+#: Keys (of 8 bytes or so) that are sent to all tasks.
+LIGHT = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xD6E8FEB86659FD93)
 
@@ -227,6 +229,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(yes), batch.column(1).filter(yes)], names=["a", "b"])
 
 
+def _light(keys: DataFrame) -> DataFrame:
+    """keys, sent to all tasks if there are no more than LIGHT of them, so that the texts they meet need no shuffle."""
+    return F.broadcast(keys) if keys.count() <= LIGHT else keys
+
+
 def near_copies(docs: DataFrame, radius: int = RADIUS, tile: int = tiles.TILE) -> DataFrame:
     """id, first, component: every distinct set of shingles with its smallest doc_id (null if it has none) and its component (an id)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -238,8 +245,8 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, tile: int = tiles.TILE) -
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """id, found: the sets of some ids, made again from the texts of their first documents."""
-        wanted = ids.join(classes.select("id", "key", "first"), "id")
-        texts = text.join(wanted.select("first").distinct(), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("text")
+        wanted = materialize(ids.join(classes.select("id", "key", "first"), "id"), "wanted")
+        texts = text.join(_light(wanted.select("first").distinct()), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").select("text")
         found = texts.mapInArrow(_sets, "key binary, found binary").join(wanted.select("id", "key"), "key")
         return materialize(found.groupBy("id").agg(F.first("found").alias("found")), "shingles")
 
@@ -272,5 +279,5 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     """docs without all but the first document (smallest doc_id) of each group of near copies. Rows that repeat a doc_id go or stay
     together; rows without a doc_id stay, since no decision can name them."""
     first = near_copies(docs, **options).groupBy("component").agg(F.min("first").alias("doc_id")).select("doc_id").filter("doc_id is not null").distinct()
-    named = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    return named.union(docs.filter("doc_id is null"))
+    gone = materialize(docs.select("doc_id").filter("doc_id is not null").distinct().join(first, "doc_id", "left_anti"), "gone")
+    return docs.join(_light(gone), "doc_id", "left_anti").select(*docs.columns)
