@@ -16,6 +16,8 @@ MODULES = {
     "op8_chat_format": "chat",
     "op9_merkle": "merkle",
     "op10_shuffled_shards": "sharding",
+    "op11_centroids": "centroids",
+    "op13_token_counts": "counts",
 }
 
 
