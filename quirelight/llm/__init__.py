@@ -17,6 +17,7 @@ MODULES = {
     "op9_merkle": "merkle",
     "op10_shuffled_shards": "sharding",
     "op11_centroids": "centroids",
+    "op12_repair": "repair",
     "op13_token_counts": "counts",
 }
 
