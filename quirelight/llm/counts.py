@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import materialize, text_of
 
 #: Code points of a chunk and of an overlap; texts longer than a chunk are huge.
-CHUNK, OVERLAP = 32_768, 256
+CHUNK, OVERLAP = 65_536, 256
 #: Parts that a worker remembers, and the length from which one is not remembered.
-REMEMBERED, LONG = 400_000, 256
+REMEMBERED, LONG = 1_000_000, 256
 #: Code points of texts that are counted together.
 TOGETHER = 4_000_000
 ODD_SPACE = re.compile(r" (?:\s|\Z)")
