@@ -141,6 +141,28 @@ def tokens(text: Column) -> Column:
     return letters_and_digits(F.lower(strip_accents(text)))
 
 
+TOKEN = r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{M}]*"
+
+
+def tokens_in_place(text: Column) -> Column:
+    """The tokens of a text as written, and what stands around them: own (n tokens), folded (those without accents and case), between
+    (n + 1 pieces: before the first, between neighbours, after the last). Put together in turn they are the text."""
+    own = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    return F.struct(own.alias("own"), F.transform(own, lambda t: F.lower(strip_accents(t))).alias("folded"), F.split(text, TOKEN).alias("between"))
+
+
+def apart_places(text: Column, words: Column) -> Column:
+    """Where words stand in text, left to right, not overlapping (places from 0), in one pass over the text. words hold no `\\E`."""
+
+    def sums(x: Column) -> Column:
+        sizes = F.transform(F.slice(x["parts"], 1, F.size(x["parts"]) - 1), F.length)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        step = lambda acc, n: F.struct((acc["at"] + n + x["n"]).alias("at"), F.array_append(acc["all"], acc["at"] + n).alias("all"))
+        return F.aggregate(sizes, start, step, lambda acc: acc["all"])
+
+    return bound(F.struct(F.split(text, F.concat(F.lit("\\Q"), words, F.lit("\\E"))).alias("parts"), F.length(words).alias("n")), sums)
+
+
 def term_words(text: Column) -> Column:
     """The words that identify a term: no accents, case, possessive or plural."""
     plain = F.regexp_replace(F.lower(strip_accents(text)), r"['’]s\b", "")
@@ -255,16 +277,24 @@ def fold_text(text: Column) -> Column:
     is the place (0-based code point) of folded character k."""
 
     one, other, guard, many = _decomposed("NFKC")
+    blank = "\t\x0b\x0c\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+    mapped = [(a, b) for a, b in zip(one, other, strict=True) if a not in blank]
+    one, other = "".join(a for a, _ in mapped) + blank, "".join(b for _, b in mapped) + " " * len(blank)
     table = F.str_to_map(F.lit(many), F.lit("\x01"), F.lit("\x02"))
 
+    def letters(x: Column) -> Column:
+        """Per code point what it becomes: mostly one letter, found for the whole text at once; none for white space and hyphens at line ends."""
+        plain = F.regexp_replace(F.translate(x["t"], one, other), "[-‐\xad]\n", " \n")
+        several = lambda c: F.when(c.rlike(guard), F.coalesce(F.try_element_at(table, c), c)).otherwise(c)
+        letter = lambda c: F.when(c.isin(" ", "\n"), F.lit("")).otherwise(F.lower(c))
+        return F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.when(x["odd"], letter(several(c))).otherwise(letter(c)))
+
     def fold(x: Column) -> Column:
-        letters = lambda c: F.lower(F.when(c.rlike(guard), F.coalesce(F.try_element_at(table, c), c)).otherwise(F.translate(c, one, other)))
-        plain = F.transform(x["c"], lambda c, i: F.struct(letters(c).alias("c"), i.alias("i"), c.alias("own"), F.get(x["c"], i + 1).alias("next")))
-        return F.filter(plain, lambda y: ~y["own"].rlike(r"^[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]$") & ~(y["own"].isin("-", "‐", "\xad") & F.coalesce(y["next"] == "\n", F.lit(False))))
+        numbered = F.filter(F.transform(x, lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda y: y["c"] != "")
+        places = lambda k: F.flatten(F.transform(k, lambda y: F.array_repeat(y["i"], F.length(y["c"]))))
+        return bound(numbered, lambda k: F.struct(F.array_join(x, "").alias("folded"), places(k).alias("map")))
 
-    kept = bound(F.struct(F.filter(F.split(text, ""), lambda c: c != "").alias("c")), fold)
-    places = lambda k: F.flatten(F.transform(k, lambda x: F.when(F.length(x["c"]) == 1, F.array(x["i"])).otherwise(F.array_repeat(x["i"], F.length(x["c"])))))
-    return bound(kept, lambda k: F.struct(F.array_join(F.transform(k, lambda x: x["c"]), "").alias("folded"), places(k).alias("map")))
+    return bound(F.struct(text.alias("t"), text.rlike(guard).alias("odd")), lambda x: bound(letters(x), fold))
 
 
 def squash(text: Column) -> Column:

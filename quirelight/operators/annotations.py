@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text, fold_text, places_of
+from ..functions.text import apart_places, clean_text, fold_text, places_of
 
 
 def _touched(ranges: DataFrame, page_lines: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def place_quotes(quotes: DataFrame, page_text: DataFrame) -> DataFrame:
     """quote_id, page, start, end: where a quote stands on its page or the next, nearest to its hint, whatever its white space,
     case and line-end hyphens; unplaced quotes are not returned. quotes: quote_id, book_id, page, hint, quote."""
     q = quotes.withColumn("f", fold_text(F.col("quote"))["folded"]).filter("f <> ''").select("quote_id", "book_id", F.explode(F.array("page", F.col("page") + 1)).alias("page"), F.col("page").alias("own"), "hint", "f")
-    pages = page_text.withColumn("t", fold_text(F.col("text"))).select("book_id", "page", "t")
+    pages = page_text.join(q.select("book_id", "page").distinct(), ["book_id", "page"], "left_semi").withColumn("t", fold_text(F.col("text"))).select("book_id", "page", "t")
     rows = q.join(pages, ["book_id", "page"]).filter(F.col("t.folded").contains(F.col("f")))
     size = F.length("f")
     starts = places_of(F.col("t.folded"), F.col("f"))
@@ -91,13 +91,17 @@ def place_quotes(quotes: DataFrame, page_text: DataFrame) -> DataFrame:
 
 
 def find_all(queries: DataFrame, page_text: DataFrame, limit: int = 200) -> DataFrame:
-    """Every place of words on the pages of a book, in order, at most limit a query. queries: query_id, book_id, words."""
-    rows = queries.filter(F.length("words") >= 2).join(page_text, "book_id").filter(F.lower("text").contains(F.lower("words")))
-    n = F.length("words")
-    starts = places_of(F.lower("text"), F.lower("words"))
-    each = rows.select("query_id", "page", n.alias("n"), F.explode(starts).alias("i")).select("query_id", "page", (F.col("i") - 1).alias("start"), (F.col("i") - 1 + F.col("n")).alias("end"))
-    w = Window.partitionBy("query_id").orderBy("page", "start")
-    return each.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
+    """query_id, page, start, end, place: every place of words on the pages of a book, whatever their white space, case and line-end
+    hyphens; places of one word do not overlap. A page has at most `limit` places, the first words' first, in order (place from 1). Words
+    of one letter are not looked for. queries: query_id, book_id, words (array)."""
+    asked = queries.select("query_id", "book_id", F.posexplode("words").alias("no", "word")).withColumn("f", fold_text(F.col("word"))["folded"]).filter("length(f) >= 2")
+    pages = page_text.join(queries.select("book_id").distinct(), "book_id", "left_semi").withColumn("t", fold_text(F.col("text"))).select("book_id", "page", "t")
+    rows = asked.join(pages, "book_id").filter(F.col("t.folded").contains(F.col("f")))
+    each = rows.select("query_id", "page", "no", F.length("f").alias("n"), "t.map", F.explode(apart_places(F.col("t.folded"), F.col("f"))).alias("i"))
+    found = each.select("query_id", "page", "no", F.get("map", "i").alias("start"), (F.get("map", F.col("i") + F.col("n") - 1) + 1).alias("end"))
+    page = Window.partitionBy("query_id", "page")
+    kept = found.withColumn("_r", F.row_number().over(page.orderBy("no", "start"))).filter(F.col("_r") <= limit)
+    return kept.withColumn("place", F.row_number().over(page.orderBy("start", "no"))).drop("_r", "no")
 
 
 def split_selection(selections: DataFrame, page_text: DataFrame) -> DataFrame:

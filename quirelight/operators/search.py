@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import TOKEN, bound, tokens, tokens_in_place
 
 K1, B = 1.2, 0.75
 
@@ -69,21 +69,50 @@ def search(queries: DataFrame, postings: DataFrame, blocks: DataFrame, units: Da
 
 
 def snippet(text: Column, words: Column, size: int = 14) -> Column:
-    """Q4: the window of `size` words with most hits (the first on ties), hits between U+0001 and U+0002, dots where it is cut. The
-    last of words is a prefix."""
-    from ..functions.text import bound
+    """Q4: a window of `size` tokens of the text as written, hits between U+0001 and U+0002, dots where it is cut. words: without accents and
+    case; the last is a prefix.
 
-    def best(x: Column) -> Column:
-        hit = lambda w: F.array_contains(F.slice(x["q"], 1, F.greatest(F.lit(0), F.size(x["q"]) - 1)), w) | w.startswith(F.element_at(x["q"], -1))
-        marked = F.transform(x["w"], lambda w: F.struct(w.alias("w"), hit(w).alias("hit")))
-
-        def window(m: Column) -> Column:
-            starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(m) - size))
-            count = F.transform(starts, lambda s: F.struct(F.size(F.filter(F.slice(m, s + 1, size), lambda y: y["hit"])).alias("n"), (-s).alias("s")))
-            start = -F.array_max(count)["s"]
-            said = F.transform(F.slice(m, start + 1, size), lambda y: F.when(y["hit"], F.concat(F.lit("\x01"), y["w"], F.lit("\x02"))).otherwise(y["w"]))
-            return F.concat(F.when(start > 0, "…").otherwise(""), F.array_join(said, " "), F.when(start + size < F.size(m), "…").otherwise(""))
+    A window starts so that the hits from one hit on stand in its middle, or at the start of that hit's sentence (the text's start, or
+    after a full stop or colon and white space). It is worth 1000 for each word in it and 1 for each repeat, at the start of a sentence
+    100 more and of the text 120; of equals the one of the earliest hit wins."""
 
-        return F.when(F.size(x["w"]) > 0, bound(marked, window)).otherwise("")
-
-    return bound(F.struct(tokens(text).alias("w"), words.alias("q")), best)
+    def best(x: Column) -> Column:
+        n, words_ = F.size(x["t"]["own"]), x["q"]
+        last = F.size(words_) - 1
+        met = lambda t, w, p: F.when(p == last, t.startswith(w)).otherwise(t == w)
+        pairs = F.transform(x["t"]["folded"], lambda t, i: F.transform(words_, lambda w, p: F.struct(i.alias("i"), p.alias("p"), met(t, w, p).alias("hit"))))
+        starts = F.transform(x["t"]["between"], lambda b, i: F.when((i == 0) | ((i < n) & b.rlike(r"[.:][ \t\n\r]+$")), i))
+        return bound(F.struct(F.filter(F.flatten(pairs), lambda y: y["hit"]).alias("hits"), F.filter(starts, lambda i: i.isNotNull()).alias("starts"), n.alias("n"), x["t"].alias("t")), window)
+
+    def window(x: Column) -> Column:
+        inside = lambda at: F.filter(x["hits"], lambda h: (h["i"] >= at) & (h["i"] < at + size))
+        score = lambda some: bound(F.size(F.array_distinct(F.transform(some, lambda h: h["p"]))), lambda k: 1000 * k + F.size(some) - k)
+
+        def centred(h: Column, k: Column) -> Column:
+            def place(some: Column) -> Column:
+                span = F.element_at(some, -1)["i"] + 1 - h["i"]
+                at = h["i"] - F.floor((F.lit(size) - span) / 2).cast("int")
+                return F.struct(score(some).alias("score"), (-2 * k).alias("order"), F.greatest(F.lit(0), F.least(at, x["n"] - size)).alias("at"))
+
+            return bound(inside(h["i"]), place)
+
+        def sentence(h: Column, k: Column) -> Column:
+            def place(at: Column) -> Column:
+                worth = bound(inside(at), score) + F.when(at == 0, 120).otherwise(100)
+                return F.when((at < h["i"]) & (x["n"] > size), F.struct(worth.alias("score"), (-2 * k - 1).alias("order"), at.alias("at")))
+
+            return bound(F.array_max(F.filter(x["starts"], lambda s: s <= h["i"])), place)
+
+        both = F.concat(F.transform(x["hits"], centred), F.transform(x["hits"], sentence))
+        return bound(F.coalesce(F.array_max(both)["at"], F.lit(0)), lambda at: cut(x, at))
+
+    def cut(x: Column, at: Column) -> Column:
+        hit = lambda i: F.exists(x["hits"], lambda h: h["i"] == i)
+        own, between = x["t"]["own"], x["t"]["between"]
+        end = F.least(x["n"], at + size)
+        said = lambda i: F.concat(F.when(i > at, F.get(between, i)).otherwise(""), F.when(hit(i), F.concat(F.lit("\x01"), F.get(own, i), F.lit("\x02"))).otherwise(F.get(own, i)))
+        middle = F.array_join(F.transform(F.sequence(at, end - 1), said), "")
+        return F.concat(F.when(at > 0, "…").otherwise(F.get(between, F.lit(0))), middle, F.when(end >= x["n"], F.get(between, x["n"])).otherwise("…"))
+
+    whole = bound(F.struct(tokens_in_place(text).alias("t"), words.alias("q")), best)
+    return F.when(text.rlike(TOKEN), whole).otherwise(text)

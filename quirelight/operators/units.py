@@ -42,10 +42,11 @@ def inherit_kind(sections: DataFrame) -> DataFrame:
 def section_end_page(sections: DataFrame, books: DataFrame) -> DataFrame:
     """U4: end_page, the page of the next section of the same or a smaller level, else the book's page count."""
     levels = _levels(sections)
-    w = Window.partitionBy("book_id").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
+    # backwards, so that the frame grows by one row at a time
+    w = Window.partitionBy("book_id").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
     following = F.lit(None).cast("struct<ord:bigint,page:int>")
     for k in range(1, levels + 1):
-        own = F.array_min(F.array(*[F.first(F.when(F.col("level") == j, F.struct(F.col("ord").cast("long").alias("ord"), F.col("page").cast("int").alias("page"))), ignorenulls=True).over(w) for j in range(1, k + 1)]))
+        own = F.array_min(F.array(*[F.last(F.when(F.col("level") == j, F.struct(F.col("ord").cast("long").alias("ord"), F.col("page").cast("int").alias("page"))), ignorenulls=True).over(w) for j in range(1, k + 1)]))
         following = F.when(F.col("level") == k, own).otherwise(following)
     return sections.withColumn("_next", following).join(books.select("book_id", "page_count"), "book_id").withColumn("end_page", F.coalesce("_next.page", "page_count")).drop("_next", "page_count")
 

@@ -31,7 +31,7 @@ def q1(spark, d):
 def q2(spark, d):
     """Every third query asks one book; each document is a unit of as many sections as it has pages of forty lines, every seventh of them an
     index."""
-    book = F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("src"), F.lpad((F.col("query_id") % 20).cast("string"), 2, "0")))
+    book = F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
     section = F.col("unit_id") * 1000 + F.floor(F.col("n") / 40)
     blocks = X.blocks(spark, d).withColumn("section_id", section)
     sections = blocks.select("section_id").distinct().withColumn("kind", F.when(F.col("section_id") % 7 == 3, "index").otherwise("body"))
@@ -99,8 +99,10 @@ def n5(spark, d):
 
 
 def n6(spark, d):
-    q = X.units(spark, d).select(F.col("unit_id").alias("query_id"), F.col("unit_id").alias("book_id"), F.substring("title", 1, 3).alias("words"))
-    return N.find_all(q, page_text(spark, d), limit=200).select("query_id", "page", "start", "end", "place")
+    """The first three letters and the third and fourth word together of each title, on the pages of its document."""
+    pair = F.concat_ws(" ", F.slice(F.split("title", " "), 3, 2))
+    q = X.units(spark, d).select(F.col("unit_id").alias("query_id"), F.col("unit_id").alias("book_id"), F.array(F.substring("title", 1, 3), pair).alias("words"))
+    return N.find_all(q, page_text(spark, d))
 
 
 def n8(spark, d):
@@ -142,7 +144,7 @@ _SEARCH = {
     "al": "SELECT count(*) AS n, avg(len) AS mean FROM le",
     "df": "SELECT query_id, no, count(*) AS df FROM hi GROUP BY ALL",
     "rk": "SELECT query_id, block_id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + CAST(1.2 AS DOUBLE) * (0.25 + 0.75 * len / mean))), 6) AS score FROM hi JOIN df USING (query_id, no) JOIN le USING (block_id), al GROUP BY ALL HAVING count(*) = 3",
-    "se": "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, block_id) AS INTEGER) AS rank, block_id, unit_id, score FROM rk JOIN blocks USING (block_id) JOIN units USING (unit_id) WHERE kind NOT IN ('contents', 'index') AND (unit_id * 1000 + n // 40) % 7 <> 3 AND (query_id % 3 <> 0 OR blocks.book_id = 'src' || lpad(CAST(query_id % 20 AS VARCHAR), 2, '0')) QUALIFY rank <= 60",
+    "se": "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, block_id) AS INTEGER) AS rank, block_id, unit_id, score FROM rk JOIN blocks USING (block_id) JOIN units USING (unit_id) WHERE kind NOT IN ('contents', 'index') AND (unit_id * 1000 + n // 40) % 7 <> 3 AND (query_id % 3 <> 0 OR blocks.book_id = 'src' || query_id % 20) QUALIFY rank <= 60",
 }
 _PAGES = {
     "pl": "SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY book_id, page ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start, 50.0 AS x0, 100.0 + 12 * line AS y0, 50.0 + 5 * length(text) AS x1, 110.0 + 12 * line AS y1 FROM (SELECT unit_id AS book_id, CAST(n // 40 AS INTEGER) AS page, CAST(n % 40 AS INTEGER) AS line, text FROM blocks)",
@@ -157,11 +159,20 @@ ORACLE = {
     "q2_search": sql("SELECT * FROM se", "blocks", "units", more=_SEARCH),
     "q3_bm25": sql("SELECT * FROM rk", "blocks", "units", more=_SEARCH),
     "q4_snippet": sql(
-        """SELECT query_id, block_id, CASE WHEN s > 0 THEN '…' ELSE '' END || array_to_string(list_transform(w[s + 1:s + 14], lambda x: CASE WHEN x = q[1] OR x = q[2] OR starts_with(x, q[3]) THEN chr(1) || x || chr(2) ELSE x END), ' ') || CASE WHEN s + 14 < len(w) THEN '…' ELSE '' END AS snippet
- FROM (SELECT query_id, block_id, any_value(w) AS w, any_value(q) AS q, max_by(s, (k, -s)) AS s FROM (SELECT *, len(list_filter(w[s + 1:s + 14], lambda x: x = q[1] OR x = q[2] OR starts_with(x, q[3]))) AS k FROM (SELECT *, unnest(range(greatest(0, len(w) - 14) + 1)) AS s FROM tq)) GROUP BY ALL)""",
+        """SELECT query_id, block_id, CASE WHEN st > 0 THEN '…' ELSE sep[1] END || array_to_string(list_transform(range(st, least(n, st + 14)), lambda i: CASE WHEN i > st THEN sep[i + 1] ELSE '' END || CASE WHEN list_contains(hits, i) THEN chr(1) || tok[i + 1] || chr(2) ELSE tok[i + 1] END), '')
+  || CASE WHEN st + 14 >= n THEN sep[n + 1] ELSE '…' END AS snippet FROM best JOIN tq USING (query_id, block_id) JOIN (SELECT query_id, block_id, list(DISTINCT i) AS hits FROM ins GROUP BY ALL) USING (query_id, block_id)""",
         "blocks",
         "units",
-        more={**_SEARCH, "tq": f"SELECT query_id, block_id, {_TOK.format('text')} AS w, [qs.w[1], qs.w[2], substr(qs.w[3], 1, 3)] AS q FROM se JOIN (SELECT block_id, text FROM blocks) USING (block_id) JOIN qs USING (query_id) WHERE rank <= 5"},
+        more={
+            **_SEARCH,
+            "tq": r"""SELECT *, len(tok) AS n, list_transform(tok, lambda t: lower(strip_accents(t))) AS w FROM (SELECT query_id, block_id, regexp_extract_all(text, '[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{M}]*') AS tok, regexp_split_to_array(text, '[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{M}]*') AS sep,
+ [qs.w[1], qs.w[2], substr(qs.w[3], 1, 3)] AS q FROM se JOIN (SELECT block_id, text FROM blocks) USING (block_id) JOIN qs USING (query_id) WHERE rank <= 5)""",
+            "ins": "SELECT query_id, block_id, i, p FROM (SELECT query_id, block_id, q, w, n, unnest(range(n)) AS i FROM tq), (SELECT unnest([0, 1, 2]) AS p) WHERE CASE p WHEN 2 THEN starts_with(w[i + 1], q[3]) ELSE w[i + 1] = q[p + 1] END",
+            "sen": r"SELECT query_id, block_id, i FROM (SELECT query_id, block_id, sep, n, unnest(range(n)) AS i FROM tq) WHERE i = 0 OR regexp_matches(sep[i + 1], '[.:][ \t\n\r]+$')",
+            "win": "SELECT query_id, block_id, i AS h, i AS st, 0 AS sentence FROM (SELECT DISTINCT query_id, block_id, i FROM ins) UNION ALL SELECT x.query_id, x.block_id, x.i, max(s.i), 1 FROM (SELECT DISTINCT query_id, block_id, i FROM ins) x JOIN sen s ON s.query_id = x.query_id AND s.block_id = x.block_id AND s.i <= x.i GROUP BY ALL HAVING max(s.i) < x.i",
+            "sco": "SELECT v.query_id, v.block_id, h, st, sentence, count(DISTINCT p) * 999 + count(p) + CASE WHEN sentence = 0 THEN 0 WHEN st = 0 THEN 120 ELSE 100 END AS score, max(x.i) AS z FROM win v LEFT JOIN ins x ON x.query_id = v.query_id AND x.block_id = v.block_id AND x.i >= st AND x.i < st + 14 GROUP BY v.query_id, v.block_id, h, st, sentence",
+            "best": "SELECT query_id, block_id, max_by(CASE WHEN sentence = 1 THEN st ELSE greatest(0, least(h - (14 - (z + 1 - h)) // 2, n - 14)) END, (score, -h, -sentence)) AS st FROM sco JOIN tq USING (query_id, block_id) WHERE sentence = 0 OR n > 14 GROUP BY ALL",
+        },
     ),
     "n1_anchor": sql(
         "SELECT range_id, min_by(block_id, (d, block_id)) AS block_id FROM (SELECT range_id, block_id, greatest(0, bx0 - x, x - bx1) + greatest(0, by0 - y, y - by1) AS d FROM (SELECT range_id, min_by(x0, line) AS x, min_by(y0, line) AS y FROM rr GROUP BY 1) JOIN rg USING (range_id) JOIN bb USING (book_id, page)) GROUP BY 1",
@@ -193,10 +204,17 @@ ORACLE = {
         },
     ),
     "n6_find_all": sql(
-        "SELECT query_id, page, CAST(i - 1 AS INTEGER) AS start, CAST(i - 1 + length(w) AS INTEGER) AS \"end\", CAST(row_number() OVER (PARTITION BY query_id ORDER BY page, i) AS INTEGER) AS place FROM (SELECT *, unnest(range(1, length(text) - length(w) + 2)) AS i FROM (SELECT u.unit_id AS query_id, page, text, substr(title, 1, 3) AS w FROM units u JOIN pt ON pt.book_id = u.unit_id WHERE length(substr(title, 1, 3)) >= 2 AND contains(lower(text), lower(substr(title, 1, 3))))) WHERE lower(substr(text, i, length(w))) = lower(w) QUALIFY place <= 200",
+        """SELECT query_id, page, start, "end", CAST(row_number() OVER (PARTITION BY query_id, page ORDER BY start, no) AS INTEGER) AS place FROM (SELECT query_id, page, no, map[i + 1] AS start, map[i + n] + 1 AS "end" FROM (
+ SELECT *, CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * n AS BIGINT) AS i FROM (SELECT *, unnest(range(1, len(parts))) AS k FROM (SELECT w.query_id, no, p.page, p.map, length(w.folded) AS n, string_split(p.folded, w.folded) AS parts FROM wf w JOIN pf p ON p.book_id = w.query_id WHERE length(w.folded) >= 2)))
+ QUALIFY row_number() OVER (PARTITION BY query_id, page ORDER BY no, start) <= 200)""",
         "blocks",
         "units",
-        more=_PAGES,
+        more={
+            **_PAGES,
+            "ws": "SELECT unit_id AS query_id, 0 AS no, substr(title, 1, 3) AS t FROM units UNION ALL SELECT unit_id, 1, array_to_string(string_split(title, ' ')[3:4], ' ') FROM units",
+            "wf": _FOLD.format(k="query_id, no", f="ws"),
+            "pf": _FOLD.format(k="book_id, page", f="(SELECT book_id, page, text AS t FROM pt)"),
+        },
     ),
     "n7_range_rects": sql("SELECT * FROM rr", "blocks", more=_PAGES),
     "n7_range_box": sql("SELECT range_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM rr GROUP BY 1", "blocks", more=_PAGES),

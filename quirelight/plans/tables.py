@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import fixtures
 from ..sources import tables as S
 from ..sources.fixtures import sql
-from ..sources.shared import new_folder
+from ..sources.shared import new_folder, written
 
 TYPES = ["heading", "paragraph", "code", "footnote"]
 
@@ -23,11 +26,53 @@ def s2(spark, d):
     return S.dedup_imports(files).select("file_hash", "path", "title", "status")
 
 
+def _all_tables(spark, d):
+    """Every study table, derived from the test tables, with the columns that tell its rows apart and those that point elsewhere. The first
+    and the last word of a line are its concepts."""
+    units, blocks, cards, pages = fixtures.units(spark, d), fixtures.blocks(spark, d), fixtures.cards(spark, d), fixtures.page_reads(spark, d)
+    first, last = F.lower(F.substring_index("text", " ", 1)), F.lower(F.substring_index("text", " ", -1))
+    words = blocks.select("book_id", "block_id", first.alias("a"), last.alias("b"))
+    found = words.select("book_id", "block_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("key"))
+    at_book = pages.join(units.select("unit_id", "book_id"), "unit_id")
+    chats = fixtures.table(spark, d, "conversations")
+    book_of_chat = F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string"))
+    return {
+        "books": units.select(F.col("book_id").alias("id")).distinct(),
+        "sections": units.select(F.col("unit_id").alias("id"), "book_id"),
+        "blocks": blocks.select(F.col("block_id").alias("id"), "book_id"),
+        "reads": fixtures.reads(spark, d).select("learner_id", "block_id"),
+        "page_reads": at_book.select("learner_id", "book_id", "page").distinct(),
+        "reading_time": at_book.groupBy("learner_id", "book_id").agg(F.sum("dwell_ms").alias("ms")),
+        "highlights": blocks.filter("type = 'paragraph'").select(F.col("block_id").alias("id"), "book_id"),
+        "versions": blocks.filter("type = 'heading'").select(F.col("block_id").alias("id"), "book_id"),
+        "cards": cards.select(F.col("card_id").alias("id"), "book_id"),
+        "review_log": pages.select((F.col("learner_id") * 1_000_000_000 + F.col("unit_id")).alias("card_id"), "page"),
+        "concepts": found.select("key").distinct(),
+        "concept_books": found.select("key", "book_id").distinct(),
+        "mentions": found.select("key", "block_id"),
+        "edges": words.filter("a <> b").select("book_id", "a", "b").distinct(),
+        "card_concepts": cards.join(units.select("unit_id", F.lower(F.substring_index("title", " ", 1)).alias("key")), "unit_id").select("card_id", "key"),
+        "chats": chats.select(F.col("conv_id").alias("id"), book_of_chat.alias("book_id")).distinct(),
+        "chat_messages": chats.select(F.col("conv_id").alias("chat_id"), "turn"),
+        "unit_jobs": units.select("unit_id", F.lit("cards").alias("job")),
+    }
+
+
+#: What a table's rows add up to, besides their number.
+_TOTALS = {
+    "sections": "sum(id)", "blocks": "sum(id)", "reads": "sum(block_id)", "page_reads": "sum(learner_id)", "reading_time": "sum(ms)", "highlights": "sum(id)", "versions": "sum(id)", "cards": "sum(id)",
+    "review_log": "sum(card_id)", "mentions": "sum(block_id)", "card_concepts": "sum(card_id)", "chats": "sum(id)", "chat_messages": "sum(chat_id)", "unit_jobs": "sum(unit_id)",
+    "concepts": "sum(length(key))", "concept_books": "sum(length(key))", "edges": "sum(length(a))", "books": "sum(length(id))",
+}
+
+
 def s4(spark, d):
-    books = fixtures.units(spark, d).select(F.col("book_id").alias("id")).distinct()
-    found = fixtures.blocks(spark, d).select("book_id", F.lower(F.substring_index("text", " ", 1)).alias("key")).distinct()
-    out = S.remove_books({"books": books, "concept_books": found, "concepts": found.select("key").distinct()}, books.filter("id < 'src2'").select(F.col("id").alias("book_id")))
-    return out["concepts"]
+    """Of every table what is left without the books under src2."""
+    tables = _all_tables(spark, d)
+    tables |= {n: written(tables[n]) for n in ("blocks", "cards", "concepts", "concept_books")}  # parents, met several times
+    out = S.remove_books(tables, tables["books"].filter("id < 'src2'").select(F.col("id").alias("book_id")))
+    rows = [out[n].agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n"), F.coalesce(F.expr(_TOTALS[n]), F.lit(0)).cast("long").alias("total")) for n in S.SCHEMAS]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def _highlights(spark, d):
@@ -41,7 +86,7 @@ def s3(spark, d):
     blocks = fixtures.blocks(spark, d).select(F.col("block_id").alias("id"), "book_id", "unit_id", "text", "page")
     reads = fixtures.reads(spark, d).select("learner_id", "block_id", "unit_id")
     books = fixtures.books(spark, d).select(F.col("book_id").alias("id"), "page_count")
-    cards = fixtures.cards(spark, d).select("card_id", "book_id", "unit_id")
+    cards = fixtures.cards(spark, d).select(F.col("card_id").alias("id"), "book_id", "unit_id")
     again = books.filter(F.pmod(F.length("id") + F.ascii(F.substring("id", -1, 1)), F.lit(4)) == 0)
     new = blocks.join(again.select(F.col("id").alias("book_id")), "book_id", "left_semi").select("id", "book_id", "unit_id", F.concat("text", F.lit(" again")).alias("text"), (F.col("page") + 1).alias("page"))
     tables = {"books": books, "blocks": blocks, "reads": reads, "cards": cards}
@@ -86,10 +131,35 @@ QUERIES = {
     "s8_merge_rows": s8,
 }
 
+#: What is left of each table, said table by table: books from src2 on, and what belongs to them.
+_LEFT = {
+    "lw": "SELECT book_id, block_id, lower(split_part(text, ' ', 1)) AS a, lower(split_part(text, ' ', -1)) AS b FROM blocks WHERE book_id >= 'src2'",
+    "lf": "SELECT book_id, block_id, a AS key FROM lw UNION SELECT book_id, block_id, b FROM lw",
+    "lp": "SELECT p.*, book_id FROM page_reads p JOIN units USING (unit_id) WHERE book_id >= 'src2'",
+    "t_books": "SELECT DISTINCT book_id AS id FROM units WHERE book_id >= 'src2'",
+    "t_sections": "SELECT unit_id AS id FROM units WHERE book_id >= 'src2'",
+    "t_blocks": "SELECT block_id AS id FROM blocks WHERE book_id >= 'src2'",
+    "t_reads": "SELECT block_id FROM reads JOIN blocks USING (block_id) WHERE book_id >= 'src2'",
+    "t_page_reads": "SELECT DISTINCT learner_id, book_id, page FROM lp",
+    "t_reading_time": "SELECT sum(dwell_ms) AS ms FROM lp GROUP BY learner_id, book_id",
+    "t_highlights": "SELECT block_id AS id FROM blocks WHERE type = 'paragraph' AND book_id >= 'src2'",
+    "t_versions": "SELECT block_id AS id FROM blocks WHERE type = 'heading' AND book_id >= 'src2'",
+    "t_cards": "SELECT card_id AS id FROM cards WHERE book_id >= 'src2'",
+    "t_review_log": "SELECT learner_id * 1000000000 + unit_id AS card_id FROM page_reads WHERE NOT EXISTS (SELECT 1 FROM units WHERE units.unit_id = page_reads.unit_id AND book_id < 'src2')",
+    "t_concepts": "SELECT DISTINCT key FROM lf",
+    "t_concept_books": "SELECT DISTINCT key, book_id FROM lf",
+    "t_mentions": "SELECT DISTINCT key, block_id FROM lf",
+    "t_edges": "SELECT DISTINCT book_id, a, b FROM lw WHERE a <> b",
+    "t_card_concepts": "SELECT card_id, lower(split_part(title, ' ', 1)) AS key FROM cards JOIN units USING (unit_id) WHERE cards.book_id >= 'src2'",
+    "t_chats": "SELECT DISTINCT conv_id AS id FROM conversations WHERE NOT EXISTS (SELECT 1 FROM units WHERE book_id = 'src' || conv_id % 20 AND book_id < 'src2')",
+    "t_chat_messages": "SELECT conv_id AS chat_id FROM conversations WHERE NOT EXISTS (SELECT 1 FROM units WHERE book_id = 'src' || conv_id % 20 AND book_id < 'src2')",
+    "t_unit_jobs": "SELECT unit_id FROM units WHERE book_id >= 'src2'",
+}
+
 ORACLE = {
     "s1_load_reviews": sql("SELECT review_id AS id, learner_id, card_id, rating, review, duration_ms FROM reviews", "reviews"),
     "s2_dedup_imports": "SELECT sha256(text) AS file_hash, 'in/my_' || min(doc_id) || '.pdf' AS path, 'my ' || min(doc_id) AS title, 'importing' AS status FROM documents GROUP BY text",
-    "s4_remove_books": sql("SELECT DISTINCT lower(split_part(text, ' ', 1)) AS key FROM blocks WHERE book_id >= 'src2'", "blocks"),
+    "s4_remove_books": sql(" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, CAST(coalesce({t}, 0) AS BIGINT) AS total FROM t_{n}" for n, t in _TOTALS.items()), "reads", "cards", more=_LEFT),
     "s3_replace_books": sql(
         """SELECT book_id, count(*) AS n, CAST(sum(length(text) + page + 7 * CAST(again AS INTEGER)) AS BIGINT) AS total, min(CASE WHEN again THEN text || ' again' ELSE text END) AS least, 'blocks' AS name FROM ab GROUP BY book_id
  UNION ALL SELECT book_id, count(*), CAST(sum(learner_id) AS BIGINT), '', 'reads' FROM reads JOIN (SELECT block_id, book_id, again FROM ab) USING (block_id) WHERE NOT again GROUP BY book_id

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 import uuid
+from functools import reduce
+from graphlib import TopologicalSorter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,26 +63,69 @@ def dedup_imports(files: DataFrame, books: DataFrame | None = None) -> DataFrame
     return out.join(known, "file_hash", "left").withColumn("status", F.when(F.col("was").isNull() | (F.col("was") == "error"), "importing").otherwise(F.col("was"))).drop("was")
 
 
-#: What belongs to a book's content and goes with it; what readers did on its pages (highlights, versions, page_reads) stays.
+#: Child table, its column, parent table: a row goes with the row of the parent (whose key is in KEYS) that it points to.
+FOREIGN_KEYS = [
+    ("sections", "book_id", "books"), ("blocks", "book_id", "books"), ("page_reads", "book_id", "books"), ("reading_time", "book_id", "books"),
+    ("highlights", "book_id", "books"), ("versions", "book_id", "books"), ("cards", "book_id", "books"), ("concept_books", "book_id", "books"),
+    ("edges", "book_id", "books"), ("chats", "book_id", "books"), ("reads", "block_id", "blocks"), ("mentions", "block_id", "blocks"),
+    ("unit_jobs", "unit_id", "sections"), ("review_log", "card_id", "cards"), ("card_concepts", "card_id", "cards"), ("chat_messages", "chat_id", "chats"),
+    ("concept_books", "key", "concepts"), ("mentions", "key", "concepts"), ("edges", "a", "concepts"), ("edges", "b", "concepts"), ("card_concepts", "key", "concepts"),
+]
+KEYS = {"books": "id", "sections": "id", "blocks": "id", "cards": "id", "chats": "id", "concepts": "key"}
+#: What belongs to a book's content and goes with it, besides what hangs on it; what readers did on its pages (highlights, versions,
+#: page_reads) stays.
 CONTENT = ("blocks", "sections", "mentions", "edges", "concept_books", "cards", "reads")
 
 
+def delete_rows(tables: dict[str, DataFrame], gone: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All tables without the rows whose keys are in gone (table to a frame of its key) and without what points to them, directly or
+    through other rows. Parents come before children, so one anti join an edge does it: a child is met with the keys of the parent rows
+    that go, which are few where few books go. Rows that point nowhere, or to a parent that was never there, stay."""
+    order = TopologicalSorter({t: set() for t in tables})
+    for child, _, parent in FOREIGN_KEYS:
+        if child in tables and parent in tables:
+            order.add(child, parent)
+    gone, out = dict(gone), dict(tables)
+    for name in order.static_order():
+        df = out[name]
+        edges = [(column, gone[parent].select(F.col(KEYS[parent]).alias(column)).distinct()) for child, column, parent in FOREIGN_KEYS if child == name and parent in gone and column in df.columns]
+        key = KEYS.get(name)
+        if name in gone:
+            edges.append((key, gone[name].select(key).distinct()))
+        if not edges:
+            continue
+        lost = [df.join(keys, column, "left_semi").select(key) for column, keys in edges] if key else []
+        for column, keys in edges:
+            df = df.join(keys, column, "left_anti")
+        out[name] = df.select(tables[name].columns)
+        if lost:
+            gone[name] = reduce(DataFrame.unionByName, lost)
+    return out
+
+
+def _without_lonely_concepts(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Concepts that no book has go, and what points to them."""
+    if "concepts" not in tables or "concept_books" not in tables:
+        return tables
+    return delete_rows(tables, {"concepts": tables["concepts"].join(tables["concept_books"].select("key"), "key", "left_anti")})
+
+
 def replace_books(tables: dict[str, DataFrame], new: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
-    """S3: all tables with the content of the books in ids (book_id) taken out of every table of CONTENT and the rows of new put in; new
-    concepts are added if their key is new. Tables that have no book_id of their own go by their block."""
-    out = dict(tables)
-    gone_blocks = tables["blocks"].join(ids, "book_id", "left_semi").select(F.col("id").alias("block_id")) if "blocks" in tables else None
+    """S3: all tables with the content of the books in ids (book_id) taken out, and what hangs on it (reviews of their cards, reads of their
+    blocks), and the rows of new put in; new concepts are added if their key is new."""
+    whole = [t for t in CONTENT if t in tables and t in KEYS]
+    out = delete_rows(tables, {t: tables[t].join(ids, "book_id", "left_semi") for t in whole})
     for name in CONTENT:
-        if name not in tables:
-            continue
-        df = tables[name]
-        rest = df.join(ids, "book_id", "left_anti") if "book_id" in df.columns else df.join(gone_blocks, "block_id", "left_anti")
-        out[name] = rest.select(df.columns).unionByName(new[name]) if name in new else rest.select(df.columns)
+        if name in out and name not in KEYS and "book_id" in out[name].columns:
+            out[name] = out[name].join(ids, "book_id", "left_anti").select(tables[name].columns)
+    for name in CONTENT:
+        if name in new:
+            out[name] = out[name].unionByName(new[name])
     if "books" in new:
         key = ids.select(F.col("book_id").alias("id"))
         out["books"] = tables["books"].join(key, "id", "left_anti").select(tables["books"].columns).unionByName(new["books"])
     if "concepts" in new:
-        out["concepts"] = tables["concepts"].unionByName(new["concepts"].join(tables["concepts"].select("key"), "key", "left_anti").select(tables["concepts"].columns))
+        out["concepts"] = out["concepts"].unionByName(new["concepts"].join(tables["concepts"].select("key"), "key", "left_anti").select(tables["concepts"].columns))
     return out
 
 
@@ -106,14 +151,19 @@ def current(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataF
 
 
 def remove_books(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
-    """All tables without the rows of the books in ids (book_id), and then without concepts that no book has."""
-    out = {}
-    for name, df in tables.items():
-        key = "id" if name == "books" else "book_id"
-        out[name] = df.join(ids.select(F.col("book_id").alias(key)), key, "left_anti") if key in df.columns else df
-    if "concepts" in out and "concept_books" in out:
-        out["concepts"] = out["concepts"].join(out["concept_books"].select("key"), "key", "left_semi")
-    return out
+    """All tables without the books in ids (book_id) and everything that hangs on them, and then without concepts that no book has."""
+    return _without_lonely_concepts(delete_rows(tables, {"books": ids.select(F.col("book_id").alias("id"))}))
+
+
+def orphans(tables: dict[str, DataFrame]) -> DataFrame:
+    """child, column, n: rows that point to a parent that is not there, for every foreign key."""
+    found = []
+    for child, column, parent in FOREIGN_KEYS:
+        if child in tables and parent in tables and column in tables[child].columns:
+            keys = tables[parent].select(F.col(KEYS[parent]).alias(column)).distinct()
+            lost = tables[child].filter(F.col(column).isNotNull()).join(keys, column, "left_anti")
+            found.append(lost.agg(F.count(F.lit(1)).alias("n")).select(F.lit(child).alias("child"), F.lit(column).alias("column"), "n"))
+    return reduce(DataFrame.union, found)
 
 
 def merge_rows(base: DataFrame, delta: DataFrame, keys: list[str], rules: dict[str, str], order: str | None = None) -> DataFrame:
