@@ -51,28 +51,49 @@ def best_definitions(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("book_id", "key").agg(best.alias("x")).select("book_id", "key", "x.*")
 
 
-def find_mentions(blocks: DataFrame, terms: DataFrame, longest: int = 5) -> DataFrame:
-    """Key, block_id, unit_id, book_id, count: leftmost longest mentions that do not overlap. blocks: block_id, unit_id, book_id,
-    type, text; terms: key.
+def block_words(blocks: DataFrame) -> DataFrame:
+    """block_id, unit_id, book_id, w: the term words of blocks of prose. find_mentions reads them three times, so for a corpus they should
+    be a table."""
+    return blocks.filter(~F.col("type").isin(*NOT_PROSE)).select("block_id", "unit_id", "book_id", X.term_words(F.col("text")).alias("w")).filter("size(w) > 0")
+
 
-    Word runs of one to `longest` words meet the terms in one equi-join (Spark broadcasts the terms if they are small); of those that
-    start at one place the longest stays, and one pass over a block's hits in order drops what overlaps an earlier one."""
-    prose = blocks.filter(~F.col("type").isin(*NOT_PROSE)).select("block_id", "unit_id", "book_id", X.term_words(F.col("text")).alias("w")).filter("size(w) > 0")
+def _anchors(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """key, word, off, n: each term at its rarest word in words (the first of equals) and that word's place in the term. Terms with a word
+    that never occurs are left out."""
+    parts = terms.select("key").distinct().withColumn("t", F.split("key", " "))
+    one = parts.filter("size(t) = 1").select("key", F.col("key").alias("word"), F.lit(0).alias("off"), F.lit(1).alias("n"))
+    each = parts.filter("size(t) > 1").select("key", F.size("t").alias("n"), F.posexplode("t").alias("off", "word"))
+    often = words.select(F.explode("w").alias("word")).join(each.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    best = each.join(often, "word", "left").groupBy("key", "n").agg(F.min_by(F.struct("word", "off"), F.struct("often", "off")).alias("x"), F.count("often").alias("known"))
+    return one.unionByName(best.filter("known = n").select("key", "x.word", "x.off", "n"))
 
-    def runs(n: int) -> Column:
-        word = lambda i: F.concat_ws(" ", *[F.get("w", i + k) for k in range(n)])
-        made = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), word(i).alias("key")))
-        return F.when(F.size("w") >= n, made).otherwise(F.array().cast("array<struct<at:int,n:int,key:string>>"))
 
-    hits = prose.select("block_id", "unit_id", "book_id", F.explode(F.concat(*[runs(n) for n in range(1, longest + 1)])).alias("r")).select("block_id", "unit_id", "book_id", "r.*").join(terms.select("key").distinct(), "key")
-    found = hits.groupBy("block_id", "unit_id", "book_id", "at").agg(F.max(F.struct("n", "key")).alias("x")).select("block_id", "unit_id", "book_id", F.struct("at", "x.n", "x.key").alias("hit"))
-    listed = found.groupBy("block_id", "unit_id", "book_id").agg(F.sort_array(F.collect_list("hit")).alias("hits"))
+def find_mentions(blocks: DataFrame | None, terms: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """Key, block_id, unit_id, book_id, count: leftmost longest mentions that do not overlap. blocks: block_id, unit_id, book_id,
+    type, text, or words: what block_words makes of them; terms: key.
+
+    A term meets the text at its rarest word only: an equi-join of words, which is a broadcast while the terms are few. Places where a
+    term of several words may stand are held against their block's words; then one pass over a block's hits, in order of place and with
+    the longest first, drops what overlaps an earlier one."""
+    words = block_words(blocks) if words is None else words
+    near = words.select("block_id", F.posexplode("w").alias("at", "word")).join(_anchors(terms, words), "word")
+    near = near.select("block_id", F.struct((F.col("at") - F.col("off")).alias("at"), (-F.col("n")).alias("m"), "key").alias("hit")).filter("hit.at >= 0")
+    listed = words.join(near.groupBy("block_id").agg(F.collect_list("hit").alias("hits")), "block_id")
+    there = lambda h: (h["m"] == -1) | (F.array_join(F.slice("w", h["at"] + 1, -h["m"]), " ") == h["key"])
     start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("keys"))
-    step = lambda acc, h: F.when(h["at"] >= acc["end"], F.struct((h["at"] + h["n"]).alias("end"), F.array_append(acc["keys"], h["key"]).alias("keys"))).otherwise(acc)
-    keys = listed.select("block_id", "unit_id", "book_id", F.explode(F.aggregate("hits", start, step, lambda acc: acc["keys"])).alias("key"))
+    step = lambda acc, h: F.when(h["at"] >= acc["end"], F.struct((h["at"] - h["m"]).alias("end"), F.array_append(acc["keys"], h["key"]).alias("keys"))).otherwise(acc)
+    taken = F.aggregate(F.array_sort(F.filter("hits", there)), start, step, lambda acc: acc["keys"])
+    keys = listed.select("block_id", "unit_id", "book_id", F.explode(taken).alias("key"))
     return keys.groupBy("key", "block_id", "unit_id", "book_id").agg(F.count(F.lit(1)).alias("count"))
 
 
+def terms_used(definitions: DataFrame, terms: DataFrame) -> DataFrame:
+    """book_id, key, used: the terms that stand in the sentence that defines a term (C9, C13). definitions: book_id, key, sentence."""
+    said = definitions.select(F.struct("book_id", "key").alias("block_id"), F.lit(0).alias("unit_id"), "book_id", F.lit("paragraph").alias("type"), F.col("sentence").alias("text"))
+    found = find_mentions(said, terms)
+    return found.select("book_id", "block_id.key", F.col("key").alias("used")).filter("key <> used")
+
+
 def term_stats(candidates: DataFrame, mentions: DataFrame) -> DataFrame:
     """book_id, key, total mentions, units they are in, how often announced, most frequent form. candidates: book_id, key, surface."""
     said = mentions.groupBy("book_id", "key").agg(F.sum("count").alias("total"), F.count_distinct("unit_id").alias("units"))
@@ -166,3 +187,11 @@ def first_cards(definitions: DataFrame, concepts: DataFrame, per_unit: int = 15)
     ).filter("_good").drop("_good")
     w = Window.partitionBy("book_id", "unit_id").orderBy(F.desc("score"), "key")
     return made.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_unit)
+
+
+def card_concepts(cards: DataFrame, used: DataFrame, concepts: DataFrame) -> DataFrame:
+    """book_id, unit_id, card, key: the concepts a first card is on: its own, and those of its book that its sentence uses. cards:
+    book_id, unit_id, key; used: what terms_used gives; concepts: book_id, key (those that stay)."""
+    also = cards.join(used, ["book_id", "key"]).select("book_id", "unit_id", F.col("key").alias("card"), F.col("used").alias("key")).join(concepts.select("book_id", "key"), ["book_id", "key"], "left_semi")
+    own = cards.select("book_id", "unit_id", F.col("key").alias("card"), "key")
+    return own.unionByName(also.select(own.columns)).distinct()

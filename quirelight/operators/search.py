@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, bound, tokens, tokens_in_place
+from ..sources.shared import written
 
 K1, B = 1.2, 0.75
 
@@ -34,24 +35,29 @@ def query_words(queries: DataFrame, n: int = 8) -> DataFrame:
 
 
 def _hits(words: DataFrame, postings: DataFrame) -> DataFrame:
-    """query_id, n, no, block_id, tf. A prefix first meets the vocabulary (by its first letter), far smaller than the postings; then whole
-    words and the terms of prefixes meet the postings in one equi-join."""
-    terms = postings.select("term").distinct().withColumn("head", F.substring("term", 1, 1))
-    asked = words.filter("prefix").select("word").distinct().withColumn("head", F.substring("word", 1, 1))
-    grown = asked.join(terms, "head").filter(F.col("term").startswith(F.col("word"))).select("word", "term")
+    """query_id, n, no, block_id, tf. Prefixes first meet the vocabulary, far smaller than the postings: each term's beginnings of the
+    lengths asked for, in an equi-join on the whole prefix. Then whole words and the terms of prefixes meet the postings in another."""
+    asked = words.filter("prefix").select("word").distinct()
+    lengths = asked.agg(F.collect_set(F.length("word")).alias("lengths"))  # one row
+    terms = postings.select("term").distinct().join(F.broadcast(lengths))
+    begun = terms.select("term", F.explode(F.filter("lengths", lambda n: n <= F.length("term"))).alias("n")).select("term", F.substring("term", F.lit(1), F.col("n")).alias("word"))
+    grown = begun.join(asked, "word")
     want = words.filter("not prefix").select("query_id", "n", "no", F.col("word").alias("term")).union(words.filter("prefix").join(grown, "word").select("query_id", "n", "no", "term"))
     return want.join(postings.select("term", "block_id", "tf"), "term").groupBy("query_id", "n", "no", "block_id").agg(F.sum("tf").alias("tf"))
 
 
 def rank(queries: DataFrame, postings: DataFrame) -> DataFrame:
     """query_id, block_id, score of all blocks that have every word."""
-    hits = _hits(query_words(queries), postings)
-    lengths = postings.groupBy("block_id").agg(F.sum("tf").alias("length"))
-    all_blocks = lengths.agg(F.count(F.lit(1)).alias("n_blocks"), F.avg("length").alias("mean"))
+    hits = written(_hits(query_words(queries), postings))
+    all_blocks = postings.agg(F.count_distinct("block_id").alias("n_blocks"), F.sum("tf").alias("_all")).select("n_blocks", (F.col("_all") / F.col("n_blocks")).alias("mean"))
     often = hits.groupBy("query_id", "no").agg(F.count(F.lit(1)).alias("df"))
-    rows = hits.join(often, ["query_id", "no"]).join(lengths, "block_id").join(F.broadcast(all_blocks))  # one row
+    # of the blocks that have every word, few lengths are needed
+    whole = hits.groupBy("query_id", "block_id", "n").agg(F.count(F.lit(1)).alias("found")).filter("found = n").select("query_id", "block_id")
+    kept = hits.join(whole, ["query_id", "block_id"], "left_semi")
+    lengths = postings.join(whole.select("block_id").distinct(), "block_id", "left_semi").groupBy("block_id").agg(F.sum("tf").alias("length"))
+    rows = kept.join(often, ["query_id", "no"]).join(lengths, "block_id").join(F.broadcast(all_blocks))  # one row
     scored = rows.withColumn("score", bm25(F.col("tf"), F.col("df"), F.col("n_blocks"), F.col("length"), F.col("mean")))
-    return scored.groupBy("query_id", "block_id").agg(F.count(F.lit(1)).alias("found"), F.max("n").alias("n"), F.sum("score").alias("score")).filter("found = n").select("query_id", "block_id", "score")
+    return scored.groupBy("query_id", "block_id").agg(F.sum("score").alias("score"))
 
 
 def search(queries: DataFrame, postings: DataFrame, blocks: DataFrame, units: DataFrame, sections: DataFrame, k: int = 60) -> DataFrame:

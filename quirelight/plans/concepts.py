@@ -34,9 +34,17 @@ def _definitions(spark, d):
     return C.best_definitions(_candidates(spark, d))
 
 
-def _mentions(spark, d):
+def _terms(spark, d):
+    return written(X.terms(spark, d))
+
+
+def _keys(terms):
+    return terms.select(T.term_key(F.col("key")).alias("key"))
+
+
+def _mentions(spark, d, terms=None):
     """Of all terms in all blocks, written once: most queries read them several times."""
-    return written(C.find_mentions(X.blocks(spark, d), X.terms(spark, d).select(T.term_key(F.col("key")).alias("key")), longest=2))
+    return written(C.find_mentions(None, _keys(_terms(spark, d) if terms is None else terms), written(C.block_words(X.blocks(spark, d)))))
 
 
 def c6(spark, d):
@@ -63,11 +71,11 @@ def c8(spark, d):
 
 
 def c9(spark, d):
-    """What a term's definition uses is what stands in the block that mentions it first."""
-    m = _mentions(spark, d)
-    home = m.groupBy("key").agg(F.min("block_id").alias("block_id"))
-    used = home.join(m.select("block_id", F.col("key").alias("used")), "block_id").select("key", "used")
-    return C.cooccurrence(m.select("block_id", "key"), used)
+    """What a term's definition uses is what stands in the sentence that defines it."""
+    terms = _terms(spark, d)
+    keys = _keys(terms).distinct()
+    used = C.terms_used(written(_definitions(spark, d).join(keys, "key", "left_semi")), keys)
+    return C.cooccurrence(_mentions(spark, d, terms).select("block_id", "key"), used.select("key", "used"))
 
 
 def _edges(spark, d, m=None):
@@ -103,10 +111,19 @@ def c12(spark, d):
     return out["concepts"].join(books, "key").join(ends, "key", "left").select("key", "name", "ord", "importance", "w")
 
 
-def c13(spark, d):
-    defs = _definitions(spark, d)
+def _cards(defs):
     concepts = defs.select("book_id", "key", F.col("surface").alias("name"), F.col("rank").cast("double").alias("score"))
-    return C.first_cards(defs, concepts, per_unit=2).select("book_id", "unit_id", "key", "rank", "kind", "front", "back")
+    return C.first_cards(defs, concepts)
+
+
+def c13(spark, d):
+    return _cards(_definitions(spark, d)).select("book_id", "unit_id", "key", "rank", "kind", "front", "back")
+
+
+def c13_concepts(spark, d):
+    """The terms are all that are defined anywhere."""
+    defs = written(_definitions(spark, d))
+    return C.card_concepts(_cards(defs), C.terms_used(defs, defs.select("key")), defs)
 
 
 QUERIES = {
@@ -123,6 +140,7 @@ QUERIES = {
     "c11_prune_edges": c11,
     "c12_merge_concepts": c12,
     "c13_first_cards": c13,
+    "c13_card_concepts": c13_concepts,
 }
 
 _SENT_AT = {
@@ -137,16 +155,28 @@ _CAND = {
     "cand": f"SELECT *, f = 1 AS bold, {sql_term_key('term')} AS key, regexp_matches(sentence, '{T.DEFINES}') AS defines FROM prose JOIN named USING (block_id) JOIN sent USING (block_id) WHERE term IS NOT NULL",
     "best": "SELECT book_id, key, unnest(max_by({'block_id': block_id, 'unit_id': unit_id, 'sentence': sentence, 'surface': term, 'rank': r}, (r, -block_id))) FROM (SELECT *, 2 * CAST(defines AS INTEGER) + CAST(bold AS INTEGER) + CAST(length(sentence) BETWEEN 30 AND 320 AS INTEGER) AS r FROM cand WHERE bold OR defines) GROUP BY book_id, key",
 }
-#: Leftmost longest matching of one or two words: hits in order, each taken if it starts after the last one's end.
+
+
+def _match(words: str, p: str = "", keys: str = f"SELECT DISTINCT {sql_term_key('key')} AS key FROM terms") -> dict[str, str]:
+    """Leftmost longest matching of one to five words in words (block_id, w): hits in order, each taken if it starts after the last one's end."""
+    run = "SELECT block_id, i, {n} AS n, array_to_string(w[i:i + {n} - 1], ' ') AS key FROM (SELECT block_id, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM {p}tw)"
+    return {
+        f"{p}keys": keys,
+        f"{p}tw": words,
+        f"{p}runs": " UNION ALL ".join(run.format(n=n, p=p) for n in range(1, 6)),
+        f"{p}hits": f"SELECT block_id, i, max(n) AS n, max_by(key, n) AS key FROM {p}runs JOIN {p}keys USING (key) GROUP BY block_id, i",
+        f"{p}hl": f"SELECT block_id, list({{'i': i, 'n': n, 'key': key}} ORDER BY i) AS h FROM {p}hits GROUP BY block_id",
+        f"{p}took": f"SELECT block_id, unnest(list_reduce(h, lambda a, x: CASE WHEN x.i >= a.stop THEN {{'stop': x.i + x.n, 'keys': list_append(a.keys, x.key)}} ELSE a END, {{'stop': CAST(0 AS BIGINT), 'keys': CAST([] AS VARCHAR[])}}).keys) AS key FROM {p}hl",
+    }
+
+
 _MENT = {
-    "keys": f"SELECT DISTINCT {sql_term_key('key')} AS key FROM terms",
-    "tw": f"SELECT block_id, unit_id, book_id, {sql_term_words('text')} AS w FROM blocks WHERE type <> 'code'",
-    "runs": "SELECT block_id, i, 2 AS n, w[i] || ' ' || w[i + 1] AS key FROM (SELECT block_id, w, unnest(range(1, len(w))) AS i FROM tw) UNION ALL SELECT block_id, i, 1, w[i] FROM (SELECT block_id, w, unnest(range(1, len(w) + 1)) AS i FROM tw)",
-    "hits": "SELECT block_id, i, max(n) AS n, max_by(key, n) AS key FROM runs JOIN keys USING (key) GROUP BY block_id, i",
-    "hl": "SELECT block_id, list({'i': i, 'n': n, 'key': key} ORDER BY i) AS h FROM hits GROUP BY block_id",
-    "took": "SELECT block_id, unnest(list_reduce(h, lambda a, x: CASE WHEN x.i >= a.stop THEN {'stop': x.i + x.n, 'keys': list_append(a.keys, x.key)} ELSE a END, {'stop': CAST(0 AS BIGINT), 'keys': CAST([] AS VARCHAR[])}).keys) AS key FROM hl",
+    **_match(f"SELECT block_id, unit_id, book_id, {sql_term_words('text')} AS w FROM blocks WHERE type <> 'code'"),
     "ment": "SELECT key, block_id, unit_id, book_id, count(*) AS count FROM took JOIN tw USING (block_id) GROUP BY ALL",
 }
+#: What the defining sentences use, of the terms or of all that is defined.
+_SAID = f"SELECT book_id || chr(1) || key AS block_id, book_id, key AS own, {sql_term_words('sentence')} AS w FROM best"
+_USED = "SELECT DISTINCT book_id, own AS key, d_took.key AS used FROM d_took JOIN d_tw USING (block_id) WHERE own <> d_took.key"
 _REL = {
     **_MENT,
     "mb": "SELECT block_id FROM ment GROUP BY block_id HAVING count(*) <= 25",
@@ -195,10 +225,10 @@ ORACLE = {
         more={**_MENT, "sf": "SELECT book_id, key, block_id % 2 = 0 AS h, CASE WHEN block_id % 3 = 0 AND regexp_matches(key, '^[a-z ]+$') THEN array_to_string(list_transform(string_split(key, ' '), lambda x: upper(substr(x, 1, 1)) || substr(x, 2)), ' ') ELSE key END AS surface FROM ment"},
     ),
     "c9_cooccurrence": sql(
-        "SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM (SELECT a, b, n FROM cp UNION ALL SELECT least(h.key, m.key), greatest(h.key, m.key), 2 FROM (SELECT key, min(block_id) AS block_id FROM ment GROUP BY key) h JOIN ment m USING (block_id) WHERE h.key <> m.key) GROUP BY ALL",
-        "blocks",
+        "SELECT a, b, CAST(sum(n) AS BIGINT) AS n FROM (SELECT a, b, n FROM cp UNION ALL SELECT least(key, used), greatest(key, used), 2 FROM us) GROUP BY ALL",
         "terms",
-        more={k: v for k, v in _REL.items() if k not in ("ff", "ed")},
+        "marked",
+        more={**{k: v for k, v in _REL.items() if k not in ("ff", "ed")}, **_CAND, **_match(_SAID + " WHERE key IN (SELECT key FROM keys)", "d_", "SELECT key FROM keys"), "us": _USED},
     ),
     "c10_relatedness": sql("SELECT a, b, w FROM ed", "blocks", "terms", more=_REL),
     "c11_prune_edges": sql(
@@ -215,8 +245,18 @@ ORACLE = {
     ),
     "c13_first_cards": sql(
         """SELECT book_id, unit_id, key, CAST(r AS INTEGER) AS rank, 'cloze' AS kind, front, '' AS back FROM (SELECT *, substr(short, 1, instr(short, surface) - 1) || '{{c1::' || surface || '}}' || substr(short, instr(short, surface) + length(surface)) AS front, row_number() OVER (PARTITION BY book_id, unit_id ORDER BY rank DESC, key) AS r
- FROM (SELECT *, CASE WHEN length(sentence) > 360 THEN trim(substr(sentence, CAST(greatest(1, instr(sentence, surface) - 165) AS BIGINT), 330)) ELSE sentence END AS short FROM best) WHERE length(sentence) >= 30 AND instr(short, surface) > 0) WHERE r <= 2""",
+ FROM (SELECT *, CASE WHEN length(sentence) > 360 THEN trim(substr(sentence, CAST(greatest(1, instr(sentence, surface) - 165) AS BIGINT), 330)) ELSE sentence END AS short FROM best) WHERE length(sentence) >= 30 AND instr(short, surface) > 0) WHERE r <= 15""",
         "marked",
         more=_CAND,
     ),
+    "c13_card_concepts": sql(
+        """SELECT DISTINCT * FROM (SELECT book_id, unit_id, key AS card, key FROM fc UNION ALL SELECT book_id, unit_id, fc.key, used FROM fc JOIN us USING (book_id, key) WHERE (book_id, used) IN (SELECT (book_id, key) FROM best))""",
+        "marked",
+        more={
+            **_CAND,
+            **_match(_SAID, "d_", "SELECT DISTINCT key FROM best"),
+            "us": _USED,
+            "fc": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id, unit_id ORDER BY rank DESC, key) AS r FROM (SELECT *, CASE WHEN length(sentence) > 360 THEN trim(substr(sentence, CAST(greatest(1, instr(sentence, surface) - 165) AS BIGINT), 330)) ELSE sentence END AS short FROM best) WHERE length(sentence) >= 30 AND instr(short, surface) > 0) WHERE r <= 15",
+        },
+    ),
 }

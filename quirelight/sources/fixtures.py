@@ -88,23 +88,25 @@ READS = """SELECT p.learner_id, b.block_id, b.unit_id, p.seen FROM (SELECT learn
 
 
 def terms(spark: SparkSession, d: str) -> DataFrame:
-    """key, n, no: words of six letters or more in three documents or more, and pairs of words (nine characters or more) found three times
-    or more; n is how often, no a number that follows from the key."""
-    words = blocks(spark, d).select("unit_id", "block_id", tokens(F.col("text")).alias("w"))
-    each = words.select("unit_id", F.explode("w").alias("key")).filter("length(key) >= 6")
-    one = each.groupBy("key", "unit_id").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df")).filter("df >= 3")
-    two = (
-        words.filter("size(w) > 1")
-        .select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))).alias("key"))
-        .filter("length(key) >= 9").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
-    )
-    return one.select("key", "n").union(two).withColumn("no", F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("long"))
+    """key, n, no: words of six letters or more in three documents or more, pairs of words (nine characters or more) found three times or
+    more, and the first three, four and five words of each benchmark passage; n is how often (0 for the last), no a number that follows
+    from the key. Queries that need them in several places should write them."""
+    words = blocks(spark, d).select("unit_id", tokens(F.col("text")).alias("w"))
+    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    both = F.concat(F.filter("w", lambda x: F.length(x) >= 6), F.filter(pairs, lambda x: F.length(x) >= 9))
+    each = words.select("unit_id", F.explode(both).alias("key")).groupBy("key", "unit_id").agg(F.count(F.lit(1)).alias("n"))
+    often = each.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df")).filter(F.when(F.col("key").contains(" "), F.col("n") >= 3).otherwise(F.col("df") >= 3))
+    said = table(spark, d, "benchmark").select(tokens(F.col("text")).alias("w")).filter("size(w) >= 5")
+    long = said.select(F.explode(F.array(*[F.array_join(F.slice("w", 1, k), " ") for k in (3, 4, 5)])).alias("key")).distinct().withColumn("n", F.lit(0).cast("long"))
+    return often.select("key", "n").union(long).withColumn("no", F.conv(F.substring(F.md5("key"), 1, 6), 16, 10).cast("long"))
 
 
 TERMS = r"""SELECT key, n, CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) AS no FROM (
  (SELECT key, n FROM (SELECT key, count(*) AS n, count(DISTINCT unit_id) AS df FROM (SELECT unit_id, unnest(w) AS key FROM term_w) WHERE length(key) >= 6 GROUP BY key) WHERE df >= 3)
  UNION ALL
- (SELECT key, n FROM (SELECT key, count(*) AS n FROM (SELECT w[i] || ' ' || w[i + 1] AS key FROM (SELECT w, unnest(range(1, len(w))) AS i FROM term_w)) WHERE length(key) >= 9 GROUP BY key) WHERE n >= 3))"""
+ (SELECT key, n FROM (SELECT key, count(*) AS n FROM (SELECT w[i] || ' ' || w[i + 1] AS key FROM (SELECT w, unnest(range(1, len(w))) AS i FROM term_w)) WHERE length(key) >= 9 GROUP BY key) WHERE n >= 3)
+ UNION ALL
+ (SELECT DISTINCT array_to_string(w[1:k], ' ') AS key, 0 AS n FROM (SELECT regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w, unnest([3, 4, 5]) AS k FROM benchmark) WHERE len(w) >= 5))"""
 TERM_W = r"SELECT unit_id, block_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM blocks"
 
 
@@ -149,9 +151,9 @@ def marks(spark: SparkSession, d: str) -> DataFrame:
 MARKED = """SELECT *, CASE WHEN block_id % 2 = 0 THEN 1 ELSE 2 END AS f FROM (SELECT b.*, u.kind, instr(text, ' ') AS s, length(array_to_string(string_split(text, ' ')[1:2], ' ')) AS e FROM blocks b JOIN units u USING (unit_id)) WHERE block_id % 5 = 0 AND s > 0 AND e > s"""
 
 
-def card_concepts(spark: SparkSession, d: str) -> DataFrame:
+def card_concepts(spark: SparkSession, d: str, found: DataFrame | None = None) -> DataFrame:
     """card_id, concept: each term is on one card of 2000 (most are reviewed by nobody)."""
-    return terms(spark, d).select((F.col("no") % 2000).alias("card_id"), F.col("key").alias("concept"))
+    return (terms(spark, d) if found is None else found).select((F.col("no") % 2000).alias("card_id"), F.col("key").alias("concept"))
 
 
 CARD_CONCEPTS = "SELECT no % 2000 AS card_id, key AS concept FROM terms"
