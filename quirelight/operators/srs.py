@@ -7,6 +7,7 @@ card's good 10 minutes, then it graduates; a lapse is relearned in 10 minutes. S
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,6 +82,36 @@ def empty_state() -> Column:
     return F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("d"), F.lit(0).alias("state"), F.lit(0).alias("reps"), F.lit(0).alias("lapses"), F.lit(None).cast("bigint").alias("last"), F.lit(None).cast("bigint").alias("due")).cast(STATE)
 
 
+#: A new card, as values in the order of STATE.
+NEW = (0.0, 0.0, 0, 0, 0, None, None)
+
+
+def step_values(card: tuple, rating: int, at: int, w: Sequence[float] = WEIGHTS, retention: float = RETENTION) -> tuple:
+    """R2 on plain values, for streams that keep a card's state: the same numbers as step."""
+    s, d, state, reps, lapses, last, _ = card
+    factor, grow = 0.9 ** (-1 / w[20]) - 1, retention ** (-1 / w[20]) - 1
+    clamp = lambda x: max(1.0, min(10.0, x))
+    if state == 0:
+        s2, d2 = float(w[rating - 1]), clamp(w[4] - math.exp(w[5] * (rating - 1)) + 1)
+    else:
+        days = max(0, (at - last) // DAY)
+        r = (1 + factor * days / s) ** -w[20]
+        d2 = clamp(w[7] * (w[4] - math.exp(w[5] * 3) + 1) + (1 - w[7]) * (d - w[6] * (rating - 3) * (10 - d) / 9))
+        if days == 0:
+            s2 = s * math.exp(w[17] * (rating - 3 + w[18])) * s ** -w[19]
+            s2 = max(s, s2) if rating >= 3 else s2
+        elif rating == 1:
+            s2 = min(s, w[11] * d ** -w[12] * ((s + 1) ** w[13] - 1) * math.exp(w[14] * (1 - r)))
+        else:
+            s2 = s * (1 + math.exp(w[8]) * (11 - d) * s ** -w[9] * (math.exp(w[10] * (1 - r)) - 1) * (1.0, w[15], 1.0, w[16])[rating - 1])
+        s2 = max(0.001, s2)
+    lapsed = state == 2 and rating == 1
+    learning = state != 2 and (rating <= 2 or (state == 0 and rating == 3))
+    new = 3 if lapsed or (learning and state == 3) else 1 if learning else 2
+    wait = 10 * MINUTE if lapsed else (MINUTE, 6 * MINUTE, 10 * MINUTE)[rating - 1] if learning else max(1, math.floor(s2 / factor * grow + 0.5)) * DAY
+    return s2, d2, new, reps + 1, lapses + lapsed, at, at + wait
+
+
 KEY = ["learner_id", "card_id"]
 
 

@@ -213,14 +213,32 @@ def reading_time(increments: DataFrame) -> DataFrame:
     return increments.filter("ms > 0 and ms <= 3600000").groupBy("learner_id", "book_id", F.to_date("seen").alias("day")).agg(F.sum("ms").alias("ms"))
 
 
-def page_dwell(views: DataFrame, need: DataFrame, idle_s: float) -> DataFrame:
-    """learner_id, page, dwell_s, read: time until the learner's next view, at most idle_s each (idle_s for the last), summed by
-    page; read if it reaches what the page needs. views: learner_id, page, ts, view_id; need: page, chars."""
-    w = Window.partitionBy("learner_id").orderBy("ts", "view_id")
-    spent = F.least(F.coalesce(F.unix_micros(F.lead("ts").over(w)) - F.unix_micros("ts"), F.lit(int(idle_s * 1e6))), F.lit(int(idle_s * 1e6)))
-    rows = views.withColumn("us", spent).groupBy("learner_id", "page").agg(F.sum("us").alias("us"))
-    least = F.greatest(F.lit(2.5), F.least(F.lit(30.0), F.col("chars") * 0.008))
-    return rows.join(need, "page").select("learner_id", "page", (F.col("us") / 1e6).alias("dwell_s"), (F.col("us") / 1e6 >= least).alias("read"))
+def least_dwell(chars: Column) -> Column:
+    """Seconds of dwell that make a page of so many characters read: 8 ms for each, 2.5 s at least and 30 s at most."""
+    return F.greatest(F.lit(2.5), F.least(F.lit(30.0), chars * 0.008))
+
+
+def page_dwell(shows: DataFrame, activity: DataFrame, need: DataFrame, idle_s: float = 90.0) -> DataFrame:
+    """learner_id, book_id, page, dwell_s, read: how long a learner was active while a page was visible, and whether that is what the
+    page needs. Several pages may be visible at once and each gains. A learner is active from each activity on, until idle_s have passed
+    without another. shows: learner_id, book_id, page, shown, hidden; activity: learner_id, at; need: book_id, page, chars (a page without
+    text there needs the least).
+
+    One sweep a learner over activities and the ends of shows: the active time up to any moment is a running sum, and a show counts the
+    difference between its ends. Nothing is joined by overlap."""
+    idle = F.lit(int(idle_s * 1e6))
+    us = F.unix_micros
+    ends = shows.select("learner_id", "book_id", "page", F.explode(F.array(F.struct(us("shown").alias("us"), F.lit(-1).alias("sign")), F.struct(us("hidden").alias("us"), F.lit(1).alias("sign")))).alias("x"))
+    ends = ends.select("learner_id", "book_id", "page", "x.us", "x.sign", F.lit(None).cast("long").alias("act"))
+    acts = activity.select("learner_id", us("at").alias("us")).distinct().select("learner_id", F.lit(None).cast(shows.schema["book_id"].dataType).alias("book_id"), F.lit(None).cast(shows.schema["page"].dataType).alias("page"), "us", F.lit(0).alias("sign"), F.col("us").alias("act"))
+    before = Window.partitionBy("learner_id").orderBy("us", "sign").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ends.unionByName(acts).withColumn("_last", F.last("act", ignorenulls=True).over(before))
+    # what an activity closes is the active time since the one before it; what is open at a moment is added to the sum
+    open_ = F.coalesce(F.least(F.col("us") - F.col("_last"), idle), F.lit(0))
+    rows = rows.withColumn("_open", open_).withColumn("_sum", F.coalesce(F.sum(F.when(F.col("sign") == 0, F.col("_open"))).over(before), F.lit(0)))
+    spent = rows.filter("sign <> 0").groupBy("learner_id", "book_id", "page").agg(F.sum(F.col("sign") * (F.col("_sum") + F.col("_open"))).alias("us"))
+    chars = F.coalesce("chars", F.lit(0))
+    return spent.join(need, ["book_id", "page"], "left").select("learner_id", "book_id", "page", (F.col("us") / 1e6).alias("dwell_s"), (F.col("us") / 1e6 >= least_dwell(chars)).alias("read"))
 
 
 def resume_page(positions: DataFrame, starts: DataFrame, books: DataFrame) -> DataFrame:

@@ -8,16 +8,20 @@ from ..sources import fixtures as X
 from ..sources.fixtures import sql
 from ..sources.shared import new_folder
 from ..streaming import streams as S
-from .units import _TIME, _need
+from .units import _TIME, _activity, _need, _shows
 
 
 SLICES = 4
 
 
+#: Rows come up to so many microseconds late, each by its own hash; less than any watermark here.
+LATE = 1_800_000_000
+
+
 def _source(spark, df, at: str, time: str):
-    """df as a stream: written once to the shared folder in SLICES slices of time, one after the other, each of them by learner in as many
-    files as there are partitions; read in several micro-batches, oldest files first."""
-    us = F.unix_micros(F.col(time).cast("timestamp")).cast("double")
+    """df as a stream, out of order: written once to the shared folder in SLICES slices by time of arrival, one after the other, each of them
+    by learner in as many files as there are partitions; read in several micro-batches, oldest files first."""
+    us = F.unix_micros(F.col(time).cast("timestamp")).cast("double") + F.pmod(F.xxhash64(*df.columns), F.lit(LATE))
     cuts = df.select(us.alias("us")).stat.approxQuantile("us", [k / SLICES for k in range(1, SLICES)], 0.01) or [0.0] * (SLICES - 1)
     edges = [float("-inf"), *cuts, float("inf")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -33,14 +37,26 @@ def _drain(spark, out, at: str):
     return spark.read.schema(out.schema).parquet(f"{at}/out")
 
 
-def _views(spark, d):
-    e = X.table(spark, d, "events")
-    return e.select(F.col("user_id").alias("learner_id"), X._k().cast("int").alias("page"), "ts", F.col("event_id").alias("view_id"))
+def _moves(spark, d):
+    """The shows and activities of u21 one by one; what is hidden after the last event is not known yet."""
+    shows, acts = _shows(spark, d), _activity(spark, d)
+    last = acts.agg(F.max("at").alias("end"))
+    page = ["book_id", "page"]
+    opened = shows.select("learner_id", F.col("shown").alias("ts"), F.col("view_id").alias("move_id"), F.lit("show").alias("kind"), *page)
+    closed = shows.join(F.broadcast(last)).filter("hidden <= end").select("learner_id", F.col("hidden").alias("ts"), F.col("view_id").alias("move_id"), F.lit("hide").alias("kind"), *page)
+    active = acts.select("learner_id", F.col("at").alias("ts"), F.col("event_id").alias("move_id"), F.lit("active").alias("kind"), *[F.lit(-1).alias(c) for c in page])
+    return opened.unionByName(closed).unionByName(active)
 
 
 def x1(spark, d):
     at = new_folder(spark)
-    return _drain(spark, S.stream_page_reads(_source(spark, _views(spark, d), at, "ts"), _need(spark, d).withColumn("chars", F.col("chars") * 10), 3600.0), at).select("learner_id", "page")
+    need = _need(spark, d).withColumn("chars", F.col("chars") * 10)
+    return _drain(spark, S.stream_page_reads(_source(spark, _moves(spark, d), at, "ts"), need, 3600.0), at).select("learner_id", "book_id", "page")
+
+
+def _views(spark, d):
+    e = X.table(spark, d, "events")
+    return e.select(F.col("user_id").alias("learner_id"), X._k().cast("int").alias("page"), "ts", F.col("event_id").alias("view_id"))
 
 
 def x2(spark, d):
@@ -59,8 +75,8 @@ def x4(spark, d):
     at = new_folder(spark)
     rows = X.reviews(spark, d)
     twice = rows.select("*", F.explode(F.when(F.col("review_id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy")).drop("_copy")
-    log = S.stream_card_reviews(_source(spark, twice, at, "review"))
-    query = log.writeStream.foreachBatch(S.upsert_card_states(f"{at}/log", f"{at}/states", 32)).option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
+    cards = S.stream_card_states(_source(spark, twice, at, "review"))
+    query = cards.writeStream.outputMode("update").foreachBatch(S.write_card_states(f"{at}/states")).option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
     query.awaitTermination()
     return S.latest_states(spark.read.parquet(f"{at}/states")).withColumns({c: F.round(c, 6) for c in ("stability", "difficulty")})
 
@@ -68,7 +84,7 @@ def x4(spark, d):
 def x5(spark, d):
     at = new_folder(spark)
     reads = X.reads(spark, d).select("learner_id", "block_id", "seen")
-    return _drain(spark, S.stream_units_finished(_source(spark, reads, at, "seen"), X.blocks(spark, d)), at).select("learner_id", "unit_id")
+    return _drain(spark, S.stream_units_finished(_source(spark, reads, at, "seen"), X.blocks(spark, d)), at)
 
 
 def x6(spark, d):
@@ -79,22 +95,15 @@ def x6(spark, d):
 QUERIES = {"x1_page_reads": x1, "x2_sessions": x2, "x3_reading_time": x3, "x4_card_state": x4, "x5_units_finished": x5, "x6_review_load": x6}
 
 from .srs import _STATES, fold  # noqa: E402
-from .units import _DONE, _NEED  # noqa: E402
+from .units import _DONE, dwell  # noqa: E402
 
 ORACLE = {
     "x1_page_reads": None,
     "x2_sessions": "SELECT learner_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS \"end\", count(*) AS views FROM (SELECT learner_id, ts, sum(g) OVER (PARTITION BY learner_id ORDER BY ts, event_id) AS s FROM (SELECT user_id AS learner_id, ts, event_id, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS g FROM events)) GROUP BY learner_id, s HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
     "x3_reading_time": sql("SELECT * FROM rt WHERE day + INTERVAL 1 DAY <= (SELECT max(seen) - INTERVAL 1 DAY FROM page_reads WHERE dwell_ms > 0 AND dwell_ms <= 3600000)", "page_reads", "units", more=_TIME),
     "x4_card_state": sql(_STATES, "reviews", more=fold()),
-    "x5_units_finished": sql("SELECT learner_id, unit_id FROM done", "reads", more=_DONE),
+    "x5_units_finished": sql("SELECT * FROM done WHERE epoch_us(finished_at) < (SELECT epoch_us(max(seen)) // 1000 * 1000 - 3600000000 FROM reads)", "reads", more=_DONE),
     "x6_review_load": sql("SELECT learner_id, CAST(day AS DATE) AS day, count(*) AS n, round(avg(CAST(rating > 1 AS INTEGER)), 6) AS kept FROM (SELECT *, unnest(range(date_trunc('day', review) - INTERVAL 6 DAY, date_trunc('day', review) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day FROM reviews) WHERE day + INTERVAL 7 DAY <= (SELECT max(review) - INTERVAL 1 DAY FROM reviews) GROUP BY ALL", "reviews"),
 }
-# views behind the last watermark, an hour before the last event, count; the last of them only if its idle time has passed too
-_END = "(SELECT epoch_us(max(ts)) - 3600000000 FROM events)"
-_NEXT = "epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))"
-_SPENT = f"SELECT user_id AS learner_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS page, epoch_us(ts) AS us, {_NEXT} AS nx FROM events"
-ORACLE["x1_page_reads"] = sql(
-    f"SELECT learner_id, page FROM (SELECT learner_id, page, sum(CASE WHEN nx < {_END} THEN least(nx - us, 3600000000) WHEN us + 3600000000 <= {_END} THEN 3600000000 ELSE 0 END) AS spent FROM spent WHERE us < {_END} GROUP BY ALL) JOIN need USING (page) WHERE spent / 1000000.0 >= greatest(2.5, least(30.0, 10 * chars * 0.008))",
-    "blocks",
-    more={"spent": _SPENT, "need": _NEED},
-)
+# moves behind the last watermark, an hour before the last event (in whole milliseconds), count
+ORACLE["x1_page_reads"] = sql("SELECT learner_id, book_id, page FROM told WHERE read", "blocks", more=dwell("(SELECT epoch_us(max(ts)) // 1000 * 1000 - 3600000000 FROM events)", 10))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import units as U
@@ -91,17 +92,26 @@ def u17(spark, d):
     return _library(spark, d).withColumn("fraction", F.round("fraction", 9))
 
 
-def _views(spark, d):
+def _shows(spark, d):
+    """Views open two pages side by side, until the learner's next view, the last for two hours; all events are activity."""
     e = X.table(spark, d, "events")
-    return e.select(F.col("user_id").alias("learner_id"), X._k().cast("int").alias("page"), "ts", F.col("event_id").alias("view_id"))
+    pair = F.floor(X._k() / 2).cast("int")
+    opened = e.filter("event_type = 'view'").withColumn("hidden", F.coalesce(F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.col("ts") + F.expr("INTERVAL 2 HOURS")))
+    return opened.select(F.col("user_id").alias("learner_id"), (pair % 4).alias("book_id"), F.explode(F.array(2 * pair, 2 * pair + 1)).alias("page"), F.col("ts").alias("shown"), "hidden", F.col("event_id").alias("view_id"))
+
+
+def _activity(spark, d):
+    return X.table(spark, d, "events").select(F.col("user_id").alias("learner_id"), F.col("ts").alias("at"), F.col("event_id").alias("event_id"))
 
 
 def _need(spark, d):
-    return X.blocks(spark, d).groupBy(F.col("unit_id").cast("int").alias("page")).agg(F.sum(F.length("text")).alias("chars"))
+    """Every other page of a pair has text."""
+    page = F.col("unit_id").cast("int")
+    return X.blocks(spark, d).filter("unit_id % 3 <> 0").groupBy((F.floor(page / 2).cast("int") % 4).alias("book_id"), page.alias("page")).agg(F.sum(F.length("text")).alias("chars"))
 
 
 def u21(spark, d):
-    return U.page_dwell(_views(spark, d), _need(spark, d), 3600.0).withColumn("dwell_s", F.round("dwell_s", 6))
+    return U.page_dwell(_shows(spark, d), _activity(spark, d), _need(spark, d), 3600.0).withColumn("dwell_s", F.round("dwell_s", 6))
 
 
 def u24(spark, d):
@@ -158,7 +168,20 @@ _DONE = {
     "steps": "SELECT learner_id, unit_id, seen, sum(w) OVER (PARTITION BY learner_id, unit_id ORDER BY seen) AS so_far FROM (SELECT learner_id, unit_id, seen, sum(weight) AS w FROM reads JOIN blocks USING (block_id, unit_id) GROUP BY ALL)",
     "done": "SELECT learner_id, unit_id, min(seen) AS finished_at FROM steps JOIN unit_w USING (unit_id) WHERE weight > 0 AND so_far / weight >= 0.85 GROUP BY ALL",
 }
-_NEED = "SELECT CAST(unit_id AS INTEGER) AS page, sum(length(text)) AS chars FROM blocks GROUP BY ALL"
+_NEED = "SELECT CAST(unit_id // 2 % 4 AS INTEGER) AS book_id, CAST(unit_id AS INTEGER) AS page, sum(length(text)) AS chars FROM blocks WHERE unit_id % 3 <> 0 GROUP BY ALL"
+#: Shows, the times in which a learner is active (no two overlap), and what each pair of them shares; {end}: what lies behind it does not count.
+_DWELL = {
+    "need": _NEED,
+    "shows": f"SELECT user_id AS learner_id, CAST(j % 4 AS INTEGER) AS book_id, CAST(2 * j + side AS INTEGER) AS page, a, b FROM (SELECT user_id, {X._K} // 2 AS j, epoch_us(ts) AS a, coalesce(epoch_us(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), epoch_us(ts) + 7200000000) AS b FROM events WHERE event_type = 'view'), (SELECT unnest([0, 1]) AS side)",
+    "acts": "SELECT learner_id, a, least(a + 3600000000, coalesce(lead(a) OVER (PARTITION BY learner_id ORDER BY a), a + 3600000000)) AS b FROM (SELECT DISTINCT user_id AS learner_id, epoch_us(ts) AS a FROM events WHERE epoch_us(ts) < {end})",
+    "dwelt": "SELECT s.learner_id, s.book_id, s.page, sum(greatest(0, least(s.b, coalesce(t.b, s.a), {end}) - greatest(s.a, coalesce(t.a, s.a)))) AS us FROM shows s LEFT JOIN acts t ON t.learner_id = s.learner_id AND t.a < s.b AND t.b > s.a GROUP BY ALL",
+    "told": "SELECT learner_id, book_id, page, CAST(us AS BIGINT) AS us, us / 1e6 >= greatest(2.5, least(30.0, coalesce(chars, 0) * {scale} * 0.008)) AS read FROM dwelt LEFT JOIN need USING (book_id, page)",
+}
+
+
+def dwell(end: str = "9000000000000000000", scale: int = 1) -> dict[str, str]:
+    return {k: v.replace("{end}", end).replace("{scale}", str(scale)) for k, v in _DWELL.items()}
+
 _TIME = {"times": "SELECT learner_id, book_id, seen, dwell_ms AS ms FROM page_reads JOIN units USING (unit_id)", "rt": "SELECT learner_id, book_id, CAST(seen AS DATE) AS day, CAST(sum(ms) AS BIGINT) AS ms FROM times WHERE ms > 0 AND ms <= 3600000 GROUP BY ALL"}
 _SHELF = {
     **_TIME,
@@ -239,14 +262,7 @@ ORACLE = {
         "reads",
     ),
     "u20_reading_time": sql("SELECT * FROM rt", "page_reads", "units", more=_TIME),
-    "u21_page_dwell": sql(
-        "SELECT learner_id, page, round(us / 1e6, 6) AS dwell_s, us / 1e6 >= greatest(2.5, least(30.0, chars * 0.008)) AS read FROM (SELECT learner_id, page, sum(us) AS us FROM v GROUP BY ALL) JOIN n USING (page)",
-        "blocks",
-        more={
-            "v": f"SELECT user_id AS learner_id, CAST({X._K} AS INTEGER) AS page, least(coalesce(epoch_us(lead(ts) OVER w) - epoch_us(ts), 3600000000), 3600000000) AS us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)",
-            "n": _NEED,
-        },
-    ),
+    "u21_page_dwell": sql("SELECT learner_id, book_id, page, round(us / 1e6, 6) AS dwell_s, read FROM told", "blocks", more=dwell()),
     "u24_resume_page": sql(
         """SELECT learner_id, book_id, CAST(greatest(0, least(coalesce(saved, body, anyp, 0), page_count - 1)) AS INTEGER) AS page
  FROM (SELECT learner_id, book_id, max_by(ms % 700, (seen, ms % 700)) AS saved FROM times GROUP BY ALL) JOIN books USING (book_id)

@@ -3,7 +3,6 @@ the same results over the same rows."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,50 +13,73 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import srs
 
 
-def stream_page_reads(views: DataFrame, need: DataFrame, idle_s: float, watermark: str = "1 hour") -> DataFrame:
-    """learner_id, page, dwell_s: emitted once, when a page's dwell (time to the learner's next view, at most idle_s each) reaches what
-    it needs. views: learner_id, page, ts, view_id; need: page, chars (static).
+def stream_page_reads(moves: DataFrame, need: DataFrame, idle_s: float = 90.0, watermark: str = "1 hour") -> DataFrame:
+    """learner_id, book_id, page, dwell_s: emitted once, when a page's dwell (as in units.page_dwell) reaches what it needs. moves:
+    learner_id, ts, move_id, kind ("show" or "hide", with book_id and page, or "active"); need: book_id, page, chars (static; a page that
+    is not in it needs the least).
 
-    Views may come in any order and from any partition within the watermark: a learner's state holds the views that are not yet behind
-    it, and they are taken in time order once they are. The rest of the state is the last view and the open dwell of pages not yet read.
-    When no view comes for idle_s of event time, the last view counts idle_s."""
-    rows = views.join(need, "page").withColumn("least", F.greatest(F.lit(2.5), F.least(F.lit(30.0), F.col("chars") * 0.008))).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).withWatermark("ts", watermark)
+    Moves may come in any order and from any partition within the watermark: a learner's state holds those that are not yet behind it, and
+    they are taken in time order once they are (of one moment: hide, active, show). The rest of the state is the last activity, the pages
+    visible, and the open dwell of pages not yet read; of pages read it keeps that they are. Dwell runs on without moves, so a timer wakes
+    the state where the learner falls idle or a visible page is read. A learner without waiting moves, visible pages and activity for `idle_s`
+    keeps only pages with dwell."""
+    least = F.greatest(F.lit(2.5), F.least(F.lit(30.0), F.coalesce("chars", F.lit(0)) * 0.008))
+    rows = moves.join(need.select("book_id", "page", "chars"), ["book_id", "page"], "left").select("learner_id", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "move_id", "kind", "book_id", "page", (least * 1e6).cast("long").alias("least")).withWatermark("ts", watermark)
     cap = int(idle_s * 1e6)
+    order = {"hide": 0, "active": 1, "show": 2}
+    types = {f.name: f.dataType for f in moves.schema}
+    page_type = f"book_id {types['book_id'].simpleString()}, page {types['page'].simpleString()}"
+    row = page_type.replace(" ", ":", 1).replace(", page ", ",page:")
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_page, last_us, last_least, dwell, waiting = state.get if state.exists else (-1, 0, 0.0, "{}", "[]")
-        open_us = {int(k): v for k, v in json.loads(dwell).items()}
-        pending = [tuple(x) for x in json.loads(waiting)]
+        last, upto, waiting, visible, dwells = state.get if state.exists else (None, 0, [], [], [])
+        waiting = [tuple(x) for x in waiting]
+        visible = {(b, p): (n, since) for b, p, n, since in map(tuple, visible)}
+        dwells = {(b, p): d for b, p, d in map(tuple, dwells)}
         if not state.hasTimedOut:
             for new in frames:
-                pending += zip(new["us"].tolist(), new["view_id"].tolist(), new["page"].tolist(), new["least"].tolist(), strict=True)
+                for us, no, kind, book, page, least_us in zip(new["us"], new["move_id"], new["kind"], new["book_id"], new["page"], new["least"], strict=True):
+                    waiting.append((int(us), order[kind], int(no), None if kind == "active" else book, None if kind == "active" else int(page), int(least_us)))
         now = state.getCurrentWatermarkMs() * 1000
         out = []
 
-        def spend(us: int) -> None:
-            if last_page >= 0 and open_us.get(last_page) != -1:
-                open_us[last_page] = open_us.get(last_page, 0) + us
-                if open_us[last_page] / 1e6 >= last_least:
-                    out.append((key[0], last_page, open_us[last_page] / 1e6))
-                    open_us[last_page] = -1  # told
-
-        for us, _, page, least in sorted(x for x in pending if x[0] < now):
-            spend(max(0, min(us - last_us, cap)))
-            last_page, last_us, last_least = page, us, least
-        pending = [x for x in pending if x[0] >= now]
-        if last_page >= 0 and last_us + cap <= now:
-            spend(cap)
-            last_page = -1
-        state.update((last_page, last_us, last_least, json.dumps(open_us), json.dumps(pending)))
-        wake = [min(pending)[0]] if pending else []
-        wake += [last_us + cap] if last_page >= 0 else []
+        def run_on(us: int) -> None:
+            """Everything visible gains the active time up to us."""
+            nonlocal upto
+            gain = max(0, min(us, last + cap) - max(upto, last)) if last is not None else 0
+            upto = us
+            for page, (_, need_us) in visible.items() if gain else ():
+                d = dwells.get(page, 0)
+                if d >= 0:
+                    dwells[page] = d + gain
+                    if dwells[page] >= need_us:
+                        out.append((key[0], *page, dwells[page] / 1e6))
+                        dwells[page] = -1  # told
+
+        for us, rank, _, book, page, need_us in sorted((x for x in waiting if x[0] < now), key=lambda x: x[:3]):
+            run_on(us)
+            if rank == 1:
+                last = us
+            elif rank == 2:
+                visible[book, page] = (visible.get((book, page), (0, 0))[0] + 1, need_us)
+            elif (book, page) in visible:
+                n, need_us = visible.pop((book, page))
+                if n > 1:
+                    visible[book, page] = (n - 1, need_us)
+        waiting = [x for x in waiting if x[0] >= now]
+        if visible and last is not None and upto < now:
+            run_on(now)
+        state.update((last, upto, waiting, [(b, p, n, x) for (b, p), (n, x) in visible.items()], [(b, p, d) for (b, p), d in dwells.items()]))
+        wake = [min(waiting)[0]] if waiting else []
+        if visible and last is not None and upto < last + cap:
+            wake.append(min([last + cap, *(upto + max(1, x - dwells.get(p, 0)) for p, (_, x) in visible.items() if dwells.get(p, 0) >= 0)]))
         if wake:
             state.setTimeoutTimestamp(max(min(wake) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         if out:
-            yield pd.DataFrame(out, columns=["learner_id", "page", "dwell_s"])
+            yield pd.DataFrame(out, columns=["learner_id", "book_id", "page", "dwell_s"])
 
-    kept = "page int, us long, least double, dwell string, waiting string"
-    return rows.groupBy("learner_id").applyInPandasWithState(run, "learner_id long, page int, dwell_s double", kept, "append", GroupStateTimeout.EventTimeTimeout)
+    kept = f"last long, upto long, waiting array<struct<us:bigint,kind:int,no:bigint,{row},least:bigint>>, visible array<struct<{row},n:int,least:bigint>>, dwells array<struct<{row},us:bigint>>"
+    return rows.groupBy("learner_id").applyInPandasWithState(run, f"learner_id long, {page_type}, dwell_s double", kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_sessions(views: DataFrame, gap: str = "90 seconds", watermark: str = "1 hour") -> DataFrame:
@@ -72,63 +94,92 @@ def stream_reading_time(increments: DataFrame, watermark: str = "1 day") -> Data
     return rows.groupBy("learner_id", "book_id", F.window("seen", "1 day").alias("w")).agg(F.sum("ms").alias("ms")).select("learner_id", "book_id", F.to_date("w.start").alias("day"), "ms")
 
 
-def stream_card_reviews(reviews: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """The review log without repeats, for card states: write it with upsert_card_states, which folds each card that has new
-    reviews again (srs.replay), so late reviews are put right."""
-    return reviews.withWatermark("review", watermark).dropDuplicatesWithinWatermark(["review_id"])
+def stream_card_states(reviews: DataFrame, watermark: str = "1 hour") -> DataFrame:
+    """The state of each card that has new reviews, as srs.replay has it, in update mode; write it with write_card_states. reviews:
+    learner_id, card_id, review_id, rating, review.
 
+    A card's state is a snapshot of all its reviews behind the watermark, and those that are not yet behind it. Reviews that come late, or
+    twice, within the watermark are put in their place by replaying these few from the snapshot; what a batch reads does not grow with the
+    number of batches before it."""
+    rows = reviews.select(*srs.KEY, "review_id", "rating", "review", F.unix_micros(F.col("review").cast("timestamp")).alias("us")).withWatermark("review", watermark)
 
-#: Parts of the review log by card; a batch reads those again that hold its cards.
-LOG_PARTS = 256
-
-
-def upsert_card_states(log_path: str, states_path: str, parts: int = LOG_PARTS) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: adds the batch to the log, which is partitioned by card, and writes the new state of the batch's cards,
-    a folder for each batch (a batch that runs again replaces its own). Of the log it reads only the parts with cards of the batch."""
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *card, upto, waiting = state.get if state.exists else (*srs.NEW, 0, [])
+        card, held = tuple(card), {tuple(x) for x in waiting}
+        for new in frames:
+            held |= {(us, no, rating) for us, no, rating in zip(new["us"].tolist(), new["review_id"].tolist(), new["rating"].tolist(), strict=True) if us >= upto}
+        upto = max(upto, state.getCurrentWatermarkMs() * 1000)
+        for us, _, rating in sorted(x for x in held if x[0] < upto):
+            card = srs.step_values(card, rating, us)
+        held = sorted(x for x in held if x[0] >= upto)
+        state.update((*card, upto, held))
+        for us, _, rating in held:
+            card = srs.step_values(card, rating, us)
+        yield pd.DataFrame([(*key, *card)], columns=[*srs.KEY, "stability", "difficulty", "state", "reps", "lapses", "last_us", "due_us"])
+
+    out = "learner_id long, card_id long, stability double, difficulty double, state int, reps int, lapses int, last_us long, due_us long"
+    kept = "s double, d double, state int, reps int, lapses int, last long, due long, upto long, waiting array<struct<us:bigint,no:bigint,rating:int>>"
+    cards = rows.groupBy(*srs.KEY).applyInPandasWithState(run, out, kept, "update", GroupStateTimeout.NoTimeout)
+    return cards.select(*srs.KEY, "stability", "difficulty", "state", "reps", "lapses", F.timestamp_micros("last_us").alias("last_review"), F.timestamp_micros("due_us").alias("due"))
+
+
+def write_card_states(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: the states of a batch's cards go to a folder of their own; a batch that runs again replaces it."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        part = F.pmod(F.xxhash64(*srs.KEY), F.lit(parts)).cast("int")
-        batch.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{log_path}/batch={batch_id}")
-        own = spark.read.schema(batch.schema).parquet(f"{log_path}/batch={batch_id}")
-        changed = own.select(*srs.KEY).distinct()
-        touched = [r["part"] for r in changed.select(part.alias("part")).distinct().collect()]  # at most `parts` rows
-        log = spark.read.option("basePath", log_path).parquet(log_path).filter(F.col("part").isin(touched)).select(*batch.columns).dropDuplicates(["review_id"])
-        states = srs.replay(log.join(changed, srs.KEY, "left_semi"))
-        states.write.mode("overwrite").parquet(f"{states_path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
 def latest_states(states: DataFrame) -> DataFrame:
-    """The newest state of each card. states: what upsert_card_states wrote, with its batch column."""
+    """The newest state of each card. states: what write_card_states wrote, with its batch column."""
     rest = [c for c in states.columns if c not in (*srs.KEY, "batch")]
     return states.groupBy(*srs.KEY).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*srs.KEY, "x.*")
 
 
-def stream_units_finished(reads: DataFrame, blocks: DataFrame, done: float = 0.85, watermark: str = "1 hour") -> DataFrame:
-    """learner_id, unit_id, finished_at: told once, when the share of a unit's weight that was read reaches done. reads: learner_id,
-    block_id, seen; blocks: block_id, unit_id, weight (static). State: the blocks read of units not finished."""
+def stream_units_finished(reads: DataFrame, blocks: DataFrame, done: float = 0.85, watermark: str = "1 hour", keep: str = "30 days") -> DataFrame:
+    """learner_id, unit_id, finished_at: told once, when the share of a unit's weight that was read reaches done, with the time of the
+    read that reached it, as units.units_finished has it. reads: learner_id, block_id, seen; blocks: block_id, unit_id, weight (static).
+
+    Reads may come in any order within the watermark: they wait in the state and are taken in time order once they are behind it, those of
+    one moment together. State: the reads that wait, and the blocks read of a unit that is not finished; of a finished one a mark, which
+    goes when nothing was read of it for `keep` of event time, as does the state of a unit that was begun and left for twice as long."""
     total = blocks.groupBy("unit_id").agg(F.sum("weight").alias("total"))
-    rows = reads.join(blocks.select("block_id", "unit_id", "weight"), "block_id").join(total.filter("total > 0"), "unit_id").withWatermark("seen", watermark)
+    rows = reads.join(blocks.select("block_id", "unit_id", "weight"), "block_id").join(total.filter("total > 0"), "unit_id")
+    rows = rows.select("learner_id", "unit_id", "block_id", "weight", "total", "seen", F.unix_micros(F.col("seen").cast("timestamp")).alias("us")).withWatermark("seen", watermark)
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        blocks_read, weight = state.get if state.exists else ([], 0)
-        if weight < 0:
-            return
-        held = set(blocks_read)
-        new = pd.concat(list(frames)).sort_values(["seen", "block_id"])
-        for block, w, all_, seen in zip(new["block_id"], new["weight"], new["total"], new["seen"], strict=True):
-            if block not in held:
-                held.add(int(block))
-                weight += int(w)
-                if weight / all_ >= done:
-                    state.update(([], -1))
-                    yield pd.DataFrame([(key[0], key[1], seen)], columns=["learner_id", "unit_id", "finished_at"])
-                    return
-        state.update((sorted(held), weight))
-
-    return rows.groupBy("learner_id", "unit_id").applyInPandasWithState(run, "learner_id long, unit_id long, finished_at timestamp", "blocks array<long>, weight long", "append", GroupStateTimeout.NoTimeout)
+        waiting, held, weight, all_ = state.get if state.exists else ([], [], 0, 0)
+        waiting, mark = [tuple(x) for x in waiting], state.getCurrentWatermarkMs()
+        if state.hasTimedOut:
+            if not waiting:
+                state.remove()
+                return
+        else:
+            for new in frames:
+                waiting += zip(new["us"].tolist(), new["block_id"].tolist(), new["weight"].tolist(), strict=True)
+                all_ = int(new["total"].iloc[0])
+        read, told = set(held), None
+        if weight >= 0:
+            ready = sorted(x for x in waiting if x[0] < mark * 1000)
+            for at, (us, block, w) in enumerate(ready):
+                if block not in read:
+                    read.add(block)
+                    weight += w
+                if (at + 1 == len(ready) or ready[at + 1][0] > us) and weight / all_ >= done:
+                    told, read, weight = us, set(), -1
+                    break
+        waiting = [x for x in waiting if x[0] >= mark * 1000] if weight >= 0 else []
+        state.update((waiting, sorted(read), weight, all_))
+        state.setTimeoutTimestamp(max(min(waiting)[0] // 1000 + 1, mark + 1) if waiting else mark + keep_ms * (1 if weight < 0 else 2))
+        if told is not None:
+            yield pd.DataFrame({"learner_id": [key[0]], "unit_id": [key[1]], "finished_us": [told]})
+
+    kept = "waiting array<struct<us:bigint,block:bigint,weight:bigint>>, held array<long>, weight long, total long"
+    out = rows.groupBy("learner_id", "unit_id").applyInPandasWithState(run, "learner_id long, unit_id long, finished_us long", kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select("learner_id", "unit_id", F.timestamp_micros("finished_us").alias("finished_at"))
 
 
 def stream_review_load(reviews: DataFrame, watermark: str = "1 day") -> DataFrame:
