@@ -57,36 +57,57 @@ def block_words(blocks: DataFrame) -> DataFrame:
     return blocks.filter(~F.col("type").isin(*NOT_PROSE)).select("block_id", "unit_id", "book_id", X.term_words(F.col("text")).alias("w")).filter("size(w) > 0")
 
 
+def _pairs(w: Column) -> Column:
+    """The neighbours in a list of words, each two joined."""
+    return F.zip_with(F.slice(w, 1, F.greatest(F.lit(0), F.size(w) - 1)), F.slice(w, 2, F.size(w)), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def _anchors(terms: DataFrame, words: DataFrame) -> DataFrame:
-    """key, word, off, n: each term at its rarest word in words (the first of equals) and that word's place in the term. Terms with a word
-    that never occurs are left out."""
-    parts = terms.select("key").distinct().withColumn("t", F.split("key", " "))
-    one = parts.filter("size(t) = 1").select("key", F.col("key").alias("word"), F.lit(0).alias("off"), F.lit(1).alias("n"))
-    each = parts.filter("size(t) > 1").select("key", F.size("t").alias("n"), F.posexplode("t").alias("off", "word"))
-    often = words.select(F.explode("w").alias("word")).join(each.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    """key, word, off, n: where each term meets the text: a word alone and two words as they are, a longer term at its rarest pair of
+    neighbours in words (the first of equals), off words into it. Terms with a pair that never occurs are left out."""
+    parts = terms.select("key").distinct().withColumn("t", F.split("key", " ")).withColumn("n", F.size("t"))
+    short = parts.filter("n <= 2").select("key", F.col("key").alias("word"), F.lit(0).alias("off"), "n")
+    each = parts.filter("n > 2").select("key", "n", F.posexplode(_pairs(F.col("t"))).alias("off", "word"))
+    often = words.select(F.explode(_pairs(F.col("w"))).alias("word")).join(each.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("often"))
     best = each.join(often, "word", "left").groupBy("key", "n").agg(F.min_by(F.struct("word", "off"), F.struct("often", "off")).alias("x"), F.count("often").alias("known"))
-    return one.unionByName(best.filter("known = n").select("key", "x.word", "x.off", "n"))
+    return short.unionByName(best.filter("known = n - 1").select("key", "x.word", "x.off", "n"))
 
 
 def find_mentions(blocks: DataFrame | None, terms: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """Key, block_id, unit_id, book_id, count: leftmost longest mentions that do not overlap. blocks: block_id, unit_id, book_id,
     type, text, or words: what block_words makes of them; terms: key.
 
-    A term meets the text at its rarest word only: an equi-join of words, which is a broadcast while the terms are few. Places where a
-    term of several words may stand are held against their block's words; then one pass over a block's hits, in order of place and with
-    the longest first, drops what overlaps an earlier one."""
+    A term meets the text at one place, its word, its two words or its rarest pair: an equi-join with the text's words and pairs, which is a
+    broadcast while the terms are few. (At single rare words, a word with many companions would make a row for each of them.) Places where
+    a term of three words or more may stand are held against their block's words; then one pass over a block's hits, in order of place and
+    with the longest first, drops what overlaps an earlier one."""
     words = block_words(blocks) if words is None else words
-    near = words.select("block_id", F.posexplode("w").alias("at", "word")).join(_anchors(terms, words), "word")
-    near = near.select("block_id", F.struct((F.col("at") - F.col("off")).alias("at"), (-F.col("n")).alias("m"), "key").alias("hit")).filter("hit.at >= 0")
-    listed = words.join(near.groupBy("block_id").agg(F.collect_list("hit").alias("hits")), "block_id")
-    there = lambda h: (h["m"] == -1) | (F.array_join(F.slice("w", h["at"] + 1, -h["m"]), " ") == h["key"])
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("keys"))
-    step = lambda acc, h: F.when(h["at"] >= acc["end"], F.struct((h["at"] - h["m"]).alias("end"), F.array_append(acc["keys"], h["key"]).alias("keys"))).otherwise(acc)
-    taken = F.aggregate(F.array_sort(F.filter("hits", there)), start, step, lambda acc: acc["keys"])
-    keys = listed.select("block_id", "unit_id", "book_id", F.explode(taken).alias("key"))
+    placed = lambda x: F.transform(x, lambda y, i: F.struct(i.alias("at"), y.alias("word")))
+    near = words.select("block_id", F.explode(F.concat(placed(F.col("w")), placed(_pairs(F.col("w"))))).alias("x")).select("block_id", "x.*").join(_anchors(terms, words), "word")
+    # a hit is one number: its place, then its length, the longest first; what words it has is in the block
+    code = (F.col("at") - F.col("off")).cast("long") * SPAN + (SPAN - F.col("n"))
+    near = near.select("block_id", code.alias("code"), "n", "key").filter("code >= 0")
+    hits = near.groupBy("block_id").agg(F.collect_list(F.when(F.col("n") <= 2, F.col("code"))).alias("one"), F.collect_list(F.when(F.col("n") > 2, F.struct("code", "key"))).alias("more"))
+    listed = words.join(hits, "block_id")
+    at, n = lambda c: F.floor(c / SPAN).cast("int"), lambda c: (SPAN - c % SPAN).cast("int")
+    there = F.filter("more", lambda h: F.array_join(F.slice("w", at(h["code"]) + 1, n(h["code"])), " ") == h["key"])
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<bigint>").alias("codes"))
+    taken = F.aggregate(F.array_sort(F.concat("one", F.transform(there, lambda h: h["code"]))), start, _take, lambda acc: acc["codes"])
+    key = lambda c: F.array_join(F.slice("w", at(c) + 1, n(c)), " ")
+    keys = listed.select("block_id", "unit_id", "book_id", F.explode(F.transform(taken, key)).alias("key"))
     return keys.groupBy("key", "block_id", "unit_id", "book_id").agg(F.count(F.lit(1)).alias("count"))
 
 
+#: More words than a term has.
+SPAN = 64
+
+
+def _take(acc: Column, code: Column) -> Column:
+    """acc (end, as the least code that does not overlap; codes) with a hit, if it starts behind the last one's end."""
+    end = (F.floor(code / SPAN) + SPAN - code % SPAN).cast("long") * SPAN
+    return F.when(code >= acc["end"], F.struct(end.alias("end"), F.array_append(acc["codes"], code).alias("codes"))).otherwise(acc)
+
+
 def terms_used(definitions: DataFrame, terms: DataFrame) -> DataFrame:
     """book_id, key, used: the terms that stand in the sentence that defines a term (C9, C13). definitions: book_id, key, sentence."""
     said = definitions.select(F.struct("book_id", "key").alias("block_id"), F.lit(0).alias("unit_id"), "book_id", F.lit("paragraph").alias("type"), F.col("sentence").alias("text"))
