@@ -94,7 +94,8 @@ def delete_rows(tables: dict[str, DataFrame], gone: dict[str, DataFrame]) -> dic
             edges.append((key, gone[name].select(key).distinct()))
         if not edges:
             continue
-        lost = [df.join(keys, column, "left_semi").select(key) for column, keys in edges] if key else []
+        pointed_to = any(parent == name and child in tables for child, _, parent in FOREIGN_KEYS)
+        lost = [df.join(keys, column, "left_semi").select(key) for column, keys in edges] if pointed_to else []
         for column, keys in edges:
             df = df.join(keys, column, "left_anti")
         out[name] = df.select(tables[name].columns)
