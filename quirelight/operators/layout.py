@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dice, norm_key, title_tokens
 
+# Patterns of lines, as the semantics define them.
 BULLET = r"^([•◦▪▫‣⁃●○■□►▸–—·∙∗*])\s+"
 ENUMERATOR = r"^(\(?(?:\d{1,2}|[a-z]|[ivx]{1,4})[.)])\s+(?=\S)"
 CAPTION = r"(?i)^(fig(?:ure)?|table|tab\.|exhibit|chart|diagram|plate|illustration|listing|graph|map|photo)\.?\s*[\dA-Z]"
@@ -22,6 +23,7 @@ HEADING_LABEL = (
     r"|\d+(?:\.\d+)*\.?|[A-Z]\.\d+(?:\.\d+)*\.?|\d+[A-Z]|[IVXLC]+\.)\s+(.+)$"
 )
 PAGE_NUMBER = r"(?i)^(page\s+)?(\d{1,4}|[ivxlcdm]{1,7})(\s+of\s+\d+)?$"
+# End of fixed values.
 
 
 def _lower_percentile(values: Column, p: float) -> Column:
