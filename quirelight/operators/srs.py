@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.local import ZONES_APART, local_midnight, with_zone
 from ..functions.text import bound
 
 # The published default weights of FSRS-6.
@@ -147,10 +148,16 @@ def due_cards(cards: DataFrame, as_of: Column, limit: int = 200) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w) - 1).filter(F.col("place") < limit)
 
 
-def fresh_cards(cards: DataFrame, review_log: DataFrame, as_of: Column, per_day: int = NEW_PER_DAY) -> DataFrame:
-    """New cards for today, place from 0: the allowance less the cards first seen today, by unit and id."""
-    today = F.date_trunc("day", as_of)
-    first = review_log.groupBy(*KEY).agg(F.min("review").alias("first")).filter((F.col("first") >= today) & (F.col("first") <= as_of))
+def _today(rows: DataFrame, at: str, as_of: Column, zones: DataFrame | None) -> DataFrame:
+    """The rows whose moment `at` lies in the learner's day, up to as_of. What is older than any day goes before zones are looked up."""
+    near = rows.filter((F.col(at) <= as_of) & (F.col(at) > as_of - F.expr(f"INTERVAL {ZONES_APART}")))
+    return with_zone(near, zones).filter(F.col(at) >= local_midnight(as_of, F.col("_tz"))).drop("_tz")
+
+
+def fresh_cards(cards: DataFrame, review_log: DataFrame, as_of: Column, per_day: int = NEW_PER_DAY, zones: DataFrame | None = None) -> DataFrame:
+    """New cards for today, place from 0: the allowance less the cards first seen in the learner's day, by unit and id. zones:
+    learner_id, tz."""
+    first = _today(review_log.groupBy(*KEY).agg(F.min("review").alias("first")), "first", as_of, zones)
     begun = first.groupBy("learner_id").agg(F.count(F.lit(1)).alias("begun"))
     w = Window.partitionBy("learner_id").orderBy("unit_id", "card_id")
     rows = cards.filter((F.col("status") == "active") & (F.col("state") == 0)).withColumn("place", F.row_number().over(w) - 1)
@@ -170,8 +177,9 @@ def review_queue(due: DataFrame, fresh: DataFrame, limit: int = 200) -> DataFram
     return out.select("learner_id", "queue", "card_id", "is_new", "n_due", "n_new")
 
 
-def card_stats(cards: DataFrame, review_log: DataFrame, as_of: Column) -> DataFrame:
-    """One row per learner: cards in all, active, pending, due, new; reviews today; mean chance to recall."""
+def card_stats(cards: DataFrame, review_log: DataFrame, as_of: Column, zones: DataFrame | None = None) -> DataFrame:
+    """One row per learner: cards in all, active, pending, due, new; reviews in the learner's day; mean chance to recall. zones:
+    learner_id, tz."""
     one = lambda c: F.count(F.when(c, 1))
     active, new = F.col("status") == "active", F.col("state") == 0
     recall = retrievability(F.col("stability"), F.col("state"), F.col("last_review"), as_of)
@@ -179,15 +187,16 @@ def card_stats(cards: DataFrame, review_log: DataFrame, as_of: Column) -> DataFr
         F.count(F.lit(1)).alias("total"), one(active).alias("active"), one(F.col("status") == "pending").alias("pending"), one(active & ~new & (F.col("due") <= as_of)).alias("due"),
         one(active & new).alias("new"), F.avg(F.when(active, recall)).alias("retention"),
     )
-    today = F.date_trunc("day", as_of)
-    done = review_log.filter((F.col("review") >= today) & (F.col("review") <= as_of)).groupBy("learner_id").agg(F.count(F.lit(1)).alias("today"))
+    done = _today(review_log, "review", as_of, zones).groupBy("learner_id").agg(F.count(F.lit(1)).alias("today"))
     return out.join(done, "learner_id", "left").fillna(0, ["today"])
 
 
-def due_forecast(cards: DataFrame, as_of: Column, days: int = 14) -> DataFrame:
-    """learner_id, day (0 is today, with what is overdue), n: active reviews due on each of so many days, with zeros."""
-    day = F.greatest(F.lit(0), F.datediff("due", F.date_trunc("day", as_of)))
-    counts = cards.filter("status = 'active' and state <> 0").groupBy("learner_id", day.alias("day")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("day") < days)
+def due_forecast(cards: DataFrame, as_of: Column, days: int = 14, zones: DataFrame | None = None) -> DataFrame:
+    """learner_id, day (0 is today, with what is overdue), n: active reviews due on each of so many days, with zeros. Days are spans of
+    24 hours from the learner's last midnight, so that all of them are as long. zones: learner_id, tz."""
+    midnight = F.unix_micros(local_midnight(as_of, F.col("_tz")))
+    day = F.greatest(F.lit(0), F.floor((F.unix_micros("due") - midnight) / DAY)).cast("int")
+    counts = with_zone(cards.filter("status = 'active' and state <> 0"), zones).groupBy("learner_id", day.alias("day")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("day") < days)
     grid = cards.select("learner_id").distinct().select("learner_id", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("day"))
     return grid.join(counts, ["learner_id", "day"], "left").fillna(0, ["n"])
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.local import local_time, with_zone
+
 READABLE = ("body", "exercises")
 DONE = 0.85
 
@@ -91,6 +93,13 @@ def default_sections(blocks: DataFrame, sections: DataFrame, run: int = 15) -> D
     return front.unionByName(pages.select("book_id", titled.alias("title"), F.lit("body").alias("kind"), "page", "block_ord"))
 
 
+def block_weight(kind: Column, text: Column) -> Column:
+    """How much reading a block is: what is drawn counts as 60 characters, notes and captions half, headings nothing. No text: null,
+    but where the kind decides."""
+    n = F.length(text)
+    return F.when(kind.isin("figure", "table", "equation"), 60).when(kind.isin("footnote", "caption"), F.round(n / 2.0)).when(kind == "heading", 0).otherwise(n).cast("int")
+
+
 def unit_weights(blocks: DataFrame, units: DataFrame) -> DataFrame:
     """U8: unit_id, weight: how much reading a unit is."""
     return units.select("unit_id").join(blocks.groupBy("unit_id").agg(F.sum("weight").alias("weight")), "unit_id", "left").fillna(0, ["weight"])
@@ -157,14 +166,30 @@ def section_progress(units: DataFrame, reads: DataFrame, blocks: DataFrame) -> D
     return rows.select("learner_id", "book_id", "unit_id", "kind", _fraction(0.0).alias("fraction"))
 
 
-def units_finished(reads: DataFrame, blocks: DataFrame, done: float = DONE) -> DataFrame:
-    """learner_id, unit_id, finished_at: when the read share first reached done. reads: one row for each learner and block."""
+def _shares(reads: DataFrame, blocks: DataFrame) -> DataFrame:
+    """learner_id, unit_id, seen, was, share: the read share before and after each moment of reading; units without weight have none."""
     total = blocks.groupBy("unit_id").agg(F.sum("weight").alias("weight"))
     rows = reads.select("learner_id", "block_id", "seen").join(blocks.select("block_id", "unit_id", F.col("weight").alias("w")), "block_id")
     at = rows.groupBy("learner_id", "unit_id", "seen").agg(F.sum("w").alias("w"))
     so_far = F.sum("w").over(Window.partitionBy("learner_id", "unit_id").orderBy("seen"))
     share = at.withColumn("so_far", so_far).join(total.filter("weight > 0"), "unit_id")
-    return share.filter(F.col("so_far") / F.col("weight") >= done).groupBy("learner_id", "unit_id").agg(F.min("seen").alias("finished_at"))
+    part = lambda x: F.least(F.lit(1.0), x / F.col("weight"))
+    return share.select("learner_id", "unit_id", "seen", part(F.col("so_far") - F.col("w")).alias("was"), part(F.col("so_far")).alias("share"))
+
+
+def units_finished(reads: DataFrame, blocks: DataFrame, done: float = DONE) -> DataFrame:
+    """learner_id, unit_id, finished_at: when the read share first reached done. reads: one row for each learner and block."""
+    return _shares(reads, blocks).filter(F.col("share") >= done).groupBy("learner_id", "unit_id").agg(F.min("seen").alias("finished_at"))
+
+
+def progress_steps(reads: DataFrame, blocks: DataFrame, done: float = DONE, steps: int = 20) -> DataFrame:
+    """learner_id, unit_id, seen, step, finished: the moments at which a unit's read share enters another of so many steps (each
+    5 %), with the step it is in from then on, and whether it is there that it reached done; a moment that finishes a unit without a new
+    step counts too. reads: as in units_finished."""
+    step = lambda x: F.floor(x * steps).cast("int")
+    ends = (F.col("was") < done) & (F.col("share") >= done)
+    rows = _shares(reads, blocks).filter((step(F.col("was")) != step(F.col("share"))) | ends)
+    return rows.select("learner_id", "unit_id", "seen", step(F.col("share")).alias("step"), ends.alias("finished"))
 
 
 def unlock_cards(cards: DataFrame, finished: DataFrame) -> DataFrame:
@@ -174,20 +199,25 @@ def unlock_cards(cards: DataFrame, finished: DataFrame) -> DataFrame:
     return rows.withColumn("due", F.when(unlocks, F.col("finished_at")).otherwise(F.col("due"))).withColumn("status", F.when(unlocks, "active").otherwise(F.col("status"))).drop("finished_at")
 
 
-def library(units: DataFrame, blocks: DataFrame, reads: DataFrame, time: DataFrame, cards: DataFrame, as_of: Column) -> DataFrame:
-    """One row for each learner and book begun: read fraction, cards due and in all, units, reading time, last read. Each figure
-    is one aggregate, joined by key."""
+def library(shelf: DataFrame, units: DataFrame, blocks: DataFrame, reads: DataFrame, time: DataFrame, cards: DataFrame, concept_books: DataFrame, as_of: Column) -> DataFrame:
+    """One row for each learner and book of the shelf: read fraction, cards due and in all, concepts, units, reading time, and its
+    place from 0, the book opened last first (one never opened stands where it was added). shelf: learner_id, book_id, added, opened (null:
+    never), status; concept_books: key, book_id. Each figure is one aggregate, joined by key."""
     key = ["learner_id", "book_id"]
     readable = units.filter(F.col("kind").isin(*READABLE)).select("unit_id")
     weight = book_weights(blocks, units)
-    n_units = units.groupBy("book_id").agg(F.count(F.lit(1)).alias("n_units"))
-    rows = reads.select("learner_id", "block_id", "seen").join(blocks.select("block_id", "book_id", "unit_id", "weight"), "block_id")
-    last = rows.groupBy(*key).agg(F.max("seen").alias("opened"))
+    n_units = units.groupBy("book_id").agg(F.count(F.lit(1)).alias("units"))
+    n_concepts = concept_books.groupBy("book_id").agg(F.count_distinct("key").alias("concepts"))
+    rows = reads.select("learner_id", "block_id").join(blocks.select("block_id", "book_id", "unit_id", "weight"), "block_id")
     read = rows.join(readable, "unit_id", "left_semi").groupBy(*key).agg(F.sum("weight").alias("read_weight"))
     held = cards.groupBy(*key).agg(F.count(F.lit(1)).alias("cards"), F.count(F.when((F.col("status") == "active") & (F.col("due") <= as_of), 1)).alias("due"))
     spent = time.groupBy(*key).agg(F.sum("ms").alias("ms"))
-    out = reduce(lambda a, b: a.join(b, key, "left"), [read, held, spent], last).join(weight, "book_id", "left").join(n_units, "book_id", "left")
-    return out.select(*key, "opened", _fraction(0.0).alias("fraction"), F.coalesce("cards", F.lit(0)).alias("cards"), F.coalesce("due", F.lit(0)).alias("due"), "n_units", F.coalesce("ms", F.lit(0)).alias("ms"))
+    base = shelf.select(*key, "added", "opened", "status")
+    out = reduce(lambda a, b: a.join(b, key, "left"), [read, held, spent], base)
+    out = reduce(lambda a, b: a.join(b, "book_id", "left"), [weight, n_units, n_concepts], out)
+    place = F.row_number().over(Window.partitionBy("learner_id").orderBy(F.desc(F.coalesce("opened", "added")), "book_id")) - 1
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("cards", "due", "concepts", "units", "ms")]
+    return out.select(*key, place.alias("place"), "added", "opened", "status", _fraction(0.0).alias("fraction"), *counts)
 
 
 def library_totals(shelf: DataFrame) -> DataFrame:
@@ -196,8 +226,9 @@ def library_totals(shelf: DataFrame) -> DataFrame:
 
 
 def continue_reading(shelf: DataFrame) -> DataFrame:
-    """The book opened last."""
-    return shelf.groupBy("learner_id").agg(F.max_by("book_id", F.struct("opened", "book_id")).alias("book_id"))
+    """The book opened last of those that are ready; no row for a learner who has none."""
+    ready = shelf.filter("status = 'ready' and opened is not null")
+    return ready.groupBy("learner_id").agg(F.min_by("book_id", "place").alias("book_id"))
 
 
 def pages_read(page_reads: DataFrame, reads: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -208,9 +239,10 @@ def pages_read(page_reads: DataFrame, reads: DataFrame, blocks: DataFrame) -> Da
     return page_reads.select("learner_id", "unit_id", "page").union(whole).distinct()
 
 
-def reading_time(increments: DataFrame) -> DataFrame:
-    """Ms per learner, book and day; increments that are not positive or over an hour are refused."""
-    return increments.filter("ms > 0 and ms <= 3600000").groupBy("learner_id", "book_id", F.to_date("seen").alias("day")).agg(F.sum("ms").alias("ms"))
+def reading_time(increments: DataFrame, zones: DataFrame | None = None) -> DataFrame:
+    """Ms per learner, book and local day; increments that are not positive or over an hour are refused. zones: learner_id, tz."""
+    rows = with_zone(increments.filter("ms > 0 and ms <= 3600000"), zones)
+    return rows.groupBy("learner_id", "book_id", F.to_date(local_time("seen", F.col("_tz"))).alias("day")).agg(F.sum("ms").alias("ms"))
 
 
 def least_dwell(chars: Column) -> Column:

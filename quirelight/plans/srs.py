@@ -46,7 +46,7 @@ def _due(spark, d):
 
 
 def _fresh(spark, d):
-    return R.fresh_cards(states(spark, d), X.reviews(spark, d), _as_of(), per_day=5)
+    return R.fresh_cards(states(spark, d), X.reviews(spark, d), _as_of(), per_day=5, zones=X.zones(spark, d))
 
 
 def r11(spark, d):
@@ -64,8 +64,8 @@ QUERIES = {
     "r6_due_cards": lambda spark, d: _due(spark, d).select("learner_id", "place", "card_id"),
     "r7_fresh_cards": lambda spark, d: _fresh(spark, d).select("learner_id", "place", "card_id"),
     "r8_review_queue": lambda spark, d: R.review_queue(_due(spark, d), _fresh(spark, d), limit=20),
-    "r9_card_stats": lambda spark, d: _round(R.card_stats(states(spark, d), X.reviews(spark, d), _as_of()), "retention"),
-    "r10_due_forecast": lambda spark, d: R.due_forecast(states(spark, d), _as_of()),
+    "r9_card_stats": lambda spark, d: _round(R.card_stats(states(spark, d), X.reviews(spark, d), _as_of(), X.zones(spark, d)), "retention"),
+    "r10_due_forecast": lambda spark, d: R.due_forecast(states(spark, d), _as_of(), zones=X.zones(spark, d)),
     "r11_create_cards": r11,
     "r13_review_durations": lambda spark, d: _round(R.review_durations(X.reviews(spark, d)), "mean_ms"),
 }
@@ -115,7 +115,8 @@ _ALL = {
     **fold(),
     "cs": """SELECT *, CASE WHEN card_id % 3 = 0 THEN 'pending' ELSE 'active' END AS status, card_id % 7 AS unit_id FROM (SELECT * FROM st UNION ALL BY NAME SELECT learner_id, unnest(range(100, 110)) AS card_id, 0 AS state FROM (SELECT DISTINCT learner_id FROM st))""",
     "du": f"SELECT learner_id, card_id, row_number() OVER (PARTITION BY learner_id ORDER BY CAST(state = 2 AS INTEGER), due, card_id) - 1 AS place FROM cs WHERE status = 'active' AND state <> 0 AND due <= {AS_OF}",
-    "bg": f"SELECT learner_id, count(*) AS begun FROM (SELECT learner_id, card_id, min(review) AS f FROM reviews GROUP BY ALL) WHERE f >= date_trunc('day', {AS_OF}) AND f <= {AS_OF} GROUP BY learner_id",
+    "mid": f"SELECT learner_id, (date_trunc('day', ({AS_OF} AT TIME ZONE 'UTC') AT TIME ZONE tz) AT TIME ZONE tz) AT TIME ZONE 'UTC' AS midnight FROM zones",
+    "bg": f"SELECT learner_id, count(*) AS begun FROM (SELECT learner_id, card_id, min(review) AS f FROM reviews GROUP BY ALL) JOIN mid USING (learner_id) WHERE f >= midnight AND f <= {AS_OF} GROUP BY learner_id",
     "fr": "SELECT learner_id, card_id, place FROM (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY unit_id, card_id) - 1 AS place FROM cs WHERE status = 'active' AND state = 0) LEFT JOIN bg USING (learner_id) WHERE place < 5 - coalesce(begun, 0)",
 }
 _STATES = "SELECT learner_id, card_id, round(stability, 6) AS stability, round(difficulty, 6) AS difficulty, state, reps, lapses, last_review, due FROM st"
@@ -138,23 +139,23 @@ ORACLE = {
         "reviews",
         more={**fold(), "p": sql_step(f"(SELECT learner_id, card_id, unnest([1, 2, 3, 4]) AS rating, stability AS s, difficulty AS d, state, reps, lapses, epoch_us(last_review) AS last, epoch_us({AS_OF}) AS at_ FROM st)", "learner_id, card_id, rating")},
     ),
-    "r6_due_cards": sql("SELECT learner_id, CAST(place AS INTEGER) AS place, card_id FROM du WHERE place < 200", "reviews", more=_ALL),
-    "r7_fresh_cards": sql("SELECT learner_id, CAST(place AS INTEGER) AS place, card_id FROM fr", "reviews", more=_ALL),
+    "r6_due_cards": sql("SELECT learner_id, CAST(place AS INTEGER) AS place, card_id FROM du WHERE place < 200", "reviews", "zones", more=_ALL),
+    "r7_fresh_cards": sql("SELECT learner_id, CAST(place AS INTEGER) AS place, card_id FROM fr", "reviews", "zones", more=_ALL),
     "r8_review_queue": sql(
         """SELECT learner_id, CAST(queue AS INTEGER) AS queue, card_id, is_new, n_due, n_new FROM (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY pos, is_new, place) - 1 AS queue FROM (
  SELECT *, CASE WHEN NOT is_new THEN place WHEN (place + 1) * gap <= n_due THEN (place + 1) * gap - 1 ELSE 4611686018427387904 END AS pos FROM (SELECT *, greatest(1, n_due // greatest(1, n_new)) AS gap FROM bo JOIN (SELECT learner_id, count(*) FILTER (WHERE NOT is_new) AS n_due, count(*) FILTER (WHERE is_new) AS n_new FROM bo GROUP BY 1) USING (learner_id)))) WHERE queue < 20""",
-        "reviews",
+        "reviews", "zones",
         more={**_ALL, "bo": "SELECT learner_id, card_id, place, false AS is_new FROM du WHERE place < 200 UNION ALL SELECT learner_id, card_id, place, true FROM fr"},
     ),
     "r9_card_stats": sql(
         f"""SELECT learner_id, count(*) AS total, count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'active' AND state <> 0 AND due <= {AS_OF}) AS due,
- count(*) FILTER (WHERE status = 'active' AND state = 0) AS new, round(avg(CASE WHEN status = 'active' AND state <> 0 THEN {_RECALL} END), 6) AS retention, coalesce(any_value(n), 0) AS today FROM cs LEFT JOIN (SELECT learner_id, count(*) AS n FROM reviews WHERE review >= date_trunc('day', {AS_OF}) AND review <= {AS_OF} GROUP BY 1) USING (learner_id) GROUP BY learner_id""",
-        "reviews",
+ count(*) FILTER (WHERE status = 'active' AND state = 0) AS new, round(avg(CASE WHEN status = 'active' AND state <> 0 THEN {_RECALL} END), 6) AS retention, coalesce(any_value(n), 0) AS today FROM cs LEFT JOIN (SELECT learner_id, count(*) AS n FROM reviews JOIN mid USING (learner_id) WHERE review >= midnight AND review <= {AS_OF} GROUP BY 1) USING (learner_id) GROUP BY learner_id""",
+        "reviews", "zones",
         more=_ALL,
     ),
     "r10_due_forecast": sql(
-        f"SELECT learner_id, CAST(day AS INTEGER) AS day, coalesce(n, 0) AS n FROM (SELECT learner_id, unnest(range(14)) AS day FROM (SELECT DISTINCT learner_id FROM cs)) LEFT JOIN (SELECT learner_id, greatest(0, datediff('day', {AS_OF}, due)) AS day, count(*) AS n FROM cs WHERE status = 'active' AND state <> 0 GROUP BY ALL) USING (learner_id, day)",
-        "reviews",
+        "SELECT learner_id, CAST(day AS INTEGER) AS day, coalesce(n, 0) AS n FROM (SELECT learner_id, unnest(range(14)) AS day FROM (SELECT DISTINCT learner_id FROM cs)) LEFT JOIN (SELECT learner_id, greatest(0, CAST(floor((epoch_us(due) - epoch_us(midnight)) / 86400000000) AS BIGINT)) AS day, count(*) AS n FROM cs JOIN mid USING (learner_id) WHERE status = 'active' AND state <> 0 GROUP BY ALL) USING (learner_id, day)",
+        "reviews", "zones",
         more=_ALL,
     ),
     "r11_create_cards": sql(

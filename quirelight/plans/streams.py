@@ -67,7 +67,7 @@ def x2(spark, d):
 def x3(spark, d):
     at = new_folder(spark)
     rows = X.page_reads(spark, d).join(X.units(spark, d).select("unit_id", "book_id"), "unit_id").select("learner_id", "book_id", "seen", F.col("dwell_ms").alias("ms"))
-    return _drain(spark, S.stream_reading_time(_source(spark, rows, at, "seen")), at)
+    return _drain(spark, S.stream_reading_time(_source(spark, rows, at, "seen"), zones=X.zones(spark, d)), at)
 
 
 def x4(spark, d):
@@ -100,7 +100,7 @@ from .units import _DONE, dwell  # noqa: E402
 ORACLE = {
     "x1_page_reads": None,
     "x2_sessions": "SELECT learner_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS \"end\", count(*) AS views FROM (SELECT learner_id, ts, sum(g) OVER (PARTITION BY learner_id ORDER BY ts, event_id) AS s FROM (SELECT user_id AS learner_id, ts, event_id, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS g FROM events)) GROUP BY learner_id, s HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
-    "x3_reading_time": sql("SELECT * FROM rt WHERE day + INTERVAL 1 DAY <= (SELECT max(seen) - INTERVAL 1 DAY FROM page_reads WHERE dwell_ms > 0 AND dwell_ms <= 3600000)", "page_reads", "units", more=_TIME),
+    "x3_reading_time": sql("SELECT * FROM rt WHERE day + INTERVAL 1 DAY <= (SELECT max((seen AT TIME ZONE 'UTC') AT TIME ZONE tz) - INTERVAL 50 HOUR FROM times JOIN zones USING (learner_id) WHERE ms > 0 AND ms <= 3600000)", "page_reads", "units", "zones", more=_TIME),
     "x4_card_state": sql(_STATES, "reviews", more=fold()),
     "x5_units_finished": sql("SELECT * FROM done WHERE epoch_us(finished_at) < (SELECT epoch_us(max(seen)) // 1000 * 1000 - 3600000000 FROM reads)", "reads", more=_DONE),
     "x6_review_load": sql("SELECT learner_id, CAST(day AS DATE) AS day, count(*) AS n, round(avg(CAST(rating > 1 AS INTEGER)), 6) AS kept FROM (SELECT *, unnest(range(date_trunc('day', review) - INTERVAL 6 DAY, date_trunc('day', review) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day FROM reviews) WHERE day + INTERVAL 7 DAY <= (SELECT max(review) - INTERVAL 1 DAY FROM reviews) GROUP BY ALL", "reviews"),

@@ -85,13 +85,19 @@ def _time(spark, d):
 
 
 def _library(spark, d):
-    return U.library(X.units(spark, d), X.blocks(spark, d), X.reads(spark, d), U.reading_time(_time(spark, d)), X.cards(spark, d), _as_of())
+    time = U.reading_time(_time(spark, d), X.zones(spark, d))
+    return U.library(X.shelf(spark, d), X.units(spark, d), X.blocks(spark, d), X.reads(spark, d), time, X.cards(spark, d), X.concept_books(spark, d), _as_of())
 
 
 def u17(spark, d):
     return _library(spark, d).withColumn("fraction", F.round("fraction", 9))
 
 
+def u18(spark, d):
+    shelf = _library(spark, d)
+    return U.library_totals(shelf).join(U.continue_reading(shelf), "learner_id", "left")
+
+
 def _shows(spark, d):
     """Views open two pages side by side, until the learner's next view, the last for two hours; all events are activity."""
     e = X.table(spark, d, "events")
@@ -137,11 +143,12 @@ QUERIES = {
     "u13_unit_progress": lambda spark, d: U.unit_progress(X.reads(spark, d), X.blocks(spark, d), X.units(spark, d)).withColumn("fraction", F.round("fraction", 9)),
     "u14_section_progress": lambda spark, d: U.section_progress(X.units(spark, d), X.reads(spark, d), X.blocks(spark, d)).withColumn("fraction", F.round("fraction", 9)),
     "u15_units_finished": lambda spark, d: U.units_finished(X.reads(spark, d), X.blocks(spark, d)),
+    "u15_progress_steps": lambda spark, d: U.progress_steps(X.reads(spark, d), X.blocks(spark, d)),
     "u16_unlock_cards": u16,
     "u17_library": u17,
-    "u18_library_totals": lambda spark, d: U.library_totals(_library(spark, d)).join(U.continue_reading(_library(spark, d)), "learner_id"),
+    "u18_library_totals": u18,
     "u19_pages_read": lambda spark, d: U.pages_read(X.page_reads(spark, d), X.reads(spark, d), X.blocks(spark, d)),
-    "u20_reading_time": lambda spark, d: U.reading_time(_time(spark, d)),
+    "u20_reading_time": lambda spark, d: U.reading_time(_time(spark, d), X.zones(spark, d)),
     "u21_page_dwell": u21,
     "u24_resume_page": u24,
 }
@@ -182,13 +189,14 @@ _DWELL = {
 def dwell(end: str = "9000000000000000000", scale: int = 1) -> dict[str, str]:
     return {k: v.replace("{end}", end).replace("{scale}", str(scale)) for k, v in _DWELL.items()}
 
-_TIME = {"times": "SELECT learner_id, book_id, seen, dwell_ms AS ms FROM page_reads JOIN units USING (unit_id)", "rt": "SELECT learner_id, book_id, CAST(seen AS DATE) AS day, CAST(sum(ms) AS BIGINT) AS ms FROM times WHERE ms > 0 AND ms <= 3600000 GROUP BY ALL"}
+_TIME = {"times": "SELECT learner_id, book_id, seen, dwell_ms AS ms FROM page_reads JOIN units USING (unit_id)", "rt": "SELECT learner_id, book_id, CAST((seen AT TIME ZONE 'UTC') AT TIME ZONE tz AS DATE) AS day, CAST(sum(ms) AS BIGINT) AS ms FROM times JOIN zones USING (learner_id) WHERE ms > 0 AND ms <= 3600000 GROUP BY ALL"}
 _SHELF = {
     **_TIME,
     "bw": "SELECT book_id, CAST(sum(weight) AS BIGINT) AS weight FROM blocks WHERE unit_id IN (SELECT unit_id FROM units WHERE kind IN ('body', 'exercises')) GROUP BY book_id",
-    "shelf": f"""SELECT o.learner_id, o.book_id, opened, round(CASE WHEN weight > 0 THEN least(1.0, coalesce(rw, 0) / weight) ELSE 0.0 END, 9) AS fraction, coalesce(n, 0) AS cards, coalesce(due, 0) AS due, n_units, CAST(coalesce(ms, 0) AS BIGINT) AS ms
- FROM (SELECT learner_id, b.book_id, max(seen) AS opened, sum(b.weight) FILTER (WHERE u.kind IN ('body', 'exercises')) AS rw FROM reads JOIN blocks b USING (block_id, unit_id) JOIN units u USING (unit_id) GROUP BY ALL) o
- LEFT JOIN bw USING (book_id) LEFT JOIN (SELECT book_id, count(*) AS n_units FROM units GROUP BY 1) USING (book_id)
+    "lib": f"""SELECT o.learner_id, o.book_id, CAST(row_number() OVER (PARTITION BY o.learner_id ORDER BY coalesce(opened, added) DESC, o.book_id) - 1 AS INTEGER) AS place, added, opened, status,
+  round(CASE WHEN weight > 0 THEN least(1.0, coalesce(rw, 0) / weight) ELSE 0.0 END, 9) AS fraction, coalesce(n, 0) AS cards, coalesce(due, 0) AS due, coalesce(concepts, 0) AS concepts, coalesce(n_units, 0) AS units, CAST(coalesce(ms, 0) AS BIGINT) AS ms
+ FROM shelf o LEFT JOIN (SELECT learner_id, b.book_id, sum(b.weight) FILTER (WHERE u.kind IN ('body', 'exercises')) AS rw FROM reads JOIN blocks b USING (block_id, unit_id) JOIN units u USING (unit_id) GROUP BY ALL) USING (learner_id, book_id)
+ LEFT JOIN bw USING (book_id) LEFT JOIN (SELECT book_id, count(*) AS n_units FROM units GROUP BY 1) USING (book_id) LEFT JOIN (SELECT book_id, count(*) AS concepts FROM concept_books GROUP BY 1) USING (book_id)
  LEFT JOIN (SELECT learner_id, book_id, count(*) AS n, count(*) FILTER (WHERE status = 'active' AND due <= {AS_OF}) AS due FROM cards GROUP BY ALL) USING (learner_id, book_id)
  LEFT JOIN (SELECT learner_id, book_id, sum(ms) AS ms FROM rt GROUP BY ALL) USING (learner_id, book_id)""",
 }
@@ -254,14 +262,19 @@ ORACLE = {
         more=_READ_W,
     ),
     "u15_units_finished": sql("SELECT * FROM done", "reads", more=_DONE),
+    "u15_progress_steps": sql(
+        "SELECT learner_id, unit_id, seen, CAST(floor(share * 20) AS INTEGER) AS step, was < 0.85 AND share >= 0.85 AS finished FROM p WHERE floor(was * 20) <> floor(share * 20) OR (was < 0.85 AND share >= 0.85)",
+        "reads",
+        more={**_DONE, "p": "SELECT learner_id, unit_id, seen, so_far / weight AS share, coalesce(lag(so_far) OVER (PARTITION BY learner_id, unit_id ORDER BY seen), 0) / weight AS was FROM steps JOIN unit_w USING (unit_id) WHERE weight > 0"},
+    ),
     "u16_unlock_cards": sql("SELECT card_id, CASE WHEN status = 'pending' AND finished_at IS NOT NULL THEN 'active' ELSE status END AS status, CASE WHEN status = 'pending' AND finished_at IS NOT NULL THEN finished_at ELSE due END AS due FROM cards LEFT JOIN done USING (learner_id, unit_id)", "reads", "cards", more=_DONE),
-    "u17_library": sql("SELECT * FROM shelf", "reads", "cards", more=_SHELF),
-    "u18_library_totals": sql("SELECT learner_id, CAST(sum(due) AS BIGINT) AS due, CAST(sum(ms) AS BIGINT) AS ms, max_by(book_id, (opened, book_id)) AS book_id FROM shelf GROUP BY learner_id", "reads", "cards", more=_SHELF),
+    "u17_library": sql("SELECT * FROM lib", "reads", "cards", "shelf", "zones", "concept_books", more=_SHELF),
+    "u18_library_totals": sql("SELECT learner_id, CAST(sum(due) AS BIGINT) AS due, CAST(sum(ms) AS BIGINT) AS ms, min_by(book_id, place) FILTER (WHERE status = 'ready' AND opened IS NOT NULL) AS book_id FROM lib GROUP BY learner_id", "reads", "cards", "shelf", "zones", "concept_books", more=_SHELF),
     "u19_pages_read": sql(
         "SELECT DISTINCT learner_id, unit_id, page FROM page_reads UNION SELECT learner_id, unit_id, page FROM (SELECT learner_id, b.unit_id, page, count(*) AS got FROM (SELECT DISTINCT learner_id, block_id FROM reads) JOIN blocks b USING (block_id) GROUP BY ALL) JOIN (SELECT unit_id, page, count(*) AS n FROM blocks GROUP BY ALL) USING (unit_id, page) WHERE got = n",
         "reads",
     ),
-    "u20_reading_time": sql("SELECT * FROM rt", "page_reads", "units", more=_TIME),
+    "u20_reading_time": sql("SELECT * FROM rt", "page_reads", "units", "zones", more=_TIME),
     "u21_page_dwell": sql("SELECT learner_id, book_id, page, round(us / 1e6, 6) AS dwell_s, read FROM told", "blocks", more=dwell()),
     "u24_resume_page": sql(
         """SELECT learner_id, book_id, CAST(greatest(0, least(coalesce(saved, body, anyp, 0), page_count - 1)) AS INTEGER) AS page
@@ -270,6 +283,6 @@ ORACLE = {
         "page_reads",
         "sections",
         "books",
-        more=_TIME,
+        more={"times": _TIME["times"]},
     ),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..operators.units import block_weight
 from .tables import table
 
 #: Lines a document can have; block_id is doc_id times this plus the line.
@@ -24,12 +25,6 @@ UNITS = """SELECT doc_id AS unit_id, source AS book_id, doc_id AS ord, split_par
  CASE doc_id % 11 WHEN 0 THEN 'front' WHEN 1 THEN 'index' WHEN 2 THEN 'exercises' ELSE 'body' END AS kind FROM documents"""
 
 
-def block_weight(kind, text):
-    """How much reading a block is."""
-    n = F.length(text)
-    return F.when(kind.isin("figure", "table", "equation"), 60).when(kind.isin("footnote", "caption"), F.round(n / 2.0)).when(kind == "heading", 0).otherwise(n).cast("int")
-
-
 def blocks(spark: SparkSession, d: str) -> DataFrame:
     """block_id, unit_id, book_id, lang, n, type, text, page (in the unit), weight."""
     n = F.col("n")
@@ -139,6 +134,37 @@ CARDS = """SELECT learner_id * 1000000000 + unit_id AS card_id, learner_id, book
  FROM (SELECT learner_id, unit_id, min(seen) AS due FROM page_reads GROUP BY ALL) JOIN units USING (unit_id)"""
 
 
+def zones(spark: SparkSession, d: str) -> DataFrame:
+    """learner_id, tz: two zones on either side of UTC; every third learner has none."""
+    rest = F.col("user_id") % 3
+    learners = table(spark, d, "events").select("user_id").distinct().filter(rest > 0)
+    return learners.select(F.col("user_id").alias("learner_id"), F.when(rest == 1, "America/New_York").otherwise("Asia/Kolkata").alias("tz"))
+
+
+ZONES = "SELECT learner_id, CASE learner_id % 3 WHEN 1 THEN 'America/New_York' WHEN 2 THEN 'Asia/Kolkata' ELSE 'UTC' END AS tz FROM (SELECT DISTINCT user_id AS learner_id FROM events)"
+
+
+def shelf(spark: SparkSession, d: str) -> DataFrame:
+    """learner_id, book_id, added, opened, status: the books that a learner read from, and those that were only added; every fifth is not
+    ready."""
+    read = page_reads(spark, d).join(units(spark, d).select("unit_id", "book_id"), "unit_id").select("learner_id", "book_id", F.col("seen").alias("added"), F.col("seen").alias("opened"))
+    only = table(spark, d, "events").filter("event_type = 'signup'").select(F.col("user_id").alias("learner_id"), F.concat(F.lit("src"), (_k() % 20).cast("string")).alias("book_id"), F.col("ts").alias("added"), F.lit(None).cast("timestamp").alias("opened"))
+    rows = read.union(only).groupBy("learner_id", "book_id").agg(F.min("added").alias("added"), F.max("opened").alias("opened"))
+    return rows.withColumn("status", F.when((F.col("learner_id") + F.length("book_id")) % 5 == 0, "importing").otherwise("ready"))
+
+
+SHELF = f"""SELECT learner_id, book_id, min(added) AS added, max(opened) AS opened, CASE WHEN (learner_id + length(book_id)) % 5 = 0 THEN 'importing' ELSE 'ready' END AS status FROM (
+ SELECT learner_id, book_id, seen AS added, seen AS opened FROM page_reads JOIN units USING (unit_id) UNION ALL SELECT user_id, 'src' || {_K} % 20, ts, NULL FROM events WHERE event_type = 'signup') GROUP BY ALL"""
+
+
+def concept_books(spark: SparkSession, d: str) -> DataFrame:
+    """key, book_id: the first words of a book's headings."""
+    return units(spark, d).select(F.lower(F.substring_index("title", " ", 1)).alias("key"), "book_id").distinct()
+
+
+CONCEPT_BOOKS = "SELECT DISTINCT lower(split_part(title, ' ', 1)) AS key, book_id FROM units"
+
+
 def marks(spark: SparkSession, d: str) -> DataFrame:
     """Blocks with marks: bold over the words two to three of every fifth block; kind and book of its unit."""
     rows = blocks(spark, d).join(units(spark, d).select("unit_id", "kind"), "unit_id").withColumn("ord", F.col("block_id"))
@@ -167,6 +193,9 @@ SQL = {
     "sections": (("units",), SECTIONS),
     "books": (("units",), BOOKS),
     "cards": (("page_reads", "units"), CARDS),
+    "zones": ((), ZONES),
+    "shelf": (("page_reads", "units"), SHELF),
+    "concept_books": (("units",), CONCEPT_BOOKS),
     "marked": (("blocks", "units"), MARKED),
     "reads": (("page_reads", "blocks"), READS),
     "term_w": (("blocks",), TERM_W),

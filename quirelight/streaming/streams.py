@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.local import ZONES_APART, local_time, with_zone
 from ..operators import srs
 
 
@@ -88,10 +89,14 @@ def stream_sessions(views: DataFrame, gap: str = "90 seconds", watermark: str =
     return out.select("learner_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "views")
 
 
-def stream_reading_time(increments: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Reading time per learner, book and day; increments that are not positive or over an hour are refused."""
-    rows = increments.filter("ms > 0 and ms <= 3600000").withWatermark("seen", watermark)
-    return rows.groupBy("learner_id", "book_id", F.window("seen", "1 day").alias("w")).agg(F.sum("ms").alias("ms")).select("learner_id", "book_id", F.to_date("w.start").alias("day"), "ms")
+def stream_reading_time(increments: DataFrame, watermark: str = "1 day", zones: DataFrame | None = None) -> DataFrame:
+    """Reading time per learner, book and local day, as units.reading_time has it. zones: learner_id, tz, a table.
+
+    Days are windows over the learner's clock. Clocks differ, so with zones the watermark waits as much longer as two zones can be apart:
+    what comes no later than `watermark` counts in every zone."""
+    rows = with_zone(increments.filter("ms > 0 and ms <= 3600000"), zones).withColumn("_at", local_time("seen", F.col("_tz")))
+    rows = rows.withWatermark("_at", watermark if zones is None else f"{watermark} {ZONES_APART}")
+    return rows.groupBy("learner_id", "book_id", F.window("_at", "1 day").alias("w")).agg(F.sum("ms").alias("ms")).select("learner_id", "book_id", F.to_date("w.start").alias("day"), "ms")
 
 
 def stream_card_states(reviews: DataFrame, watermark: str = "1 hour") -> DataFrame:
