@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_reply, squash, term_key, tokens
+from ..functions.text import clean_text, parse_reply, squash, term_key, tokens
 
 
 def _within(rows: DataFrame, key: list[str], order: list, size: Column, budget: int) -> DataFrame:
@@ -16,14 +16,20 @@ def _within(rows: DataFrame, key: list[str], order: list, size: Column, budget:
 
 
 def context_pages(requests: DataFrame, page_text: DataFrame, budget: int = 12_000) -> DataFrame:
-    """M1: request_id, text: open pages first, then one on either side, within the budget, in page order; the asked passage is marked.
-    requests: request_id, book_id, page, start, end."""
-    near = requests.select("*", F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(d).alias("d")) for r, d in ((0, 0), (1, -1), (2, 1))])).alias("o"))
-    rows = near.select("request_id", "book_id", F.col("page").alias("asked"), "start", "end", (F.col("page") + F.col("o.d")).alias("page"), F.col("o.rank").alias("rank")).join(page_text, ["book_id", "page"])
-    kept = _within(rows, ["request_id"], ["rank"], F.length("text"), budget)
+    """M1: request_id, text: the open pages in their order, then the page before and the page after them, as prose, up to the first that
+    overflows the budget (the first always stays); in page order, each under its number from 1, the asked passage marked. Pages without text
+    are passed over; a request without any gives no row. requests: request_id, book_id, pages (array of int), and of the passage page,
+    start, end (null: none)."""
+    asked = F.array_distinct("pages")
+    near = F.filter(F.array(F.array_min(asked) - 1, F.array_max(asked) + 1), lambda p: ~F.array_contains(asked, p))
+    rows = requests.select("request_id", "book_id", F.col("page").alias("_page"), "start", "end", F.posexplode(F.concat(asked, near)).alias("rank", "page"))
+    rows = rows.join(page_text.filter(F.col("text").rlike(r"\S")).select("book_id", "page", "text"), ["book_id", "page"])
     cut = lambda a, n: F.substring("text", a, n)
-    marked = F.concat(cut(F.lit(1), F.col("start")), F.lit(">>>"), cut(F.col("start") + 1, F.col("end") - F.col("start")), F.lit("<<<"), cut(F.col("end") + 1, F.length("text")))
-    part = F.when(F.col("page") == F.col("asked"), marked).otherwise(F.col("text"))
+    marked = F.concat(cut(F.lit(1), F.col("start")), F.lit(">>> "), cut(F.col("start") + 1, F.col("end") - F.col("start")), F.lit(" <<<"), cut(F.col("end") + 1, F.length("text")))
+    here = (F.col("_page") == F.col("page")) & (F.col("end") > F.col("start"))
+    rows = rows.withColumn("t", clean_text(F.when(here, marked).otherwise(F.col("text"))))
+    kept = _within(rows, ["request_id"], ["rank"], F.length("t"), budget)
+    part = F.concat(F.lit("[page "), F.col("page") + 1, F.lit("]\n"), "t")
     return kept.groupBy("request_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page", part.alias("t")))), lambda x: x["t"]), "\n\n").alias("text"))
 
 
@@ -34,16 +40,42 @@ def unit_text(blocks: DataFrame, budget: int = 26_000) -> DataFrame:
     return kept.groupBy("unit_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "md"))), lambda x: x["md"]), "\n\n").alias("text"))
 
 
-def reader_context(highlights: DataFrame, nodes: DataFrame, n_quotes: int = 14, n_concepts: int = 18) -> DataFrame:
-    """M3: learner_id, quotes, concepts: the latest highlights (220 characters of quote, 300 of note) and the most important concepts of
-    each state. highlights: learner_id, id, created, quote, note; nodes: learner_id, key, importance, state."""
-    w = Window.partitionBy("learner_id").orderBy(F.desc("created"), F.desc("id"))
-    said = F.concat(F.substring("quote", 1, 220), F.when(F.trim("note") != "", F.concat(F.lit(" — "), F.substring("note", 1, 300))).otherwise(""))
-    quotes = highlights.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n_quotes).groupBy("learner_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", said.alias("s")))), lambda x: x["s"]), "\n").alias("quotes"))
-    v = Window.partitionBy("learner_id", "state").orderBy(F.desc("importance"), "key")
-    top = nodes.withColumn("r", F.row_number().over(v)).filter(F.col("r") <= n_concepts).groupBy("learner_id", "state").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "key"))), lambda x: x["key"]), ", ").alias("keys"))
-    lines = top.groupBy("learner_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat("state", F.lit(": "), "keys"))), "\n").alias("concepts"))
-    return lines.join(quotes, "learner_id", "full")
+def reader_context(requests: DataFrame, highlights: DataFrame, mentions: DataFrame, concepts: DataFrame, nodes: DataFrame, styles: DataFrame | None = None, n_quotes: int = 14, n_concepts: int = 18) -> DataFrame:
+    """M3: learner_id, unit_id, text: for each chapter asked about, the learner's latest highlights in it (220 characters of quote, 300 of
+    note), then which of its concepts they know, are learning or forgetting, and have not met: of each state the most important ones, those
+    being learnt and those fading on one line. What is empty is left out; without anything the text is empty. Concepts that are seen but
+    never practised stand on no line.
+
+    requests: learner_id, unit_id; highlights: learner_id, unit_id, id, updated, quote, note; mentions: key, unit_id; concepts: key, name,
+    importance; nodes: learner_id, key, state (none: unseen); styles: learner_id, style, one row a learner."""
+    key = ["learner_id", "unit_id"]
+    asked = requests.select(*key).distinct()
+    w = Window.partitionBy(*key).orderBy(F.desc("updated"), F.desc("id"))
+    note = F.coalesce("note", F.lit(""))
+    said = F.concat(F.lit('- "'), F.substring("quote", 1, 220), F.lit('"'), F.when(note != "", F.concat(F.lit(" — note: "), F.substring(note, 1, 300))).otherwise(""))
+    latest = highlights.join(asked, key, "left_semi").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= n_quotes)
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", said.alias("s")))), lambda x: x["s"]), "\n")
+    quotes = latest.groupBy(*key).agg(F.concat(F.when(F.max((note != "").cast("int")) == 1, "Highlighted in this chapter, with notes:\n").otherwise("Highlighted in this chapter:\n"), lines).alias("_quotes"))
+
+    unit_concepts = mentions.select("key", "unit_id").distinct().join(concepts.select("key", "name", "importance"), "key")
+    rows = asked.join(unit_concepts, "unit_id").join(nodes.select("learner_id", "key", "state"), ["learner_id", "key"], "left").fillna("unseen", ["state"])
+    v = Window.partitionBy(*key, "state").orderBy(F.desc("importance"), "key")
+    top = rows.filter("state <> 'seen'").withColumn("r", F.row_number().over(v)).filter(F.col("r") <= n_concepts)
+
+    def line(title: str, *states: str) -> Column:
+        """One line of names, state by state; null if there are none."""
+        place = F.array_position(F.array(*map(F.lit, states)), F.col("state"))
+        names = F.sort_array(F.collect_list(F.when(place > 0, F.struct(place.alias("p"), "r", "name"))))
+        return F.when(F.size(names) > 0, F.concat(F.lit(f"{title}: "), F.array_join(F.transform(names, lambda x: x["name"]), ", ")))
+
+    known = F.concat_ws("\n", line("Knows", "known"), line("Learning or forgetting", "learning", "fading"), line("Not met yet", "unseen"))
+    states = top.groupBy(*key).agg(F.concat(F.lit("Concepts of this chapter:\n"), known).alias("_states"))
+    out = asked.join(quotes, key, "left").join(states, key, "left")
+    style = F.lit(None).cast("string")
+    if styles is not None:
+        out = out.join(styles.select("learner_id", F.trim("style").alias("_style")), "learner_id", "left")
+        style = F.when(F.col("_style") != "", F.concat(F.lit("Explain like this: "), "_style"))
+    return out.select(*key, F.concat_ws("\n\n", "_quotes", "_states", style).alias("text"))
 
 
 def conversation_window(messages: DataFrame, n: int = 16) -> DataFrame:

@@ -24,6 +24,7 @@ HEADING_LABEL = (
 )
 PAGE_NUMBER = r"(?i)^(page\s+)?(\d{1,4}|[ivxlcdm]{1,7})(\s+of\s+\d+)?$"
 # End of fixed values.
+NO_TEXT, NO_OUTLINE = "no text layer", "outline did not match"
 
 
 def _lower_percentile(values: Column, p: float) -> Column:
@@ -77,6 +78,26 @@ def text_layer_warning(lines: DataFrame, pages: DataFrame) -> DataFrame:
     return n.join(chars, "book_id", "left").select("book_id", (F.coalesce("chars", F.lit(0)) < 40 * F.col("pages")).alias("warning"))
 
 
+def import_warnings(lines: DataFrame, pages: DataFrame, outline: DataFrame, matched: DataFrame) -> DataFrame:
+    """book_id, warning: "no text layer" (L4), and "outline did not match" for an outline of three entries or more that found no
+    lines (L15 drops all matches of a book where too few are found). outline: book_id, entry; matched: book_id."""
+    bare = text_layer_warning(lines, pages).filter("warning").select("book_id", F.lit(NO_TEXT).alias("warning"))
+    listed = outline.groupBy("book_id").agg(F.count(F.lit(1)).alias("_k")).filter("_k >= 3")
+    return bare.union(listed.join(matched.select("book_id").distinct(), "book_id", "left_anti").select("book_id", F.lit(NO_OUTLINE)))
+
+
+def page_text(lines: DataFrame) -> DataFrame:
+    """book_id, page, text, lines: a page's lines in order (array of ord, start, x0, y0, x1, y1), their text joined by line breaks, and
+    where each starts in it, in code points from 0. Lines without text (null) are left out; empty ones stay. lines: book_id, page, ord,
+    text, x0, y0, x1, y1."""
+    w = Window.partitionBy("book_id", "page").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)).cast("int")
+    rows = lines.filter("text is not null").select("book_id", "page", "ord", "text", *BOX, start.alias("start"))
+    out = rows.groupBy("book_id", "page").agg(F.sort_array(F.collect_list(F.struct("ord", "start", *BOX, "text"))).alias("x"))
+    places = F.transform("x", lambda x: F.struct(*[x[c].alias(c) for c in ("ord", "start", *BOX)]))
+    return out.select("book_id", "page", F.array_join(F.transform("x", lambda x: x["text"]), "\n").alias("text"), places.alias("lines"))
+
+
 def text_columns(lines: DataFrame, body: DataFrame, pages: DataFrame) -> DataFrame:
     """Left and right of each page's text: the tenth percentile of left edges and ninetieth of right ones over long body lines; 12 and
     88 percent of the width where there are fewer than three. pages: book_id, page, width."""

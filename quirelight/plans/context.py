@@ -14,7 +14,9 @@ from .units import _DONE
 
 
 def m1(spark, d):
-    r = page_text(spark, d).filter(F.length("text") > 80).select((F.col("book_id") * 1000 + F.col("page")).alias("request_id"), "book_id", "page", F.lit(20).alias("start"), F.lit(60).alias("end"))
+    """One open page, or two of every other book; two in three requests ask about a passage."""
+    open_ = F.when(F.col("book_id") % 2 == 1, F.array("page", F.col("page") + 1)).otherwise(F.array("page"))
+    r = page_text(spark, d).filter(F.length("text") > 80).select((F.col("book_id") * 1000 + F.col("page")).alias("request_id"), "book_id", open_.alias("pages"), F.when(F.col("book_id") % 3 > 0, F.col("page")).alias("page"), F.lit(20).alias("start"), F.lit(60).alias("end"))
     return M.context_pages(r, page_text(spark, d), budget=4000).select("request_id", F.sha2("text", 256).alias("sha"), F.length("text").alias("n"))
 
 
@@ -28,9 +30,18 @@ def _messages(spark, d):
 
 
 def m3(spark, d):
-    h = X.reads(spark, d).join(X.blocks(spark, d).select("block_id", F.col("text").alias("quote")), "block_id").select("learner_id", F.col("block_id").alias("id"), F.col("seen").alias("created"), "quote", F.when(F.col("block_id") % 2 == 0, "why so").otherwise("").alias("note"))
-    n = X.page_reads(spark, d).select("learner_id", F.col("unit_id").cast("string").alias("key"), (F.col("dwell_ms") % 50).alias("importance"), F.when(F.col("page") == 0, "seen").otherwise("known").alias("state")).groupBy("learner_id", "key").agg(F.max("importance").alias("importance"), F.max("state").alias("state"))
-    return M.reader_context(h, n, n_quotes=3, n_concepts=4)
+    """The chapters that learners read in; the first words of lines are concepts, and a concept's state follows from how often it was read."""
+    reads, blocks = X.reads(spark, d), X.blocks(spark, d)
+    said = blocks.select("block_id", "unit_id", F.lower(F.substring_index("text", " ", 1)).alias("key"), F.col("text").alias("quote"))
+    h = reads.join(said.drop("unit_id"), "block_id").select("learner_id", "unit_id", F.col("block_id").alias("id"), F.col("seen").alias("updated"), "quote", F.when(F.col("block_id") % 2 == 0, "why so").otherwise("").alias("note"))
+    mentions = said.select("key", "unit_id").distinct()
+    concepts = mentions.groupBy("key").agg(F.count(F.lit(1)).alias("importance")).withColumn("name", F.concat(F.lit("the "), "key"))
+    n = F.count(F.lit(1)) % 5
+    state = F.when(n == 0, "seen").when(n == 1, "known").when(n == 2, "learning").when(n == 3, "fading").otherwise("unseen")
+    nodes = reads.join(said.drop("unit_id"), "block_id").groupBy("learner_id", "key").agg(state.alias("state"))
+    styles = reads.filter("learner_id % 2 = 0").select("learner_id").distinct().withColumn("style", F.concat(F.lit(" briefly "), F.when(F.col("learner_id") % 4 == 0, "and slowly").otherwise("")))
+    out = M.reader_context(reads.select("learner_id", "unit_id"), h, mentions, concepts, nodes, styles)
+    return out.select("learner_id", "unit_id", F.sha2("text", 256).alias("sha"), F.length("text").alias("n"))
 
 
 def m6(spark, d):
@@ -96,23 +107,33 @@ _SQ = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
 
 ORACLE = {
     "m1_context_pages": sql(
-        """SELECT request_id, sha256(t) AS sha, CAST(length(t) AS INTEGER) AS n FROM (SELECT request_id, string_agg(CASE WHEN page = asked THEN substr(text, 1, 20) || '>>>' || substr(text, 21, 40) || '<<<' || substr(text, 61) ELSE text END, chr(10) || chr(10) ORDER BY page) AS t FROM (
- SELECT *, sum(length(text)) OVER w AS s, row_number() OVER w AS k FROM (SELECT r.book_id * 1000 + r.page AS request_id, r.page AS asked, p.page, p.text, CASE p.page - r.page WHEN 0 THEN 0 WHEN -1 THEN 1 ELSE 2 END AS o FROM pt r JOIN pt p ON r.book_id = p.book_id AND p.page BETWEEN r.page - 1 AND r.page + 1 WHERE length(r.text) > 80)
- WINDOW w AS (PARTITION BY request_id ORDER BY o)) WHERE k = 1 OR s <= 4000 GROUP BY 1)""",
+        "SELECT request_id, sha256(t) AS sha, CAST(length(t) AS INTEGER) AS n FROM (SELECT request_id, string_agg('[page ' || (p + 1) || ']' || chr(10) || t, chr(10) || chr(10) ORDER BY p) AS t FROM (SELECT *, sum(length(t)) OVER w AS s, row_number() OVER w AS k FROM tx WINDOW w AS (PARTITION BY request_id ORDER BY rank)) WHERE k = 1 OR s <= 4000 GROUP BY 1)",
         "blocks",
-        more=_PAGES,
+        more={
+            **_PAGES,
+            "rq": "SELECT book_id * 1000 + page AS request_id, book_id, page, CASE WHEN book_id % 2 = 1 THEN [page, page + 1] ELSE [page] END || CASE WHEN page > 0 THEN [page - 1] ELSE [] END || [page + 1 + book_id % 2] AS o FROM pt WHERE length(text) > 80",
+            "od": "SELECT request_id, book_id, page, unnest(o) AS p, generate_subscripts(o, 1) AS rank FROM rq",
+            "tx": r"SELECT request_id, rank, p, trim(regexp_replace(regexp_replace(regexp_replace(CASE WHEN p = od.page AND od.book_id % 3 > 0 THEN substr(text, 1, 20) || '>>> ' || substr(text, 21, 40) || ' <<<' || substr(text, 61) ELSE text END, '(\p{L})[-‐]\n(\p{Ll})', '\1\2', 'g'), '\n', ' ', 'g'), '[ \t]+', ' ', 'g')) AS t FROM od JOIN pt ON pt.book_id = od.book_id AND pt.page = p WHERE regexp_matches(text, '\S')",
+        },
     ),
     "m2_unit_text": sql(
         "SELECT unit_id, sha256(t) AS sha, CAST(length(t) AS INTEGER) AS n FROM (SELECT unit_id, string_agg(md, chr(10) || chr(10) ORDER BY n) AS t FROM (SELECT *, sum(length(md)) OVER w AS s, row_number() OVER w AS k FROM (SELECT unit_id, n, CASE type WHEN 'heading' THEN '## ' || text WHEN 'code' THEN '```' || chr(10) || text || chr(10) || '```' ELSE text END AS md FROM blocks) WINDOW w AS (PARTITION BY unit_id ORDER BY n)) WHERE k = 1 OR s <= 2000 GROUP BY 1)",
         "blocks",
     ),
     "m3_reader_context": sql(
-        "SELECT learner_id, quotes, concepts FROM q FULL JOIN c USING (learner_id)",
+        """SELECT learner_id, unit_id, sha256(t) AS sha, CAST(length(t) AS INTEGER) AS n FROM (SELECT learner_id, unit_id, concat_ws(chr(10) || chr(10), quotes, states, CASE WHEN learner_id % 4 = 0 THEN 'Explain like this: briefly and slowly' WHEN learner_id % 2 = 0 THEN 'Explain like this: briefly' END) AS t FROM rq LEFT JOIN qu USING (learner_id, unit_id) LEFT JOIN stl USING (learner_id, unit_id))""",
         "reads",
         more={
-            "q": "SELECT learner_id, string_agg(substr(text, 1, 220) || CASE WHEN block_id % 2 = 0 THEN ' — why so' ELSE '' END, chr(10) ORDER BY r) AS quotes FROM (SELECT learner_id, block_id, text, row_number() OVER (PARTITION BY learner_id ORDER BY seen DESC, block_id DESC) AS r FROM reads JOIN (SELECT block_id, text FROM blocks) USING (block_id)) WHERE r <= 3 GROUP BY 1",
-            "n": "SELECT learner_id, CAST(unit_id AS VARCHAR) AS key, max(dwell_ms % 50) AS importance, max(CASE WHEN page = 0 THEN 'seen' ELSE 'known' END) AS state FROM page_reads GROUP BY ALL",
-            "c": "SELECT learner_id, string_agg(state || ': ' || keys, chr(10) ORDER BY state) AS concepts FROM (SELECT learner_id, state, string_agg(key, ', ' ORDER BY r) AS keys FROM (SELECT *, row_number() OVER (PARTITION BY learner_id, state ORDER BY importance DESC, key) AS r FROM n) WHERE r <= 4 GROUP BY ALL) GROUP BY 1",
+            "rq": "SELECT DISTINCT learner_id, unit_id FROM reads",
+            "sd": "SELECT block_id, unit_id, lower(split_part(text, ' ', 1)) AS key, text FROM blocks",
+            "hl": "SELECT r.learner_id, r.unit_id, r.block_id, text, row_number() OVER (PARTITION BY r.learner_id, r.unit_id ORDER BY seen DESC, r.block_id DESC) AS r FROM reads r JOIN sd USING (block_id)",
+            "qu": """SELECT learner_id, unit_id, 'Highlighted in this chapter' || CASE WHEN bool_or(block_id % 2 = 0) THEN ', with notes' ELSE '' END || ':' || chr(10) || string_agg('- "' || substr(text, 1, 220) || '"' || CASE WHEN block_id % 2 = 0 THEN ' — note: why so' ELSE '' END, chr(10) ORDER BY r) AS quotes FROM hl WHERE r <= 14 GROUP BY ALL""",
+            "mn": "SELECT DISTINCT key, unit_id FROM sd",
+            "im": "SELECT key, count(*) AS importance FROM mn GROUP BY key",
+            "nd": "SELECT learner_id, key, CASE count(*) % 5 WHEN 0 THEN 'seen' WHEN 1 THEN 'known' WHEN 2 THEN 'learning' WHEN 3 THEN 'fading' ELSE 'unseen' END AS state FROM reads JOIN (SELECT block_id, key FROM sd) USING (block_id) GROUP BY ALL",
+            "tp": "SELECT *, row_number() OVER (PARTITION BY learner_id, unit_id, state ORDER BY importance DESC, key) AS r FROM (SELECT rq.learner_id, rq.unit_id, mn.key, importance, coalesce(state, 'unseen') AS state FROM rq JOIN mn USING (unit_id) JOIN im ON im.key = mn.key LEFT JOIN nd ON nd.learner_id = rq.learner_id AND nd.key = mn.key)",
+            "ln": "SELECT learner_id, unit_id, CASE state WHEN 'known' THEN 1 WHEN 'unseen' THEN 3 ELSE 2 END AS line, string_agg('the ' || key, ', ' ORDER BY state DESC, r) AS names FROM tp WHERE r <= 18 AND state <> 'seen' GROUP BY ALL",
+            "stl": "SELECT learner_id, unit_id, 'Concepts of this chapter:' || chr(10) || string_agg(CASE line WHEN 1 THEN 'Knows: ' WHEN 2 THEN 'Learning or forgetting: ' ELSE 'Not met yet: ' END || names, chr(10) ORDER BY line) AS states FROM ln GROUP BY ALL",
         },
     ),
     "m4_conversation_window": sql(

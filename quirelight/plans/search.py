@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators import annotations as N
 from ..operators import search as Q
+from ..operators.layout import page_text as page_layer
 from ..sources import fixtures as X
 from ..sources.fixtures import sql
 from ..sources.shared import written
@@ -52,8 +53,13 @@ def page_lines(spark, d):
 
 
 def page_text(spark, d):
-    rows = page_lines(spark, d).groupBy("book_id", "page").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("x"))
-    return rows.select("book_id", "page", F.array_join(F.transform("x", lambda x: x["text"]), "\n").alias("text"))
+    return page_layer(page_lines(spark, d).withColumnRenamed("line", "ord")).select("book_id", "page", "text")
+
+
+def l28(spark, d):
+    layer = page_layer(page_lines(spark, d).withColumnRenamed("line", "ord"))
+    starts = F.array_join(F.transform("lines", lambda x: F.concat_ws(":", x["ord"], x["start"])), " ")
+    return layer.select("book_id", "page", F.sha2("text", 256).alias("sha"), F.length("text").alias("n"), starts.alias("starts"))
 
 
 def _ranges(spark, d):
@@ -130,7 +136,7 @@ QUERIES = {
     "n7_range_box": lambda spark, d: N.range_box(_ranges(spark, d), page_lines(spark, d)),
     "n8_range_in_rect": n8,
     "n13_split_selection": n13,
-    "l28_page_text": lambda spark, d: page_text(spark, d).select("book_id", "page", F.sha2("text", 256).alias("sha"), F.length("text").alias("n")),
+    "l28_page_text": l28,
 }
 
 _TOK = r"regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}]+')"
@@ -229,5 +235,5 @@ ORACLE = {
         "blocks",
         more=_PAGES,
     ),
-    "l28_page_text": sql("SELECT book_id, page, sha256(text) AS sha, CAST(length(text) AS INTEGER) AS n FROM pt", "blocks", more=_PAGES),
+    "l28_page_text": sql("SELECT book_id, page, sha256(text) AS sha, CAST(length(text) AS INTEGER) AS n, starts FROM pt JOIN (SELECT book_id, page, string_agg(line || ':' || start, ' ' ORDER BY line) AS starts FROM pl GROUP BY ALL) USING (book_id, page)", "blocks", more=_PAGES),
 }

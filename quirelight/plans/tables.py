@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.layout import NO_OUTLINE, NO_TEXT, import_warnings
 from ..sources import fixtures
 from ..sources import tables as S
 from ..sources.fixtures import sql
 from ..sources.shared import new_folder, written
+from . import layout
 
 TYPES = ["heading", "paragraph", "code", "footnote"]
 
@@ -120,6 +122,20 @@ def s8(spark, d):
     return S.merge_rows(old, pages.filter(F.col("seen") >= at), ["learner_id", "unit_id", "page"], {"seen": "min", "dwell_ms": "sum"})
 
 
+def s7(spark, d):
+    """Concepts are first words of headings, edges the two ends of a line; documents warn for their source: those whose outlines found no
+    lines, and those of which only every third has text."""
+    units, blocks = fixtures.units(spark, d), fixtures.blocks(spark, d)
+    first, last = F.lower(F.substring_index("text", " ", 1)), F.lower(F.substring_index("text", " ", -1))
+    edges = blocks.select("book_id", first.alias("a"), last.alias("b")).filter("a <> b").distinct()
+    parts = {"sections": fixtures.sections(spark, d), "concepts": fixtures.concept_books(spark, d), "edges": edges, "cards": fixtures.cards(spark, d)}
+    lines = layout.lines(spark, d)
+    outline = lines.filter("ord = 1").select("book_id", "page")
+    found = import_warnings(lines.filter("book_id % 3 = 0"), layout.pages(spark, d), outline, outline.filter("book_id % 10 > 0"))
+    told = found.join(units.select(F.col("unit_id").alias("book_id"), F.col("book_id").alias("source")), "book_id").select(F.col("source").alias("book_id"), "warning")
+    return S.profile_books(blocks, TYPES, parts, told)
+
+
 QUERIES = {
     "s1_load_reviews": s1,
     "s2_dedup_imports": s2,
@@ -127,7 +143,7 @@ QUERIES = {
     "s4_remove_books": s4,
     "s5_export_notes": lambda spark, d: S.export_notes(_highlights(spark, d), 100),
     "s6_dump_markdown": s6,
-    "s7_profile_books": lambda spark, d: S.profile_books(fixtures.blocks(spark, d), TYPES),
+    "s7_profile_books": s7,
     "s8_merge_rows": s8,
 }
 
@@ -187,6 +203,20 @@ ORACLE = {
             "m": "SELECT book_id, block_id, part, CASE type WHEN 'heading' THEN '## ' || text || ' ' || w WHEN 'code' THEN '``` ' || w || chr(10) || text || chr(10) || '```' WHEN 'footnote' THEN '> [^] ' || text || ' ' || w ELSE text || ' ' || w END AS md FROM (SELECT *, '<!-- p' || (unit_id + 1) || ' -->' AS w, (row_number() OVER (PARTITION BY book_id ORDER BY block_id) - 1) // 100 AS part FROM blocks)"
         },
     ),
-    "s7_profile_books": sql("SELECT book_id, " + ", ".join(f"count(*) FILTER (WHERE type = '{t}') AS n_{t}" for t in TYPES) + ", count(DISTINCT unit_id) AS n_units, CAST(sum(weight) AS BIGINT) AS weight FROM blocks GROUP BY book_id", "blocks"),
+    "s7_profile_books": sql(
+        "SELECT book_id, " + ", ".join(f"n_{t}" for t in TYPES) + """, n_units, weight, coalesce(n_sections, 0) AS n_sections, coalesce(n_concepts, 0) AS n_concepts, coalesce(n_edges, 0) AS n_edges, coalesce(n_cards, 0) AS n_cards, coalesce(warnings, '') AS warnings
+ FROM bl LEFT JOIN (SELECT book_id, count(*) AS n_sections FROM sections GROUP BY 1) USING (book_id) LEFT JOIN (SELECT book_id, count(*) AS n_concepts FROM concept_books GROUP BY 1) USING (book_id)
+ LEFT JOIN (SELECT book_id, count(*) AS n_edges FROM (SELECT DISTINCT book_id, a, b FROM (SELECT book_id, lower(split_part(text, ' ', 1)) AS a, lower(split_part(text, ' ', -1)) AS b FROM blocks) WHERE a <> b) GROUP BY 1) USING (book_id)
+ LEFT JOIN (SELECT book_id, count(*) AS n_cards FROM cards GROUP BY 1) USING (book_id) LEFT JOIN (SELECT u.book_id, string_agg(DISTINCT warning, chr(10) ORDER BY warning) AS warnings FROM wn JOIN units u ON u.unit_id = wn.book_id GROUP BY 1) USING (book_id)""",
+        "blocks",
+        "sections",
+        "concept_books",
+        "cards",
+        more={
+            "bl": "SELECT book_id, " + ", ".join(f"count(*) FILTER (WHERE type = '{t}') AS n_{t}" for t in TYPES) + ", count(DISTINCT unit_id) AS n_units, CAST(sum(weight) AS BIGINT) AS weight FROM blocks GROUP BY book_id",
+            "ln": layout.LINES,
+            "wn": f"SELECT book_id, '{NO_TEXT}' AS warning FROM ln GROUP BY 1 HAVING coalesce(sum(n) FILTER (WHERE book_id % 3 = 0), 0) < 40 * count(DISTINCT page) UNION ALL SELECT book_id, '{NO_OUTLINE}' FROM ln WHERE ord = 1 GROUP BY 1 HAVING count(*) >= 3 AND book_id % 10 = 0",
+        },
+    ),
     "s8_merge_rows": sql("SELECT learner_id, unit_id, page, min(seen) AS seen, CAST(sum(dwell_ms) AS BIGINT) AS dwell_ms FROM page_reads GROUP BY 1, 2, 3", "page_reads"),
 }

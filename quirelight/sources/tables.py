@@ -240,8 +240,17 @@ def dump_markdown(blocks: DataFrame, size: int = PART_ROWS) -> DataFrame:
     return rows.select("book_id", "part", F.array_join(F.transform("x", lambda x: x["md"]), "\n\n").alias("markdown"))
 
 
-def profile_books(blocks: DataFrame, types: list[str]) -> DataFrame:
-    """Blocks of each type, units and weight per book."""
-    return blocks.groupBy("book_id").agg(
+def profile_books(blocks: DataFrame, types: list[str], parts: dict[str, DataFrame] | None = None, warnings: DataFrame | None = None) -> DataFrame:
+    """Blocks of each type, units and weight per book; n_<name> for each of parts (sections, concepts, edges, cards: tables with
+    book_id, counted as they are); and the book's warnings (book_id, warning), joined by line breaks. A book that stands in one of the
+    tables has a row."""
+    out = blocks.groupBy("book_id").agg(
         *[F.count(F.when(F.col("type") == t, 1)).alias(f"n_{t}") for t in types], F.count_distinct("unit_id").alias("n_units"), F.sum("weight").alias("weight")
     )
+    for name, part in (parts or {}).items():
+        out = out.join(part.groupBy("book_id").agg(F.count(F.lit(1)).alias(f"n_{name}")), "book_id", "full")
+    out = out.fillna(0)
+    if warnings is None:
+        return out
+    told = warnings.groupBy("book_id").agg(F.array_join(F.sort_array(F.collect_set("warning")), "\n").alias("warnings"))
+    return out.join(told, "book_id", "full").fillna(0).fillna("", ["warnings"])
