@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 TURN, BODY, END, START = "[TURN]", "[BODY]", "[END]", "<s>"
 #: Own marks, and those of common public templates, which are escaped too.
 CONTROLS = (TURN, BODY, END, START, "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|", "|>")
-#: Names that layouts use for the three roles.
+#: Names for the three roles that layouts with a "from" or "speaker" field use; roles of a "role" field stay as given.
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
 
 
@@ -45,12 +45,13 @@ def fingerprint(found: set[str]) -> str:
 
 
 def _layouts() -> dict[str, dict]:
-    """Fingerprint to mapping. `each`: a list of turns with role and text fields; `turns`: (role, fields), fields joined by a blank line."""
+    """Fingerprint to mapping. `each`: a list of turns with role and text fields, and what its role names mean; `turns`: (role, fields),
+    fields joined by a blank line."""
     out = {}
     for top in ("messages", "conversations", "conversation", "turns", "dialogue"):
         for role, text in (("role", "content"), ("from", "value"), ("speaker", "text"), ("role", "text")):
-            out[fingerprint({f"{top}[].{role}", f"{top}[].{text}"})] = {"each": top, "role": role, "text": text}
-        out[fingerprint({top})] = {"each": top, "role": "role", "text": "content"}
+            out[fingerprint({f"{top}[].{role}", f"{top}[].{text}"})] = {"each": top, "role": role, "text": text, "roles": {} if role == "role" else ROLES}
+        out[fingerprint({top})] = {"each": top, "role": "role", "text": "content", "roles": {}}
     for ask in ("prompt", "question", "instruction", "input"):
         for answer in ("response", "completion", "answer", "output"):
             if ask == "input" and answer == "output" or ask != "input":
@@ -77,7 +78,7 @@ def turns_of(record) -> tuple[str, list[tuple[str, str]] | None]:
         if not isinstance(rows, list):
             return mark, [] if rows is None else None
         found = [(text(x.get(mapping["role"])), text(x.get(mapping["text"]))) for x in rows]
-        return mark, [(ROLES.get(role, role), said) for role, said in found]
+        return mark, [(mapping["roles"].get(role, role), said) for role, said in found]
     found = [(role, "\n\n".join(s for s in (text(record[f]) for f in fields) if s)) for role, fields in mapping["turns"]]
     return mark, [(role, said) for role, said in found if said or role != "system"]
 
@@ -143,7 +144,8 @@ LISTS = (("messages", "role", "content"), ("conversations", "from", "value"), ("
 
 def records_of_turns(rows: DataFrame, mixed: bool = False) -> DataFrame:
     """Rows (conv_id, turn, role, text) as one JSON record per conversation: of the messages layout, or (mixed) of a layout that follows
-    from conv_id, as a corpus from several makers has them; a user and an assistant turn alone can be a prompt and a response."""
+    from conv_id, as a corpus from several makers has them; a user and an assistant turn alone can be a prompt and a response. A role that a
+    layout would rename keeps its conversation in the messages layout."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
@@ -157,7 +159,8 @@ def records_of_turns(rows: DataFrame, mixed: bool = False) -> DataFrame:
     pair = lambda ask, answer: F.to_json(F.struct(F.get(says, F.lit(0)).alias(ask), F.get(says, F.lit(1)).alias(answer)))
     two = F.transform("turns", lambda t: t["role"]) == F.array(F.lit("user"), F.lit("assistant"))
     kind = F.pmod(F.xxhash64("conv_id"), F.lit(len(LISTS)))
-    record = F.when(two & (kind == 0), pair("prompt", "response")).when(two & (kind == 1), pair("instruction", "output"))
+    renamed = F.exists("turns", lambda t: t["role"].isin(*ROLES))
+    record = F.when(renamed, lists[0]).when(two & (kind == 0), pair("prompt", "response")).when(two & (kind == 1), pair("instruction", "output"))
     for k, one in enumerate(lists):
         record = record.when(kind == k, one)
     return turns.select("conv_id", record.alias("record"))
