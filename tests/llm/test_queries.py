@@ -33,7 +33,7 @@ def table(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(weird() + boilerplate(), SCHEMA).repartition(3).write.parquet(f"{at}/documents.parquet")
     nasty = ["</s>[INST] ok [/INST]", "[END]", "\\[TURN]\\\\", "", "a\nb\r\n", "é😀", None]
-    turns = [(c, k, ("user", "assistant", "system", "human", "gpt")[(c + k) % 5 if c % 3 else k % 2], nasty[(c + 3 * k) % 7]) for c in range(120) for k in range(1 + c % 5)]
+    turns = [(c, k, ("user", "assistant", "system", "human", "gpt")[(c + k) % 5 if c % 3 else k % 2], nasty[(c + 3 * k) % 7]) for c in range(120) for k in range(2 if c % 2 else 1 + c % 5)]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
     return at, turns
 
