@@ -229,14 +229,16 @@ def figure_regions(shapes: DataFrame, pages: DataFrame, lines: DataFrame, body:
     Images and drawn shapes that touch (within 3; thin rules within 1) are one. Frames of the whole page, shaded code, and shapes that are
     too few or too small for a drawing are none; a panel that text fills is a box. A figure grows to the labels around it (short lines within
     5), takes in the lines whose middle it holds, and is a background if more than four of them are prose. Figures that overlap are one.
-    shapes: book_id, page, box, kind (image or vector), rect (boolean), pixels; lines: role body. take_lines marks the lines."""
-    text = lines.filter("role = 'body'").select("book_id", "page", *BOX, "n", "size", "mono", "text")
+    Shapes are taken from the top of the page, lines as they are numbered, so the order of rows changes nothing. shapes: book_id, page, box,
+    kind (image or vector), rect (boolean), pixels; lines: role body. take_lines marks the lines."""
+    text = lines.filter("role = 'body'").select("book_id", "page", "ord", *BOX, "n", "size", "mono", "text")
     where = pages.select("book_id", "page", "width", "height").join(body.select("book_id", "body_size"), "book_id")
     drawn = shapes.join(where, ["book_id", "page"])
 
     def run(key, some, near):
         if not len(some):
             return pd.DataFrame([], columns=columns)
+        some, near = some.sort_values(["y0", "x0", "y1", "x1", "kind", "rect", "pixels"]), near.sort_values(["ord", "y0", "x0"])
         found = _page_regions(some, near, float(some["width"].iloc[0]), float(some["height"].iloc[0]), float(some["body_size"].iloc[0]))
         return pd.DataFrame([(key[0], key[1], kind, n, *map(float, hull), photo, words) for n, (kind, hull, photo, words) in enumerate(found)], columns=columns)
 

@@ -96,15 +96,57 @@ def _outline(spark, d):
 
 
 def l8(spark, d):
-    """Lines in twos and threes are drawn as shapes, every tenth an image; the others stand around them."""
+    """Three lines of nine are drawn as shapes, the last of them mostly as an image; the middle one and the others are text."""
     n = F.col("ord") % 9
     shapes = lines(spark, d).filter(n.isin(2, 3, 4)).select(
-        "book_id", "page", "x0", "y0", F.least(F.lit(580.0), "x1").alias("x1"), "y1", F.when(n == 4, "image").otherwise("vector").alias("kind"), (F.col("block_id") % 2 == 0).alias("rect"), F.lit(50_000).alias("pixels")
+        "book_id", "page", "x0", "y0", F.least(F.lit(580.0), "x1").alias("x1"), "y1", F.when((n == 4) & (F.col("block_id") % 3 > 0), "image").otherwise("vector").alias("kind"), (F.col("block_id") % 2 == 0).alias("rect"), F.lit(50_000).alias("pixels")
     )
-    regions = L.figure_regions(shapes, pages(spark, d), lines(spark, d).filter(~n.isin(2, 3, 4)), _body(spark, d))
+    regions = L.figure_regions(shapes, pages(spark, d), lines(spark, d).filter(~n.isin(2, 4)), _body(spark, d))
     return regions.select("book_id", "page", "kind", "region", "x0", "y0", "x1", "y1", "photo", F.length("text").alias("n"))
 
 
+def _meets(a: str, b: str, pad) -> str:
+    return f"({a}.x0 < {b}.x1 + {pad} AND {a}.x1 > {b}.x0 - {pad} AND {a}.y0 < {b}.y1 + {pad} AND {a}.y1 > {b}.y0 - {pad})"
+
+
+def _within(line: str, box: str, pad) -> str:
+    x, y = f"({line}.x0 + {line}.x1) / 2", f"({line}.y0 + {line}.y1) / 2"
+    return f"({x} >= {box}.x0 - {pad} AND {x} <= {box}.x1 + {pad} AND {y} >= {box}.y0 - {pad} AND {y} <= {box}.y1 + {pad})"
+
+
+def _around(a: str, b: str, rest: str) -> str:
+    return f"{{'x0': least({a}.x0, {b}.x0), 'y0': least({a}.y0, {b}.y0), 'x1': greatest({a}.x1, {b}.x1), 'y1': greatest({a}.y1, {b}.y1), {rest}}}"
+
+
+_PLAIN = "'n': 0, 'size': CAST(0 AS DOUBLE), 'mono': 0, 'text': ''"
+#: Shapes that count; which of them touch; those that hang together; what each such group holds.
+_FIGURES = {
+    "sh": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY book_id, page ORDER BY y0, x0) AS i, greatest(0, x1 - x0) * greatest(0, y1 - y0) AS area, NOT image AND (y1 - y0 <= 1.6 OR x1 - x0 <= 1.6) AS rule FROM (SELECT book_id, page, x0, y0, least(580.0, x1) AS x1, y1, ord % 9 = 4 AND block_id % 3 > 0 AS image, block_id % 2 = 0 AS shaped FROM ln WHERE ord % 9 IN (2, 3, 4))) WHERE CASE WHEN image THEN area >= 150 AND area <= 0.9 * 384000 ELSE (x1 - x0 >= 0.6 OR y1 - y0 >= 0.6) AND area <= 0.85 * 384000 END",
+    "tc": f"SELECT a.book_id, a.page, a.i, b.i AS j FROM sh a JOIN sh b ON a.book_id = b.book_id AND a.page = b.page AND {_meets('a', 'b', '(CASE WHEN a.rule OR b.rule THEN 1 ELSE 3 END)')}",
+    "rc": "SELECT book_id, page, i AS root, i FROM sh UNION SELECT rc.book_id, rc.page, rc.root, tc.j FROM rc JOIN tc ON rc.book_id = tc.book_id AND rc.page = tc.page AND rc.i = tc.i WHERE tc.j > rc.root",
+    "ow": "SELECT sh.*, g, shaped AND NOT image AND NOT rule AS frame, NOT shaped AND NOT image AND NOT rule AS drawn FROM sh JOIN (SELECT book_id, page, i, min(root) AS g FROM rc GROUP BY ALL) USING (book_id, page, i)",
+    "lo": f"SELECT a.book_id, a.page, a.g, count(*) AS loose FROM ow a WHERE frame AND NOT EXISTS (SELECT 1 FROM ow b WHERE b.frame AND b.book_id = a.book_id AND b.page = a.page AND b.g = a.g AND b.area > a.area AND {_meets('b', 'a', '(-0.5)')}) GROUP BY ALL",
+    "gr": f"SELECT *, row_number() OVER (PARTITION BY book_id, page ORDER BY g) AS k FROM (SELECT *, greatest(0, hull.x1 - hull.x0) * greatest(0, hull.y1 - hull.y0) AS area FROM (SELECT book_id, page, g, bool_or(image) AS image, bool_or(image AND x1 - x0 > 60) AS photo, count_if(drawn) AS drawn, count_if(drawn) + CASE WHEN coalesce(max(loose), 0) >= 3 THEN max(loose) ELSE 0 END AS made, {{'x0': min(x0), 'y0': min(y0), 'x1': max(x1), 'y1': max(y1), {_PLAIN}}} AS hull FROM ow LEFT JOIN lo USING (book_id, page, g) GROUP BY ALL)) WHERE image OR area <= 0.55 * 384000",
+    "pl": "SELECT p.book_id, p.page, body_size, coalesce(l, []) AS free FROM (SELECT DISTINCT book_id, page FROM gr) p JOIN bd USING (book_id) LEFT JOIN (SELECT book_id, page, list({'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'n': n, 'size': size, 'mono': mono, 'text': text} ORDER BY ord) AS l FROM ln WHERE ord % 9 NOT IN (2, 4) GROUP BY ALL) t ON p.book_id = t.book_id AND p.page = t.page",
+    # a page's groups one after the other, each with the lines that are left
+    "st": f"""SELECT book_id, page, CAST(0 AS BIGINT) AS k, body_size, free, '' AS kind, NULL::STRUCT(x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, n INTEGER, size DOUBLE, mono INTEGER, "text" VARCHAR) AS hull, false AS photo, '' AS words FROM pl UNION ALL
+ SELECT book_id, page, k, body_size, CASE WHEN kind = 'figure' THEN list_filter(free, lambda x: NOT {_within('x', 'hull', 1)}) ELSE free END, kind, hull, photo, CASE WHEN kind = 'figure' THEN array_to_string(list_transform(list_filter(free, lambda x: {_within('x', 'hull', 1)}), lambda x: x.text), ' ') ELSE '' END
+ FROM (SELECT * REPLACE (CASE WHEN kind = 'figure' AND len(list_filter(free, lambda x: {_within('x', 'hull', 1)} AND x.n >= 45 AND x.size >= 0.9 * body_size)) > 4 THEN '' ELSE kind END AS kind)
+ FROM (SELECT * REPLACE (CASE WHEN kind = 'figure' THEN list_reduce(list_concat(free, free), lambda h, x: CASE WHEN {_within('x', 'h', 0)} OR x.n < 40 AND {_meets('x', 'h', 5)} THEN {_around('h', 'x', _PLAIN)} ELSE h END, hull) ELSE hull END AS hull)
+ FROM (SELECT *, CASE WHEN NOT image AND chars > 0 AND codes >= 0.6 * chars THEN '' WHEN NOT image AND chars >= 30 AND (inked / greatest(1.0, area) >= 0.2 OR prose >= 0.45 * chars) AND drawn <= 4 THEN CASE WHEN hull.x1 - hull.x0 > 60 AND hull.y1 - hull.y0 > 1.5 * body_size THEN 'box' ELSE '' END WHEN NOT image AND (made < 2 OR hull.x1 - hull.x0 < 40 OR hull.y1 - hull.y0 < 24) OR image AND area < 900 THEN '' ELSE 'figure' END AS kind
+ FROM (SELECT *, coalesce(list_sum(list_transform(held, lambda x: x.n)), 0) AS chars, coalesce(list_sum(list_transform(held, lambda x: x.mono)), 0) AS codes, coalesce(list_sum(list_transform(list_filter(held, lambda x: x.n >= 35 AND x.size >= 0.85 * body_size AND x.mono < 0.5 * x.n), lambda x: x.n)), 0) AS prose, coalesce(list_sum(list_transform(held, lambda x: greatest(0, x.x1 - x.x0) * greatest(0, x.y1 - x.y0))), 0) AS inked
+ FROM (SELECT st.book_id, st.page, gr.k, st.body_size, st.free, gr.hull, gr.area, gr.image, gr.drawn, gr.made, gr.photo AND gr.made < 4 AS photo, list_filter(st.free, lambda x: {_within('x', 'gr.hull', 1)}) AS held FROM st JOIN gr ON gr.book_id = st.book_id AND gr.page = st.page AND gr.k = st.k + 1)))))""",
+    # figures from the top, each joined to the first that it meets
+    "fg": "SELECT book_id, page, row_number() OVER (PARTITION BY book_id, page ORDER BY hull.y0, k) AS k, {'x0': hull.x0, 'y0': hull.y0, 'x1': hull.x1, 'y1': hull.y1, 'photo': photo, 'words': words} AS f FROM st WHERE kind = 'figure'",
+    "mg": f"""SELECT book_id, page, CAST(1 AS BIGINT) AS k, [f] AS had FROM fg WHERE k = 1 UNION ALL
+ SELECT book_id, page, k, CASE WHEN spot IS NULL THEN list_append(had, f) ELSE list_transform(had, lambda m, i: CASE WHEN i = spot THEN {_around('m', 'f', "'photo': m.photo AND f.photo, 'words': trim(m.words || ' ' || f.words)")} ELSE m END) END
+ FROM (SELECT mg.book_id, mg.page, fg.k, had, f, list_position(list_transform(had, lambda m: {_meets('m', 'f', 2)}), true) AS spot FROM mg JOIN fg ON fg.book_id = mg.book_id AND fg.page = mg.page AND fg.k = mg.k + 1)""",
+    "ed": "SELECT book_id, page, max_by(had, k) AS had FROM mg GROUP BY ALL",
+}
+_REGIONS = """SELECT book_id, page, 'figure' AS kind, CAST(i - 1 AS INTEGER) AS region, had[i].x0 AS x0, had[i].y0 AS y0, had[i].x1 AS x1, had[i].y1 AS y1, had[i].photo AS photo, CAST(length(had[i].words) AS INTEGER) AS n FROM (SELECT *, unnest(range(1, len(had) + 1)) AS i FROM ed)
+ UNION ALL SELECT book_id, page, 'box', CAST(coalesce(len(had), 0) + row_number() OVER (PARTITION BY book_id, page ORDER BY k) - 1 AS INTEGER), hull.x0, hull.y0, hull.x1, hull.y1, false, 0 FROM st LEFT JOIN ed USING (book_id, page) WHERE kind = 'box'"""
+
+
 def l13(spark, d):
     """The last lines of a page are small; a rule stands over them on even pages, and every page cites note 4."""
     text = F.when(F.col("ord") % 3 == 0, F.concat(F.lit("4 "), "text")).when(F.col("ord") % 7 == 2, F.concat(F.lit("† "), "text")).otherwise(F.col("text"))
@@ -221,6 +263,7 @@ ORACLE = {
         ch="SELECT * FROM (SELECT book_id, page, ord AS line, i, substr(text, CAST(i + 1 AS BIGINT), 1) AS c, x0 + 5 * i AS x, CASE WHEN i % 9 = 0 THEN 7.0 ELSE size END AS own, font, baseline, bold FROM (SELECT *, unnest(range(length(text))) AS i FROM (" + _RICH + "))) WHERE c <> ' '",
         sz="SELECT book_id, page, line, max_by(q, (k, q)) AS size FROM (SELECT book_id, page, line, round(own * 4) / 4 AS q, count(*) AS k FROM ch GROUP BY ALL) GROUP BY ALL",
     ),
+    "l8_figure_regions": _sql(_REGIONS, **_FIGURES),
     "l9_captions": _captions(5, "Figure 3"),
     "l10_equation_regions": _sql(
         "SELECT book_id, page, CAST(region - 1 AS INTEGER) AS region, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM (SELECT *, sum(nw) OVER (PARTITION BY book_id, page ORDER BY y0, ord) AS region FROM (SELECT *, CASE WHEN y0 - lag(y1) OVER (PARTITION BY book_id, page ORDER BY y0, ord) < 0.7 * body_size THEN 0 ELSE 1 END AS nw FROM sd)) GROUP BY ALL",
