@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Chunks that a worker remembers between batches, and the length from which one is not remembered.
 REMEMBERED, LONG = 400_000, 256
+#: Code points of text that are replayed together, which bounds a worker's memory; a longer text is replayed alone.
+TOGETHER = 12 << 20
 #: From this many places on, the merges of a rank are applied as one array operation.
 MANY = 24
 #: With a pattern that is `spaced`, a text can be cut into chunks before each space that stands before anything but white space, and
@@ -218,6 +220,18 @@ def read_ranks(path: str) -> list[bytes | None]:
     return [ranks.get(i) for i in range(max(ranks) + 1)]
 
 
+def _parts(texts: list[str], most: int) -> Iterator[list[str]]:
+    """Runs of texts of at most so many code points, or of one text."""
+    start, size = 0, 0
+    for k, text in enumerate(texts):
+        if k > start and size + len(text) > most:
+            yield texts[start:k]
+            start, size = k, 0
+        size += len(text)
+    if texts:
+        yield texts[start:]
+
+
 _encoders: dict[int, Replay] = {}
 
 
@@ -232,7 +246,8 @@ def encode(docs: DataFrame, path: str, pattern: str, spaced: bool = False) -> Da
             _encoders[key] = Replay(vocabulary.value, pattern, spaced)
         encoder = _encoders[key]
         for batch in batches:
-            ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ids = [x for some in _parts(texts, TOGETHER) for x in encoder.encode(some)]
             for at in range(0, batch.num_rows, 1000):
                 some = ids[at : at + 1000]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), pa.array(some, pa.binary()), pa.array(map(encoder.decode, some), pa.binary())], names=["doc_id", "ids", "decoded"])

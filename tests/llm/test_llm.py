@@ -487,6 +487,12 @@ def test_bpe(docs, rows, encoder):
     assert got == Counter((i, np.array(other.encode_ordinary(t), "<u4").tobytes(), t.encode()) for i, t in rows)
 
 
+def test_bpe_parts_keep_all_texts():
+    for texts in ([], [""], ["a" * 9], ["ab", "", "c" * 9, "d", "ef", "g"]):
+        parts = list(bpe._parts(texts, 3))
+        assert [t for p in parts for t in p] == texts and all(p and (len(p) == 1 or sum(map(len, p)) <= 3) for p in parts)
+
+
 def test_bpe_on_odd_texts(encoder):
     import numpy as np
 
