@@ -144,3 +144,15 @@ def test_section_ends_of_a_long_book(spark):
     ends = {r[0]: r[1] for r in U.section_end_page(sections, spark.createDataFrame([(1, n)], "book_id int, page_count int")).select("section_id", "end_page").collect()}
     want = lambda i: min([j for j in range(i + 1, min(n, i + 4)) if j % 3 <= i % 3], default=n)
     assert all(ends[i] == want(i) for i in range(n))
+
+
+def test_concept_is_found_where_its_first_letter_has_no_capital(spark, tmp_path):
+    """k9 names concepts with capitals; a sharp s has none of its own and is to be found all the same."""
+    text = "Kopf\n" + "und so weiter " * 12 + "hier steht ßkeiten am Ende"
+    spark.createDataFrame([(i, text, "de", "src1", len(text)) for i in range(3)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    from quirelight.plans import knowledge
+
+    found = [r.snippet for r in knowledge.k9(spark, str(tmp_path)).filter("key like '%ßkeiten%'").collect()]
+    assert len(found) >= 3 and all("ßkeiten" in s and s.startswith("…") for s in found)
