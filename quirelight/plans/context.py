@@ -8,6 +8,7 @@ from ..operators import context as M
 from ..operators import units as U
 from ..sources import fixtures as X
 from ..sources.fixtures import sql
+from ..sources.shared import written
 from .search import _PAGES, page_text
 from .text import sql_term_key
 from .units import _DONE
@@ -61,7 +62,7 @@ def m7(spark, d):
 
 
 def m8(spark, d):
-    t = X.terms(spark, d)
+    t = written(X.terms(spark, d))
     name = F.struct(F.col("key").alias("name"), (F.col("no") % 7).cast("double").alias("importance"), F.concat(F.lit("about "), "key").alias("definition"))
     relation = F.struct(F.col("key").alias("a"), F.lit("middle").alias("b"), F.lit("part-of").alias("kind"), (F.col("no") % 300 / 100.0).alias("strength"))
     replies = t.select((F.col("no") % 3).cast("long").alias("book_id"), F.to_json(F.struct(F.array(name).alias("concepts"), F.array(relation).alias("relations"))).alias("reply"))
