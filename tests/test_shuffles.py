@@ -2,6 +2,7 @@
 
 import re
 
+from quirelight.operators import concepts as C
 from quirelight.sources import fixtures as X
 
 
@@ -13,3 +14,10 @@ def exchanges(df):
 
 def test_terms_go_through_one_shuffle(spark, sf):
     assert "key, unit_id" not in exchanges(X.terms(spark, sf))
+
+
+def test_pairs_of_terms_go_by_their_first_term(spark):
+    rows = [("b", 1), ("a", 1), ("c", 1), ("a", 2), ("b", 2), ("b", 2)] + [(f"k{i:02}", 3) for i in range(26)]
+    pairs = C.cooccurrence(spark.createDataFrame(rows, "key string, block_id long"), spark.createDataFrame([("c", "a"), ("c", "c")], "key string, used string"))
+    assert "a, b" not in exchanges(pairs)
+    assert sorted(map(tuple, pairs.collect())) == [("a", "b", 2), ("a", "c", 3), ("b", "c", 1)]
