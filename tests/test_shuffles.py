@@ -3,6 +3,7 @@
 import re
 
 from quirelight.operators import concepts as C
+from quirelight.operators import knowledge as K
 from quirelight.sources import fixtures as X
 
 
@@ -21,3 +22,15 @@ def test_pairs_of_terms_go_by_their_first_term(spark):
     pairs = C.cooccurrence(spark.createDataFrame(rows, "key string, block_id long"), spark.createDataFrame([("c", "a"), ("c", "c")], "key string, used string"))
     assert "a, b" not in exchanges(pairs)
     assert sorted(map(tuple, pairs.collect())) == [("a", "b", 2), ("a", "c", 3), ("b", "c", 1)]
+
+
+def test_exposure_is_shuffled_once_by_learner_and_term(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mentions = spark.createDataFrame([("a", 1, 2), ("a", 2, 1), ("b", 1, 1)], "key string, block_id long, count long")
+        reads = spark.createDataFrame([(7, 1), (7, 1), (8, 2)], "learner_id long, block_id long")
+        found = K.exposure(mentions, reads)
+        assert exchanges(found)[0] == "learner_id, key"
+        assert sorted(map(tuple, found.select("learner_id", "key", "total", "read").collect())) == [(7, "a", 3, 2), (7, "b", 1, 1), (8, "a", 3, 1)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
