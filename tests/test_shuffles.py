@@ -4,6 +4,7 @@ import re
 
 from quirelight.operators import concepts as C
 from quirelight.operators import knowledge as K
+from quirelight.operators import units as U
 from quirelight.sources import fixtures as X
 
 
@@ -34,3 +35,16 @@ def test_exposure_is_shuffled_once_by_learner_and_term(spark):
         assert sorted(map(tuple, found.select("learner_id", "key", "total", "read").collect())) == [(7, "a", 3, 2), (7, "b", 1, 1), (8, "a", 3, 1)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_section_progress_is_not_shuffled_as_a_whole(spark, sf):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "learner_id, unit_id" not in exchanges(U.section_progress(X.units(spark, sf), X.reads(spark, sf), X.blocks(spark, sf)))[:1]
+        units = spark.createDataFrame([(u, "x", "body") for u in (1, 2, 3)] + [(4, "y", "body")], "unit_id long, book_id string, kind string")
+        blocks = spark.createDataFrame([(10, 1, "x", 4), (11, 1, "x", 4), (20, 2, "x", 5), (30, 3, "x", 0), (40, 4, "y", 1)], "block_id long, unit_id long, book_id string, weight int")
+        reads = spark.createDataFrame([(7, 10), (7, 30), (8, 40)], "learner_id long, block_id long")
+        found = U.section_progress(units, reads, blocks).select("learner_id", "unit_id", "fraction").collect()
+        assert sorted(map(tuple, found)) == [(7, 1, 0.5), (7, 2, 0.0), (7, 3, 0.0), (8, 4, 1.0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
