@@ -48,3 +48,11 @@ def test_section_progress_is_not_shuffled_as_a_whole(spark, sf):
         assert sorted(map(tuple, found)) == [(7, 1, 0.5), (7, 2, 0.0), (7, 3, 0.0), (8, 4, 1.0)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cards_travel_with_their_concepts(spark):
+    on = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "card_id long, key string")
+    cards = spark.createDataFrame([(7, 1, "pending"), (7, 2, "active"), (8, 1, "active")], "learner_id long, card_id long, status string")
+    found = K.concept_cards(on, cards)
+    assert "learner_id, key" not in exchanges(found)
+    assert sorted(map(tuple, found.select("learner_id", "key", "card_id", "rank").collect())) == [(7, "a", 1, 2), (7, "a", 2, 1), (7, "b", 1, 1), (8, "a", 1, 1), (8, "b", 1, 1)]
