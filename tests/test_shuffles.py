@@ -56,3 +56,22 @@ def test_cards_travel_with_their_concepts(spark):
     found = K.concept_cards(on, cards)
     assert "learner_id, key" not in exchanges(found)
     assert sorted(map(tuple, found.select("learner_id", "key", "card_id", "rank").collect())) == [(7, "a", 1, 2), (7, "a", 2, 1), (7, "b", 1, 1), (8, "a", 1, 1), (8, "b", 1, 1)]
+
+
+def test_what_is_no_term_is_not_shuffled(spark):
+    words = spark.range(4000).selectExpr("concat('w', id) AS word", "id AS block_id")
+    anchors = spark.range(0, 4000, 40).selectExpr("concat('w', id) AS word")
+    left = {x.word for x in C._sieve(words, anchors).collect()}
+    assert {f"w{n}" for n in range(0, 4000, 40)} <= left and len(left) < 1000
+
+
+def test_figures_of_terms_are_shuffled_once_a_side(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mentions = spark.createDataFrame([("x", "a", 1, 2), ("x", "a", 2, 1), ("x", "b", 1, 1)], "book_id string, key string, unit_id long, count long")
+        said = spark.createDataFrame([("x", "a", "A"), ("x", "a", "a"), ("x", "a", "A"), ("x", "c", "c")], "book_id string, key string, surface string")
+        found = C.term_stats(said, mentions)
+        assert exchanges(found) == ["book_id, key"] * 2
+        assert sorted(map(tuple, found.select("key", "announced", "form", "total", "units").collect())) == [("a", 3, "A", 3, 2), ("c", 1, "c", 0, 0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
