@@ -75,3 +75,14 @@ def test_figures_of_terms_are_shuffled_once_a_side(spark):
         assert sorted(map(tuple, found.select("key", "announced", "form", "total", "units").collect())) == [("a", 3, "A", 3, 2), ("c", 1, "c", 0, 0)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_names_of_terms_are_shuffled_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        forms = spark.createDataFrame([("x", "ab", "Ab", True), ("x", "ab", "ab", False), ("x", "ab", "Ab", True), ("x", "bb cc", "Bb Cc", True)], "book_id string, key string, surface string, heading boolean")
+        found = C.display_names(forms, spark.createDataFrame([("x", "z", "z")], "book_id string, key string, surface string"))
+        assert exchanges(found) == ["book_id, key"] * 2  # the second is of the definitions
+        assert sorted(map(tuple, found.collect())) == [("x", "ab", "ab"), ("x", "bb cc", "bb cc")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
