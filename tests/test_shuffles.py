@@ -5,6 +5,7 @@ import re
 from quirelight.operators import concepts as C
 from quirelight.operators import knowledge as K
 from quirelight.operators import units as U
+from quirelight.plans import knowledge as P
 from quirelight.sources import fixtures as X
 
 
@@ -86,3 +87,10 @@ def test_names_of_terms_are_shuffled_once(spark):
         assert sorted(map(tuple, found.collect())) == [("x", "ab", "ab"), ("x", "bb cc", "bb cc")]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rollup_goes_by_term_alone(spark):
+    mentions = spark.createDataFrame([("x", "a", 3, 2), ("y", "a", 4, 1), ("x", "b", 5, 1)], "book_id string, key string, block_id long, count long")
+    found = P._rollup(None, None, mentions)
+    assert set(exchanges(found)) == {"key"}
+    assert sorted(map(tuple, found.select("key", "definition", "books").collect())) == [("a", "as in x", "x,y"), ("b", None, "x")]
