@@ -94,3 +94,11 @@ def test_rollup_goes_by_term_alone(spark):
     found = P._rollup(None, None, mentions)
     assert set(exchanges(found)) == {"key"}
     assert sorted(map(tuple, found.select("key", "definition", "books").collect())) == [("a", "as in x", "x,y"), ("b", None, "x")]
+
+
+def test_definitions_travel_with_their_block(spark):
+    defined = spark.createDataFrame([("a", 1), ("b", 1), ("a", 1), ("a", 2)], "key string, def_block_id long")
+    reads = spark.createDataFrame([(7, 1), (7, 2), (7, 1), (8, 2), (8, 3)], "learner_id long, block_id long")
+    found = K.definition_read(defined, reads)
+    assert "learner_id, key" not in exchanges(found)
+    assert sorted(map(tuple, found.collect())) == [(7, "a"), (7, "b"), (8, "a")]
