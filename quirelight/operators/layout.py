@@ -1,11 +1,13 @@
 """Layout mining over page lines. lines: book_id, page, ord, block, x0, y0, x1, y1, baseline, size, font, text, n (characters), bold,
 italic, mono, math (characters of that style), and role (body until a stage takes the line). A stage reads lines whose role is body.
 
-Everything is joins, windows and aggregates by book or page, but for figures, which grow in steps: those run grouped by page, and a
+Everything is joins, windows and aggregates by book or page, but for figures, which grow in steps: those run page by page, and a
 page is bounded."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -157,19 +159,23 @@ def _hull(boxes: np.ndarray) -> np.ndarray:
     return np.concatenate([boxes[:, :2].min(0), boxes[:, 2:].max(0)])
 
 
-def _page_regions(shapes: pd.DataFrame, lines: pd.DataFrame, width: float, height: float, body: float) -> list[tuple]:
+def _boxes(rows: dict[str, Sequence]) -> np.ndarray:
+    return np.array([rows[c] for c in BOX], float).T.reshape(-1, 4)
+
+
+def _page_regions(shapes: dict[str, Sequence], lines: dict[str, Sequence], width: float, height: float, body: float) -> list[tuple]:
     """(kind, box, photo, text) of one page's figures and text boxes; see figure_regions."""
     page = width * height
-    box, image = shapes[BOX].to_numpy(float), (shapes["kind"] == "image").to_numpy()
+    box, image = _boxes(shapes), np.array(shapes["kind"], object) == "image"
     w, h = box[:, 2] - box[:, 0], box[:, 3] - box[:, 1]
     fits = np.where(image, (_area(box) >= 150) & (_area(box) <= 0.9 * page), ((w >= 0.6) | (h >= 0.6)) & (_area(box) <= 0.85 * page))
     box, image, w, h = box[fits], image[fits], w[fits], h[fits]
     if not len(box):
         return []
     rule = ~image & ((h <= 1.6) | (w <= 1.6))
-    rect = shapes["rect"].to_numpy(bool)[fits] & ~image & ~rule
+    rect = np.array(shapes["rect"], bool)[fits] & ~image & ~rule
     drawn = ~image & ~rule & ~rect
-    photo = image & (shapes["pixels"].to_numpy(float)[fits] > 40_000) & (w > 60)
+    photo = image & (np.array(shapes["pixels"], float)[fits] > 40_000) & (w > 60)
     touch = _meet(box[:, None], box[None], np.where(rule[:, None] | rule[None], 1.0, 3.0))
     group = np.arange(len(box))
     while True:  # the least number that is reached over touching boxes
@@ -177,8 +183,8 @@ def _page_regions(shapes: pd.DataFrame, lines: pd.DataFrame, width: float, heigh
         if (new == group).all():
             break
         group = new
-    at, n = lines[BOX].to_numpy(float).reshape(-1, 4), lines["n"].to_numpy(float)
-    size, mono, text = lines["size"].to_numpy(float), lines["mono"].to_numpy(float), lines["text"].tolist()
+    at, n = _boxes(lines), np.array(lines["n"], float)
+    size, mono, text = np.array(lines["size"], float), np.array(lines["mono"], float), list(lines["text"])
     free = np.ones(len(n), bool)
     out = []
     for k in np.unique(group):
@@ -233,17 +239,23 @@ def figure_regions(shapes: DataFrame, pages: DataFrame, lines: DataFrame, body:
     kind (image or vector), rect (boolean), pixels; lines: role body. take_lines marks the lines."""
     text = lines.filter("role = 'body'").select("book_id", "page", "ord", *BOX, "n", "size", "mono", "text")
     where = pages.select("book_id", "page", "width", "height").join(body.select("book_id", "body_size"), "book_id")
-    drawn = shapes.join(where, ["book_id", "page"])
-
-    def run(key, some, near):
-        if not len(some):
-            return pd.DataFrame([], columns=columns)
-        some, near = some.sort_values(["y0", "x0", "y1", "x1", "kind", "rect", "pixels"]), near.sort_values(["ord", "y0", "x0"])
-        found = _page_regions(some, near, float(some["width"].iloc[0]), float(some["height"].iloc[0]), float(some["body_size"].iloc[0]))
-        return pd.DataFrame([(key[0], key[1], kind, n, *map(float, hull), photo, words) for n, (kind, hull, photo, words) in enumerate(found)], columns=columns)
-
-    columns = ["book_id", "page", "kind", "region", *BOX, "photo", "text"]
-    return drawn.groupBy("book_id", "page").cogroup(text.groupBy("book_id", "page")).applyInPandas(run, REGION)
+    # a page is a row of arrays, not a group of its own: hundreds of pages come to Python at once
+    key, seen, said = ["book_id", "page"], ["y0", "x0", "y1", "x1", "kind", "rect", "pixels"], ["ord", "y0", "x0", "y1", "x1", "n", "size", "mono", "text"]
+    drawn = shapes.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*seen))).alias("s")).join(where, key)
+    listed = text.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*said))).alias("t"))
+    rows = drawn.join(listed, key, "left").select(*key, "width", "height", "body_size", *[F.col(f"s.{c}").alias(f"s_{c}") for c in seen], *[F.col(f"t.{c}").alias(f"t_{c}") for c in said])
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for r in frame.to_dict("records"):
+                some = {c: r[f"s_{c}"] for c in seen}
+                near = {c: () if r[f"t_{c}"] is None else r[f"t_{c}"] for c in said}
+                found = _page_regions(some, near, float(r["width"]), float(r["height"]), float(r["body_size"]))
+                out += [(r["book_id"], r["page"], kind, n, *map(float, hull), photo, words) for n, (kind, hull, photo, words) in enumerate(found)]
+            yield pd.DataFrame(out, columns=["book_id", "page", "kind", "region", *BOX, "photo", "text"])
+
+    return rows.mapInPandas(run, REGION)
 
 
 def take_lines(lines: DataFrame, regions: DataFrame, role: str) -> DataFrame:

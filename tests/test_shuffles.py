@@ -4,6 +4,7 @@ import re
 
 from quirelight.operators import concepts as C
 from quirelight.operators import knowledge as K
+from quirelight.operators import layout as L
 from quirelight.operators import units as U
 from quirelight.plans import knowledge as P
 from quirelight.sources import fixtures as X
@@ -102,3 +103,13 @@ def test_definitions_travel_with_their_block(spark):
     found = K.definition_read(defined, reads)
     assert "learner_id, key" not in exchanges(found)
     assert sorted(map(tuple, found.collect())) == [(7, "a"), (7, "b"), (8, "a")]
+
+
+def test_figures_come_to_python_many_pages_at_once(spark):
+    box = "x0 double, y0 double, x1 double, y1 double"
+    shapes = spark.createDataFrame([(1, p, 100.0, 100.0, 200.0, 200.0, "image", False, 50_000) for p in (0, 1)], f"book_id long, page int, {box}, kind string, rect boolean, pixels int")
+    pages = spark.createDataFrame([(1, p, 600.0, 640.0) for p in (0, 1)], "book_id long, page int, width double, height double")
+    lines = spark.createDataFrame([(1, 0, 0, 120.0, 140.0, 160.0, 150.0, 5, 10.0, 0, "axis", "body")], f"book_id long, page int, ord int, {box}, n int, size double, mono int, text string, role string")
+    found = L.figure_regions(shapes, pages, lines, spark.createDataFrame([(1, 10.0)], "book_id long, body_size double"))
+    assert "FlatMap" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.page, r.kind, r.x0, r.y1, r.photo, r.text) for r in found.collect()) == [(0, "figure", 100.0, 200.0, True, "axis"), (1, "figure", 100.0, 200.0, True, "")]
