@@ -156,3 +156,12 @@ def test_concept_is_found_where_its_first_letter_has_no_capital(spark, tmp_path)
 
     found = [r.snippet for r in knowledge.k9(spark, str(tmp_path)).filter("key like '%ßkeiten%'").collect()]
     assert len(found) >= 3 and all("ßkeiten" in s and s.startswith("…") for s in found)
+
+
+def test_a_word_that_many_queries_ask_for_is_met_once(spark):
+    postings = spark.createDataFrame([("the", b, 1) for b in range(30)] + [("rare", 3, 2), ("rarely", 4, 1)], "term string, block_id long, tf long")
+    queries = spark.createDataFrame([(k, "the rar") for k in range(4)] + [(8, "the none"), (9, "rare")], "query_id long, query string")
+    assert Q._hits(Q.query_words(queries), postings).count() == 30 + 2 + 2
+    got = {tuple(r)[:2]: r.score for r in Q.rank(queries, postings).collect()}
+    assert got.keys() == {(k, b) for k in range(4) for b in (3, 4)} | {(9, 3), (9, 4)}
+    assert all(got[k, b] == got[0, b] for k in range(4) for b in (3, 4)) and got[0, 3] > got[0, 4]
