@@ -68,13 +68,21 @@ _TOTALS = {
 }
 
 
+def _as_bigint(rows, column):
+    """rows with column, whole numbers as DECIMAL, as BIGINT where all of them fit one; else as they are."""
+    fits = rows.filter(F.col(column) != F.coalesce(F.col(column).try_cast("long"), F.lit(0))).isEmpty()
+    return rows.withColumn(column, F.col(column).cast("long")) if fits else rows
+
+
 def s4(spark, d):
-    """Of every table what is left without the books under src2."""
+    """Of every table what is left without the books under src2. total is a BIGINT, as the SQL says, unless one of them is beyond that (some
+    card ids of many learners are); then it is a DECIMAL(38,0)."""
     tables = _all_tables(spark, d)
     tables |= {n: written(tables[n]) for n in ("blocks", "cards", "concepts", "concept_books")}  # parents, met several times
     out = S.remove_books(tables, tables["books"].filter("id < 'src2'").select(F.col("id").alias("book_id")))
-    rows = [out[n].agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n"), F.coalesce(F.expr(_TOTALS[n]), F.lit(0)).cast("long").alias("total")) for n in S.SCHEMAS]
-    return reduce(DataFrame.unionByName, rows)
+    total = lambda n: F.sum(F.expr(_TOTALS[n].removeprefix("sum")).cast("decimal(19,0)")).cast("decimal(38,0)")
+    rows = [out[n].agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n"), F.coalesce(total(n), F.lit(0).cast("decimal(38,0)")).alias("total")) for n in S.SCHEMAS]
+    return _as_bigint(written(reduce(DataFrame.unionByName, rows)), "total")
 
 
 def _highlights(spark, d):

@@ -258,3 +258,22 @@ def test_replace_books_everywhere(spark, tmp_path):
     assert got == {"books": [(1, "a"), (2, "b")], "blocks": [(11, 1), (20, 2)], "reads": [(5, 20)], "cards": [(8, 2)], "page_reads": [(1,), (2,)], "concepts": [("x", "X"), ("y", "Y")]}
 
 
+
+
+def test_totals_beyond_bigint_are_whole(spark, sf, tmp_path):
+    """s4 over learners so high that their card ids add up to more than a BIGINT: the SQL without its last cast says the same."""
+    import os
+    import re
+
+    import duckdb
+
+    from quirelight.plans import tables
+
+    con = duckdb.connect()
+    for name in os.listdir(sf):
+        os.symlink(f"{sf}/{name}", f"{tmp_path}/{name}") if name != "events.parquet" else con.execute(f"COPY (SELECT * REPLACE (user_id + 9000000000 AS user_id) FROM '{sf}/{name}') TO '{tmp_path}/{name}' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{tmp_path}/{name}'")
+    want = {r[0]: (r[1], r[2]) for r in con.execute(re.sub(r"CAST\((coalesce\(sum\([^,]*, 0\)) AS BIGINT\) AS total", r"\1 AS total", tables.ORACLE["s4_remove_books"])).fetchall()}
+    found = tables.s4(spark, str(tmp_path))
+    assert {r.name: (r.n, int(r.total)) for r in found.collect()} == want and want["cards"][1] > 2**63
+    assert found.schema["total"].dataType.simpleString() == "decimal(38,0)" and tables.s4(spark, sf).schema["total"].dataType.simpleString() == "bigint"
