@@ -60,6 +60,11 @@ def test_op2(spark, table, texts):
     assert got == want and any(x[2] for x in got)
 
 
+def test_op2_returns_what_remains(spark, table, texts):
+    want = Counter((k, kept.decode("utf-8", "ignore")) for (k, _), (_, _, _, kept) in zip(texts, slow_cut([t.encode() for _, t in texts]), strict=True))
+    assert Counter((r["doc_id"], r["text"]) for r in run(spark, table, "op2_suffix").collect()) == want
+
+
 def test_op4_texts_are_whole(spark, table, texts):
     rows = run(spark, table, "op4_packing").collect()
     assert {r["doc_id"] for r in rows} == {k for k, _ in texts} and len({(r["bucket"], r["batch"], r["slot"]) for r in rows}) == len(rows)
