@@ -1,5 +1,7 @@
 """Removal with all that hangs on it, snippets as a full-text index gives them, words found on pages, and the text around concepts."""
 
+import re
+
 import random
 import sqlite3
 
@@ -165,3 +167,44 @@ def test_a_word_that_many_queries_ask_for_is_met_once(spark):
     got = {tuple(r)[:2]: r.score for r in Q.rank(queries, postings).collect()}
     assert got.keys() == {(k, b) for k in range(4) for b in (3, 4)} | {(9, 3), (9, 4)}
     assert all(got[k, b] == got[0, b] for k in range(4) for b in (3, 4)) and got[0, 3] > got[0, 4]
+
+
+def test_a_row_of_a_place_does_not_carry_the_map_of_its_page(spark):
+    pages = spark.createDataFrame([(1, 0, "Two words, two  WORDS"), (1, 1, "ﬁve")], "book_id long, page int, text string")
+    found = N.find_all(spark.createDataFrame([(7, 1, ["words", "five"])], "query_id long, book_id long, words array<string>"), pages)
+    placed = N.place_quotes(spark.createDataFrame([(3, 1, 0, 12, "twowords")], "quote_id long, book_id long, page int, hint int, quote string"), pages)
+    assert [tuple(r) for r in found.orderBy("page", "place").select("page", "start", "end").collect()] == [(0, 4, 9), (0, 16, 21), (1, 0, 3)]
+    assert [tuple(r) for r in placed.collect()] == [(3, 0, 11, 21)]
+    for df in (found, placed):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"\b(t|map|_extract_map)#", plan)
+
+
+def test_folding_goes_letter_by_letter_where_letters_depend_on_their_neighbours(spark):
+    """A capital sigma at a word's end is a small one like any other; small tables and the whole one give the same."""
+    texts = ["ΟΔΟΣ a", "Straße … ﬀ", "plain\tASCII-\nhere", "naïve Œuvre—x", "\U0001d400bc Ａ", "İi"]
+    got = {r.t: (r.f.folded, r.f.map) for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.fold_text(F.col("t")).alias("f")).collect()}
+    assert [got[t][0] for t in texts] == ["οδοσa", "straße...ff", "plainasciihere", "naïveœuvre—x", "abca", "i̇i"]
+    assert got["plain\tASCII-\nhere"][1] == [*range(5), *range(6, 11), *range(13, 17)] and got["İi"][1] == [0, 0, 1]
+    assert all(len(folded) == len(places) for folded, places in got.values())
+
+
+def test_terms_are_cleaned_alike_with_and_without_letters_beyond_ascii(spark):
+    runs = ["Café’s crèmes", "“Vector spaces”", "the vector", "rate of change of", "Ünıts", "Proof of x", "x=1 and", "４th", None, ""]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(runs)], "k int, t string").orderBy("k").select(T.clean_term(F.col("t"))).collect()]
+    assert got == ["Café’s crèmes", "Vector spaces", None, None, "Ünıts", None, None, "４th", None, None]
+    words = spark.createDataFrame([("Café’s ﬂows Ａlphas it's",)], "t string").select(T.term_words(F.col("t"))).first()[0]
+    assert words == ["cafe", "flow", "alpha", "it"]
+
+
+def test_outlines_count_words_as_often_as_they_stand(spark):
+    from quirelight.operators import layout as L
+
+    kind = "book_id long, page int, ord int, text string, size double, bold int, n int, role string"
+    rows = [(1, 0, 0, "a a b", 10.0, 0, 5, "body"), (1, 0, 1, "a b b b", 10.0, 0, 7, "body"), (1, 0, 2, "c", 10.0, 0, 1, "body")]
+    outline = spark.createDataFrame([(1, 5, "1.2 b b a b c", 0)], "book_id long, entry int, title string, page int")
+    body = spark.createDataFrame([(1, 10.0)], "book_id long, body_size double")
+    found = L.match_outline(outline, spark.createDataFrame(rows, kind), body)
+    assert [tuple(r) for r in found.select("entry", "page", "ord", "score").collect()] == [(5, 0, 1, 1.0)]
+    joins = re.split(r"Join", found._jdf.queryExecution().optimizedPlan().toString())
+    assert "RegExpExtractAll" not in joins[0] and "regexp_extract_all" not in joins[0]  # words are found before the pairs are made
