@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import apart_places, clean_text, fold_text, places_of
+from ..functions.text import apart_places, bound, clean_text, folded_places, folded_text, places_of
 
 
 def _touched(ranges: DataFrame, page_lines: DataFrame) -> DataFrame:
@@ -79,26 +79,30 @@ def annotations(highlights: DataFrame, versions: DataFrame, chats: DataFrame, pa
 def place_quotes(quotes: DataFrame, page_text: DataFrame) -> DataFrame:
     """quote_id, page, start, end: where a quote stands on its page or the next, nearest to its hint, whatever its white space,
     case and line-end hyphens; unplaced quotes are not returned. quotes: quote_id, book_id, page, hint, quote."""
-    q = quotes.withColumn("f", fold_text(F.col("quote"))["folded"]).filter("f <> ''").select("quote_id", "book_id", F.explode(F.array("page", F.col("page") + 1)).alias("page"), F.col("page").alias("own"), "hint", "f")
-    pages = page_text.join(q.select("book_id", "page").distinct(), ["book_id", "page"], "left_semi").withColumn("t", fold_text(F.col("text"))).select("book_id", "page", "t")
-    rows = q.join(pages, ["book_id", "page"]).filter(F.col("t.folded").contains(F.col("f")))
-    size = F.length("f")
-    starts = places_of(F.col("t.folded"), F.col("f"))
-    each = rows.select("quote_id", "page", "own", "hint", "t.map", size.alias("n"), F.explode(starts).alias("i"))
-    start, end = F.get("map", F.col("i") - 1), F.get("map", F.col("i") + F.col("n") - 2) + 1
-    found = each.select("quote_id", "page", start.alias("start"), end.alias("end"), F.struct((F.col("page") != F.col("own")).alias("a"), F.abs(start - F.col("hint")).alias("b"), start.alias("c")).alias("order"))
+    q = quotes.withColumn("f", folded_text(F.col("quote"))).filter("f <> ''").select("quote_id", "book_id", F.explode(F.array("page", F.col("page") + 1)).alias("page"), F.col("page").alias("own"), "hint", "f")
+    pages = page_text.join(q.select("book_id", "page").distinct(), ["book_id", "page"], "left_semi").select("book_id", "page", "text", folded_text(F.col("text")).alias("folded"))
+    rows = q.join(pages, ["book_id", "page"]).filter(F.col("folded").contains(F.col("f")))
+    starts = F.transform(places_of(F.col("folded"), F.col("f")), lambda i: i - 1)
+    each = rows.select("quote_id", "page", "own", "hint", F.explode(_as_written(F.col("text"), starts, F.length("f"))).alias("x"))
+    found = each.select("quote_id", "page", "x.*", F.struct((F.col("page") != F.col("own")).alias("a"), F.abs(F.col("x.start") - F.col("hint")).alias("b"), F.col("x.start").alias("c")).alias("order"))
     return found.groupBy("quote_id").agg(F.min_by(F.struct("page", "start", "end"), "order").alias("x")).select("quote_id", "x.*")
 
 
+def _as_written(text: Column, places: Column, n: Column) -> Column:
+    """Start and end in text of n folded characters at each of places (from 0): a row carries its ranges, not the map of its page."""
+    of = F.struct(folded_places(text).alias("map"), places.alias("at"), n.alias("n"))
+    return bound(of, lambda x: F.transform(x["at"], lambda i: F.struct(F.get(x["map"], i).alias("start"), (F.get(x["map"], i + x["n"] - 1) + 1).alias("end"))))
+
+
 def find_all(queries: DataFrame, page_text: DataFrame, limit: int = 200) -> DataFrame:
     """query_id, page, start, end, place: every place of words on the pages of a book, whatever their white space, case and line-end
     hyphens; places of one word do not overlap. A page has at most `limit` places, the first words' first, in order (place from 1). Words
     of one letter are not looked for. queries: query_id, book_id, words (array)."""
-    asked = queries.select("query_id", "book_id", F.posexplode("words").alias("no", "word")).withColumn("f", fold_text(F.col("word"))["folded"]).filter("length(f) >= 2")
-    pages = page_text.join(queries.select("book_id").distinct(), "book_id", "left_semi").withColumn("t", fold_text(F.col("text"))).select("book_id", "page", "t")
-    rows = asked.join(pages, "book_id").filter(F.col("t.folded").contains(F.col("f")))
-    each = rows.select("query_id", "page", "no", F.length("f").alias("n"), "t.map", F.explode(apart_places(F.col("t.folded"), F.col("f"))).alias("i"))
-    found = each.select("query_id", "page", "no", F.get("map", "i").alias("start"), (F.get("map", F.col("i") + F.col("n") - 1) + 1).alias("end"))
+    asked = queries.select("query_id", "book_id", F.posexplode("words").alias("no", "word")).withColumn("f", folded_text(F.col("word"))).filter("length(f) >= 2")
+    pages = page_text.join(queries.select("book_id").distinct(), "book_id", "left_semi").select("book_id", "page", "text", folded_text(F.col("text")).alias("folded"))
+    rows = asked.join(pages, "book_id").filter(F.col("folded").contains(F.col("f")))
+    places = _as_written(F.col("text"), apart_places(F.col("folded"), F.col("f")), F.length("f"))
+    found = rows.select("query_id", "page", "no", F.explode(places).alias("x")).select("query_id", "page", "no", "x.*")
     page = Window.partitionBy("query_id", "page")
     kept = found.withColumn("_r", F.row_number().over(page.orderBy("no", "start"))).filter(F.col("_r") <= limit)
     return kept.withColumn("place", F.row_number().over(page.orderBy("start", "no"))).drop("_r", "no")
