@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import dice, norm_key, title_tokens
+from ..functions.text import bound, norm_key, run_starts, title_words, without_numbering
 
 # Patterns of lines, as the semantics define them.
 BULLET = r"^([•◦▪▫‣⁃●○■□►▸–—·∙∗*])\s+"
@@ -36,21 +36,56 @@ def _lower_percentile(values: Column, p: float) -> Column:
 
 
 def line_profile(chars: DataFrame) -> DataFrame:
+    """L1 for characters that come one a row. chars: book_id, page, line, i, c, x0, x1, baseline, size, font, flags."""
+    rows = chars.groupBy("book_id", "page", "line").agg(F.collect_list(F.struct(*CHAR)).alias("chars"))
+    return profile_lines(rows)
+
+
+CHAR = ("i", "c", "x0", "x1", "baseline", "size", "font", "flags")
+
+
+def _most(values: Column) -> Column:
+    """What is most often in an array, the larger on ties."""
+
+    def often(x: Column) -> Column:
+        def among(kinds: Column) -> Column:
+            times = F.transform(kinds, lambda v: F.struct(F.size(F.filter(x, lambda y: y.eqNullSafe(v))).alias("k"), v.alias("v")))
+            return F.when(F.size(kinds) == 1, F.get(kinds, F.lit(0))).otherwise(F.array_max(times)["v"])
+
+        return bound(F.array_distinct(x), among)
+
+    return bound(values, often)
+
+
+def profile_lines(lines: DataFrame) -> DataFrame:
     """L1: one line from its characters: dominant size (quarter points, the larger on ties) and font, median baseline, style counts, text
-    with inferred spaces (gaps of 0.2 to 6 em). chars: book_id, page, line, i, c, x0, x1, baseline, size, font, flags."""
-    key = ["book_id", "page", "line"]
-    w = Window.partitionBy(*key).orderBy("i")
-    gap = F.col("x0") - F.lag("x1").over(w)
-    rows = chars.withColumn("c", F.when((gap > 0.2 * F.col("size")) & (gap < 6 * F.col("size")) & (F.col("c") != " ") & (F.lag("c").over(w) != " "), F.concat(F.lit(" "), "c")).otherwise(F.col("c")))
-    rows = rows.withColumn("q", F.round(F.col("size") * 4) / 4)
-    sizes = rows.groupBy(*key, "q").agg(F.count(F.lit(1)).alias("k")).groupBy(*key).agg(F.max_by("q", F.struct("k", "q")).alias("size"))
-    fonts = rows.groupBy(*key, "font").agg(F.count(F.lit(1)).alias("k")).groupBy(*key).agg(F.max_by("font", F.struct("k", "font")).alias("font"))
-    style = lambda bit: F.count(F.when(F.col("flags").bitwiseAND(bit) != 0, 1))
-    out = rows.groupBy(*key).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]), "").alias("text"), F.percentile("baseline", 0.5).alias("baseline"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
-        F.count(F.lit(1)).alias("n"), style(1).alias("bold"), style(2).alias("italic"), style(4).alias("mono"), style(32).alias("math"),
+    with inferred spaces (gaps of 0.2 to 6 em). lines: book_id, page, line, chars (array of i, c, x0, x1, baseline, size, font, flags, in
+    any order). A line comes with its characters, so it is read where it stands; one without any has n = 0 and no size."""
+
+    def spaced(x: Column) -> Column:
+        def letter(y: Column, k: Column) -> Column:
+            def after(last: Column) -> Column:
+                gap = y["x0"] - last["x1"]
+                return F.when((gap > 0.2 * y["size"]) & (gap < 6 * y["size"]) & (y["c"] != " ") & (last["c"] != " "), F.concat(F.lit(" "), y["c"])).otherwise(y["c"])
+
+            return F.when(k == 0, y["c"]).otherwise(after(F.get(x, k - 1)))
+
+        return F.array_join(F.transform(x, letter), "")
+
+    def middle(x: Column) -> Column:
+        n = F.size(x) - 1
+        return (F.get(x, F.floor(n / 2).cast("int")) + F.get(x, F.ceil(n / 2).cast("int"))) / 2
+
+    def median(x: Column) -> Column:
+        return F.when(F.array_min(x) == F.array_max(x), F.array_min(x)).otherwise(bound(F.sort_array(x), middle))
+
+    own = lambda c: F.transform("chars", lambda y: y[c])
+    style = lambda bit: F.size(F.filter("chars", lambda y: y["flags"].bitwiseAND(bit) != 0)).cast("long")
+    return lines.withColumn("chars", F.sort_array("chars")).select(
+        "book_id", "page", "line", bound(F.col("chars"), spaced).alias("text"), bound(F.array_compact(own("baseline")), median).alias("baseline"), F.array_min(own("x0")).alias("x0"), F.array_max(own("x1")).alias("x1"),
+        F.size("chars").cast("long").alias("n"), style(1).alias("bold"), style(2).alias("italic"), style(4).alias("mono"), style(32).alias("math"),
+        _most(F.transform("chars", lambda y: F.round(y["size"] * 4) / 4)).alias("size"), _most(own("font")).alias("font"),
     )
-    return out.join(sizes, key).join(fonts, key)
 
 
 def merge_rows(lines: DataFrame) -> DataFrame:
@@ -355,16 +390,39 @@ def link_footnotes(refs: DataFrame, notes: DataFrame) -> DataFrame:
     return refs.join(found, "ref_id", "left")
 
 
+def _counted(words: Column) -> Column:
+    """Words, the second and further ones of a kind marked by their number: what two such lists share is what they share as multisets."""
+
+    def numbered(s: Column) -> Column:
+        def run(starts: Column) -> Column:
+            nth = lambda i, k: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(starts, k + 1), F.size(s)) - i - 1), lambda j: F.when(j == 0, F.get(s, i)).otherwise(F.concat(F.get(s, i), F.lit(" "), j.cast("string"))))
+            return F.flatten(F.transform(starts, nth))
+
+        return bound(run_starts(s), run)
+
+    def marked(w: Column) -> Column:
+        return F.when(F.size(F.array_distinct(w)) == F.size(w), w).otherwise(bound(F.sort_array(w), numbered))
+
+    return bound(words, marked)
+
+
 def match_outline(outline: DataFrame, lines: DataFrame, body: DataFrame, least: float = 0.72) -> DataFrame:
     """Entry, ord, score: the line (alone or with one or two after it) of the entry's page or the next whose words are most like the
     entry's title; 0.08 more if it is large or bold, 0.05 less on the next page; a line goes to its first entry. Entries of a book of three
     or more of which under three in ten match are left out. outline: book_id, entry, title, page."""
     w = Window.partitionBy("book_id", "page").orderBy("ord")
-    rows = lines.filter("role = 'body'").join(body, "book_id").withColumns({"_2": F.lead("text", 1).over(w), "_3": F.lead("text", 2).over(w)})
-    spans = rows.select("book_id", "page", "ord", ((F.col("size") > 1.1 * F.col("body_size")) | (F.col("bold") > 0.6 * F.col("n"))).alias("strong"), F.explode(F.array(F.col("text"), F.concat_ws(" ", "text", "_2"), F.concat_ws(" ", "text", "_2", "_3"))).alias("t"))
-    want = outline.select("book_id", "entry", "title", F.explode(F.array(F.lit(0), F.lit(1))).alias("d"), "page").withColumn("page", F.col("page") + F.col("d"))
-    score = dice(title_tokens(F.col("title")), title_tokens(F.col("t"))) + F.when(F.col("strong"), 0.08).otherwise(0.0) - 0.05 * F.col("d")
-    hits = want.join(spans, ["book_id", "page"]).withColumn("score", F.round(score, 6)).filter(F.col("score") >= least)
+    strong = (F.col("size") > 1.1 * F.col("body_size")) | (F.col("bold") > 0.6 * F.col("n"))
+    rows = lines.filter("role = 'body'").join(body, "book_id").select("book_id", "page", "ord", strong.alias("strong"), F.col("text").alias("_1")).withColumns({"_2": F.lead("_1", 1).over(w), "_3": F.lead("_1", 2).over(w)})
+    # words are found once a line, not once a pair; those of lines together are theirs one after the other
+    rows = rows.withColumns({c: title_words(F.col(c)) for c in ("_1", "_2", "_3")})
+    none = F.array().cast("array<string>")
+    two = F.concat(F.coalesce("_1", none), F.coalesce("_2", none))
+    spans = rows.select("book_id", "page", "ord", "strong", F.transform(F.array(F.col("_1"), two, F.concat(two, F.coalesce("_3", none))), lambda x: _counted(without_numbering(x))).alias("t"))
+    want = outline.select("book_id", "entry", _counted(without_numbering(title_words(F.col("title")))).alias("_a"), F.explode(F.array(F.lit(0), F.lit(1))).alias("d"), "page").withColumn("page", F.col("page") + F.col("d"))
+    likeness = lambda x: F.when((F.size("_a") == 0) | (F.size(x) == 0), F.lit(0.0)).otherwise(2.0 * F.size(F.array_intersect("_a", x)) / (F.size("_a") + F.size(x)))
+    more = F.when(F.col("strong"), 0.08).otherwise(0.0)
+    score = F.array_max(F.transform("t", lambda x: F.round(likeness(x) + more - 0.05 * F.col("d"), 6)))
+    hits = want.join(spans, ["book_id", "page"]).select("book_id", "entry", "page", "ord", score.alias("score")).filter(F.col("score") >= least)
     best = hits.groupBy("book_id", "entry").agg(F.max_by(F.struct("page", "ord", "score"), F.struct("score", -F.col("page"), -F.col("ord"))).alias("x")).select("book_id", "entry", "x.*")
     once = best.withColumn("_r", F.row_number().over(Window.partitionBy("book_id", "page", "ord").orderBy("entry"))).filter("_r = 1").drop("_r")
     share = outline.groupBy("book_id").agg(F.count(F.lit(1)).alias("k")).join(once.groupBy("book_id").agg(F.count(F.lit(1)).alias("m")), "book_id").filter("k < 3 or m >= 0.3 * k")

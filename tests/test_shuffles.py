@@ -5,6 +5,7 @@ import re
 from quirelight.operators import concepts as C
 from quirelight.operators import knowledge as K
 from quirelight.operators import layout as L
+from quirelight.operators import search as Q
 from quirelight.operators import units as U
 from quirelight.plans import knowledge as P
 from quirelight.sources import fixtures as X
@@ -113,3 +114,20 @@ def test_figures_come_to_python_many_pages_at_once(spark):
     found = L.figure_regions(shapes, pages, lines, spark.createDataFrame([(1, 10.0)], "book_id long, body_size double"))
     assert "FlatMap" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.page, r.kind, r.x0, r.y1, r.photo, r.text) for r in found.collect()) == [(0, "figure", 100.0, 200.0, True, "axis"), (1, "figure", 100.0, 200.0, True, "")]
+
+
+def test_postings_of_a_block_are_made_in_its_row(spark):
+    found = Q.build_postings(spark.createDataFrame([(1, "b a B c"), (2, ""), (3, "a")], "block_id long, text string"))
+    assert not exchanges(found)
+    assert sorted(map(tuple, found.collect())) == [("a", 1, 1, [1]), ("a", 3, 1, [0]), ("b", 1, 2, [0, 2]), ("c", 1, 1, [3])]
+
+
+def test_a_line_is_profiled_in_its_row(spark):
+    char = lambda i, c, x, size=10.0, flags=0: (i, c, x, x + 5, 100.0 + i, size, "A", flags)
+    kind = "book_id long, page int, line int, chars array<struct<i:int,c:string,x0:double,x1:double,baseline:double,size:double,font:string,flags:int>>"
+    rows = [(1, 0, 0, [char(2, "c", 20.0, 7.0, 1), char(0, "a", 0.0), char(1, "b", 5.0, 7.0, 3)]), (1, 0, 1, [])]
+    found = L.profile_lines(spark.createDataFrame(rows, kind))
+    assert not exchanges(found)
+    assert [(r["text"], r["baseline"], r["size"], r["n"], r["bold"], r["italic"]) for r in found.orderBy("line").collect()] == [("ab c", 101.0, 7.0, 3, 2, 1), ("", None, None, 0, 0, 0)]
+    apart = spark.createDataFrame(rows, kind).selectExpr("book_id", "page", "line", "inline(chars)")
+    assert L.line_profile(apart).collect() == found.filter("n > 0").collect()
