@@ -51,6 +51,8 @@ PLACED, PASSES = 5, 2
 #: The counts of neighbouring symbols are bounded, and so are the tasks that hold them and the class tables that these send.
 PARTS = 8
 BETA = 5.0
+#: Words that a task holds before it hands on their counts, and contexts of words that it places at once: a worker's memory.
+HELD, AT_ONCE = 750_000, 8_192
 #: Stands for the end; no word holds white space.
 END = b"\n"
 HELD_OUT = 10
@@ -92,7 +94,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text in batch.column(0).to_pylist():
             counts.update(tokens(text))
-            if len(counts) > 500_000:
+            if len(counts) > 250_000:
                 yield out()
                 counts.clear()
     yield out()
@@ -109,7 +111,7 @@ class Symbols(dict):
 
     def __missing__(self, word: bytes) -> int:
         found = self.end + 1 + rare_class(word)
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             for w in [w for k, w in enumerate(self) if k >= self.fixed]:
                 del self[w]
         self[word] = found
@@ -122,19 +124,21 @@ def _pairs(clustered: list[bytes]):
         size = symbols.end + 1 + RARE
         grid = np.zeros(size * size, np.int64)
         for batch in batches:
-            found = [np.array([symbols.end, *map(symbols.__getitem__, tokens(text.as_py()))], np.int64) for text in batch.column(0)]
-            if found:
+            for at in range(0, batch.num_rows, 500):
+                found = [np.array([symbols.end, *map(symbols.__getitem__, tokens(text.as_py()))], np.int64) for text in batch.column(0).slice(at, 500)]
                 # texts start after an end, so one text's end and the next one's start is a pair that must not be counted twice
                 codes = np.concatenate([x[:-1] * size + x[1:] for x in found])
                 codes, n = np.unique(codes, return_counts=True)
                 grid[codes] += n
         grid = grid.reshape(size, size)
-        rows = []
         for side, table in ((0, grid), (1, grid.T)):
-            for symbol in np.flatnonzero(table.any(axis=1)).tolist():
-                others = np.flatnonzero(table[symbol])
-                rows.append((symbol, side, others.astype(np.int16).tobytes(), table[symbol, others].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["symbol", "side", "others", "n"])
+            for at in range(0, size, 128):  # handed on by parts, since all rows together are as large as the grid
+                rows = []
+                for symbol in range(at, min(size, at + 128)):
+                    others = np.flatnonzero(table[symbol])
+                    if len(others):
+                        rows.append((symbol, side, others.astype(np.int16).tobytes(), table[symbol, others].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["symbol", "side", "others", "n"])
 
     return run
 
@@ -236,7 +240,7 @@ def exchange(pairs: DataFrame, clustered: int, rounds: int = ROUNDS) -> tuple[np
 
 
 def _contexts(clustered: list[bytes], classes: np.ndarray):
-    """word, rare, context, n: how often each word that is not clustered follows each context."""
+    """word, rare, contexts, ns: how often each word that is not clustered follows each context, in one row a word and part of a task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = Symbols(clustered)
@@ -246,12 +250,13 @@ def _contexts(clustered: list[bytes], classes: np.ndarray):
 
         def flush() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(codes) if codes else np.empty(0, np.int64), return_counts=True)
-            of = pa.array(found // SIZE)
             words = list(number)
-            columns = [pa.array(words, pa.binary()).take(of), pa.array(map(rare_class, words), pa.int32()).take(of), pa.array((found % SIZE).astype(np.int32)), pa.array(n)]
+            # each word has been numbered where it was met, so all of them have contexts
+            starts = pa.array(np.append(np.searchsorted(found // SIZE, np.arange(len(words))), len(found)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(starts, pa.array(x)) for x in ((found % SIZE).astype(np.int32), n.astype(np.int64))]
             number.clear()
             codes.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["word", "rare", "context", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(map(rare_class, words), pa.int32()), *lists], names=["word", "rare", "contexts", "ns"])
 
         for batch in batches:
             for text in batch.column(0):
@@ -261,7 +266,7 @@ def _contexts(clustered: list[bytes], classes: np.ndarray):
                 own = [number.setdefault(words[k], len(number)) for k in rest.tolist()]
                 codes.append(np.array(own, np.int64) * SIZE + classes[found[rest]])
                 held += len(own)
-                if held > 2_000_000 or len(number) > 300_000:
+                if held > HELD or len(number) > HELD // 5:
                     yield flush()
                     held = 0
         yield flush()
@@ -289,11 +294,27 @@ def placements(table: np.ndarray, starts: np.ndarray, contexts: np.ndarray, n: n
 _PLACED = "word binary, rare int, contexts array<int>, ns array<long>, to int"
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of a word's contexts from several parts as one, each context once."""
+    for batch in batches:
+        lists, counts = batch.column(2), batch.column(3)
+        of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        found, at = np.unique(of * SIZE + lists.flatten().to_numpy(), return_inverse=True)
+        n = np.bincount(at, counts.flatten().to_numpy(), len(found)).astype(np.int64)
+        starts = pa.array(np.append(np.searchsorted(found // SIZE, np.arange(batch.num_rows)), len(found)).astype(np.int32))
+        merged = [pa.ListArray.from_arrays(starts, pa.array(x)) for x in ((found % SIZE).astype(np.int32), n)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *merged, batch.column(4)], names=["word", "rare", "contexts", "ns", "to"])
+
+
 def _place(table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            ends = batch.column(2).offsets.to_numpy()
+            at = 0
+            while at < batch.num_rows:
+                until = max(at + 1, int(np.searchsorted(ends, ends[at] + AT_ONCE, "right")) - 1)
+                some = batch.slice(at, until - at)
+                at = until
                 lists = some.column(2)
                 starts = lists.offsets.to_numpy()[:-1].astype(np.int64)
                 up = placements(table, starts - starts[0], lists.flatten().to_numpy(), some.column(3).flatten().to_numpy().astype(np.float64), some.column(4).to_numpy())
@@ -318,9 +339,9 @@ def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def place_words(text: DataFrame, clustered: list[bytes], classes: np.ndarray, table: np.ndarray) -> tuple[DataFrame, np.ndarray]:
     """word, rare, contexts, ns, to (its class) of all words seen PLACED times or more that are not clustered; and the table of contexts
     by classes with these words in their classes."""
-    rows = text.mapInArrow(_contexts(clustered, classes), "word binary, rare int, context int, n long").groupBy("word", "rare", "context").agg(F.sum("n").alias("n"))
-    lists = rows.groupBy("word", "rare").agg(F.collect_list(F.struct("context", "n")).alias("x"), F.sum("n").alias("total")).filter(F.col("total") >= PLACED)
-    last = lists.select("word", "rare", F.col("x.context").alias("contexts"), F.col("x.n").alias("ns"), F.lit(-1).alias("to"))
+    rows = text.mapInArrow(_contexts(clustered, classes), "word binary, rare int, contexts array<int>, ns array<long>").withColumn("n", F.aggregate("ns", F.lit(0).cast("long"), lambda a, x: a + x))
+    lists = rows.groupBy("word", "rare").agg(F.flatten(F.collect_list("contexts")).alias("contexts"), F.flatten(F.collect_list("ns")).alias("ns"), F.sum("n").alias("total")).filter(F.col("total") >= PLACED)
+    last = lists.select("word", "rare", "contexts", "ns", F.lit(-1).alias("to")).mapInArrow(_merged, _PLACED)
     best, now = None, table
     for _ in range(PASSES):
         placed = materialize(last.mapInArrow(_place(now), _PLACED), "placed")

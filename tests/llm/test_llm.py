@@ -637,3 +637,22 @@ def test_pipeline(spark, docs, rows):
     assert all(not slow_quality(texts[i])[0] < 10 for i in left)
     assert [stage(spark, spark.createDataFrame([], SCHEMA), None).count() for _, stage in corpus_pipeline.STAGES] == [0] * 5
     assert corpus_pipeline.STAGES[-1][1](spark, out, None).select("doc_id").distinct().count() == len(left)
+
+
+def test_contexts_of_a_word_come_in_one_row_and_merge():
+    """A word's contexts are a list, not a row each; lists from two parts become one with each context once; words are placed in small parts."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quirelight.llm import lm
+
+    text = pa.RecordBatch.from_arrays([pa.array(["x a x b", "a x", None])], names=["text"])
+    (found,) = lm._contexts([b"a"], np.array([3, *range(lm.CLASSES, lm.SIZE)]))(iter([text]))
+    rare = lm.CLASSES + 1 + lm.rare_class(b"x")
+    got = {r["word"]: dict(zip(r["contexts"], r["ns"], strict=True)) for r in found.to_pylist()}
+    assert got == {b"x": {lm.CLASSES: 1, 3: 2}, b"b": {rare: 1}}
+    twice = pa.RecordBatch.from_pydict({"word": [b"x", b"b"], "rare": pa.array([1, 2], pa.int32()), "contexts": pa.array([[64, 3, 3], [5]], pa.list_(pa.int32())), "ns": pa.array([[1, 2, 4], [7]], pa.list_(pa.int64())), "to": pa.array([-1, -1], pa.int32())})
+    (merged,) = lm._merged(iter([twice]))
+    assert [(r["contexts"], r["ns"]) for r in merged.to_pylist()] == [([3, 64], [6, 1]), ([5], [7])]
+    (table,) = [np.ones((lm.SIZE, lm.SIZE), np.int64) * 50]
+    assert sum(b.num_rows for b in lm._place(table)(iter([merged]))) == 2
