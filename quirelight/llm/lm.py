@@ -51,8 +51,9 @@ PLACED, PASSES = 5, 2
 #: The counts of neighbouring symbols are bounded, and so are the tasks that hold them and the class tables that these send.
 PARTS = 8
 BETA = 5.0
-#: Words that a task holds before it hands on their counts, and contexts of words that it places at once: a worker's memory.
-HELD, AT_ONCE = 750_000, 8_192
+#: Words that a task holds before it hands on their counts, kinds of words that it counts or remembers, and contexts of words that it places
+#: at once: a worker's memory.
+HELD, KINDS, AT_ONCE = 750_000, 125_000, 8_192
 #: Stands for the end; no word holds white space.
 END = b"\n"
 HELD_OUT = 10
@@ -92,9 +93,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(map(rare_class, words), pa.int32()), pa.array(counts.values(), pa.int64())], names=["word", "rare", "n"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(tokens(text))
-            if len(counts) > 250_000:
+        for text in batch.column(0):
+            counts.update(tokens(text.as_py()))
+            if len(counts) > KINDS:
                 yield out()
                 counts.clear()
     yield out()
@@ -111,7 +112,7 @@ class Symbols(dict):
 
     def __missing__(self, word: bytes) -> int:
         found = self.end + 1 + rare_class(word)
-        if len(self) > 200_000:
+        if len(self) > KINDS:
             for w in [w for k, w in enumerate(self) if k >= self.fixed]:
                 del self[w]
         self[word] = found
@@ -323,6 +324,12 @@ def _place(table: np.ndarray):
     return run
 
 
+def _merged_and_placed(table: np.ndarray):
+    """_merged and _place in one worker: chained in Spark, each would have a worker of its own in the same task, which doubles their memory."""
+    place = _place(table)
+    return lambda batches: place(_merged(batches))
+
+
 def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """code (context, rare class, class), n: what placed words take from rare classes to exchange classes."""
     sums: Counter[int] = Counter()
@@ -341,10 +348,10 @@ def place_words(text: DataFrame, clustered: list[bytes], classes: np.ndarray, ta
     by classes with these words in their classes."""
     rows = text.mapInArrow(_contexts(clustered, classes), "word binary, rare int, contexts array<int>, ns array<long>").withColumn("n", F.aggregate("ns", F.lit(0).cast("long"), lambda a, x: a + x))
     lists = rows.groupBy("word", "rare").agg(F.flatten(F.collect_list("contexts")).alias("contexts"), F.flatten(F.collect_list("ns")).alias("ns"), F.sum("n").alias("total")).filter(F.col("total") >= PLACED)
-    last = lists.select("word", "rare", "contexts", "ns", F.lit(-1).alias("to")).mapInArrow(_merged, _PLACED)
+    last, step = lists.select("word", "rare", "contexts", "ns", F.lit(-1).alias("to")), _merged_and_placed
     best, now = None, table
     for _ in range(PASSES):
-        placed = materialize(last.mapInArrow(_place(now), _PLACED), "placed")
+        placed = materialize(last.mapInArrow(step(now), _PLACED), "placed")
         new = table.copy()
         moved = placed.mapInArrow(_moved, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most SIZE * RARE * CLASSES rows
         code, n = moved.column(0).to_numpy(), moved.column(1).to_numpy()
@@ -353,7 +360,7 @@ def place_words(text: DataFrame, clustered: list[bytes], classes: np.ndarray, ta
         np.subtract.at(new, (context, CLASSES + 1 + rare), n)
         if best is not None and likelihood(new) <= likelihood(now):
             break
-        best, now, last = placed, new, placed
+        best, now, last, step = placed, new, placed, _place
     return best.select("word", "rare", "to"), now
 
 

@@ -656,3 +656,20 @@ def test_contexts_of_a_word_come_in_one_row_and_merge():
     assert [(r["contexts"], r["ns"]) for r in merged.to_pylist()] == [([3, 64], [6, 1]), ([5], [7])]
     (table,) = [np.ones((lm.SIZE, lm.SIZE), np.int64) * 50]
     assert sum(b.num_rows for b in lm._place(table)(iter([merged]))) == 2
+
+
+def test_words_are_placed_by_one_worker_a_task(spark, monkeypatch):
+    """Chained Python steps have a worker each, and all of them count as the executor's memory."""
+    plans = []
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("\n"))
+        return materialize(df, name)
+
+    materialize = lm.materialize
+    monkeypatch.setattr(lm, "materialize", kept)
+    docs = spark.createDataFrame([(k, f"a b c{k % 3} a d{k % 2}") for k in range(40)], "doc_id long, text string")
+    lm.train(docs)
+    steps = [[x for line in plan for x in ("MapInArrow", "Exchange", "Scan") if x in line] for plan in plans]
+    assert any("MapInArrow" in s for s in steps)
+    assert not any(a == b == "MapInArrow" for s in steps for a, b in zip(s, s[1:]))
