@@ -29,11 +29,14 @@ same rows each time.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -51,9 +54,11 @@ PLACED, PASSES = 5, 2
 #: The counts of neighbouring symbols are bounded, and so are the tasks that hold them and the class tables that these send.
 PARTS = 8
 BETA = 5.0
-#: Words that a task holds before it hands on their counts, kinds of words that it counts or remembers, and contexts of words that it places
+#: Words that a task holds before it hands on their counts, kinds of words that it counts, and contexts of words that it places
 #: at once: a worker's memory.
-HELD, KINDS, AT_ONCE = 750_000, 125_000, 8_192
+HELD, KINDS, AT_ONCE = 750_000, 250_000, 8_192
+#: Bytes of text whose words are numbered at once.
+CHUNK = 1 << 19
 #: Stands for the end; no word holds white space.
 END = b"\n"
 HELD_OUT = 10
@@ -65,11 +70,33 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def tokens(text: str | None) -> list[bytes]:
     """The lower-cased words of a text and the end."""
-    out = (text or "").encode().translate(LOWER).split()
+    return _split((text or "").encode())
+
+
+def _split(data: bytes) -> list[bytes]:
+    out = data.translate(LOWER).split()
     out.append(END)
     return out
 
 
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    """A column's texts as bytes, null as the empty text."""
+    return (x.as_py() or b"" for x in column.cast(pa.binary()))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[bytes]]:
+    """The tokens of a task's texts, those of about CHUNK bytes of text at a time, one after the other."""
+    held, size = [], 0
+    for batch in batches:
+        for text in _texts(batch.column(0)):
+            held.append(text)
+            size += len(text)
+            if size > CHUNK:
+                yield chain.from_iterable(map(_split, held))
+                held, size = [], 0
+    yield chain.from_iterable(map(_split, held))
+
+
 class _Endings(dict):
     """Rare classes of words by their last two bytes, of which there are few."""
 
@@ -93,44 +120,27 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(map(rare_class, words), pa.int32()), pa.array(counts.values(), pa.int64())], names=["word", "rare", "n"])
 
     for batch in batches:
-        for text in batch.column(0):
-            counts.update(tokens(text.as_py()))
+        for text in _texts(batch.column(0)):
+            counts.update(_split(text))
             if len(counts) > KINDS:
                 yield out()
                 counts.clear()
     yield out()
 
 
-class Symbols(dict):
-    """Word to symbol: its number among the clustered words, then the end, then rare classes. Words that were seen are remembered."""
-
-    def __init__(self, clustered: list[bytes]):
-        super().__init__({w: k for k, w in enumerate(clustered)})
-        self.end = len(clustered)
-        self[END] = self.end
-        self.fixed = len(self)
-
-    def __missing__(self, word: bytes) -> int:
-        found = self.end + 1 + rare_class(word)
-        if len(self) > KINDS:
-            for w in [w for k, w in enumerate(self) if k >= self.fixed]:
-                del self[w]
-        self[word] = found
-        return found
-
-
 def _pairs(clustered: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = Symbols(clustered)
-        size = symbols.end + 1 + RARE
+        end = len(clustered)
+        number = {w: k for k, w in enumerate(clustered)} | {END: end}
+        size = end + 1 + RARE
         grid = np.zeros(size * size, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                found = [np.array([symbols.end, *map(symbols.__getitem__, tokens(text.as_py()))], np.int64) for text in batch.column(0).slice(at, 500)]
-                # texts start after an end, so one text's end and the next one's start is a pair that must not be counted twice
-                codes = np.concatenate([x[:-1] * size + x[1:] for x in found])
-                codes, n = np.unique(codes, return_counts=True)
-                grid[codes] += n
+        for words in _chunks(batches):
+            words = list(words)
+            found = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
+            rest = np.flatnonzero(found < 0)
+            found[rest] = [end + 1 + rare_class(words[k]) for k in rest.tolist()]
+            # a text starts after an end, and the one before it ends with one
+            np.add.at(grid, np.append(end, found[:-1])[: len(found)] * size + found, 1)
         grid = grid.reshape(size, size)
         for side, table in ((0, grid), (1, grid.T)):
             for at in range(0, size, 128):  # handed on by parts, since all rows together are as large as the grid
@@ -240,36 +250,49 @@ def exchange(pairs: DataFrame, clustered: int, rounds: int = ROUNDS) -> tuple[np
     return classes, table
 
 
+class _Numbers(dict):
+    """Word to number, in the order in which the words are met; those of `symbols` have ~symbol. rare: the rare class of each number."""
+
+    def __init__(self, symbols: dict[bytes, int]):
+        super().__init__(symbols)
+        self.rare = array("i")
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = len(self.rare)
+        self.rare.append(rare_class(word))
+        return found
+
+
 def _contexts(clustered: list[bytes], classes: np.ndarray):
     """word, rare, contexts, ns: how often each word that is not clustered follows each context, in one row a word and part of a task's texts."""
 
+    end = len(clustered)
+    symbols = {w: ~k for k, w in enumerate(clustered)} | {END: ~end}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols = Symbols(clustered)
-        number: dict[bytes, int] = {}
+        number = _Numbers(symbols)
         codes: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(codes) if codes else np.empty(0, np.int64), return_counts=True)
-            words = list(number)
+            words = list(number)[len(symbols) :]
             # each word has been numbered where it was met, so all of them have contexts
             starts = pa.array(np.append(np.searchsorted(found // SIZE, np.arange(len(words))), len(found)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(starts, pa.array(x)) for x in ((found % SIZE).astype(np.int32), n.astype(np.int64))]
-            number.clear()
             codes.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(map(rare_class, words), pa.int32()), *lists], names=["word", "rare", "contexts", "ns"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                words = tokens(text.as_py())
-                found = np.array([symbols.end, *map(symbols.__getitem__, words)], np.int64)
-                rest = np.flatnonzero(found[1:] > symbols.end)
-                own = [number.setdefault(words[k], len(number)) for k in rest.tolist()]
-                codes.append(np.array(own, np.int64) * SIZE + classes[found[rest]])
-                held += len(own)
-                if held > HELD or len(number) > HELD // 5:
-                    yield flush()
-                    held = 0
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(number.rare, pa.int32()), *lists], names=["word", "rare", "contexts", "ns"])
+
+        for words in _chunks(batches):
+            found = np.fromiter(map(number.__getitem__, words), np.int64)
+            rest = found >= 0
+            symbol = ~found
+            symbol[rest] = end + 1 + np.array(number.rare)[found[rest]]
+            codes.append(found[rest] * SIZE + classes[np.append(end, symbol[:-1])[: len(symbol)][rest]])
+            held += len(codes[-1])
+            if held > HELD or len(number) > HELD // 5:
+                yield flush()
+                number, held = _Numbers(symbols), 0
         yield flush()
 
     return run
@@ -295,16 +318,40 @@ def placements(table: np.ndarray, starts: np.ndarray, contexts: np.ndarray, n: n
 _PLACED = "word binary, rare int, contexts array<int>, ns array<long>, to int"
 
 
+def _merge(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of a word that stand together as one, each context once."""
+    words, lists, counts = batch.column(0), batch.column(2), batch.column(3)
+    first = np.append(True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False))
+    rows = np.flatnonzero(first)
+    of = np.repeat(np.cumsum(first) - 1, np.diff(lists.offsets.to_numpy()))
+    found, at = np.unique(of * SIZE + lists.flatten().to_numpy(), return_inverse=True)
+    n = np.bincount(at, counts.flatten().to_numpy(), len(found)).astype(np.int64)
+    starts = pa.array(np.append(np.searchsorted(found // SIZE, np.arange(len(rows))), len(found)).astype(np.int32))
+    merged = [pa.ListArray.from_arrays(starts, pa.array(x)) for x in ((found % SIZE).astype(np.int32), n)]
+    word, rare, to = (batch.column(k).take(pa.array(rows)) for k in (0, 1, 4))
+    return pa.RecordBatch.from_arrays([word, rare, *merged, to], names=["word", "rare", "contexts", "ns", "to"])
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of a word's contexts from several parts as one, each context once."""
+    """Rows in order of their words, those of a word as one."""
+    held = None
     for batch in batches:
-        lists, counts = batch.column(2), batch.column(3)
-        of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-        found, at = np.unique(of * SIZE + lists.flatten().to_numpy(), return_inverse=True)
-        n = np.bincount(at, counts.flatten().to_numpy(), len(found)).astype(np.int64)
-        starts = pa.array(np.append(np.searchsorted(found // SIZE, np.arange(batch.num_rows)), len(found)).astype(np.int32))
-        merged = [pa.ListArray.from_arrays(starts, pa.array(x)) for x in ((found % SIZE).astype(np.int32), n)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *merged, batch.column(4)], names=["word", "rare", "contexts", "ns", "to"])
+        if held is not None:  # its last word may go on
+            yield held.slice(0, held.num_rows - 1)
+            rows = pa.Table.from_arrays([pa.chunked_array([a, b.cast(a.type)]) for a, b in zip(held.slice(held.num_rows - 1).columns, batch.columns, strict=True)], names=held.schema.names)
+            batch = pa.RecordBatch.from_arrays([c.combine_chunks() for c in rows.columns], names=rows.schema.names)
+        held = _merge(batch) if batch.num_rows else held
+    if held is not None:
+        yield held
+
+
+def _often(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Words seen `least` times or more."""
+    for batch in batches:
+        if batch.num_rows:
+            lists = batch.column(3)
+            starts = lists.offsets.to_numpy()[:-1].astype(np.int64)
+            yield batch.filter(pa.array(np.add.reduceat(lists.flatten().to_numpy(), starts - starts[0]) >= least))
 
 
 def _place(table: np.ndarray):
@@ -324,10 +371,10 @@ def _place(table: np.ndarray):
     return run
 
 
-def _merged_and_placed(table: np.ndarray):
-    """_merged and _place in one worker: chained in Spark, each would have a worker of its own in the same task, which doubles their memory."""
+def _merged_and_placed(table: np.ndarray, least: int):
+    """_merged, _often and _place in one worker: chained in Spark, each would have a worker of its own in the same task, which doubles their memory."""
     place = _place(table)
-    return lambda batches: place(_merged(batches))
+    return lambda batches: place(_often(_merged(batches), least))
 
 
 def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,12 +393,12 @@ def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def place_words(text: DataFrame, clustered: list[bytes], classes: np.ndarray, table: np.ndarray) -> tuple[DataFrame, np.ndarray]:
     """word, rare, contexts, ns, to (its class) of all words seen PLACED times or more that are not clustered; and the table of contexts
     by classes with these words in their classes."""
-    rows = text.mapInArrow(_contexts(clustered, classes), "word binary, rare int, contexts array<int>, ns array<long>").withColumn("n", F.aggregate("ns", F.lit(0).cast("long"), lambda a, x: a + x))
-    lists = rows.groupBy("word", "rare").agg(F.flatten(F.collect_list("contexts")).alias("contexts"), F.flatten(F.collect_list("ns")).alias("ns"), F.sum("n").alias("total")).filter(F.col("total") >= PLACED)
-    last, step = lists.select("word", "rare", "contexts", "ns", F.lit(-1).alias("to")), _merged_and_placed
+    rows = text.mapInArrow(_contexts(clustered, classes), "word binary, rare int, contexts array<int>, ns array<long>").withColumn("to", F.lit(-1))
+    # a word comes about once from a part, so that lists are put together where they meet and not before
+    last, step = rows.repartition("word").sortWithinPartitions("word"), _merged_and_placed(table, PLACED)
     best, now = None, table
     for _ in range(PASSES):
-        placed = materialize(last.mapInArrow(step(now), _PLACED), "placed")
+        placed = materialize(last.mapInArrow(step, _PLACED), "placed")
         new = table.copy()
         moved = placed.mapInArrow(_moved, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most SIZE * RARE * CLASSES rows
         code, n = moved.column(0).to_numpy(), moved.column(1).to_numpy()
@@ -360,7 +407,7 @@ def place_words(text: DataFrame, clustered: list[bytes], classes: np.ndarray, ta
         np.subtract.at(new, (context, CLASSES + 1 + rare), n)
         if best is not None and likelihood(new) <= likelihood(now):
             break
-        best, now, last, step = placed, new, placed, _place
+        best, now, last, step = placed, new, placed, _place(new)
     return best.select("word", "rare", "to"), now
 
 
@@ -369,67 +416,61 @@ class Model:
 
     def __init__(self, words: list[tuple[bytes, int, int, int]], table: np.ndarray, class_words: np.ndarray, total: int, kinds: int):
         self.total, self.kinds = total, kinds
-        self.known = {w: (math.log10(n + 0.1), n, c, x) for w, n, c, x in words}
+        self.known = {w: k for k, (w, *_) in enumerate(words)}
+        self.logs = np.array([math.log10(n + 0.1) for _, n, _, _ in words], np.float64)
+        self.of = np.array([(n > 0, c, x) for _, n, c, x in words], np.int32).reshape(len(words), 3)
         n = table.sum(0).astype(np.float64)
         share = (n + 0.5) / (n.sum() + 0.5 * len(n))
         self.move = np.log10((table + BETA * share) / (table.sum(1, keepdims=True) + BETA))
         self.out_of = np.log10(n + 0.1 * (class_words + 1))
         self.base = math.log10(total + 0.1 * (kinds + 1))
 
-    def parts(self, text: str | None) -> tuple[int, int, float, float, Counter]:
+    def parts(self, text: str | bytes | None) -> tuple[int, int, float, float, Counter]:
         """Tokens, known tokens, base and score without the words that are not looked up here, and those words with their contexts."""
-        found = tokens(text)
-        here = list(map(self.known.get, found))
-        contexts = [CLASSES]
-        rest: Counter = Counter()
-        if None in here:
-            missed = []
-            for w, h, before in zip(found, here, contexts, strict=False):  # contexts grows on the way
-                if h is None:
-                    missed.append((w, before))
-                    contexts.append(CLASSES + 1 + _endings[w[-2:]])
-                else:
-                    contexts.append(h[3])
-            rest.update(missed)
-            contexts = [x for x, h in zip(contexts, here, strict=False) if h is not None]
-            here = [h for h in here if h is not None]
-        else:
-            contexts += [h[3] for h in here]
-            contexts.pop()
-        logs, n, classes, _ = zip(*here, strict=True) if here else ((), (), (), ())
-        before, classes = np.array(contexts, np.int64), np.array(classes, np.int64)
-        emitted = math.fsum(logs)
-        score = emitted + float(self.move[before, classes].sum() - self.out_of[classes].sum())
-        return len(found), len(n) - n.count(0), emitted - len(found) * self.base, score, rest
+        found = _split(text) if isinstance(text, bytes) else tokens(text)
+        at = np.fromiter(map(self.known.get, found, repeat(-1)), np.int64, len(found))
+        here = at >= 0
+        missed = np.flatnonzero(~here).tolist()
+        contexts = np.empty(len(found) + 1, np.int64)
+        contexts[0] = CLASSES
+        if len(self.of):
+            contexts[1:] = self.of[at, 2]
+        words = [found[k] for k in missed]
+        contexts[1:][missed] = [CLASSES + 1 + _endings[w[-2:]] for w in words]
+        rest = Counter(zip(words, contexts[missed].tolist(), strict=True))
+        at = at[here]
+        known, classes, _ = self.of[at].T
+        emitted = math.fsum(self.logs[at].tolist())
+        score = emitted + float(self.move[contexts[:-1][here], classes].sum() - self.out_of[classes].sum())
+        return len(found), int(known.sum()), emitted - len(found) * self.base, score, rest
 
 
 def _score(model):
     kind = pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), kind)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model_here = model.value
         for batch in batches:
-            columns: list[list] = [[] for _ in kinds]
-            keys, words, contexts, fall, times, docs = columns
+            given = [*batch.columns[:3], batch.column(3).cast(pa.binary())]
+            keys, sizes, docs, words, contexts, times = [], [], [], [], [], []
             for k in range(batch.num_rows):
-                key, doc_id, out, text = (c[k].as_py() for c in batch.columns)
+                key, doc_id, out, text = (c[k].as_py() for c in given)
                 n, known, base, score, rest = model_here.parts(text)
                 # a row's own part has a word that no text holds, so it meets nothing, and no two of them meet
-                keys += [key] * (1 + len(rest))
-                words.append(END + key.to_bytes(8))
-                words += [w for w, _ in rest]
-                contexts.append(0)
-                contexts += [x for _, x in rest]
-                fall.append(0)
-                fall += [CLASSES + 1 + _endings[w[-2:]] for w, _ in rest]
-                times.append(0)
-                times += rest.values()
-                docs.append({"doc_id": doc_id, "held_out": out, "n_tokens": n, "n_known": known, "base": base, "score": score})
-                docs += [None] * len(rest)
-                if len(keys) > 20_000 or k == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["key", "word", "context", "fall", "times", "doc"])
-                    for c in columns:
+                keys.append(key)
+                sizes.append(1 + len(rest))
+                docs.append((doc_id, out, n, known, base, score))
+                words += [END + key.to_bytes(8), *[w for w, _ in rest]]
+                contexts += [0, *[x for _, x in rest]]
+                times += [0, *rest.values()]
+                if len(words) > 20_000 or k == batch.num_rows - 1:
+                    own = np.cumsum(sizes) - sizes
+                    of = np.full(len(words), -1)
+                    of[own] = np.arange(len(own))
+                    fall = np.array([CLASSES + 1 + _endings[w[-2:]] for w in words], np.int32)
+                    fall[own] = 0
+                    doc = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*docs, strict=True), kind, strict=True)], fields=list(kind)).take(pa.array(of, mask=of < 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, sizes), pa.int64()), pa.array(words, pa.binary()), pa.array(contexts, pa.int32()), pa.array(fall), pa.array(times, pa.int64()), doc], names=["key", "word", "context", "fall", "times", "doc"])
+                    for c in (keys, sizes, docs, words, contexts, times):
                         c.clear()
 
     return run

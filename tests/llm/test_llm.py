@@ -673,3 +673,16 @@ def test_words_are_placed_by_one_worker_a_task(spark, monkeypatch):
     steps = [[x for line in plan for x in ("MapInArrow", "Exchange", "Scan") if x in line] for plan in plans]
     assert any("MapInArrow" in s for s in steps)
     assert not any(a == b == "MapInArrow" for s in steps for a, b in zip(s, s[1:]))
+
+
+def test_lists_of_a_word_merge_across_batches():
+    """Rows come in order of their words; a word may go on in the next batch, and only words seen often enough are handed on."""
+    import pyarrow as pa
+
+    rows = [(b"a", [3], [1]), (b"b", [5, 3], [1, 2]), (b"b", [5], [4]), (b"b", [9], [1]), (b"c", [1], [2]), (b"c", [1], [3])]
+    kinds = {"word": pa.binary(), "rare": pa.int32(), "contexts": pa.list_(pa.int32()), "ns": pa.list_(pa.int64()), "to": pa.int32()}
+    batch = lambda some: pa.RecordBatch.from_pydict({c: pa.array(x, t) for (c, t), x in zip(kinds.items(), ([r[0] for r in some], [7] * len(some), [r[1] for r in some], [r[2] for r in some], [-1] * len(some)))})
+    for cuts in ((0, 6), (0, 2, 6), (0, 1, 2, 3, 3, 4, 5, 6)):
+        parts = [batch(rows[a:b]) for a, b in zip(cuts, cuts[1:])]
+        found = [r for b in lm._often(lm._merged(iter(parts)), 5) for r in b.to_pylist()]
+        assert [(r["word"], r["contexts"], r["ns"]) for r in found] == [(b"b", [3, 5, 9], [2, 5, 1]), (b"c", [1], [5])]
