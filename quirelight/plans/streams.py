@@ -22,11 +22,14 @@ def _source(spark, df, at: str, time: str):
     """df as a stream, out of order: written once to the shared folder in SLICES slices by time of arrival, one after the other, each of them
     by learner in as many files as there are partitions; read in several micro-batches, oldest files first."""
     us = F.unix_micros(F.col(time).cast("timestamp")).cast("double") + F.pmod(F.xxhash64(*df.columns), F.lit(LATE))
-    cuts = df.select(us.alias("us")).stat.approxQuantile("us", [k / SLICES for k in range(1, SLICES)], 0.01) or [0.0] * (SLICES - 1)
+    # written first, since the cuts and each slice would make df anew
+    df.withColumn("_us", us).write.parquet(f"{at}/all")
+    rows, us = spark.read.parquet(f"{at}/all"), F.col("_us")
+    cuts = rows.select(us.alias("us")).stat.approxQuantile("us", [k / SLICES for k in range(1, SLICES)], 0.01) or [0.0] * (SLICES - 1)
     edges = [float("-inf"), *cuts, float("inf")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for low, high in zip(edges, edges[1:], strict=False):
-        df.filter((us >= low) & (us < high)).repartition(parts, "learner_id").write.mode("append").parquet(f"{at}/in")
+        rows.filter((us >= low) & (us < high)).drop("_us").repartition(parts, "learner_id").write.mode("append").parquet(f"{at}/in")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", parts).parquet(f"{at}/in")
 
 
