@@ -349,15 +349,20 @@ def footnotes(lines: DataFrame, pages: DataFrame, body: DataFrame, rules: DataFr
     the page before; without one the first label must be cited on this page or one beside it. rules: book_id, page, box; refs: book_id, page,
     label (superscripts in the text)."""
     page = Window.partitionBy("book_id", "page")
-    rows = lines.filter("role = 'body' and n > 0").join(body, "book_id").join(pages.select("book_id", "page", "width", "height"), ["book_id", "page"])
+    # books and pages are looked up without a sort of all lines
+    rows = lines.filter("role = 'body' and n > 0").join(body.hint("shuffle_hash"), "book_id").join(pages.select("book_id", "page", "width", "height").hint("shuffle_hash"), ["book_id", "page"])
     rows = rows.withColumn("_small", (F.col("size") >= 0.5 * F.col("body_size")) & (F.col("size") <= 0.93 * F.col("body_size")))
+    # other lines are in no note, so only their place is looked at
+    rows = rows.withColumn("text", F.when(~F.col("_small"), F.lit(None)).otherwise(F.col("text")))
     ends = rows.groupBy("book_id", "page").agg(F.max(F.when(F.col("_small"), F.col("y0"))).alias("_low"), F.max(F.when(~F.col("_small"), F.col("y0"))).alias("_high"), F.first("width").alias("_w"), F.first("height").alias("_h"))
     short = (F.col("y1") - F.col("y0") < 1.6) & (F.col("x1") - F.col("x0") > 25) & (F.col("x1") - F.col("x0") < 0.6 * F.col("_w")) & (F.col("y0") > 0.35 * F.col("_h"))
     alone = (F.col("_low") >= F.col("y0") - 1) & (F.col("_high").isNull() | (F.col("_high") < F.col("y0") - 1))
     ruled = rules.select("book_id", "page", *BOX).join(ends, ["book_id", "page"]).filter(short & alone).groupBy("book_id", "page").agg(F.min("y0").alias("_rule"))
     down = page.orderBy(F.desc("y0"), F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0)
     foot = F.col("_small") & (F.col("y0") > 0.4 * F.col("height")) & (F.col("mono") < 0.5 * F.col("n"))
-    rows = rows.join(ruled, ["book_id", "page"], "left").withColumn("_stop", F.max((~foot).cast("int")).over(down))
+    # a page without small lines has no notes
+    of = ends.filter("_low is not null").select("book_id", "page").join(ruled, ["book_id", "page"], "left")
+    rows = rows.join(of.hint("shuffle_hash"), ["book_id", "page"]).withColumn("_stop", F.max((~foot).cast("int")).over(down))
     rows = rows.withColumn("_run", F.when(F.col("_rule").isNotNull(), F.col("y0") >= F.col("_rule") - 1).otherwise(F.col("_stop") == 0))
     top = F.min(F.when(F.col("_run"), F.col("y0"))).over(page)
     rows = rows.withColumn("_top", top).withColumn("_above", F.max(F.when(~F.col("_run") & (F.col("y1") <= F.col("_top") + 1), F.struct("y0", "y1"))).over(page))

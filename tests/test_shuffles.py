@@ -131,3 +131,15 @@ def test_a_line_is_profiled_in_its_row(spark):
     assert [(r["text"], r["baseline"], r["size"], r["n"], r["bold"], r["italic"]) for r in found.orderBy("line").collect()] == [("ab c", 101.0, 7.0, 3, 2, 1), ("", None, None, 0, 0, 0)]
     apart = spark.createDataFrame(rows, kind).selectExpr("book_id", "page", "line", "inline(chars)")
     assert L.line_profile(apart).collect() == found.filter("n > 0").collect()
+
+
+def test_footnotes_sort_no_line_to_look_up_its_book_or_page(spark, sf):
+    from quirelight.plans import layout
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = layout.l13(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("ShuffledHashJoin") >= 3
