@@ -277,3 +277,10 @@ def test_totals_beyond_bigint_are_whole(spark, sf, tmp_path):
     found = tables.s4(spark, str(tmp_path))
     assert {r.name: (r.n, int(r.total)) for r in found.collect()} == want and want["cards"][1] > 2**63
     assert found.schema["total"].dataType.simpleString() == "decimal(38,0)" and tables.s4(spark, sf).schema["total"].dataType.simpleString() == "bigint"
+
+
+def test_every_block_counts_where_no_bound_is_set(spark):
+    rows = spark.createDataFrame([(f"k{i:02}", b) for b in (1, 2) for i in range(40)], "key string, block_id long")
+    assert concepts.cooccurrence(rows).count() == 0
+    pairs = concepts.cooccurrence(rows, per_block=None)
+    assert {(r.a < r.b, r.n) for r in pairs.collect()} == {(True, 2)} and pairs.count() == 40 * 39 // 2
