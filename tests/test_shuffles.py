@@ -7,6 +7,7 @@ from quirelight.operators import knowledge as K
 from quirelight.operators import layout as L
 from quirelight.operators import search as Q
 from quirelight.operators import units as U
+from quirelight.plans import concepts as PC
 from quirelight.plans import knowledge as P
 from quirelight.sources import fixtures as X
 
@@ -143,3 +144,18 @@ def test_footnotes_sort_no_line_to_look_up_its_book_or_page(spark, sf):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("ShuffledHashJoin") >= 3
+
+
+def _crowded(spark, monkeypatch):
+    """Two blocks of 30 terms each as the mentions of all queries."""
+    rows = [(f"k{i:02}", b, u, "x", 1) for b, u in ((1, 11), (2, 12)) for i in range(30)]
+    m = spark.createDataFrame(rows, "key string, block_id long, unit_id long, book_id string, count long")
+    monkeypatch.setattr(P, "_mentions", lambda *_: m)
+    monkeypatch.setattr(PC, "_mentions", lambda *_: m)
+
+
+def test_a_units_graph_has_all_its_concepts_and_blocks(spark, sf, monkeypatch):
+    _crowded(spark, monkeypatch)
+    assert P.k8(spark, sf).count() == 30 * 29 // 2
+    many = spark.range(K.NODES + 1).selectExpr("'x' AS book_id", "concat('k', id) AS key", "id AS block_id", "1L AS count")
+    assert (P._rollup(None, None, many).count(), P._rollup(None, None, many, None).count()) == (K.NODES, K.NODES + 1)
