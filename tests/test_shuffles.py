@@ -159,3 +159,8 @@ def test_a_units_graph_has_all_its_concepts_and_blocks(spark, sf, monkeypatch):
     assert P.k8(spark, sf).count() == 30 * 29 // 2
     many = spark.range(K.NODES + 1).selectExpr("'x' AS book_id", "concat('k', id) AS key", "id AS block_id", "1L AS count")
     assert (P._rollup(None, None, many).count(), P._rollup(None, None, many, None).count()) == (K.NODES, K.NODES + 1)
+
+
+def test_neighbours_come_from_blocks_of_many_terms_too(spark, sf, monkeypatch):
+    _crowded(spark, monkeypatch)
+    assert P.k11(spark, sf).count() == 30 * 16
