@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from quirelight.operators import concepts as C
 from quirelight.operators import knowledge as K
 from quirelight.operators import layout as L
@@ -164,3 +166,19 @@ def test_a_units_graph_has_all_its_concepts_and_blocks(spark, sf, monkeypatch):
 def test_neighbours_come_from_blocks_of_many_terms_too(spark, sf, monkeypatch):
     _crowded(spark, monkeypatch)
     assert P.k11(spark, sf).count() == 30 * 16
+
+
+def test_knowledge_is_put_together_where_the_learner_is(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        concepts = spark.createDataFrame([("a", 2.0, 4), ("b", 1.0, 1), ("c", 1.0, 9)], "key string, importance double, total long")
+        mentions = spark.createDataFrame([("a", 1, 2), ("a", 2, 2), ("b", 1, 1), ("c", 3, 9)], "key string, block_id long, count long")
+        reads = spark.createDataFrame([(7, 1), (7, 1), (8, 2), (8, 4)], "learner_id long, block_id long")
+        definitions = spark.createDataFrame([("a", 2), ("b", 4)], "key string, def_block_id long")
+        on = spark.createDataFrame([(1, "c"), (1, "a"), (1, "z")], "card_id long, key string")
+        cards = spark.createDataFrame([(7, 1, "active", None, 0), (8, 1, "pending", None, 0)], "learner_id long, card_id long, status string, stability double, state int").withColumn("last_review", F.lit(None).cast("timestamp"))
+        found = K.knowledge(concepts, mentions, reads, definitions, on, cards, F.current_timestamp())
+        assert not {"learner_id, key", "key, learner_id"} & set(exchanges(found)) and exchanges(found).count("learner_id") == 1
+        assert sorted(map(tuple, found.select("learner_id", "key", "read", "cards", "mastery", "state").collect())) == [(7, "a", 2, 1, 0.2, "unseen"), (7, "b", 1, 0, 0.4, "seen"), (7, "c", 0, 1, 0.0, "unseen"), (8, "a", 2, 0, 0.2, "seen")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
