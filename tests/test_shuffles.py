@@ -1,6 +1,7 @@
 """What the steps that most queries share send through a shuffle: once, by the key that carries least."""
 
 import re
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -182,3 +183,22 @@ def test_knowledge_is_put_together_where_the_learner_is(spark):
         assert sorted(map(tuple, found.select("learner_id", "key", "read", "cards", "mastery", "state").collect())) == [(7, "a", 2, 1, 0.2, "unseen"), (7, "b", 1, 0, 0.4, "seen"), (7, "c", 0, 1, 0.0, "unseen"), (8, "a", 2, 0, 0.2, "seen")]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cards_with_their_concepts_are_neither_shuffled_nor_sorted(spark):
+    on = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "a"), (4, "d")], "card_id long, key string")
+    kind = "learner_id long, card_id long, status string, stability double, state int, last_review timestamp"
+    now = datetime(2024, 1, 1)
+    cards = spark.createDataFrame([(7, 1, "pending", 9.0, 2, now), (7, 2, "active", 9.0, 2, now), (7, 3, "active", 1.0, 3, now), (8, 1, "active", None, 0, None), (8, 9, "active", None, 0, None)], kind)
+    few = K.HELD
+    try:
+        for K.HELD in (few, -1):  # what cards are on comes to each task, and by card
+            found, known = K.concept_cards(on, cards), K.recall(on, cards, F.lit(now))
+            for df in (found, known):
+                plan = df._jdf.queryExecution().executedPlan().toString()
+                assert "Window" not in plan and exchanges(df)[0] == ("learner_id" if K.HELD < 0 else exchanges(df)[-1])
+            assert sorted(map(tuple, found.select("learner_id", "key", "card_id", "rank").collect())) == [(7, "a", 1, 3), (7, "a", 2, 1), (7, "a", 3, 2), (7, "b", 1, 1), (8, "a", 1, 1), (8, "b", 1, 1)]
+            got = sorted(map(tuple, known.select("learner_id", "key", "cards", "n", "recall", "stable", "learning").collect()))
+            assert got == [(7, "a", 2, 2, 1.0, 1, 1), (8, "a", 1, 0, None, 0, 0), (8, "b", 1, 0, None, 0, 0)]
+    finally:
+        K.HELD = few
