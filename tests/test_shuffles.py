@@ -202,3 +202,13 @@ def test_cards_with_their_concepts_are_neither_shuffled_nor_sorted(spark):
             assert got == [(7, "a", 2, 2, 1.0, 1, 1), (8, "a", 1, 0, None, 0, 0), (8, "b", 1, 0, None, 0, 0)]
     finally:
         K.HELD = few
+
+
+def test_merged_edges_go_by_one_end(spark):
+    side = lambda edges: {
+        "concepts": spark.createDataFrame([("a", "A", 1)], "key string, name string, ord long"), "concept_books": spark.createDataFrame([("a", "x", 1)], "key string, book_id string, importance long"),
+        "mentions": spark.createDataFrame([("a", 1, 1)], "key string, block_id long, count long"), "edges": spark.createDataFrame(edges, "a string, b string, w long"),
+    }
+    found = C.merge_concepts(side([("b", "a", 2), ("a", "c", 1), ("a", "b", 4)]), side([("a", "b", 3), ("c", "a", 5)]))["edges"]
+    assert "a, b" not in exchanges(found)
+    assert sorted(map(tuple, found.collect())) == [("a", "b", 4), ("a", "c", 5)]
