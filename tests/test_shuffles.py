@@ -212,3 +212,8 @@ def test_merged_edges_go_by_one_end(spark):
     found = C.merge_concepts(side([("b", "a", 2), ("a", "c", 1), ("a", "b", 4)]), side([("a", "b", 3), ("c", "a", 5)]))["edges"]
     assert "a, b" not in exchanges(found)
     assert sorted(map(tuple, found.collect())) == [("a", "b", 4), ("a", "c", 5)]
+
+
+def test_units_of_a_piece_meet_a_learner_as_one_list(spark, sf):
+    plan = U.section_progress(X.units(spark, sf), X.reads(spark, sf), X.blocks(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Generate explode\(_units", plan)
