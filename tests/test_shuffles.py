@@ -217,3 +217,14 @@ def test_merged_edges_go_by_one_end(spark):
 def test_units_of_a_piece_meet_a_learner_as_one_list(spark, sf):
     plan = U.section_progress(X.units(spark, sf), X.reads(spark, sf), X.blocks(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Generate explode\(_units", plan)
+
+
+def test_a_graphs_pairs_are_made_of_its_nodes_only(spark, sf, monkeypatch):
+    # 26 terms are too many for a block, whichever of them are nodes
+    rows = [(f"k{i:02}", b, b, "x", 1 + (i < 3)) for b in (1, 2) for i in range(25)] + [(f"k{i:02}", 3, 3, "x", 1) for i in range(26)]
+    m = spark.createDataFrame(rows, "key string, block_id long, unit_id long, book_id string, count long")
+    nodes = spark.createDataFrame([("k00",), ("k01",), ("k02",)], "key string")
+    got = C.cooccurrence(m, among=nodes)
+    assert sorted(map(tuple, got.collect())) == [("k00", "k01", 2), ("k00", "k02", 2), ("k01", "k02", 2)]
+    monkeypatch.setattr(P, "_rollup", lambda *_: nodes)
+    assert P._graph(spark, sf, m)[1].count() == 3
