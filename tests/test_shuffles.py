@@ -228,3 +228,9 @@ def test_a_graphs_pairs_are_made_of_its_nodes_only(spark, sf, monkeypatch):
     assert sorted(map(tuple, got.collect())) == [("k00", "k01", 2), ("k00", "k02", 2), ("k01", "k02", 2)]
     monkeypatch.setattr(P, "_rollup", lambda *_: nodes)
     assert P._graph(spark, sf, m)[1].count() == 3
+
+
+def test_names_of_a_rollup_come_from_distinct_terms(spark):
+    mentions = spark.createDataFrame([("x", "a", 3, 2), ("y", "a", 4, 1), ("x", "b", 5, 1)], "book_id string, key string, block_id long, count long")
+    plan = P._rollup(None, None, mentions)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("REPARTITION_BY_COL", plan)) == 1
